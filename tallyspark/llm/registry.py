@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import simhash
+from tallyspark.llm import simhash, suffix_dedup
 
 
 def queries() -> dict:
-    return {"op6_simhash": simhash.op6_simhash}
+    return {"op4_suffix_dedup": suffix_dedup.op4_suffix_dedup, "op6_simhash": simhash.op6_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
