@@ -1,12 +1,19 @@
-"""The queries of this package."""
+"""The queries of this package, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from tallyspark.llm import simhash, suffix_dedup
+from tallyspark.llm import mixing, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
 
 
 def queries() -> dict:
-    return {"op4_suffix_dedup": suffix_dedup.op4_suffix_dedup, "op6_simhash": simhash.op6_simhash}
+    return {
+        "op3_toxicity_crf": toxicity_crf.op3_toxicity_crf,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_simhash": simhash.op6_simhash,
+        "op9_quality_fm": quality_fm.op9_quality_fm,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
