@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import mixing, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
+from tallyspark.llm import licenses, mixing, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
 
 
 def queries() -> dict:
     return {
+        "op2_licenses": licenses.op2_licenses,
         "op3_toxicity_crf": toxicity_crf.op3_toxicity_crf,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": licenses.SQL}
