@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import licenses, mixing, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
+from tallyspark.llm import html_text, licenses, mixing, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
 
 
 def queries() -> dict:
     return {
+        "op1_html": html_text.op1_html,
         "op2_licenses": licenses.op2_licenses,
         "op3_toxicity_crf": toxicity_crf.op3_toxicity_crf,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
