@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontamination, html_text, licenses, mixing, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
+from tallyspark.llm import decontamination, html_text, licenses, mixing, pii, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_simhash": simhash.op6_simhash,
+        "op7_pii_boosting": pii.op7_pii_boosting,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_quality_fm": quality_fm.op9_quality_fm,
         "op10_quality_rules": quality_rules.op10_quality_rules,
