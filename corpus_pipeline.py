@@ -1,8 +1,52 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents that pass the quality classifier, one of each group of near-duplicates, free of benchmark
+items, with personal data redacted, and with the words that each gives to the mix of sources.
 
-STAGES = []
+Every stage works on all rows that its predecessor kept and returns the columns of documents; the last adds the mix's.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontamination, mixing, pii, quality_fm, simhash
+from tallyspark.llm.common import cut, read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier, fitted on the labelled ones among them, predicts to be good."""
+    return quality_fm.keep_good(docs, quality_fm.train(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the least id of each group."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no benchmark item is found."""
+    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data and secrets replaced by their kinds."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else clean
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the repetitions, the part and the words that the mix takes of them."""
+    return mixing.mix(docs, carry=True)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("redact", redact), ("mix", mix)]
+#: No SQL can express the classifier, the fingerprints or the trees; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Each stage's rows are cut from their lineage, as a job that writes them would do."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

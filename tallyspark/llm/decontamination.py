@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import read
@@ -161,14 +161,8 @@ def _search(index: Index):
     return hits
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: Settings = Settings()) -> DataFrame:
-    """One row per row of docs: id, contaminated, n_items, items (ids, comma-joined), similarity (best, 0 if none), windows ("item:start:words,...").
-
-    The benchmark is read in blocks of at.items items by a hash of their id, and each block goes to the tasks as it is: the
-    documents are never shuffled and meet no block's items but by their shingles. Words are runs of letters, digits and _,
-    in lower case; items of under five words have one shingle, of all their words; documents shorter than an item are one
-    window. Null and empty texts and items match nothing; items with a null id are left out; repeated rows give repeated rows.
-    """
+def _hits(benchmark: DataFrame, text_col: str, at: Settings) -> list[Column]:
+    """A column of hits for each block of items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").alias("words")).where("item IS NOT NULL AND words IS NOT NULL").dropDuplicates()
     total = items.count()
     blocks = max(1, -(-total // at.items))
@@ -177,8 +171,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = sorted((r["item"], r["words"]) for r in part.collect())
         hits.append(_search(Index(rows, total, at))(F.col(text_col)))
+    return hits
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: Settings = Settings()) -> DataFrame:
+    """One row per row of docs: id, contaminated, n_items, items (ids, comma-joined), similarity (best, 0 if none), windows ("item:start:words,...").
+
+    The benchmark is read in blocks of at.items items by a hash of their id, and each block goes to the tasks as it is: the
+    documents are never shuffled and meet no block's items but by their shingles. Words are runs of letters, digits and _,
+    in lower case; items of under five words have one shingle, of all their words; documents shorter than an item are one
+    window. Null and empty texts and items match nothing; items with a null id are left out; repeated rows give repeated rows.
+    """
+    hits = _hits(benchmark, text_col, at)
     found = docs.select(F.col(id_col), *[h.alias(f"_hits{k}") for k, h in enumerate(hits)])
-    found = found.select(F.col(id_col), F.array_sort(F.concat(*[F.col(f"_hits{k}") for k in range(blocks)])).alias("hits"))
+    found = found.select(F.col(id_col), F.array_sort(F.concat(*[F.col(f"_hits{k}") for k in range(len(hits))])).alias("hits"))
     window = lambda h: F.concat_ws(":", h["item"], h["start"], h["words"])
     return found.select(
         id_col,
@@ -190,5 +196,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", at: Settings = Settings()) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    for hits in _hits(benchmark, text_col, at):
+        docs = docs.where(F.size(hits) == 0)
+    return docs
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, read
+from tallyspark.llm.common import WORD, cut, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Sources, of a name and three numbers each, that may be broadcast.
+BROADCAST = 50_000
 
 
 def water_fill(sources: DataFrame, epochs: float) -> DataFrame:
@@ -31,28 +33,32 @@ def water_fill(sources: DataFrame, epochs: float) -> DataFrame:
     return levels.withColumn("target", F.when(F.col("weight") > 0, F.least(F.col("cap"), F.col("weight") * F.coalesce("reached", F.lit(float("inf"))))).otherwise(0.0)).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: float = 3.0, seed: int = 5) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, repetitions (whole ones), part (words of one more), taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: float = 3.0, seed: int = 5, carry: bool = False) -> DataFrame:
+    """One row per row of docs: id, size, source_size, target, repetitions (whole ones), part (words of one more), taken; after all columns of docs if carry is set.
 
     size counts words; a null text has none. Sources take the weights in turn, in the order of their code points, with the
     null source last. taken = floor(rate x size + u) with u in [0, 1) drawn from the seed, the id and the size alone, so that
     reruns agree, sums come near the targets and no document gives more than epochs x its size. Rows with equal ids draw the
-    same u. Only ids, sources and sizes are shuffled, never texts; each source is summed before the shuffle, and the one row
-    that a source has is joined back by an equi-join that AQE broadcasts if it is small and splits if it is skewed.
+    same u. Each source is summed before the shuffle. Its one row is joined back: broadcast if the sources are counted and
+    at most BROADCAST, else by an equi-join that AQE splits if it is skewed.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    kept = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.struct(F.col(id_col))
+    sized = docs.select(kept.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
     targets = water_fill(sums.withColumn("turn", turn).withColumn("weight", weight).drop("turn"), epochs).drop("weight")
-    targets = targets.withColumn("none", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    targets = cut(targets.withColumn("none", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))))
+    if targets.count() <= BROADCAST:
+        targets = F.broadcast(targets)
     keyed = sized.withColumn("none", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.col("size")), 11) / F.lit(float(2**53))
     most = F.floor(F.col("size") * F.lit(float(epochs)))
-    found = keyed.join(targets, ["source", "none"]).withColumn("rate", rate).withColumn("taken", F.least(most, F.floor(F.col("rate") * F.col("size") + draw)))
+    found = keyed.join(targets, ["source", "none"]).withColumn("taken", F.least(most, F.floor(rate * F.col("size") + draw)))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0).cast("long"))
-    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", whole.alias("repetitions"), (F.col("taken") - whole * F.col("size")).alias("part"), "taken")
+    return found.select("row.*", "size", "source_size", "target", whole.alias("repetitions"), (F.col("taken") - whole * F.col("size")).alias("part"), "taken")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

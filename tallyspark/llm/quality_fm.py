@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import held_out, read
@@ -27,6 +27,7 @@ _DIGITS = bytes(range(48, 58))
 _PAUSES = b"!?"
 _BINS = 16
 _STATS = 12
+THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
@@ -141,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, at: Settings = Settings()) -> Mach
     return fit(data, np.array([r["label"] for r in rows], float), at)
 
 
-def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, words: int = Settings.words) -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted. Null and empty texts are scored by their statistics alone; null ids are not held out; other columns are not read."""
+def score_of(text: Column, machine: Machine, words: int = Settings.words) -> Column:
+    """The score of a text; null and empty texts are scored by their statistics alone."""
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -150,7 +151,18 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
             out = [machine.score([features(x, words) for x in some.iloc[k : k + 256]]) for k in range(0, len(some), 256)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(text)
+
+
+def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = Settings.words) -> DataFrame:
+    """One row per row of docs: id, held_out, score, predicted. Null ids are not held out; repeated rows get equal scores; other columns are not read."""
+    scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score_of(F.col(text_col), machine, words).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are predicted good, with all their columns."""
+    return docs.where(score_of(F.col(text_col), machine) >= threshold)
 
 
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

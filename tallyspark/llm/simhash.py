@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut, read
@@ -138,5 +138,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """One row of each group of near-duplicates, that with the least id, with all its columns. Of rows with equal ids one stays; rows without an id all stay."""
+    firsts = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    turn = Window.partitionBy(id_col).orderBy(id_col)
+    kept = docs.join(firsts, id_col, "left_semi").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
+    return kept.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
