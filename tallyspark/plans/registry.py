@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("scalars", "claims", "fraud")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -18,9 +21,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"tallyspark.plans.{module}")
+
+
 def queries() -> dict:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return SQL
