@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyspark.llm.common import cut, read
 
@@ -61,7 +62,7 @@ def measure(text: str | None, window: int = 3) -> tuple[int, ...]:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
-@F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in _COUNTS]))
 def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for some in texts:
         yield pd.DataFrame([measure(x) for x in some], columns=list(_COUNTS), dtype="int64")

@@ -15,6 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tallyspark.llm.common import cut, read
 from tallyspark.llm.components import components
@@ -42,7 +43,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(first), bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for some in texts:
         yield pd.Series([fingerprint(x) for x in some], dtype="int64")
