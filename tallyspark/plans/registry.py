@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "claims", "fraud")
+MODULES = ("scalars", "claims", "fraud", "policy", "documents")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
