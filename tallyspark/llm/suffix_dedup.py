@@ -36,6 +36,8 @@ _POS = _U((1 << 24) - 1)
 _PIECE = 1 << 22
 #: A name with more contexts than this is compared window by window over the whole cluster, not in one task.
 GROUP = 20_000
+#: Stands for a null id, before all others.
+_NONE = -(2**63)
 
 
 def _names(data: np.ndarray, upto: int = 64) -> dict[int, np.ndarray]:
@@ -91,7 +93,7 @@ def _blobs(docs: list[tuple], length: int, most: int = 1 << 16):
         yield some
 
 
-def _anchor_rows(length: int, hot: frozenset):
+def _anchor_rows(length: int):
     """(doc, th, text) -> anchors (gone false) and the windows whose context stands earlier in the same batch (gone true)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,56 +114,58 @@ def _anchor_rows(length: int, hot: frozenset):
         order = np.argsort(name * _TIMES[3] + context, kind="stable")  # rows come in the order of documents and positions
         k, lo, hi, name, context = (x[order] for x in (k, lo, hi, name, context))
         again = np.concatenate([[False], (name[1:] == name[:-1]) & (context[1:] == context[:-1])])
-        doc, th = np.array([d[0] for d in docs], np.int64)[k], np.array([d[1] for d in docs], np.int64)[k]
+        doc, th = np.array([d[0] for d in docs], np.int64)[k], np.array([d[1] for d in docs], np.int32)[k]
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
         twin = again & (doc == doc[first]) & (th == th[first]) & (lo == lo[first])  # a repeated row, not an earlier place
         name = np.where(again, (doc + 1).astype(np.uint64) * _TIMES[4] + lo.astype(np.uint64), name).view(np.int64)
-        salt = np.zeros(len(k), np.int32)
-        if hot:
-            salt = np.where(np.isin(name, np.fromiter(hot, np.int64)) & ~again, 1 + (context >> _U(52)).astype(np.int32) % 1024, 0).astype(np.int32)
-        columns = [name, salt, context.view(np.int64), doc, th, lo.astype(np.int32), hi.astype(np.int32), again]
-        return pa.RecordBatch.from_arrays([pa.array(x[~twin]) for x in columns], names=["name", "salt", "context", "doc", "th", "lo", "hi", "gone"])
+        place = lo << 8 | again << 7 | (hi - lo)  # 8 bytes for three columns: most rows of the whole run are these
+        columns = [name, context.view(np.int64), doc, th, place]
+        return pa.RecordBatch.from_arrays([pa.array(x[~twin]) for x in columns], names=["name", "context", "doc", "th", "place"])
 
     return rows
 
 
-_ANCHOR = "name long, salt int, context long, doc long, th long, lo int, hi int, gone boolean"
+_ANCHOR = "name long, context long, doc long, th int, place long"
 
 
-def _rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads anchors sorted by name, context and position. Repeats of a context are gone; firsts of contexts go on if their name has another context."""
-    before, pending, alike = None, None, False  # last row's first; a first of which it is open whether its name comes again
-    for batch in batches:
-        yield batch.loc[batch["gone"], ["name", "doc", "th", "lo", "hi", "gone"]]
-        rows = batch[~batch["gone"]]
-        if not len(rows):
-            continue
-        if before is not None:
-            rows = pd.concat([before, rows], ignore_index=True)
-        name, context = rows["name"].to_numpy(), rows["context"].to_numpy()
-        new = np.concatenate([[True], (name[1:] != name[:-1]) | (context[1:] != context[:-1])])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        places = rows[["doc", "th", "lo"]].to_numpy()
-        again = ~new & (places != places[first]).any(axis=1)
-        gone = rows.loc[again, ["name", "doc", "th", "lo", "hi"]]
-        yield gone.assign(gone=True)
-        at = np.flatnonzero(new)
-        firsts = rows.iloc[at]
-        if before is not None:
-            firsts = firsts.iloc[1:]
-        before = rows.iloc[[first[-1]]]
-        if pending is not None:
-            firsts = pd.concat([pending, firsts], ignore_index=True)
-        if not len(firsts):
-            continue
-        names = firsts["name"].to_numpy()
-        same = names[1:] == names[:-1]
-        more = np.concatenate([[alike], same]) | np.concatenate([same, [False]]) | (firsts["salt"].to_numpy() > 0)
-        pending, alike = firsts.iloc[[-1]], bool(more[-1])
-        done = firsts.iloc[:-1][more[:-1]]
-        yield done[["name", "doc", "th", "lo", "hi", "gone"]]
-    if pending is not None and alike:
-        yield pending[["name", "doc", "th", "lo", "hi", "gone"]]
+def _rank(hot: frozenset):
+    """Reads anchors sorted by name, context and position. Repeats of a context are gone; firsts of contexts go on if their name has another context, or is hot."""
+    many = np.array(sorted(hot), np.int64)
+    columns = ["name", "doc", "th", "place", "gone"]
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, pending, alike = None, None, False  # last row's first; a first of which it is open whether its name comes again
+        for batch in batches:
+            batch = batch.assign(gone=(batch["place"].to_numpy() & 128) > 0)
+            yield batch.loc[batch["gone"], columns]
+            rows = batch[~batch["gone"]]
+            if not len(rows):
+                continue
+            if before is not None:
+                rows = pd.concat([before, rows], ignore_index=True)
+            name, context = rows["name"].to_numpy(), rows["context"].to_numpy()
+            new = np.concatenate([[True], (name[1:] != name[:-1]) | (context[1:] != context[:-1])])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+            places = rows[["doc", "th", "place"]].to_numpy()
+            again = ~new & (places != places[first]).any(axis=1)
+            yield rows.loc[again, columns].assign(gone=True)
+            firsts = rows.iloc[np.flatnonzero(new)]
+            if before is not None:
+                firsts = firsts.iloc[1:]
+            before = rows.iloc[[first[-1]]]
+            if pending is not None:
+                firsts = pd.concat([pending, firsts], ignore_index=True)
+            if not len(firsts):
+                continue
+            names = firsts["name"].to_numpy()
+            same = names[1:] == names[:-1]
+            more = np.concatenate([[alike], same]) | np.concatenate([same, [False]]) | np.isin(names, many)
+            pending, alike = firsts.iloc[[-1]], bool(more[-1])
+            yield firsts.iloc[:-1].loc[more[:-1], columns]
+        if pending is not None and alike:
+            yield pending[columns]
+
+    return rank
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +176,19 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[np.concatenate([[0], cuts])], reach[np.concatenate([cuts - 1, [len(lo) - 1]])]
 
 
+def _ends(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window start of packed places."""
+    places = np.asarray(places, np.int64)
+    return places >> 8, (places >> 8) + (places & 127)
+
+
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row of a document's intervals -> its merged gone intervals and, in order, those that go on."""
+    """A row of a document's places -> its merged gone intervals, and those that go on."""
     for batch in batches:
         out = []
-        for doc, th, lo, hi, gone, name in zip(*(batch[c] for c in ("doc", "th", "lo", "hi", "gone", "name")), strict=True):
-            lo, hi, gone, name = (np.asarray(x) for x in (lo, hi, gone, name))
-            gone = gone.astype(bool)
-            a, b = _merged(lo[gone], hi[gone]) if gone.any() else (lo[:0], hi[:0])
-            out.append((doc, th, a, b, name[~gone], lo[~gone], hi[~gone]))
+        for doc, th, gone, names, places in zip(*(batch[c] for c in ("doc", "th", "gone", "names", "places")), strict=True):
+            lo, hi = _ends(gone)
+            out.append((doc, th, *(_merged(lo, hi) if len(lo) else (lo, hi)), names, *_ends(places)))
         yield pd.DataFrame(out, columns=["doc", "th", "lo", "hi", "names", "los", "his"])
 
 
@@ -263,12 +271,39 @@ def _digest(length: int):
 
 def _hot_names(texts: DataFrame, length: int, share: float, fraction: float) -> frozenset:
     """Names of over `share` of a sample's anchors, 1/share of them at most. They only decide how rows are dealt out."""
-    counts = texts.sample(fraction, seed=4).mapInArrow(_anchor_rows(length, frozenset()), _ANCHOR).where("NOT gone").groupBy("name").count()
+    counts = texts.sample(fraction, seed=4).mapInArrow(_anchor_rows(length), _ANCHOR).where("place & 128 = 0").groupBy("name").count()
     top = counts.orderBy(F.desc("count")).limit(int(1 / share)).collect()
     least = max(100, share * sum(r["count"] for r in top))
     return frozenset(r["name"] for r in top if r["count"] > least)
 
 
+def _settled(texts: DataFrame, length: int, share: float, fraction: float) -> DataFrame:
+    """Round one: a row for each document with gone windows, or with places whose names come again under other contexts."""
+    hot = _hot_names(texts, length, share, fraction)
+    salt = [F.when(F.col("name").isin(*hot), F.pmod(F.col("context"), F.lit(1024)))] if hot else []
+    dealt = texts.mapInArrow(_anchor_rows(length), _ANCHOR).repartition("name", *salt).sortWithinPartitions("name", "context", "doc", "th", "place")
+    ranked = dealt.mapInPandas(_rank(hot), "name long, doc long, th int, place long, gone boolean")
+    gathered = [F.collect_list(F.when(F.col("gone"), F.col("place"))).alias("gone"), *[F.collect_list(F.when(~F.col("gone"), F.col(c))).alias(f"{c}s") for c in ("name", "place")]]
+    per_doc = ranked.groupBy("doc", "th").agg(*gathered)
+    return cut(per_doc.mapInPandas(_settle, "doc long, th int, lo array<int>, hi array<int>, names array<long>, los array<int>, his array<int>"))
+
+
+def _round_two(texts: DataFrame, settled: DataFrame, length: int, group: int) -> DataFrame:
+    """(doc, th, lo, hi) of windows that stand earlier under the same name but in another context."""
+    piece = lambda z: F.struct(z["names"].alias("name"), z["los"].alias("lo"), z["his"].alias("hi"), F.substring(F.col("text"), z["los"] + 1, z["his"] - z["los"] + length).alias("bytes"))
+    open_rows = settled.where(F.size("names") > 0).select("doc", "th", F.arrays_zip("names", "los", "his").alias("z"))
+    contexts = open_rows.join(texts, ["doc", "th"]).select("doc", "th", F.explode(F.transform("z", piece)).alias("p")).select("p.name", "doc", "th", "p.lo", "p.hi", "p.bytes")
+    large = settled.select(F.explode("names").alias("name")).groupBy("name").count().where(F.col("count") > group).select("name")
+    some = not large.isEmpty()
+    small = contexts.join(large, "name", "left_anti") if some else contexts
+    one_task = small.repartition("name").sortWithinPartitions("name", "doc", "th", "lo").mapInPandas(_compare(length), "doc long, th int, lo int, hi int")
+    if not some:
+        return one_task
+    windows = contexts.join(large, "name", "left_semi").mapInPandas(_spread(length), "one long, two long, doc long, th int, lo int")
+    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "th", "lo")).alias("first"))
+    return one_task.union(windows.join(first, ["one", "two"]).where(F.struct("doc", "th", "lo") > F.col("first")).select("doc", "th", "lo", F.col("lo").alias("hi")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, group: int = GROUP, hot_share: float = 1e-3, hot_sample: float = 0.01) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, for strings of `length` bytes (64 to 112).
 
@@ -277,27 +312,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 64 <= length <= 112:
         raise ValueError("length must be from 64 to 112 bytes")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    texts = rows.select("doc", "th", "text")
-    hot = _hot_names(texts, length, hot_share, hot_sample)
-    anchors = texts.mapInArrow(_anchor_rows(length, hot), _ANCHOR)
-    ranked = anchors.repartition("name", "salt").sortWithinPartitions("name", "context", "doc", "th", "lo").mapInPandas(_rank, "name long, doc long, th long, lo int, hi int, gone boolean")
-    per_doc = ranked.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi", "gone", "name")).alias("s")).select("doc", "th", *[F.col("s")[c].alias(c) for c in ("lo", "hi", "gone", "name")])
-    settled = cut(per_doc.mapInPandas(_settle, "doc long, th long, lo array<int>, hi array<int>, names array<long>, los array<int>, his array<int>"))
-
-    open_rows = settled.where(F.size("names") > 0).select("doc", "th", F.arrays_zip("names", "los", "his").alias("z"))
-    piece = lambda z: F.struct(z["names"].alias("name"), z["los"].alias("lo"), z["his"].alias("hi"), F.substring(F.col("text"), z["los"] + 1, z["his"] - z["los"] + length).alias("bytes"))
-    contexts = open_rows.join(texts, ["doc", "th"]).select("doc", "th", F.explode(F.transform("z", piece)).alias("p")).select("p.name", "doc", "th", "p.lo", "p.hi", "p.bytes")
-    large = settled.select(F.explode("names").alias("name")).groupBy("name").count().where(F.col("count") > group).select("name")
-    one_task = contexts.join(large, "name", "left_anti").repartition("name").sortWithinPartitions("name", "doc", "th", "lo").mapInPandas(_compare(length), "doc long, th long, lo int, hi int")
-    windows = contexts.join(large, "name", "left_semi").mapInPandas(_spread(length), "one long, two long, doc long, th long, lo int")
-    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "th", "lo")).alias("first"))
-    many_tasks = windows.join(first, ["one", "two"]).where(F.struct("doc", "th", "lo") > F.col("first")).select("doc", "th", "lo", F.col("lo").alias("hi"))
-    found = one_task.union(many_tasks).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("doc", "th", F.col("s")["lo"].alias("lo2"), F.col("s")["hi"].alias("hi2"))
-
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc")
+    unique = docs.select(doc).groupBy("doc").count().where("count > 1").isEmpty()
+    th = F.lit(0) if unique else F.hash(F.col(text_col))
+    texts = docs.select(doc, th.alias("th"), F.col(text_col).cast("binary").alias("text"))
+    settled = _settled(texts, length, hot_share, hot_sample)
+    found = _round_two(texts, settled, length, group).groupBy("doc", "th").agg(F.collect_list("lo").alias("lo2"), F.collect_list("hi").alias("hi2"))
     gone = settled.select("doc", "th", F.col("lo").alias("lo1"), F.col("hi").alias("hi1")).join(found, ["doc", "th"], "left")
-    done = rows.join(gone, ["doc", "th"], "left").select("id", "text", "lo1", "hi1", "lo2", "hi2")
+    done = texts.join(gone, ["doc", "th"], "left").select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("id"), "text", "lo1", "hi1", "lo2", "hi2")
     return done.mapInPandas(_digest(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
