@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "claims", "fraud", "policy", "documents")
+MODULES = ("scalars", "claims", "fraud", "policy", "documents", "evaluation")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
