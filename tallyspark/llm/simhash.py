@@ -87,7 +87,7 @@ def _bucket_links(radius: int):
             yield from solve(held, np.array([len(held)]))
 
     def solve(data: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
-        prints, ids = data["print"].to_numpy(), data["rep"].to_numpy()
+        prints, ids = data["print"].to_numpy(np.int64).view(np.uint64), data["rep"].to_numpy()  # bits of negative numbers are not counted as they are stored
         starts = np.concatenate([[0], edge[edge < len(data)]])
         sizes = np.diff(np.concatenate([starts, [len(data)]]))
         group = np.repeat(np.arange(len(starts)), sizes)
