@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,15 +74,29 @@ def classify(model, rows: DataFrame, features: str) -> DataFrame:
     return scored.withColumn("confidence", F.array_max(vector_to_array("probability"))).withColumn("predicted", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, bits: int = 4, tables: int = 8) -> DataFrame:
-    """(train_id, held_id, cosine) over the limit, met in tables of sign hashes. Columns: id, v (array of double)."""
-    def keyed(rows: DataFrame, name: str) -> DataFrame:
-        unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))
-        rows = rows.select(F.col("id").alias(f"{name}_id"), unit.alias(f"{name}_v"))
-        sign = lambda t, b: F.when(F.get(f"{name}_v", F.lit(t * bits + b)) > 0, 1 << b).otherwise(0)
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), sum((sign(t, b) for b in range(1, bits)), sign(t, 0)).alias("k")) for t in range(tables)])
-        return rows.withColumn("key", F.explode(keys))
+def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 10_000) -> DataFrame:
+    """(train_id, held_id, cosine) over the limit, exactly. Columns: id, v (array of double).
+
+    The held rows are the query set: they are worked off in blocks of at most about `block` vectors, so that a task holds
+    one block and its batch of training rows; training rows are never shuffled.
+    """
+    blocks = max(1, -(-held.count() // block))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
+
+    def against(rows) -> DataFrame:
+        ids, unit = np.array([r["id"] for r in rows]), _unit(np.array([r["v"] for r in rows]))
+
+        def compare(batches):
+            for batch in batches:
+                if len(batch) and len(ids):
+                    cosine = _unit(np.stack(batch["v"])) @ unit.T
+                    t, h = np.nonzero(cosine > limit)
+                    yield pd.DataFrame({"train_id": batch["id"].to_numpy()[t], "held_id": ids[h], "cosine": cosine[t, h]})
+
+        return train.select("id", "v").mapInPandas(compare, "train_id long, held_id long, cosine double")
+
+    return reduce(DataFrame.unionAll, [against(held.where(part == k).select("id", "v").collect()) for k in range(blocks)])
+
 
-    pairs = keyed(train, "train").join(keyed(held, "held"), "key")
-    dot = F.aggregate(F.zip_with("train_v", "held_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return pairs.withColumn("cosine", dot).where(F.col("cosine") > limit).groupBy("train_id", "held_id").agg(F.max("cosine").alias("cosine"))
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.linalg.norm(m, axis=1, keepdims=True)

@@ -206,10 +206,10 @@ def threshold_sweep(spark, d):
     return E.threshold_sweep(rows, [k / 10 for k in range(1, 10)]).withColumns({c: F.round(c, 9) for c in ("coverage", "accuracy")})
 
 
-@query("J13_leaks")
+@query("J13_leaks", "SELECT a.vec_id AS train_id, b.vec_id AS held_id FROM embeddings a JOIN embeddings b ON a.vec_id % 5 > 0 AND b.vec_id % 5 = 0 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.25")
 def leaks(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return C.cosine_leaks(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"))
+    return C.cosine_leaks(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), limit=0.25).select("train_id", "held_id")
 
 
 @query("C8_carried_category", "SELECT doc_id, CASE WHEN quality = 0 THEN 'employee' ELSE 'rules' END AS method, CASE WHEN quality = 0 THEN NULL ELSE 0.65 END::DOUBLE AS confidence FROM labels")
