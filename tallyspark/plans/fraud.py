@@ -79,13 +79,14 @@ def round_number(spark, d):
     return R.round_number(docs(spark, d))
 
 
-_SCOPE = ("PROMO BURNISHED COPPER", "ECONOMY ANODIZED STEEL", "SMALL PLATED TIN")
-
 
 @query("R7_weekend_business", f"""WITH {DOCS} SELECT claim_id, 'weekend_business' AS rule_id, CASE WHEN count(*) FILTER (category LIKE 'PROMO%' AND isodow(bill_date) >= 6) > 0 THEN 'fired' ELSE 'clear' END AS status, count(*) FILTER (category LIKE 'PROMO%' AND isodow(bill_date) >= 6) AS hits FROM docs GROUP BY 1""")
 def weekend_business(spark, d):
-    scoped = docs(spark, d).withColumn("category", F.when(F.col("category").startswith("PROMO"), "team_events").otherwise(F.col("category")))
-    return R.weekend_business(scoped)
+    return R.weekend_business(_scoped(docs(spark, d)))
+
+
+def _scoped(rows):
+    return rows.withColumn("category", F.when(F.col("category").startswith("PROMO"), "team_events").otherwise(F.col("category")))
 
 
 _DECISIONS = "SELECT claim_id, employee_id, vendor AS clause_id, CASE WHEN amount > 3500 THEN 'violation' WHEN currency IS NULL THEN 'insufficient_information' ELSE 'compliant' END AS verdict FROM docs"
@@ -95,11 +96,10 @@ _DECISIONS = "SELECT claim_id, employee_id, vendor AS clause_id, CASE WHEN amoun
   h AS (SELECT claim_id, count(*) AS hits FROM (SELECT DISTINCT claim_id, employee_id, clause_id FROM v) JOIN hist USING (employee_id, clause_id) GROUP BY 1), k AS (SELECT claim_id, count(*) FILTER (verdict <> 'insufficient_information') AS known FROM dec GROUP BY 1)
   SELECT claim_id, 'policy_repeat_violation' AS rule_id, CASE WHEN coalesce(hits, 0) > 0 THEN 'fired' WHEN known = 0 THEN 'not_applicable' ELSE 'clear' END AS status, coalesce(hits, 0) AS hits FROM k LEFT JOIN h USING (claim_id)""")
 def repeat_violation(spark, d):
-    return R.repeat_violation(*_decided(spark, d))
+    return R.repeat_violation(*_decided(docs(spark, d)))
 
 
-def _decided(spark, d):
-    rows = docs(spark, d)
+def _decided(rows):
     verdict = F.when(F.col("amount") > 3500, "violation").when(F.col("currency").isNull(), "insufficient_information").otherwise("compliant")
     return rows, rows.select("claim_id", "employee_id", F.col("vendor").alias("clause_id"), verdict.alias("verdict"))
 
@@ -113,8 +113,8 @@ def _corrections(spark, d):
     return last.join(first, "document_id").select("claim_id", "document_id", F.lit("amount").alias("field_path"), moved.alias("direction"), F.when(F.col("price") > 60000, "contradicts the bill").alias("reason"))
 
 
-def _with_ai(spark, d):
-    return docs(spark, d).withColumn("has_ai", F.col("currency").isNotNull())
+def _with_ai(rows):
+    return rows.withColumn("has_ai", F.col("currency").isNotNull())
 
 
 _CORR = "c AS (SELECT b.claim_id, CASE WHEN b.amount > a.amount THEN 'increase' END AS direction, b.price > 60000 AS reasoned FROM docs b JOIN versions a ON a.document_id = b.document_id AND a.version = 1 WHERE b.version > 1)"
@@ -127,16 +127,23 @@ def _correction_sql(rule: str, hit: str) -> str:
 
 @query("R9_correction_upward", _correction_sql("correction_upward", "direction = 'increase'"))
 def correction_upward(spark, d):
-    return R.corrections_rule(_with_ai(spark, d), _corrections(spark, d), "correction_upward")
+    return R.corrections_rule(_with_ai(docs(spark, d)), _corrections(spark, d), "correction_upward")
 
 
 @query("R10_correction_guardrail", _correction_sql("correction_guardrail", "reasoned"))
 def correction_guardrail(spark, d):
-    return R.corrections_rule(_with_ai(spark, d), _corrections(spark, d), "correction_guardrail")
+    return R.corrections_rule(_with_ai(docs(spark, d)), _corrections(spark, d), "correction_guardrail")
 
 
 def _results(spark, d):
-    return [f(spark, d) for f in (duplicate_same_employee, duplicate_cross_employee, threshold_gaming, velocity, round_number, weekend_business, repeat_violation, correction_upward, correction_guardrail)]
+    """The nine rules over one set of current documents, which is computed once."""
+    rows = docs(spark, d).persist()
+    _, decisions = _decided(rows)
+    with_ai, edits = _with_ai(rows), _corrections(spark, d)
+    return [
+        R.duplicates(rows, same_employee=True), R.duplicates(rows, same_employee=False), R.threshold_gaming(rows, thresholds(spark)), R.velocity(rows, documents=2, totals={"INR": 6000}), R.round_number(rows), R.weekend_business(_scoped(rows)),
+        R.repeat_violation(rows, decisions), R.corrections_rule(with_ai, edits, "correction_upward"), R.corrections_rule(with_ai, edits, "correction_guardrail"),
+    ]
 
 
 def _all_sql() -> str:
