@@ -24,8 +24,8 @@ def flatten(rows: DataFrame, key: str, json: str, depth: int = 3, cut: int = 160
         short = F.when(F.length(text) > cut, F.concat(F.left(text, F.lit(cut)), F.lit("..."))).otherwise(text)
         leaves.append(level.where((F.col("path") != "") & (F.lit(True) if k == depth else ~nested)).select(key, "path", short.alias("value")))
         if k < depth:
-            fields = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.variant_get("v", "$", "map<string,variant>")).alias("name", "v"))
-            items = level.where(kind.startswith("ARRAY")).select(key, "path", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("pos", "v"))
+            fields = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v"))
+            items = level.where(kind.startswith("ARRAY")).select(key, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "v"))
             dotted = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name"))
             level = fields.select(key, dotted.alias("path"), "v").unionByName(items.select(key, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), "v"))
     return reduce(DataFrame.unionByName, leaves)

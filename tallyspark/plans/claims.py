@@ -277,3 +277,56 @@ def field_diff(spark, d):
     side = lambda n, name: long.where(F.col("version") == n).select("document_id", "field_path", F.col("v").alias(name), F.lit(True).alias(f"has_{name}"))
     both = side(1, "ai_value").join(side(2, "employee_value"), ["document_id", "field_path"], "full_outer").where("has_ai_value AND has_employee_value")
     return both.where(~S.values_equal(F.col("ai_value"), F.col("employee_value"))).select("document_id", "field_path", "ai_value", "employee_value")
+
+
+@query("F7_missing_category", f"WITH {DOCS} SELECT document_id FROM docs WHERE currency IS NULL AND category NOT LIKE 'STANDARD%'")
+def missing_category(spark, d):
+    return docs(spark, d).where("currency IS NULL AND NOT startswith(category, 'STANDARD')").select("document_id")
+
+
+@query("C7_backfilled", f"WITH {DOCS} SELECT document_id, coalesce(currency, CASE WHEN amount > 2500 THEN 'accommodation' ELSE 'other' END) AS category FROM docs")
+def backfilled(spark, d):
+    """Missing categories take the rules' one; the others stay."""
+    rules = F.when(F.col("amount") > 2500, "accommodation").otherwise("other")
+    return docs(spark, d).select("document_id", F.coalesce("currency", rules).alias("category"))
+
+
+@query("C9_silver_labels", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'manual' END, nullif(regexp_extract(d.source, '(\\d+)$', 1), '')) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+def silver_labels(spark, d):
+    manual = table(spark, d, "labels").where("quality = 0").select("doc_id", F.lit("manual").alias("m"))
+    return table(spark, d, "documents").join(manual, "doc_id", "left").select("doc_id", F.coalesce("m", F.nullif(F.regexp_extract("source", r"(\d+)$", 1), F.lit(""))).alias("label"))
+
+
+@query("C10_method_table", "SELECT doc_id, 'rules' AS method, lang AS category FROM documents UNION ALL SELECT doc_id, 'silver', CASE WHEN quality = 1 THEN 'en' ELSE 'other' END FROM labels")
+def method_table(spark, d):
+    """One prediction table, keyed by id and method."""
+    rules = table(spark, d, "documents").select("doc_id", F.lit("rules").alias("method"), F.col("lang").alias("category"))
+    return rules.unionByName(table(spark, d, "labels").select("doc_id", F.lit("silver").alias("method"), F.when(F.col("quality") == 1, "en").otherwise("other").alias("category")))
+
+
+@query("D5_category_correction", f"WITH {VERSIONS}, a AS (SELECT document_id, arg_min(category, version) AS first, arg_max(category, version) AS last FROM versions GROUP BY 1) SELECT document_id, CASE WHEN first <> last THEN last END AS correction FROM a")
+def category_correction(spark, d):
+    per = versions(spark, d).groupBy("document_id").agg(F.min_by("category", "version").alias("a"), F.max_by("category", "version").alias("b"))
+    return per.select("document_id", F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("b")).alias("correction"))
+
+
+@query("D7_reasons", f"WITH {VERSIONS}, r AS (SELECT document_id, max(vendor) AS reason FROM versions WHERE version > 1 GROUP BY 1) SELECT document_id, version, reason FROM versions LEFT JOIN r USING (document_id)")
+def reasons(spark, d):
+    """One reason for all rows of a document."""
+    rows = versions(spark, d)
+    given = rows.where("version > 1").groupBy("document_id").agg(F.max("vendor").alias("reason"))
+    return rows.select("document_id", "version").join(given, "document_id", "left")
+
+
+@query("O4_corrections_in_order", f"WITH {VERSIONS} SELECT document_id, version, row_number() OVER (PARTITION BY claim_id ORDER BY bill_date, document_id, version) AS place FROM versions")
+def corrections_in_order(spark, d):
+    turn = Window.partitionBy("claim_id").orderBy("bill_date", "document_id", "version")
+    return versions(spark, d).select("document_id", "version", F.row_number().over(turn).cast("long").alias("place"))
+
+
+@query("O6_claim_details", f"WITH {DOCS} SELECT claim_id, count(*) AS n_documents, string_agg(document_id::VARCHAR, ',' ORDER BY document_id) AS documents FROM docs GROUP BY 1")
+def claim_details(spark, d):
+    """A claim with its documents in one row; a claim's documents are few by nature."""
+    listed = F.sort_array(F.collect_list(F.struct("document_id", "vendor", "amount", "currency", "doc_status")))
+    per = docs(spark, d).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n_documents"), listed.alias("d"))
+    return per.select("claim_id", "n_documents", F.array_join(F.transform("d", lambda x: x["document_id"].cast("string")), ",").alias("documents"))

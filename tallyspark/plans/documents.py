@@ -122,3 +122,51 @@ def better_attempt(spark, d):
     tries = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), attempt).agg(F.count_if(F.col("l_discount") > 0.05).alias("passed"))
     both = tries.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("document_id")
     return Q.better_attempt(tries.join(both, "document_id"))
+
+
+@query("Q10_item_amounts", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(20,4)) AS first, l_partkey % 3 = 0 AS noted FROM lineitem")
+def item_amounts(spark, d):
+    """Amounts inside items parsed, with a note where one is not readable."""
+    from tallyspark.functions import scalars as S
+
+    items = F.array(F.struct(F.lit("a").alias("name"), F.concat(F.lit("Rs. "), F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("total")), F.struct(F.lit("b").alias("name"), F.when(F.col("l_partkey") % 3 == 0, "RM 5").otherwise("5").alias("total")))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", items.alias("raw"))
+    rows = rows.withColumn("items", F.transform("raw", lambda i: i.withField("total", S.parse_amount(i["total"]))))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("items")[0]["total"].alias("first"), F.exists("raw", lambda i: S.amount_unparseable(i["total"])).alias("noted"))
+
+
+@query("Q11_typed_claims", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_extendedprice END::DECIMAL(20,4) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'USD' ELSE 'INR' END AS currency, l_partkey % 5 = 0 AS fallback FROM lineitem")
+def typed_claims(spark, d):
+    """Every amount parsed and the currency resolved in one projection; what can't be read falls back."""
+    from tallyspark.functions import scalars as S
+
+    printed = F.when(F.col("l_partkey") % 5 == 0, "five").otherwise(F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
+    text = F.when(F.col("l_partkey") % 2 == 0, "total $").otherwise("total")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.parse_amount(printed).alias("amount"), S.resolve_currency(F.lit(None).cast("string"), text).alias("currency"), S.amount_unparseable(printed).alias("fallback"))
+
+
+@query("Q15_dropped_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 > 0 THEN 1 ELSE 0 END::BIGINT AS n_dropped FROM lineitem")
+def dropped_numbers(spark, d):
+    """Numbers on a labelled line that nothing captured; dates are no numbers."""
+    from tallyspark.functions import scalars as S
+
+    text = F.concat(F.lit("Form\nTotal  KMs on 12/03/2026: "), F.col("l_partkey").cast("string"), F.lit("\nend"))
+    line = F.regexp_replace(S.line_with(text, F.lit("total kms")), r"\b\d{1,4}[-/]\d{1,2}[-/]\d{1,4}\b", "")
+    captured = F.when(F.col("l_partkey") % 3 == 0, F.array(F.col("l_partkey").cast("decimal(30,4)"))).otherwise(F.array().cast("array<decimal(30,4)>"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.size(F.array_except(S.numbers_in(line), captured)).cast("long").alias("n_dropped"))
+
+
+@query("P48_pruned_pages", "SELECT conv_id, count(*) AS n_pages FROM conversations GROUP BY 1")
+def pruned_pages(spark, d):
+    """Page records without their layout fields."""
+    page = F.struct("turn", F.col("text").alias("markdown"), F.lit("[0,0]").alias("layout"), F.lit("img").alias("image"))
+    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(page).alias("pages"))
+    slim = pages.withColumn("pages", F.transform("pages", lambda p: p.dropFields("layout", "image")))
+    return slim.select("conv_id", F.size("pages").cast("long").alias("n_pages"))
+
+
+@query("D10_dry_run", f"WITH {_SQL} SELECT * FROM tele")
+def dry_run(spark, d):
+    """The checks that an edit set would give, with nothing stored."""
+    rows = claims(spark, d).where("document_type = 'telecom_bill'")
+    return Q.check_rows(rows).where(Q.arithmetic(F.col("name")))

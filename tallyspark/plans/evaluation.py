@@ -216,3 +216,45 @@ def leaks(spark, d):
 def carried_category(spark, d):
     edited = F.col("quality") == 0
     return table(spark, d, "labels").select("doc_id", F.when(edited, "employee").otherwise("rules").alias("method"), F.when(~edited, F.lit(0.65)).alias("confidence"))
+
+
+query("J12_item_matches")(match_items)
+
+
+@query("E14_menu_items", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 2 WHEN p_partkey % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS n_items FROM part")
+def menu_items(spark, d):
+    """A menu is an object or an array; an item's sub-items count beside it."""
+    raw = F.element_at(F.array(F.lit('{"nm":"a"}'), F.lit('[{"nm":"a"},{"nm":"b"}]'), F.lit('{"nm":"a","sub":[{"nm":"c"}]}')), (F.col("p_partkey") % 3 + 1).cast("int"))
+    v = F.parse_json(raw)
+    items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    subs = F.aggregate(items, F.lit(0), lambda a, x: a + F.coalesce(F.size(F.try_variant_get(x, "$.sub", "array<variant>")), F.lit(0)))
+    return table(spark, d, "part").select("p_partkey", (F.size(items) + F.greatest(subs, F.lit(0))).cast("long").alias("n_items"))
+
+
+@query("E15_amount_like", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_quantity ELSE l_extendedprice END::DECIMAL(20,4) AS total FROM lineitem")
+def amount_like(spark, d):
+    """The named field, else the first further field whose key holds the name."""
+    named = F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity").cast("decimal(20,4)"))
+    entries = F.array(F.struct(F.lit("Grand Total").alias("key"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("value")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(named, S.first_amount(entries, "total")).alias("total"))
+
+
+@query("E16_numbered_items", "SELECT l_orderkey AS doc, l_linenumber::INT AS n, max(l_partkey)::VARCHAR AS name, max(l_suppkey)::VARCHAR AS total FROM lineitem GROUP BY 1, 2")
+def numbered_items(spark, d):
+    """item_N_field keys put together by N."""
+    per = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("a"), F.max("l_suppkey").alias("b"))
+    key = lambda f: F.concat(F.lit("item_"), F.col("l_linenumber").cast("string"), F.lit(f"_{f}"))
+    fields = per.select(F.col("l_orderkey").alias("doc"), F.explode(F.create_map(key("name"), F.col("a").cast("string"), key("total"), F.col("b").cast("string"))).alias("key", "value"))
+    parts = fields.select("doc", F.regexp_extract("key", r"^item_(\d+)_", 1).cast("int").alias("n"), F.regexp_extract("key", r"^item_\d+_(.*)$", 1).alias("field"), "value")
+    return parts.groupBy("doc", "n").pivot("field", ["name", "total"]).agg(F.first("value"))
+
+
+@query("E18_pair_scores")
+def pair_scores(spark, d):
+    """Expected pairs that some found pair of the document matches, in key and value."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), "c_name", "c_mktsegment")
+    expected = rows.select("doc", F.explode(F.create_map(F.lit("Name"), F.col("c_name"), F.lit("Segment"), F.col("c_mktsegment"))).alias("k", "v"))
+    found = rows.select("doc", F.explode(F.create_map(F.lit("Name:"), F.col("c_name"), F.lit("Segm."), F.lower("c_mktsegment"))).alias("fk", "fv"))
+    both = expected.join(found, "doc")
+    right = (E.similarity(S.match_text(F.col("k")), S.match_text(F.col("fk"))) >= 0.6) & (E.similarity(S.match_text(F.col("v")), S.match_text(F.col("fv"))) >= 0.75)
+    return both.groupBy("doc", "k").agg(F.bool_or(right).alias("correct"))

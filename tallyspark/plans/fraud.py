@@ -181,3 +181,27 @@ def rule_coverage(spark, d):
 
     rows = reduce(DataFrame.unionByName, _results(spark, d))
     return rows.groupBy("rule_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fired", "clear", "not_applicable")])
+
+
+@query("R12_assessments", f"SELECT claim_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'fired'), '') AS fired, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'not_applicable'), '') AS not_applicable, 'v1' AS ruleset FROM ({_all_sql()}) GROUP BY 1")
+def assessments(spark, d):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    rows = reduce(DataFrame.unionByName, _results(spark, d))
+    named = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("rule_id")))), ",").alias(s)
+    return rows.groupBy("claim_id").agg(named("fired"), named("not_applicable")).withColumn("ruleset", F.lit("v1"))
+
+
+@query("R13_missing_fields", f"WITH {DOCS} SELECT document_id, concat_ws(',', CASE WHEN vendor IS NULL THEN 'vendor' END, CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN currency IS NULL THEN 'currency' END) AS missing FROM docs")
+def missing_fields(spark, d):
+    lacking = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("vendor", "amount", "currency")])
+    return docs(spark, d).select("document_id", lacking.alias("missing"))
+
+
+@query("R14_evidence")
+def evidence(spark, d):
+    """References to both documents of each pair, as JSON."""
+    pairs = R.duplicate_pairs(docs(spark, d), same_employee=False)
+    return pairs.select("document_id", "other_id", F.to_json(F.struct("document_id", "other_id", "days_apart")).alias("evidence"))

@@ -169,3 +169,96 @@ def overlapping_limits(spark, d):
     parts = table(spark, d, "part").groupBy("p_type").agg(F.collect_set(F.struct(F.floor("p_retailprice").cast("decimal(12,2)").alias("amount"), F.lit("INR").alias("currency"), F.lit(None).cast("map<string,array<string>>").alias("when"))).alias("limits"))
     made = parts.select(F.col("p_type").alias("clause_id"), F.lit("per_item").alias("limit_unit"), F.array(F.substring_index("p_type", " ", 1)).alias("applies_to"), F.slice(F.sort_array(F.transform("limits", lambda x: x["amount"])), 1, 3).alias("a"))
     return L.overlapping_limits(made.withColumn("limits", F.transform("a", lambda x: F.struct(x.alias("amount"), F.lit("INR").alias("currency"), F.create_map().cast("map<string,array<string>>").alias("when")))))
+
+
+query("J14_applicable_limits", f"WITH {_UNITS} SELECT unit_id, lim_amount AS amount, open AS unresolved FROM cand")(candidate_limits)
+query("J15_limit_overlaps")(overlapping_limits)
+
+
+@query("U2_thresholds", """WITH t(clause_id, currency, amount, kind, category) AS (VALUES ('L-NIGHT', 'INR', 4000::DECIMAL(12,2), 'approval', 'PROMO BURNISHED COPPER'), ('L-NIGHT', 'USD', 4500, 'approval', 'PROMO BURNISHED COPPER'), ('L-PERSON', 'INR', 0, 'approval', 'ECONOMY ANODIZED STEEL'), ('L-NIGHT', NULL, 1000, 'documentation', 'PROMO BURNISHED COPPER'))
+  SELECT t.*, n FROM t LEFT JOIN (SELECT p_type, count(*) AS n FROM part GROUP BY 1) ON p_type = category""")
+def all_thresholds(spark, d):
+    """Approval and documentation thresholds of the clauses, one table."""
+    rows = clauses(spark)
+    approval = rows.select("clause_id", "applies_to", F.explode("approval").alias("currency", "amount")).select("clause_id", "currency", "amount", F.lit("approval").alias("kind"), F.explode("applies_to").alias("category"))
+    receipt = rows.select("clause_id", "applies_to", F.explode("documents").alias("x")).where("x.min_amount IS NOT NULL").select("clause_id", F.lit(None).cast("string").alias("currency"), F.col("x.min_amount").alias("amount"), F.lit("documentation").alias("kind"), F.explode("applies_to").alias("category"))
+    from tallyspark.plans.proxy import table
+
+    parts = table(spark, d, "part").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return approval.unionByName(receipt).join(parts, "category", "left")
+
+
+@query("L1_segments", """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), m AS (SELECT *, CASE WHEN length(line) < 40 THEN pos END AS start FROM l),
+  s AS (SELECT *, coalesce(last_value(start IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS segment FROM m) SELECT doc_id, segment, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest, count(*) AS n_lines FROM s GROUP BY 1, 2""")
+def segments(spark, d):
+    """Short lines start segments; a document's first lines may stand before any."""
+    from tallyspark.operators.versions import carry_forward
+    from tallyspark.plans.proxy import table
+
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    marked = carry_forward(lines.withColumn("start", F.when(F.length("line") < 40, F.col("pos"))), "doc_id", "pos", "start")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return marked.groupBy("doc_id", F.coalesce("section", F.lit(-1)).cast("long").alias("segment")).agg(F.md5(text).alias("digest"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("L11_days_since_expense", f"WITH {DOCS} SELECT document_id, CASE WHEN bill_date - created_on >= 0 THEN (bill_date - created_on)::INT END AS days FROM docs")
+def days_since(spark, d):
+    days = F.datediff("bill_date", "created_on")
+    return docs(spark, d).select("document_id", F.when(days >= 0, days).alias("days"))
+
+
+@query("L13_findings", "SELECT doc_id, f AS finding FROM (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '(?i)version') THEN 'UNCAPTURED_NUMBERS' END, CASE WHEN n_chars < 100 THEN 'UNSTRUCTURED' END, CASE WHEN text LIKE '% | %' THEN 'TABLE_NOT_STRUCTURED' END], lambda x: x IS NOT NULL)) AS f FROM documents)")
+def findings(spark, d):
+    """Findings on rule texts: numbers that no structure holds, texts too short to structure, tables left as text."""
+    from tallyspark.plans.proxy import table
+
+    text = F.col("text")
+    found = F.array_compact(F.array(F.when(text.rlike("[0-9]") & ~text.rlike("(?i)version"), "UNCAPTURED_NUMBERS"), F.when(F.col("n_chars") < 100, "UNSTRUCTURED"), F.when(text.contains(" | "), "TABLE_NOT_STRUCTURED")))
+    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("finding"))
+
+
+@query("L14_schema_problems", "SELECT event_id, len(list_filter([event_type NOT IN ('click', 'view', 'purchase'), value < 30, user_id % 2 = 0], lambda x: x))::BIGINT AS n_problems FROM events")
+def schema_problems(spark, d):
+    """Every failed predicate of a row is listed, not only the first."""
+    from tallyspark.plans.proxy import table
+
+    problems = F.array_compact(F.array(F.when(~F.col("event_type").isin("click", "view", "purchase"), "type"), F.when(F.col("value") < 30, "value"), F.when(F.col("user_id") % 2 == 0, "user")))
+    return table(spark, d, "events").select("event_id", F.size(problems).cast("long").alias("n_problems"))
+
+
+@query("L15_overrides", f"WITH {DOCS} SELECT document_id, CASE WHEN doc_status = 'confirmed' THEN 'reviewed' ELSE category END AS category, CASE WHEN doc_status = 'confirmed' THEN category END AS before FROM docs")
+def clause_overrides(spark, d):
+    rows = docs(spark, d)
+    fixes = rows.where("doc_status = 'confirmed'").select("document_id", F.lit("reviewed").alias("fix"))
+    return rows.join(fixes, "document_id", "left").select("document_id", F.coalesce("fix", "category").alias("category"), F.when(F.col("fix").isNotNull(), F.col("category")).alias("before"))
+
+
+@query("L16_publish", "SELECT n_name AS label, false AS is_active FROM nation UNION ALL SELECT 'NEW', true")
+def publish(spark, d):
+    from tallyspark.plans.proxy import table
+
+    return L.publish(table(spark, d, "nation").select(F.col("n_name").alias("label"), F.lit(True).alias("is_active")), "NEW")
+
+
+@query("L18_table_rows", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: len(string_split(x, ' | ')) > 2))::BIGINT AS n_rows, coalesce(list_max(list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' | ')))), 0)::BIGINT AS widest FROM documents")
+def table_rows(spark, d):
+    """Pipe-separated rows of texts and their widest row."""
+    from tallyspark.plans.proxy import table
+
+    cells = F.transform(F.split("text", "\n"), lambda x: F.size(F.split(x, r" \| ")))
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(cells, lambda n: n > 2)).cast("long").alias("n_rows"), F.array_max(cells).cast("long").alias("widest"))
+
+
+@query("L19_explanations", f"WITH {_VERDICTS} SELECT unit_id, CASE comparison WHEN 'over_limit' THEN 'over the limit' WHEN 'within_limit' THEN 'within the limit' WHEN 'at_limit' THEN 'at the limit' WHEN 'no_limit' THEN 'no limit applies' ELSE 'cannot be compared: ' || missing END AS explanation FROM ver")
+def explanations(spark, d):
+    names = F.create_map(*[F.lit(x) for p in {"over_limit": "over the limit", "within_limit": "within the limit", "at_limit": "at the limit", "no_limit": "no limit applies"}.items() for x in p])
+    lacking = F.concat(F.lit("cannot be compared: "), F.array_join("missing", ","))
+    return L.verdicts(units(spark, d), clauses(spark)).select("unit_id", F.coalesce(F.try_element_at(names, F.col("comparison")), lacking).alias("explanation"))
+
+
+@query("P49_clause_round_trip", f"WITH {_UNITS} SELECT clause_id, CASE WHEN count(*) = 1 THEN max(amount) END AS only_limit FROM lim GROUP BY 1")
+def clause_round_trip(spark, d):
+    """To JSON and back; the only limit of a clause is its scalar limit."""
+    kind = "clause_id string, limits array<struct<amount:decimal(12,2),currency:string>>"
+    back = clauses(spark).select(F.from_json(F.to_json(F.struct("clause_id", "limits")), kind).alias("c")).where("size(c.limits) > 0")
+    return back.select("c.clause_id", F.when(F.size("c.limits") == 1, F.col("c.limits")[0]["amount"]).alias("only_limit"))

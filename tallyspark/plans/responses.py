@@ -111,3 +111,27 @@ def narrative_requests(spark, d):
 
     fired = reduce(DataFrame.unionByName, _results(spark, d)).where("status = 'fired'")
     return fired.groupBy("claim_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rule_id", "hits")))).alias("request"))
+
+
+@query("V2_units_present", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'no_units' ELSE 'not_json' END AS failure FROM events")
+def units_present(spark, d):
+    raw = F.element_at(F.array(F.lit('{"units":[{"refs":[0]}]}'), F.lit('{"units":[]}'), F.lit("nope")), (F.col("event_id") % 3 + 1).cast("int"))
+    units = F.try_variant_get(F.try_parse_json(raw), "$.units", "array<variant>")
+    return table(spark, d, "events").select("event_id", F.when(F.try_parse_json(raw).isNull(), "not_json").when(units.isNull() | (F.size(units) == 0), "no_units").alias("failure"))
+
+
+@query("V6_quantity_paths", "SELECT event_id, event_id % 2 = 0 AS path_exists FROM events")
+def quantity_paths(spark, d):
+    """Paths that an answer names and the document has."""
+    from tallyspark.operators.paths import flatten
+
+    rows = table(spark, d, "events").select("event_id", F.lit('{"stay":{"nights":2}}').alias("body"), F.when(F.col("event_id") % 2 == 0, "stay.nights").otherwise("stay.days").alias("path"))
+    there = flatten(rows, "event_id", "body").select("event_id", "path", F.lit(True).alias("e"))
+    return rows.select("event_id", "path").join(there, ["event_id", "path"], "left").select("event_id", F.coalesce("e", F.lit(False)).alias("path_exists"))
+
+
+@query("V7_dimension_values", "SELECT o_orderkey, o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'F') AS allowed FROM orders")
+def dimension_values(spark, d):
+    rows = table(spark, d, "orders")
+    allowed = rows.where("o_orderstatus = 'F'").agg(F.collect_set("o_orderpriority").alias("values"))
+    return rows.crossJoin(F.broadcast(allowed)).select("o_orderkey", F.array_contains("values", F.col("o_orderpriority")).alias("allowed"))
