@@ -162,17 +162,23 @@ def effective_verdict(spark, d):
     return L.verdicts(units(spark, d), clauses(spark)).join(human, "unit_id", "left").select("unit_id", F.coalesce("human", "verdict").alias("verdict"))
 
 
-@query("L12_overlapping_limits")
+_OVERLAPS = """WITH p AS (SELECT DISTINCT p_type, floor(p_retailprice)::DECIMAL(12,2) AS a FROM part), r AS (SELECT *, (row_number() OVER (PARTITION BY p_type ORDER BY a) - 1)::INT AS k FROM p QUALIFY k < 3)
+  SELECT x.p_type AS a_clause_id, x.k AS a_k, y.p_type AS b_clause_id, y.k AS b_k FROM r x JOIN r y ON split_part(x.p_type, ' ', 1) = split_part(y.p_type, ' ', 1) AND (x.p_type < y.p_type OR x.p_type = y.p_type AND x.k < y.k) AND x.a <> y.a"""
+
+
+@query("L12_overlapping_limits", _OVERLAPS)
 def overlapping_limits(spark, d):
+    """Each part type is a clause with its three lowest prices as limits."""
     from tallyspark.plans.proxy import table
 
-    parts = table(spark, d, "part").groupBy("p_type").agg(F.collect_set(F.struct(F.floor("p_retailprice").cast("decimal(12,2)").alias("amount"), F.lit("INR").alias("currency"), F.lit(None).cast("map<string,array<string>>").alias("when"))).alias("limits"))
-    made = parts.select(F.col("p_type").alias("clause_id"), F.lit("per_item").alias("limit_unit"), F.array(F.substring_index("p_type", " ", 1)).alias("applies_to"), F.slice(F.sort_array(F.transform("limits", lambda x: x["amount"])), 1, 3).alias("a"))
-    return L.overlapping_limits(made.withColumn("limits", F.transform("a", lambda x: F.struct(x.alias("amount"), F.lit("INR").alias("currency"), F.create_map().cast("map<string,array<string>>").alias("when")))))
+    prices = table(spark, d, "part").groupBy("p_type").agg(F.sort_array(F.collect_set(F.floor("p_retailprice").cast("decimal(12,2)"))).alias("a"))
+    limit = lambda x: F.struct(x.alias("amount"), F.lit("INR").alias("currency"), F.create_map().cast("map<string,array<string>>").alias("when"))
+    rows = prices.select(F.col("p_type").alias("clause_id"), F.lit("per_item").alias("limit_unit"), F.array(F.substring_index("p_type", " ", 1)).alias("applies_to"), F.transform(F.slice("a", 1, 3), limit).alias("limits"))
+    return L.overlapping_limits(rows)
 
 
 query("J14_applicable_limits", f"WITH {_UNITS} SELECT unit_id, lim_amount AS amount, open AS unresolved FROM cand")(candidate_limits)
-query("J15_limit_overlaps")(overlapping_limits)
+query("J15_limit_overlaps", _OVERLAPS)(overlapping_limits)
 
 
 @query("U2_thresholds", """WITH t(clause_id, currency, amount, kind, category) AS (VALUES ('L-NIGHT', 'INR', 4000::DECIMAL(12,2), 'approval', 'PROMO BURNISHED COPPER'), ('L-NIGHT', 'USD', 4500, 'approval', 'PROMO BURNISHED COPPER'), ('L-PERSON', 'INR', 0, 'approval', 'ECONOMY ANODIZED STEEL'), ('L-NIGHT', NULL, 1000, 'documentation', 'PROMO BURNISHED COPPER'))
