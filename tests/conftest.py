@@ -12,7 +12,6 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[*]")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling costs more than it saves
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
