@@ -45,7 +45,7 @@ def hybrid(classifier: DataFrame, fallback: DataFrame, threshold: float = 0.3) -
 
 def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.8) -> DataFrame:
     """Rows with `part`: the same share of every label, by a hash of the key."""
-    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
+    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key))
     return rows.withColumn("part", F.when(place < train, "train").otherwise("test"))
 
 

@@ -86,18 +86,33 @@ def moved_charges(spark, d):
 _PRINTED = "pk % 5 < 3"
 
 
-@query("Q12_suggestions", f"""WITH {_SQL} SELECT document_id, 'total' AS field, subtotal + q AS suggested FROM f WHERE document_type = 'telecom_bill' AND ln <> 2 AND abs(subtotal + q - t) > tol AND {_PRINTED}
-  UNION ALL SELECT document_id, 'amount', subtotal + q FROM f WHERE document_type = 'generic_receipt' AND abs(subtotal + q - amount) > tol AND {_PRINTED}""")
+_FIX = f"""SELECT document_id, 'total' AS field, subtotal + q AS suggested FROM f WHERE document_type = 'telecom_bill' AND ln <> 2 AND abs(subtotal + q - t) > tol AND {_PRINTED}
+  UNION ALL SELECT document_id, 'amount', subtotal + q FROM f WHERE document_type = 'generic_receipt' AND abs(subtotal + q - amount) > tol AND {_PRINTED}"""
+_FIX_BILL = f"SELECT document_id, 'grand_total' AS field, subtotal + q AS suggested FROM f WHERE document_type = 'restaurant_bill' AND abs(subtotal + q - t) > tol AND {_PRINTED}"
+
+
+def _stands(v: str) -> str:
+    """SQL: whether a number below 1000 stands in the document's text x."""
+    text = f"({v})::DECIMAL(20,2)::VARCHAR"
+    return f"regexp_matches(x, '(^|[^0-9])' || split_part({text}, '.', 1) || CASE WHEN split_part({text}, '.', 2) = '00' THEN '(\\.00)?' ELSE '\\.' || split_part({text}, '.', 2) END || '([^0-9]|$)')"
+
+
+_TEXTS = f"(SELECT *, CASE WHEN pk % 3 = 0 THEN 'Round off 0.4' || chr(10) ELSE '' END || 'Sum ' || CASE WHEN {_PRINTED} THEN (q + p)::DECIMAL(20,2)::VARCHAR ELSE 'unreadable' END AS x FROM f WHERE document_type = 'local_conveyance_form')"
+_FIX_TRIP = f"""SELECT document_id, 'total_kms' AS field, kms AS suggested FROM {_TEXTS} WHERE abs(kms - 2 * q) > tol AND {_stands('kms')}
+  UNION ALL SELECT document_id, 'total_conveyance_amount', t - p FROM {_TEXTS} WHERE coalesce(abs(t - p - conv) > tol, true) AND {_stands('t - p')}"""
+
+
+@query("Q12_suggestions", f"WITH {_SQL} {_FIX}")
 def suggestions(spark, d):
     return Q.suggestion_rows(claims(spark, d).where("document_type IN ('telecom_bill', 'generic_receipt')"))
 
 
-@query("Q13_restaurant_fix", f"WITH {_SQL} SELECT document_id, 'grand_total' AS field, subtotal + q AS suggested FROM f WHERE document_type = 'restaurant_bill' AND abs(subtotal + q - t) > tol AND {_PRINTED}")
+@query("Q13_restaurant_fix", f"WITH {_SQL} {_FIX_BILL}")
 def restaurant_fix(spark, d):
     return Q.suggestion_rows(claims(spark, d).where("document_type = 'restaurant_bill'"))
 
 
-@query("Q14_conveyance_fix")
+@query("Q14_conveyance_fix", f"WITH {_SQL} {_FIX_TRIP}")
 def conveyance_fix(spark, d):
     return Q.suggestion_rows(claims(spark, d).where("document_type = 'local_conveyance_form'"))
 
@@ -108,7 +123,13 @@ def needs_review(spark, d):
     return Q.needs_review(Q.check_rows(rows), rows)
 
 
-@query("Q17_bundle")
+#: Documents may repeat; here every row counts for itself.
+_ROWS = _SQL.replace("c AS (", "c AS MATERIALIZED (", 1).replace("l_partkey AS document_id", "l_partkey || '#' || row_number() OVER () AS document_id")
+
+
+@query("Q17_bundle", f"""WITH {_ROWS}, fixes AS ({_FIX} UNION ALL {_FIX_BILL} UNION ALL {_FIX_TRIP}), n AS (SELECT document_id, count(*) AS n_suggestions FROM fixes GROUP BY 1),
+  k AS (SELECT document_id, count(*) AS n_checks, bool_or(NOT passed AND name NOT LIKE 'gstin_format:%') AS failing FROM checks GROUP BY 1)
+  SELECT split_part(document_id, '#', 1) AS document_id, coalesce(n_checks, 0)::INT AS n_checks, coalesce(n_suggestions, 0)::INT AS n_suggestions, CASE WHEN failing THEN 'needs_review' ELSE 'ready' END AS status FROM f LEFT JOIN k USING (document_id) LEFT JOIN n USING (document_id)""")
 def bundle(spark, d):
     """Checks, suggestions and status of each document in one projection."""
     rows = claims(spark, d).select("document_id", Q.checks_of().alias("checks"), Q.suggestions_of().alias("suggestions"))

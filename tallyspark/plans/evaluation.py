@@ -190,7 +190,7 @@ def hybrid(spark, d):
     return C.hybrid(p.where("method = 'a'").select("id", "category", "confidence"), p.where("method = 'b'").select("id", "category"))
 
 
-@query("C5_split")
+@query("C5_split", "SELECT vec_id, label, CASE WHEN percent_rank() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) < 0.8 THEN 'train' ELSE 'test' END AS part FROM embeddings")
 def split(spark, d):
     return C.stratified_split(table(spark, d, "embeddings"), "label", "vec_id").select("vec_id", "label", "part")
 

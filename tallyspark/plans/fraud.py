@@ -135,7 +135,7 @@ def correction_guardrail(spark, d):
     return R.corrections_rule(_with_ai(docs(spark, d)), _corrections(spark, d), "correction_guardrail")
 
 
-def _results(spark, d):
+def results(spark, d):
     """The nine rules over one set of current documents, which is computed once."""
     rows = docs(spark, d).persist()
     _, decisions = _decided(rows)
@@ -146,22 +146,22 @@ def _results(spark, d):
     ]
 
 
-def _all_sql() -> str:
+def all_sql() -> str:
     """The nine rules' SQL with their common table expressions kept apart."""
     from tallyspark.plans.registry import SQL
 
     names = ["R1_duplicate_same_employee", "R2_duplicate_cross_employee", "R4_threshold_gaming", "R5_velocity", "R6_round_number", "R7_weekend_business", "R8_repeat_violation", "R9_correction_upward", "R10_correction_guardrail"]
-    return " UNION ALL ".join(f"SELECT claim_id, rule_id, status FROM ({SQL[n]})" for n in names)
+    return " UNION ALL ".join(f"SELECT claim_id, rule_id, status, hits FROM ({SQL[n]})" for n in names)
 
 
 _WEIGHT = "CASE rule_id WHEN 'duplicate_same_employee' THEN 30 WHEN 'duplicate_cross_employee' THEN 25 WHEN 'threshold_gaming' THEN 20 WHEN 'velocity' THEN 15 WHEN 'round_number' THEN 8 WHEN 'weekend_business' THEN 15 WHEN 'policy_repeat_violation' THEN 15 WHEN 'correction_upward' THEN 20 ELSE 35 END"
-_SCORE = f"""SELECT claim_id, least(100, sum(CASE WHEN status = 'fired' THEN {_WEIGHT} ELSE 0 END))::BIGINT AS risk_score, count(*) FILTER (status = 'fired') AS n_fired, count(*) FILTER (status <> 'not_applicable') AS assessable, count(*) AS n_rules FROM ({_all_sql()}) GROUP BY 1"""
+_SCORE = f"""SELECT claim_id, least(100, sum(CASE WHEN status = 'fired' THEN {_WEIGHT} ELSE 0 END))::BIGINT AS risk_score, count(*) FILTER (status = 'fired') AS n_fired, count(*) FILTER (status <> 'not_applicable') AS assessable, count(*) AS n_rules FROM ({all_sql()}) GROUP BY 1"""
 _BANDED = f"SELECT *, CASE WHEN n_fired = 0 AND assessable < 3 THEN 'unassessable' WHEN risk_score >= 50 THEN 'high' WHEN risk_score >= 25 THEN 'medium' ELSE 'low' END AS risk_band FROM ({_SCORE})"
 
 
 @query("R11_score", _BANDED)
 def score(spark, d):
-    return R.score(_results(spark, d))
+    return R.score(results(spark, d))
 
 
 @query("O2_review_queue", f"SELECT claim_id, risk_band, risk_score, row_number() OVER (PARTITION BY risk_band ORDER BY risk_score DESC, claim_id) AS place FROM ({_BANDED})")
@@ -170,26 +170,26 @@ def review_queue(spark, d):
     from pyspark.sql import Window
 
     turn = Window.partitionBy("risk_band").orderBy(F.desc("risk_score"), "claim_id")
-    return R.score(_results(spark, d)).select("claim_id", "risk_band", "risk_score", F.row_number().over(turn).cast("long").alias("place"))
+    return R.score(results(spark, d)).select("claim_id", "risk_band", "risk_score", F.row_number().over(turn).cast("long").alias("place"))
 
 
-@query("A8_rule_coverage", f"SELECT rule_id, count(*) FILTER (status = 'fired') AS fired, count(*) FILTER (status = 'clear') AS clear, count(*) FILTER (status = 'not_applicable') AS not_applicable FROM ({_all_sql()}) GROUP BY 1")
+@query("A8_rule_coverage", f"SELECT rule_id, count(*) FILTER (status = 'fired') AS fired, count(*) FILTER (status = 'clear') AS clear, count(*) FILTER (status = 'not_applicable') AS not_applicable FROM ({all_sql()}) GROUP BY 1")
 def rule_coverage(spark, d):
     from functools import reduce
 
     from pyspark.sql import DataFrame
 
-    rows = reduce(DataFrame.unionByName, _results(spark, d))
+    rows = reduce(DataFrame.unionByName, results(spark, d))
     return rows.groupBy("rule_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fired", "clear", "not_applicable")])
 
 
-@query("R12_assessments", f"SELECT claim_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'fired'), '') AS fired, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'not_applicable'), '') AS not_applicable, 'v1' AS ruleset FROM ({_all_sql()}) GROUP BY 1")
+@query("R12_assessments", f"SELECT claim_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'fired'), '') AS fired, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'not_applicable'), '') AS not_applicable, 'v1' AS ruleset FROM ({all_sql()}) GROUP BY 1")
 def assessments(spark, d):
     from functools import reduce
 
     from pyspark.sql import DataFrame
 
-    rows = reduce(DataFrame.unionByName, _results(spark, d))
+    rows = reduce(DataFrame.unionByName, results(spark, d))
     named = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("rule_id")))), ",").alias(s)
     return rows.groupBy("claim_id").agg(named("fired"), named("not_applicable")).withColumn("ruleset", F.lit("v1"))
 
@@ -200,7 +200,7 @@ def missing_fields(spark, d):
     return docs(spark, d).select("document_id", lacking.alias("missing"))
 
 
-@query("R14_evidence")
+@query("R14_evidence", f"""WITH {DOCS}, {_USABLE} SELECT document_id, other_id, '{{"document_id":' || document_id || ',"other_id":' || other_id || ',"days_apart":' || days_apart || '}}' AS evidence FROM ({_pairs('<>')})""")
 def evidence(spark, d):
     """References to both documents of each pair, as JSON."""
     pairs = R.duplicate_pairs(docs(spark, d), same_employee=False)

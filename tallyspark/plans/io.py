@@ -8,7 +8,7 @@ from tallyspark.operators import documents as Q
 from tallyspark.operators import versions as V
 from tallyspark.plans.documents import claims
 from tallyspark.plans.proxy import DOCS, docs, table
-from tallyspark.plans.registry import query
+from tallyspark.plans.registry import SQL, query
 from tallyspark.sources import readers, sinks
 from tallyspark.streaming import jobs
 
@@ -130,7 +130,7 @@ def replaced_methods(spark, d):
     return spark.read.parquet(path).groupBy("method", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T1_arrivals")
+@query("T1_arrivals", SQL["Q1_checks"])
 def arrivals(spark, d):
     """Documents read as a stream of files, checked and appended batch by batch."""
     root = readers.scratch(spark)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators import responses as V
+from tallyspark.plans.fraud import all_sql, results
 from tallyspark.plans.proxy import table
 from tallyspark.plans.registry import query
 
@@ -101,15 +105,10 @@ def policy_requests(spark, d):
     return joined.select("document_id", F.to_json(F.struct("claim_id", "employee_id", shown.alias("document"), others.alias("siblings"), "clauses")).alias("request"))
 
 
-@query("V15_narrative_requests")
+@query("V15_narrative_requests", f"""SELECT claim_id, '[' || string_agg('{{"rule_id":"' || rule_id || '","hits":' || hits || '}}', ',' ORDER BY rule_id) || ']' AS request FROM ({all_sql()}) WHERE status = 'fired' GROUP BY 1""")
 def narrative_requests(spark, d):
     """For each claim with a fired rule, the fired rules only."""
-    from tallyspark.plans.fraud import _results
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
-    fired = reduce(DataFrame.unionByName, _results(spark, d)).where("status = 'fired'")
+    fired = reduce(DataFrame.unionByName, results(spark, d)).where("status = 'fired'")
     return fired.groupBy("claim_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rule_id", "hits")))).alias("request"))
 
 

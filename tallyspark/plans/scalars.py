@@ -118,18 +118,35 @@ def money(spark, d):
     return table(spark, d, "lineitem").select(*_ID, S.money(product).alias("rounded"))
 
 
-@query("P13_group_indian")
+def _by(n: int, digits: str) -> str:
+    """SQL: commas between groups of n digits, from the right."""
+    return f"reverse(rtrim(regexp_replace(reverse({digits}), '(\\d{{{n}}})', '\\1,', 'g'), ','))"
+
+
+def _indian(digits: str) -> str:
+    return f"CASE WHEN length({digits}) <= 3 THEN {digits} ELSE {_by(2, f'left({digits}, length({digits}) - 3)')} || ',' || right({digits}, 3) END"
+
+
+def _shown(amount: str, code: str) -> str:
+    """SQL: an amount of at least 0 with its currency's mark, decimals only where there are some."""
+    text = f"({amount})::DECIMAL(14,2)::VARCHAR"
+    whole, cents = f"split_part({text}, '.', 1)", f"split_part({text}, '.', 2)"
+    mark = f"CASE {code} WHEN 'INR' THEN '₹' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE {code} || ' ' END"
+    return f"{mark} || CASE WHEN {code} = 'INR' THEN {_indian(whole)} ELSE {_by(3, whole)} END || CASE WHEN {cents} <> '00' THEN '.' || {cents} ELSE '' END"
+
+
+@query("P13_group_indian", f"SELECT o_orderkey, {_indian('t')} AS grouped FROM (SELECT o_orderkey, trunc(o_totalprice * 100)::BIGINT::VARCHAR AS t FROM orders)")
 def group_indian(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.group_indian((F.col("o_totalprice") * 100).cast("long").cast("string")).alias("grouped"))
 
 
-@query("P14_format_money")
+@query("P14_format_money", f"SELECT o_orderkey, CASE WHEN o_custkey % 9 > 0 THEN {_shown('o_totalprice', 'c')} ELSE '-' END AS shown FROM (SELECT *, ['INR', 'USD', 'CHF', 'EUR'][o_orderkey % 4 + 1] AS c FROM orders)")
 def format_money(spark, d):
     code = F.element_at(F.array(*[F.lit(x) for x in ("INR", "USD", "CHF", "EUR")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", S.format_money(F.when(F.col("o_custkey") % 9 > 0, F.col("o_totalprice")), code).alias("shown"))
 
 
-@query("P15_format_comparison")
+@query("P15_format_comparison", f"SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN {_shown('o_totalprice', 'c')} || ' vs ₹1,200 limit (' || ['per night', 'km rate x distance', 'other'][o_orderkey % 3 + 1] || ')' END AS shown FROM (SELECT *, 'INR' AS c FROM orders)")
 def format_comparison(spark, d):
     unit = F.element_at(F.array(*[F.lit(x) for x in ("per_night", "per_km", "other")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", S.format_comparison(F.col("o_totalprice"), F.when(F.col("o_custkey") % 4 > 0, F.lit(1200)), unit, F.lit("INR")).alias("shown"))
