@@ -54,7 +54,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         targets = F.broadcast(targets)
     keyed = sized.withColumn("none", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.col("size")), 11) / F.lit(float(2**53))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("size").cast("string")))
+    draw = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
     most = F.floor(F.col("size") * F.lit(float(epochs)))
     found = keyed.join(targets, ["source", "none"]).withColumn("taken", F.least(most, F.floor(rate * F.col("size") + draw)))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0).cast("long"))
@@ -63,3 +64,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
+
+
+#: With the defaults of mix().
+SQL = """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1])::DOUBLE AS weight FROM d GROUP BY source),
+r AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / weight AS full_at FROM s),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, level LIMIT 1)) AS target FROM l),
+k AS (SELECT doc_id, size, source_size, target, least(size * 3, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END * size + ('0x' || left(md5(concat_ws(':', 5, doc_id, size)), 13))::BIGINT / 4503599627370496.0::DOUBLE))::BIGINT AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT *, CASE WHEN size > 0 THEN taken // size ELSE 0 END AS repetitions, taken - CASE WHEN size > 0 THEN taken // size ELSE 0 END * size AS part FROM k"""
