@@ -113,3 +113,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
+
+
+#: With the defaults of quality_rules(). A measure of no value has no row in `sketch`, and no limit is no outlier.
+_BUCKET = "CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END"
+_LONG = ", ".join(f"{{'place': {k}, 'name': '{m}', 'v': CASE WHEN {b} > 0 THEN {a} * 10000 // {b} END, 'lowest': {floor}}}" for k, (m, (a, b, floor)) in enumerate(MEASURES.items()))
+
+
+def _limits(by: str) -> str:
+    return f"""(SELECT {by}, name, CASE WHEN max(n_rows) >= 30 THEN min(bucket) FILTER (so_far >= n_rows * 0.75) + 4 * greatest(min(bucket) FILTER (so_far >= n_rows * 0.75) - min(bucket) FILTER (so_far >= n_rows * 0.5), 1) END AS most
+    FROM (SELECT {by}, name, bucket, sum(count(*)) OVER (PARTITION BY {by}, name ORDER BY bucket) AS so_far, sum(count(*)) OVER (PARTITION BY {by}, name) AS n_rows FROM sketch WHERE NOT base_failed GROUP BY {by}, name, bucket) GROUP BY {by}, name)"""
+
+
+SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+windows AS (SELECT row_id, x[1] AS k, count(*) OVER (PARTITION BY row_id, x[2], x[3], x[4]) AS times FROM (SELECT row_id, unnest(list_zip(range(1, len(w) - 1), w, w[2:], w[3:], true)) AS x FROM d)),
+repeated AS (SELECT row_id, count(DISTINCT spot) AS n FROM (SELECT row_id, unnest([k, k + 1, k + 2]) AS spot FROM windows WHERE times > 1) GROUP BY 1),
+counted AS (SELECT row_id, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals FROM d LEFT JOIN repeated USING (row_id)),
+judged AS MATERIALIZED (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM counted),
+sketch AS MATERIALIZED (SELECT *, {_BUCKET} AS bucket FROM (SELECT row_id, lang, source, base_failed, unnest([{_LONG}], recursive := true) FROM judged) WHERE v IS NOT NULL),
+failed AS (SELECT row_id, arg_min(s.name, place) AS failed_rule FROM sketch s LEFT JOIN {_limits('lang, source')} g USING (lang, source, name) LEFT JOIN {_limits('lang')} l USING (lang, name)
+  WHERE NOT base_failed AND bucket > coalesce(g.most, l.most) AND v > lowest GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rule IS NULL AS kept, failed_rule FROM judged LEFT JOIN failed USING (row_id)"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.SQL, "op5_mixing": mixing.SQL}
+    return {"op2_licenses": licenses.SQL, "op5_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
