@@ -19,22 +19,37 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _body(raw: Column) -> tuple[Column, Column]:
-    """What is left of a printed amount without currency words and sign; whether it is negative."""
-    s = strip(F.regexp_replace(strip(raw), r"(?i)Rs\.?|INR|₹|\$", ""))
+def _bare(raw: Column) -> Column:
+    return strip(F.regexp_replace(strip(raw), r"(?i)Rs\.?|INR|₹|\$", ""))
+
+
+def _signed(s: Column) -> tuple[Column, Column]:
     parens = s.startswith("(") & s.endswith(")")
     minus = s.startswith("-")
     body = F.when(parens, strip(F.substr(s, F.lit(2), F.length(s) - 2))).when(minus, strip(F.substr(s, F.lit(2)))).otherwise(s)
     return body, parens | minus
 
 
-def parse_amount(raw: Column) -> Column:
-    """A printed amount as a decimal; null if empty or unparseable. Commas only separate; parentheses or a leading minus negate."""
-    body, negative = _body(raw)
+def _body(raw: Column) -> tuple[Column, Column]:
+    """What is left of a printed amount without currency words and sign; whether it is negative."""
+    return _signed(_bare(raw))
+
+
+def _value(body: Column, negative: Column) -> Column:
     digits = F.regexp_replace(F.substring_index(body, ".", 1), ",", "")
     value = F.concat(F.when(digits == "", "0").otherwise(digits), F.regexp_extract(body, r"(\.[0-9]*)$", 1)).try_cast(MONEY)
-    ok = (body != "") & body.rlike(r"^[0-9,]*(\.[0-9]*)?$")
-    return F.when(ok & negative, -value).when(ok, value)
+    return F.when((body != "") & body.rlike(r"^[0-9,]*(\.[0-9]*)?$"), F.when(negative, -value).otherwise(value))
+
+
+def parse_amount(raw: Column) -> Column:
+    """A printed amount as a decimal; null if empty or unparseable. Commas only separate; parentheses or a leading minus negate."""
+    return _value(*_body(raw))
+
+
+def parse_amounts(raws: Column) -> Column:
+    """parse_amount of an array's elements. Inside a lambda nothing is shared between expressions, so each step has one of its own."""
+    parts = F.transform(F.transform(raws, _bare), lambda s: F.struct(*[c.alias(n) for c, n in zip(_signed(s), ("body", "negative"), strict=True)]))
+    return F.transform(parts, lambda p: _value(p["body"], p["negative"]))
 
 
 def amount_unparseable(raw: Column) -> Column:
@@ -184,8 +199,8 @@ def charge_like(name: Column) -> Column:
 
 def first_amount(entries: Column, key_pattern: str) -> Column:
     """The first parseable amount of an array of (key, value) whose key matches."""
-    amounts = F.transform(F.filter(entries, lambda e: e["key"].rlike(f"(?i){key_pattern}")), lambda e: parse_amount(e["value"]))
-    return F.try_element_at(F.array_compact(amounts), F.lit(1))
+    values = F.transform(F.filter(entries, lambda e: e["key"].rlike(f"(?i){key_pattern}")), lambda e: e["value"])
+    return F.try_element_at(F.array_compact(parse_amounts(values)), F.lit(1))
 
 
 def trip_kms(entry: Column) -> Column:

@@ -132,7 +132,7 @@ _ROWS = _SQL.replace("c AS (", "c AS MATERIALIZED (", 1).replace("l_partkey AS d
   SELECT split_part(document_id, '#', 1) AS document_id, coalesce(n_checks, 0)::INT AS n_checks, coalesce(n_suggestions, 0)::INT AS n_suggestions, CASE WHEN failing THEN 'needs_review' ELSE 'ready' END AS status FROM f LEFT JOIN k USING (document_id) LEFT JOIN n USING (document_id)""")
 def bundle(spark, d):
     """Checks, suggestions and status of each document in one projection."""
-    rows = claims(spark, d).select("document_id", Q.checks_of().alias("checks"), Q.suggestions_of().alias("suggestions"))
+    rows = Q.prepared(claims(spark, d)).select("document_id", Q.checks_of().alias("checks"), Q.suggestions_of().alias("suggestions"))
     failing = F.exists("checks", lambda c: Q.arithmetic(c["name"]) & ~c["passed"])
     return rows.select("document_id", F.size("checks").alias("n_checks"), F.size("suggestions").alias("n_suggestions"), F.when(failing, "needs_review").otherwise("ready").alias("status"))
 
