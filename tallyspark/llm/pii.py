@@ -74,10 +74,16 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+#: What follows an e-mail's local part: a form of @, a name, and forms of dots with names.
+_AFTER_LOCAL = r"(?:@|[\[(]\s?at\s?[\])]|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])]|\bdot\b)\s?[A-Za-z]{2,24})+"
+_MAIL = re.compile(_AFTER_LOCAL, re.I)
+#: A group of an IPv6 address, and what may stand on either side of its gap.
+_HEX = "[0-9A-Fa-f]{1,4}"
+_SIDE = f"(?:{_HEX}(?::{_HEX}){{0,6}})?"
 #: Generators of candidates: kind and pattern; they may overlap one another and the base.
 GENERATORS = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|[\[(]\s?at\s?[\])]|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])]|\bdot\b)\s?[A-Za-z]{2,24})+", re.I)),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?" + _AFTER_LOCAL, re.I)),
+    ("ip", re.compile(rf"(?<![0-9A-Za-z:.])(?!::(?!{_HEX})|(?:{_HEX}::?){{8}}){_SIDE}::{_SIDE}(?![0-9A-Za-z:])|(?<![0-9A-Fa-f:])(?:{_HEX}:){{3,7}}:?{_HEX}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}([ .-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\)[ ]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?(?![0-9.-])")),
     ("secret", re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{24,128}={0,2}(?![0-9A-Za-z_/+-])")),
@@ -94,16 +100,13 @@ _COUNTER_CUE = re.compile(r"\b(?:version|v|isbn|order|invoice|no|nr|page|total|i
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that the generators propose. Generators that can't match are skipped by what their spans must hold."""
+    """Spans that the generators propose. A generator is skipped only where a part that each of its spans holds is nowhere in the text."""
     digits = _DIGIT.search(text) is not None
-    low = text.lower() if "@" not in text else ""
+    possible = {"email": _MAIL.search(text) is not None, "ip": ":" in text, "card": digits, "phone": digits, "secret": True}
     found = []
     for kind, pattern in GENERATORS:
-        if kind == "email" and "@" not in text and " dot " not in low and "dot)" not in low and "dot]" not in low:
-            continue
-        if kind != "email" and not digits:
-            continue
-        found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+        if possible[kind]:
+            found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     return found
 
 
@@ -128,7 +131,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[int]:
         int(kind == "card" and luhn("".join(digits))),
         span.count("."),
         span.count("-"),
-        span.count(" "),
+        sum(c.isspace() for c in span),
         int("(" in span or "[" in span),
         int("@" in span),
         sum(c.isupper() for c in span) // 2,
@@ -175,9 +178,16 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         digits += next(d for d in "0123456789" if luhn(digits + d))
         return pick([" ", "-", ".", ""]).join(digits[k : k + 4] for k in range(0, 16, 4))
 
+    def address() -> str:
+        groups = [f"{rng.integers(1, 65536):x}" for _ in range(8)]
+        if rng.random() < 0.5:
+            return ":".join(groups)
+        k = rng.integers(5)
+        return ":".join(pick([["2001", "db8"], ["fe80"], groups[:1], groups[:2], groups[:3]])) + "::" + ":".join(groups[8 - k :]) if k or rng.random() < 0.5 else f"::{groups[0]}"
+
     true = {
         "email": lambda: f"{word()}{pick([' at ', ' (at) ', '[at]', ' @ '])}{word()}{pick([' dot ', ' (dot) ', '[dot]', '.'])}{pick(['com', 'org', 'net', 'de'])}",
-        "ip": lambda: ":".join(f"{rng.integers(1, 65536):x}" for _ in range(8)),
+        "ip": address,
         "card": card,
         "phone": lambda: pick(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}", "0049 {} {} {}"]).format(number(3), number(3), number(4)),
         "secret": lambda: "".join(pick("0123456789abcdef") for _ in range(pick([32, 40, 64]))) if rng.random() < 0.6 else "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(pick([24, 32, 40]))),
@@ -196,9 +206,10 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: ("", "".join(word() for _ in range(6)) + number(1)),
         lambda: ("commit", "".join(pick("0123456789abcdef") for _ in range(40))),
         lambda: ("checksum", "".join(pick("0123456789abcdef") for _ in range(64))),
-        lambda: ("", f"{word()} at {word()}. {word()}"),
+        lambda: ("", f"{word()} at {word()}.{pick([' ', "\n"])}{word()}"),
         lambda: ("", f"{word()} is at {word()} dot {word()}"),
         lambda: ("", ":".join(number(2) for _ in range(4))),
+        lambda: ("", f"{pick(['add', 'dead', 'face', 'a', 'b', word()])}::{pick(['bad', 'fade', 'c', 'e', word()])}"),
         lambda: ("", number(16)),
         lambda: ("", f"{number(3)} {number(3)} {number(4)} {word()}"),
     ]
