@@ -140,11 +140,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates, that with the least id, with all its columns. Of rows with equal ids one stays; rows without an id all stay."""
-    firsts = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    turn = Window.partitionBy(id_col).orderBy(id_col)
-    kept = docs.join(firsts, id_col, "left_semi").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
-    return kept.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    """One row of each group of near-duplicates, that with the least id, with all its columns. Of rows with equal ids one stays.
+
+    Rows without an id are members like others, and link others; one of them stays only where no row of the group has an id.
+    """
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("id"), _fingerprints(F.col(text_col)).alias("print")))
+    groups = hamming_components(prints.select(F.col("print").alias("id"), "print"), radius)
+    firsts = prints.groupBy("print").agg(F.min("id").alias("first")).join(groups, "print")
+    firsts = cut(firsts.groupBy("component_id").agg(F.min("first").alias("first"), F.min(F.when(F.col("first").isNull(), F.col("print"))).alias("lead")))
+    named = docs.join(firsts.where("first IS NOT NULL").select(F.col("first").alias(id_col)), id_col, "left_semi")
+    named = named.withColumn("_turn", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
+    bare = docs.where(F.col(id_col).isNull()).withColumn("_print", _fingerprints(F.col(text_col)))
+    bare = bare.join(firsts.where("first IS NULL").select(F.col("lead").alias("_print")), "_print", "left_semi")
+    bare = bare.withColumn("_turn", F.row_number().over(Window.partitionBy("_print").orderBy(text_col)))
+    return named.where("_turn = 1").select(docs.columns).union(bare.where("_turn = 1").select(docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
