@@ -2,6 +2,7 @@
 items, with personal data redacted, and with the words that each gives to the mix of sources.
 
 Every stage works on all rows that its predecessor kept and returns the columns of documents; the last adds the mix's.
+run() has one row for each document with what the mix decides; corpus() has the rows that the mix takes.
 """
 
 from __future__ import annotations
@@ -50,3 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query `pipeline`: run(), with the rows that its mix takes."""
+    return mixing.emit(run(spark, sf_dir))

@@ -62,6 +62,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return found.select("row.*", "size", "source_size", "target", whole.alias("repetitions"), (F.col("taken") - whole * F.col("size")).alias("part"), "taken")
 
 
+def emit(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """What mix(carry=True) takes, as rows with its columns: each document in whole as often as its repetitions say, and once more with its first `part` words.
+
+    Documents of which nothing is taken have no row, so the words of a source's rows are its taken ones. White space before
+    and between the words of a part stays; n_chars, where there is one, counts the row's own text.
+    """
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    first = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")
+    texts = F.array_repeat(F.col(text_col), F.col("repetitions").cast("int"))
+    texts = F.when(F.col("part") > 0, F.concat(texts, F.array(first))).otherwise(texts)
+    rows = mixed.withColumn("_emitted", F.explode(texts))
+    new = {text_col: F.col("_emitted")}
+    if "n_chars" in mixed.columns:
+        new["n_chars"] = F.length("_emitted").cast("long")
+    return rows.withColumns(new).select(mixed.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
