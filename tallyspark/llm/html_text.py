@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,12 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-?list|discussion|disqus|replies|reply|respond|responses|reviews?)(?=$|[\s_-])", re.I)
+#: A whole name that says "no main text" inside a main element too; other bad names are section titles there as well, and links decide.
+_SURE_NAME = re.compile(
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo|cookies?|consent|gdpr|popup|pop-up|modal|overlay|newsletter|sidebar|widgets?|nav|navbar|breadcrumbs?|footer|masthead|topbar|toolbar|pagination|pager|share|sharing|login|signin|signup|skip|hidden",
+    re.I,
+)
+_SURE_COMMENT = re.compile(r"comments?|commentlist|comment-?list|comments-?(?:area|section)|disqus|replies|respond", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head)(?=$|[\s_-])", re.I)
 _OWN = re.compile(r"(?:article|post|entry|content|story|body|main|page-title)", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -70,6 +77,7 @@ class _Block:
     inside: bool  # in an article or main element
     away: bool  # in an element that holds no main text
     heading: bool
+    doubt: int = 0  # number of the outermost element whose name casts doubt on it, 0 if none
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     label: str = ""
@@ -88,14 +96,21 @@ def _names(more: str) -> tuple[str, bool]:
 
 
 def _kind(tag: str, more: str, inside: bool) -> str:
-    """What an opened element says of its content: main, away, comment, or nothing."""
+    """What an opened element says of its content: main, away, comment, doubt, or nothing. Names on body, article and main say nothing against it."""
     names, hidden = _names(more) if more.strip() else ("", False)
     if hidden:
         return "away"
-    if names:
-        if _COMMENT.search(names):
+    if names and tag not in ("body", "article", "main"):
+        if inside:
+            if any(map(_SURE_COMMENT.fullmatch, names.split())):
+                return "comment"
+            if any(map(_SURE_NAME.fullmatch, names.split())):
+                return "away"
+            if tag not in _AWAY and (_COMMENT.search(names) or _BAD_NAME.search(names)):
+                return "doubt"
+        elif _COMMENT.search(names):
             return "comment"
-        if tag not in ("body", "article", "main") and (_BAD_NAME.search(names) or _HEADER.search(names) and not _OWN.search(names) and not inside):
+        elif _BAD_NAME.search(names) or _HEADER.search(names) and not _OWN.search(names):
             return "away"
     if tag in ("article", "main") or names and re.search(r"(?:^|\s)main(?:$|\s)", names):
         return "main"
@@ -109,14 +124,14 @@ def blocks(page: str) -> list[_Block]:
     stack: list[tuple[str, str]] = []
     found: list[_Block] = []
     now: _Block | None = None
-    heading, links, breaks, inside, away = False, 0, 0, False, False
+    heading, links, breaks, inside, away, doubts, doubt = False, 0, 0, False, False, 0, 0
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             if now is None:
                 if not text.strip():
                     continue
-                now = _Block(inside, away, heading)
+                now = _Block(inside, away, heading, doubt)
                 found.append(now)
             text = html.unescape(text)
             now.parts.append(text)
@@ -159,8 +174,11 @@ def blocks(page: str) -> list[_Block]:
             if tag == "p" or kind == "main":
                 while stack and stack[-1][0] == "p":
                     stack.pop()
+            if kind == "doubt":
+                doubts += 1
+                kind = f"doubt {doubts}"
             stack.append((tag, kind))
-        inside = away = False
+        inside, away, doubt = False, False, 0
         for _, kind in stack:
             if kind == "main":
                 inside, away = True, away == "comment" and away
@@ -168,6 +186,8 @@ def blocks(page: str) -> list[_Block]:
                 away = "comment"
             elif kind == "away":
                 away = away or "away"
+            elif kind and not doubt:
+                doubt = int(kind.split()[1])
         away = bool(away)
     for b in found:
         b.text = " ".join("".join(b.parts).split())
@@ -176,6 +196,12 @@ def blocks(page: str) -> list[_Block]:
 
 def label(found: list[_Block], rules: Rules = Rules()) -> None:
     """Labels every block good or bad, in two passes."""
+    sizes, linked = Counter(), Counter()
+    for b in found:
+        sizes[b.doubt] += len(b.text)
+        linked[b.doubt] += b.linked
+    for b in found:
+        b.away = b.away or b.doubt > 0 and linked[b.doubt] > rules.links * sizes[b.doubt]
     framed = any(b.inside and not b.away for b in found)
     for b in found:
         size = len(b.text)
