@@ -136,6 +136,17 @@ def test_quality_thresholds(spark):
     assert all(got[k].kept for k in range(90)) and all(got[100 + k].failed_rule == "symbol_rate" for k in range(8))
 
 
+def test_same_value_other_group_other_verdict(spark):
+    """Two sources, one of plain prose and one of text full of symbols: 20 symbols in 100 words fail in the first only."""
+    rnd = random.Random(14)
+    text = lambda marks: " ".join(f"w{rnd.randrange(10**6, 10**7)}{'#' if k < marks else ''}" for k in range(100))
+    rows = [(k, text(0), "en", "prose") for k in range(60)] + [(100 + k, text(rnd.randint(10, 40)), "en", "code") for k in range(60)]
+    rows += [(500, text(20), "en", "prose"), (501, text(20), "en", "code")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[500].failed_rule == "symbol_rate" and got[501].kept
+    assert all(r.kept for k, r in got.items() if k != 500)
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(12)
     values = [(rnd.choice("ab"), int(rnd.lognormvariate(5, 2))) for _ in range(4000)]
