@@ -255,3 +255,41 @@ def test_marginals_equal_enumeration():
             total += weight
             inside += weight * np.array(s)
         assert np.allclose(got, inside / total)
+
+
+def test_gradient_of_the_likelihood():
+    """Observed less expected counts are the slopes of the likelihood, which is summed over all state sequences."""
+    rng = np.random.default_rng(3)
+    index, length = rng.integers(1, 12, (7, 3)), np.array([5, 4, 4, 1])
+    ids, gold = rng.integers(0, 7, length.sum()), rng.integers(0, 2, length.sum()).astype(float)
+
+    def likelihood(weights, moves):
+        total, end = 0.0, 0
+        for n in length:
+            e, y = weights[index].sum(axis=1)[ids[end : end + n]], gold[end : end + n].astype(int)
+            end += n
+            weigh = lambda s: sum(x for x, b in zip(e, s) if b) + sum(moves[a, b] for a, b in zip(s, s[1:]))
+            total += weigh(y) - np.log(sum(np.exp(weigh([code >> k & 1 for k in range(n)])) for code in range(2**n)))
+        return total
+
+    weights, moves, small = rng.normal(size=12), rng.normal(size=(2, 2)), 1e-5
+    by_weight, by_move = toxicity_crf.gradient(toxicity_crf.Field(weights, moves, np.zeros(3)), index, ids, length, gold)
+    for k in range(1, 12):
+        step = small * (np.arange(12) == k)
+        assert np.isclose(by_weight[k], (likelihood(weights + step, moves) - likelihood(weights - step, moves)) / (2 * small), atol=1e-5)
+    for a in (0, 1):
+        for b in (0, 1):
+            step = np.zeros((2, 2))
+            step[a, b] = small
+            assert np.isclose(by_move[a, b], (likelihood(weights, moves + step) - likelihood(weights, moves - step)) / (2 * small), atol=1e-5)
+
+
+def test_short_documents_train_too():
+    """Documents of a few tokens are segments like others."""
+    rnd = random.Random(15)
+    texts = [" ".join(rnd.choice(["one", "two", "three", "four"]) for _ in range(6)) + (" vilegrab" if k % 4 == 0 else "") for k in range(200)]
+    toxic = np.array([float(k % 4 == 0) for k in range(200)])
+    field = toxicity_crf.fit(texts, toxic)
+    marginals = field.marginals([np.array([field.emission(w) for w in x.split()]) for x in ("one two vilegrab", "one two three", "")])
+    assert marginals[0][2] > 0.5 > marginals[0][:2].max() and marginals[1].max() < 0.5
+    assert (field.score(marginals) >= 0.5).tolist() == [True, False, False]
