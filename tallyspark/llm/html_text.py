@@ -1,8 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one splits a page into blocks at block-level tags and labels each by where it stands, its link density, its length and
-its stop-word density: good, bad, nearly good, or short. Pass two gives the ambiguous ones (short, nearly good) the label of
-their nearest decided neighbours. Good blocks are joined in page order.
+Pass one splits a page into blocks at block-level tags and classifies each by its link density, its length and its stop-word
+density, with thresholds of the page's language: good, bad, or ambiguous (short, or of middling density). Pass two gives the
+ambiguous ones the label of their nearest decided neighbours. The element that a block stands in has two says only: blocks of
+navigation, forms, adverts and comments are never good, nor are those beside a page's main element; and where neighbours
+disagree or are missing, a block of the main element is good. Good blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -47,29 +49,31 @@ _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head)(?=$|[\s_-])", re.I)
 _OWN = re.compile(r"(?:article|post|entry|content|story|body|main|page-title)", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-#: Frequent words of English, German, French and Spanish.
-STOP_WORDS = frozenset(
-    """a about after all also an and any are as at be because been before but by can could did do does down for from had has have he her here him his how i if in into is it its just like
+#: Frequent words by language.
+STOP_WORDS = {
+    language: frozenset(words.split())
+    for language, words in {
+        "en": """a about after all also an and any are as at be because been before but by can could did do does down for from had has have he her here him his how i if in into is it its just like
     made many may me more most my no not now of on one only or other our out over said she should so some such than that the their them then there these they this time to two up us was we were
-    what when where which who will with would you your
-    aber alle als also am an auch auf aus bei bin bis das dass dem den der des die dies doch du durch ein eine einem einen einer er es für haben hat ich ihr im in ist ja kann mein mit nach nicht
-    noch nur oder ohne sein sich sie sind so über um und uns unter vom von vor war was wenn werden wie wir wird zu zum zur
-    au aux avec ce ces cette comme dans de des du elle elles en est et eux il ils je la le les leur lui ma mais me même mes mon ne nos notre nous on ou où par pas plus pour qu que qui sa sans se
-    ses si son sont sur ta te tes tout tu un une vos votre vous y été être
-    al como con cuando de del desde donde dos el ella ellos en entre era es esta este esto ha hasta hay la las le lo los más me mi muy no nos o os para pero por porque que se ser si sin sobre son
-    su sus también te todo tu un una uno y ya yo""".split()
-)
+    what when where which who will with would you your""",
+        "de": """    aber alle als also am an auch auf aus bei bin bis das dass dem den der des die dies doch du durch ein eine einem einen einer er es für haben hat ich ihr im in ist ja kann mein mit nach nicht
+    noch nur oder ohne sein sich sie sind so über um und uns unter vom von vor war was wenn werden wie wir wird zu zum zur""",
+        "fr": """    au aux avec ce ces cette comme dans de des du elle elles en est et eux il ils je la le les leur lui ma mais me même mes mon ne nos notre nous on ou où par pas plus pour qu que qui sa sans se
+    ses si son sont sur ta te tes tout tu un une vos votre vous y été être""",
+        "es": """    al como con cuando de del desde donde dos el ella ellos en entre era es esta este esto ha hasta hay la las le lo los más me mi muy no nos o os para pero por porque que se ser si sin sobre son
+    su sus también te todo tu un una uno y ya yo""",
+    }.items()
+}
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Lengths in characters, densities as shares."""
+    """Lengths in characters, densities as shares; stop_words: the density from which a block is nearly good, and good, by language."""
 
     short: int = 70
     long: int = 200
     links: float = 0.2
-    stop_low: float = 0.30
-    stop_high: float = 0.32
+    stop_words: tuple = (("en", 0.08, 0.16), ("de", 0.06, 0.13), ("fr", 0.05, 0.12), ("es", 0.06, 0.13))
 
 
 @dataclass
@@ -81,6 +85,7 @@ class _Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     label: str = ""
+    by: str = ""  # what has decided: links, density, veto, neighbours or container
     text: str = ""
 
 
@@ -194,6 +199,64 @@ def blocks(page: str) -> list[_Block]:
     return [b for b in found if b.text]
 
 
+def _language(words: list[list[str]], rules: Rules) -> tuple[frozenset, float, float]:
+    """Stop words and thresholds of the language whose stop words are the most frequent on the page; of ties the first."""
+    counts = Counter(w for ws in words for w in ws)
+    language, low, high = max(rules.stop_words, key=lambda x: sum(counts[w] for w in STOP_WORDS[x[0]]))
+    return STOP_WORDS[language], low, high
+
+
+def _first_pass(found: list[_Block], framed: bool, rules: Rules) -> None:
+    """Labels blocks good, bad, near (middling density) or short."""
+    words = [_WORD.findall(b.text.lower()) for b in found]
+    stop, low, high = _language(words, rules)
+    for b, ws in zip(found, words, strict=True):
+        size, stops = len(b.text), sum(w in stop for w in ws) / len(ws) if ws else 0.0
+        if b.linked > rules.links * size:
+            b.label, b.by = "bad", "links"
+        elif b.away or b.text[0] == "©":
+            b.label, b.by = "bad", "veto"
+        elif size < rules.short:
+            b.label = "short"
+        elif stops >= high and (b.inside or size > rules.long):
+            b.label, b.by = ("bad", "veto") if framed and not b.inside else ("good", "density")
+        elif stops >= low or b.inside:
+            b.label = "near"
+        else:
+            b.label, b.by = "bad", "density"
+
+
+def _nearest(found: list[_Block], order: range) -> list[str | None]:
+    """For each block the label of the last decided one before it in this order, of those on its side of the main element."""
+    near, last = [None] * len(found), {}
+    for k in order:
+        near[k] = last.get(found[k].inside)
+        if found[k].by:
+            last[found[k].inside] = found[k].label
+    return near
+
+
+def _second_pass(found: list[_Block], framed: bool) -> None:
+    """Labels what the first pass has left ambiguous by the nearest decided neighbours; where these don't agree, the element decides."""
+    before, after = _nearest(found, range(len(found))), _nearest(found, range(len(found) - 1, -1, -1))
+    for b, pair in zip(found, zip(before, after, strict=True), strict=True):
+        if b.by:
+            continue
+        around = set(pair)
+        if around == {"good"} or around == {"bad"}:
+            b.label, by = around.pop(), "neighbours"
+        elif framed:
+            by = "neighbours" if around == {"good", None} and b.inside or around == {"bad", None} and not b.inside else "container"
+            b.label = "good" if b.inside else "bad"
+        elif b.label == "near":
+            b.label, by = "good" if "good" in around or around == {None} else "bad", "neighbours"
+        elif b.heading:
+            b.label, by = "good" if pair[1] == "good" else "bad", "neighbours"
+        else:
+            b.label, by = "good" if around == {"good", None} else "bad", "neighbours"
+        b.by = by
+
+
 def label(found: list[_Block], rules: Rules = Rules()) -> None:
     """Labels every block good or bad, in two passes."""
     sizes, linked = Counter(), Counter()
@@ -203,43 +266,8 @@ def label(found: list[_Block], rules: Rules = Rules()) -> None:
     for b in found:
         b.away = b.away or b.doubt > 0 and linked[b.doubt] > rules.links * sizes[b.doubt]
     framed = any(b.inside and not b.away for b in found)
-    for b in found:
-        size = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.away or framed and not b.inside or b.linked > rules.links * size or b.text[0] == "©":
-            b.label = "bad"
-        elif size < rules.short:
-            b.label = "short"
-        elif b.inside:
-            b.label = "good"
-        elif stops >= rules.stop_high and size > rules.long:
-            b.label = "good"
-        elif stops >= rules.stop_low:
-            b.label = "near"
-        else:
-            b.label = "bad"
-    first = [b.label for b in found]
-    sure = ["good" if b.label == "good" else "bad" if b.label == "bad" else None for b in found]
-    before, last = [], None
-    for k, b in enumerate(found):
-        before.append(last)
-        last = sure[k] or last
-    after, last = [None] * len(found), None
-    for k in range(len(found) - 1, -1, -1):
-        after[k] = last
-        last = sure[k] or last
-    for k, b in enumerate(found):
-        if first[k] in ("short", "near"):
-            around = {before[k], after[k]}
-            if b.inside:  # the element has decided for it
-                b.label = "good"
-            elif first[k] == "near":
-                b.label = "good" if "good" in around or around == {None} else "bad"
-            elif b.heading:
-                b.label = "good" if after[k] == "good" else "bad"
-            else:
-                b.label = "good" if around <= {"good", None} and "good" in around else "bad"
+    _first_pass(found, framed, rules)
+    _second_pass(found, framed)
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
@@ -249,7 +277,11 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: Rules = Rules()) -> DataFrame:
-    """One row per row of pages: id, url, text, n_chars. Null and empty pages have the empty text; broken markup is read as browsers do, as far as blocks go; repeated rows give repeated rows; other columns are not read."""
+    """One row per row of pages: id, url, text, n_chars.
+
+    Null and empty pages have the empty text; broken markup is read as browsers do, as far as blocks go; long pages are read
+    whole; repeated rows give repeated rows; an empty table gives an empty one. Other columns are not read, so names may clash.
+    """
 
     @F.pandas_udf("text string, n_chars long")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
