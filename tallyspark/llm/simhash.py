@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -140,20 +140,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates, that with the least id, with all its columns. Of rows with equal ids one stays.
+    """One row of each group of near-duplicates, that with the least id, with all its columns, whatever their names.
 
-    Rows without an id are members like others, and link others; one of them stays only where no row of the group has an id.
+    Of rows with equal ids the one with the least fingerprint and then the least hash of its text counts, in a group and
+    among the groups' first rows, so an id stays once at most. Rows without an id are members like others, and link others; one of them stays only where no row of the group has an id. Null
+    and empty texts are one group. An empty table gives an empty one.
+
+    Groups and their firsts are found on ids, fingerprints and hashes alone. The documents then meet the keys of the rows
+    that go, which AQE broadcasts if they are few, and are shuffled once if not; only keys that repeat are dealt with apart.
     """
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("id"), _fingerprints(F.col(text_col)).alias("print")))
+    key = lambda t: [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k"), F.col(id_col).isNull().alias("bare"), F.xxhash64(t).alias("h")]
+    prints = cut(docs.select(*key(F.col(text_col)), _fingerprints(F.col(text_col)).alias("print")).groupBy("k", "bare", "h", "print").agg(F.count(F.lit(1)).alias("times")))
     groups = hamming_components(prints.select(F.col("print").alias("id"), "print"), radius)
-    firsts = prints.groupBy("print").agg(F.min("id").alias("first")).join(groups, "print")
-    firsts = cut(firsts.groupBy("component_id").agg(F.min("first").alias("first"), F.min(F.when(F.col("first").isNull(), F.col("print"))).alias("lead")))
-    named = docs.join(firsts.where("first IS NOT NULL").select(F.col("first").alias(id_col)), id_col, "left_semi")
-    named = named.withColumn("_turn", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
-    bare = docs.where(F.col(id_col).isNull()).withColumn("_print", _fingerprints(F.col(text_col)))
-    bare = bare.join(firsts.where("first IS NULL").select(F.col("lead").alias("_print")), "_print", "left_semi")
-    bare = bare.withColumn("_turn", F.row_number().over(Window.partitionBy("_print").orderBy(text_col)))
-    return named.where("_turn = 1").select(docs.columns).union(bare.where("_turn = 1").select(docs.columns))
+    least = F.min(F.struct("bare", "k", "print", "h", "times")).alias("first")
+    firsts = prints.groupBy("print").agg(least).join(groups, "print").groupBy("component_id").agg(F.min("first").alias("first")).select("first.*")
+    named = firsts.where("NOT bare").groupBy("k").agg(F.min(F.struct("print", "h", "times")).alias("f")).select("k", F.lit(False).alias("bare"), "f.h", "f.times")
+    stay = cut(named.union(firsts.where("bare").select("k", "bare", "h", "times")))
+    keys = ["k", "bare", "h"]
+    gone = prints.select(keys).distinct().join(stay, keys, "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key(F.col(text_col))).join(gone, keys, "left_anti")
+    again = stay.where("times > 1").select(keys)
+    if not again.isEmpty():
+        rows = rows.join(again, keys, "left_anti").union(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,36 @@ def test_pipeline_keeps_nulls_and_columns(spark, tmp_path):
     ids = sorted(str(r.doc_id) for r in stage.collect())
     assert "1" not in ids and len([x for x in ids if x in ("2", "3", "4")]) <= 1
     assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids
+
+
+def write_tables(spark, folder, docs, labels=(), items=()):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, spark.createDataFrame([], SCHEMA))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == [] and corpus_pipeline.corpus(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Columns that have the names of inner ones, of the mix's, or a dot."""
+    clash = [*CLASH, "9 AS source_size", "8 AS repetitions", "7 AS part", "6 AS _print", "5 AS component_id", "4 AS k", "'b' AS bare", "3 AS h", "2 AS times", "1 AS `a.b`", "0 AS none"]
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(70)), "en", "ab"[k % 2]) for k in range(20)], SCHEMA).selectExpr("*", *clash)
+    write_tables(spark, tmp_path, docs.repartition(3), [(1, 1, 0), (2, 1, 0)], [(1, "one two three four five six seven")])
+    stage = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+    for name, rows in (("run", corpus_pipeline.run(spark, str(tmp_path))), ("corpus", corpus_pipeline.corpus(spark, str(tmp_path)))):
+        assert len(set(rows.columns)) == len(rows.columns) and {"size", "taken", "a.b", "_turn", "k"} <= set(rows.columns)
+        rows.write.parquet(f"{tmp_path}/{name}")
+        assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/{name}").collect()} == set(range(20))
+
+
+def test_keep_one_of_equal_ids_with_different_texts(spark):
+    """Id 5 has a copy of 3's text and one of its own: the copy goes, the other stays, whatever the order of rows."""
+    a, b = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(80))
+    for rows in ([(5, a), (5, b), (3, a), (5, b)], [(5, b), (3, a), (5, b), (5, a)]):
+        assert sorted(tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(3, a), (5, b)]
