@@ -3,6 +3,10 @@ items, with personal data redacted, and with the words that each gives to the mi
 
 Every stage works on all rows that its predecessor kept and returns the columns of documents; the last adds the mix's.
 run() has one row for each document with what the mix decides; corpus() has the rows that the mix takes.
+
+Null and empty texts are scored, grouped and kept like others. Long texts are read whole. Rows without an id are members of
+groups and are kept where no row of their group has one; of rows with equal ids one stays. Empty tables give empty ones.
+Further columns are carried through, whatever their names, but for those of the mix's, which win over carried ones.
 """
 
 from __future__ import annotations
