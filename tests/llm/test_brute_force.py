@@ -111,9 +111,48 @@ def test_decontamination(spark):
             best[k] = max(similarity(doc[s : s + wide], k) for s in range(len(doc) - wide + 1))
         wanted[q] = ",".join(str(k) for k, r in best.items() if r >= 0.8 - 1e-12)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame, results = spark.createDataFrame(docs, "doc_id long, text string"), []
     for at in (D.Settings(), D.Settings(items=4)):
-        got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, at=at).collect()
-        assert {r.doc_id: r["items"] for r in got} == wanted
+        results.append({r.doc_id: r.asDict() for r in D.contamination(frame, benchmark, at=at).collect()})
+        assert {k: r["items"] for k, r in results[-1].items()} == wanted
+        assert {r.doc_id for r in D.keep_clean(frame, benchmark, at=at).collect()} == {k for k, x in wanted.items() if not x}
+    assert results[0] == results[1]  # weights, similarities and windows do not depend on the blocks
+
+
+def test_decontamination_index_misses_none_within_the_radius():
+    rng = np.random.default_rng(18)
+    items = [(k, " ".join(rng.choice([f"w{j}" for j in range(900)], 12))) for k in range(300)]
+    index = D.Index(items, len(items))
+    prints = index.prints[rng.integers(300, size=400)].view(np.uint8)
+    bits = np.unpackbits(prints, axis=1, bitorder="little")
+    for row in bits:
+        row[rng.choice(128, rng.integers(0, 40), replace=False)] ^= 1
+    prints = np.packbits(bits, axis=1, bitorder="little").view(np.uint16)
+    far = np.bitwise_count(prints[:, None] ^ index.prints[None]).sum(axis=2)
+    assert set(zip(*(x.tolist() for x in index.within(prints)))) == set(zip(*(x.tolist() for x in np.nonzero(far <= 31))))
+
+
+def test_decontamination_radius_holds_similar_windows():
+    """Of windows with a similarity of at least 0.8 to items of 6 to 60 words, nearly all lie within the radius."""
+    rnd, near, total = random.Random(19), 0, 0
+    words = vocabulary(rnd, 4000)
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.choice([6, 9, 12, 15, 25, 60])))) for k in range(400)]
+    index = D.Index(items, len(items))
+    for k, (_, text) in enumerate(items):
+        for _ in range(6):
+            w = text.split()
+            cut, n = rnd.randint(0, 3), len(w)
+            w = w[cut:] + [rnd.choice(words) for _ in range(cut)] if rnd.random() < 0.5 else [rnd.choice(words) for _ in range(cut)] + w[: n - cut]
+            if n > 30:
+                w[rnd.randrange(n)] = rnd.choice(words)
+            have, want = Counter(D._shingles(w, 5)), index.counts[k]
+            weigh = lambda x: index.weight.get(x, index.rare)
+            similar = sum(weigh(x) * min(have[x], c) for x, c in want.items()) / sum(weigh(x) * max(have[x], want[x]) for x in {**have, **want})
+            if 0.8 <= similar < 1:
+                bits = np.packbits(index._signs(list(have.elements())).sum(axis=0) > 1e-9, bitorder="little").view(np.uint16)
+                total += 1
+                near += np.bitwise_count(bits ^ index.prints[k]).sum() <= 31
+    assert total > 200 and near / total > 0.995
 
 
 def test_quality_counts():
