@@ -18,25 +18,28 @@ from tallyspark.functions import scalars as S
 _UNRESOLVED = "array<string>"
 
 
-def candidate_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Units x limits that may apply: in the unit's currency (amount limits), with no known dimension outside the allowed values; unresolved lists unknown dimensions."""
-    joined = units.join(F.broadcast(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
-    rows = joined.withColumn("limit", F.explode("limits")).drop("limits")
-    rows = rows.where((F.col("limit_kind") != "amount") | (F.col("limit.currency") == F.col("currency")))
-    value = lambda k: F.lower(F.trim(F.try_element_at(F.col("dims"), k)))
-    fits = F.forall(F.map_entries("limit.when"), lambda e: F.coalesce(F.array_contains(F.transform(e["value"], lambda a: F.lower(F.trim(a))), value(e["key"])), F.lit(True)))
-    unresolved = F.filter(F.map_keys("limit.when"), lambda k: value(k).isNull())
-    return rows.where(F.coalesce(fits, F.lit(True))).withColumn("unresolved", F.coalesce(unresolved, F.array().cast(_UNRESOLVED)))
+def _dim(k: Column) -> Column:
+    return F.lower(F.trim(F.try_element_at(F.col("dims"), k)))
 
 
-def per_unit(rows: DataFrame) -> DataFrame:
-    """compared, the amount per unit, and limit_value, what it is compared with; missing names what is lacking (compared is null then)."""
+def _may_apply(limit: Column) -> Column:
+    """A limit in the unit's currency (amount limits), with no known dimension outside the allowed values."""
+    fits = F.forall(F.map_entries(limit["when"]), lambda e: F.coalesce(F.array_contains(F.transform(e["value"], lambda a: F.lower(F.trim(a))), _dim(e["key"])), F.lit(True)))
+    return ((F.col("limit_kind") != "amount") | F.coalesce(limit["currency"] == F.col("currency"), F.lit(False))) & F.coalesce(fits, F.lit(True))
+
+
+def _unknown(limit: Column) -> Column:
+    """The dimensions that a limit names and the unit does not have."""
+    return F.coalesce(F.filter(F.map_keys(limit["when"]), lambda k: _dim(k).isNull()), F.array().cast(_UNRESOLVED))
+
+
+def _compared() -> Column:
+    """The amount per unit; null if something that it needs is lacking."""
     unit, base = F.col("limit_unit"), F.col("base_amount")
     over = lambda c: S.money(base.cast("decimal(12,2)") / F.nullif(F.col(c), F.lit(0)).cast("decimal(10,0)"))
-    count = F.col("limit_kind") == "count"
-    compared = (
+    return (
         F.when(base.isNull(), None)
-        .when(count, (F.col("n_peers") + 1).cast("decimal(14,2)"))
+        .when(F.col("limit_kind") == "count", (F.col("n_peers") + 1).cast("decimal(14,2)"))
         .when(unit == "per_night", over("nights"))
         .when(unit == "per_day", over("days"))
         .when(unit == "per_person", over("persons"))
@@ -45,35 +48,57 @@ def per_unit(rows: DataFrame) -> DataFrame:
         .when((unit == "percent_of_amount") & F.col("base_of_percent").isNull(), None)
         .otherwise(S.money(base))
     )
-    limit = F.when(~count & (unit == "per_km"), S.money(F.col("limit.amount") * F.col("distance_km"))).when(~count & (unit == "percent_of_amount"), S.money(F.col("limit.amount") * F.col("base_of_percent") / 100)).otherwise(F.col("limit.amount").cast("decimal(14,2)"))
+
+
+def _limit_value(limit: Column) -> Column:
+    """What the amount per unit is compared with."""
+    unit, count = F.col("limit_unit"), F.col("limit_kind") == "count"
+    return F.when(~count & (unit == "per_km"), S.money(limit["amount"] * F.col("distance_km"))).when(~count & (unit == "percent_of_amount"), S.money(limit["amount"] * F.col("base_of_percent") / 100)).otherwise(limit["amount"].cast("decimal(14,2)"))
+
+
+def _lacking() -> Column:
     names = {"per_night": "stay_nights", "per_day": "trip_days", "per_person": "attendee_count", "per_month": "monthly_history", "per_km": "distance_km", "percent_of_amount": "percent_base_amount"}
-    lacking = F.when(base.isNull(), "document_amount").when(count, "monthly_history").otherwise(S.lookup(names, unit))
-    rows = rows.withColumn("compared", compared).withColumn("limit_value", limit)
-    return rows.withColumn("missing", F.when(F.col("compared").isNull(), lacking)).withColumn("within", F.when(F.col("limit_inclusive"), F.col("compared") <= F.col("limit_value")).otherwise(F.col("compared") < F.col("limit_value")))
+    return F.when(F.col("base_amount").isNull(), "document_amount").when(F.col("limit_kind") == "count", "monthly_history").otherwise(S.lookup(names, F.col("limit_unit")))
+
+
+def candidate_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Units x limits that may apply: in the unit's currency (amount limits), with no known dimension outside the allowed values; unresolved lists unknown dimensions."""
+    joined = units.join(F.broadcast(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
+    rows = joined.withColumn("limit", F.explode(F.filter("limits", lambda x: _may_apply(x)))).drop("limits")
+    return rows.withColumn("unresolved", _unknown(F.col("limit")))
+
+
+def per_unit(rows: DataFrame) -> DataFrame:
+    """compared, the amount per unit, and limit_value, what it is compared with; missing names what is lacking (compared is null then)."""
+    rows = rows.withColumn("compared", _compared()).withColumn("limit_value", _limit_value(F.col("limit")))
+    return rows.withColumn("missing", F.when(F.col("compared").isNull(), _lacking())).withColumn("within", F.when(F.col("limit_inclusive"), F.col("compared") <= F.col("limit_value")).otherwise(F.col("compared") < F.col("limit_value")))
 
 
 def resolve_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row per unit: comparison (within_limit, at_limit, over_limit, no_limit, not_evaluated), compared, limit_applied, missing.
 
     With all dimensions known, different limits are ambiguous. With some unknown, the outcome counts only if all possible
-    limits agree: the least is reported if all hold, the greatest if none does.
+    limits agree: the least is reported if all hold, the greatest if none does. A clause's limits are few, so they stay an
+    array of the unit's row: no shuffle.
     """
-    found = per_unit(candidate_limits(units, clauses)).groupBy("unit_id").agg(
-        F.bool_and("within").alias("all_in"), F.bool_or("within").alias("some_in"), F.count_distinct("limit_value").alias("n_limits"), F.min("limit_value").alias("least"), F.max("limit_value").alias("most"),
-        F.min("compared").alias("compared"), F.max("missing").alias("lacking"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("unresolved")))).alias("unknown_dims"),
-    )
-    shape = clauses.select("clause_id", "limit_unit", "limit_kind", F.size("limits").alias("n_entries"), F.transform("limits", lambda x: x["currency"]).alias("currencies"))
-    rows = units.join(F.broadcast(shape), "clause_id").join(found, "unit_id", "left")
-    money_limit = F.col("limit_kind") == "amount"
     none = F.array().cast(_UNRESOLVED)
+    rows = units.join(F.broadcast(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
+    found = F.filter("limits", lambda x: _may_apply(x))
+    rows = rows.withColumn("found", F.transform(found, lambda x: F.struct(_limit_value(x).alias("value"), _unknown(x).alias("unknown")))).withColumn("compared", _compared())
+    within = F.transform("found", lambda x: F.when(F.col("limit_inclusive"), F.col("compared") <= x["value"]).otherwise(F.col("compared") < x["value"]))
+    values = F.transform("found", lambda x: x["value"])
+    rows = rows.select("unit_id", "currency", "limit_unit", "limit_kind", "compared", F.size("limits").alias("n_entries"), F.transform("limits", lambda x: x["currency"]).alias("currencies"), _lacking().alias("lacking"), F.size("found").alias("n_found"),
+        F.coalesce(F.forall(within, lambda x: x), F.lit(True)).alias("all_in"), F.coalesce(F.exists(within, lambda x: x), F.lit(False)).alias("some_in"), F.size(F.array_distinct(values)).alias("n_limits"), F.array_min(values).alias("least"), F.array_max(values).alias("most"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["unknown"])))).alias("unknown_dims"))
+    money_limit = F.col("limit_kind") == "amount"
     missing = (
         F.when((F.col("limit_unit") == "unknown") & (F.col("n_entries") > 0), F.array(F.lit("policy_limit_unit")))
         .when(F.col("limit_unit").isin("none", "unknown"), none)
         .when(F.col("n_entries") == 0, F.array(F.lit("policy_limit_missing")))
         .when(money_limit & F.col("currency").isNull(), F.array(F.lit("currency")))
         .when(money_limit & ~F.array_contains("currencies", F.col("currency")), F.array(F.lit("fx_rate")))
-        .when(F.col("n_limits").isNull(), F.array(F.lit("applicable_limit")))
-        .when(F.col("lacking").isNotNull(), F.array(F.col("lacking")))
+        .when(F.col("n_found") == 0, F.array(F.lit("applicable_limit")))
+        .when(F.col("compared").isNull(), F.array(F.col("lacking")))
         .when((F.size("unknown_dims") == 0) & (F.col("n_limits") > 1), F.array(F.lit("applicable_limit")))
         .when((F.size("unknown_dims") > 0) & F.col("some_in") & ~F.col("all_in"), F.col("unknown_dims"))
         .otherwise(none)
@@ -149,11 +174,42 @@ def category_clauses(categories: DataFrame, clauses: DataFrame) -> DataFrame:
     return own.unionByName(categories.select("category").crossJoin(F.broadcast(everywhere))).distinct()
 
 
-def overlapping_limits(clauses: DataFrame) -> DataFrame:
-    """Pairs of limits, in one clause or in clauses of a shared category, that can apply to one unit and differ."""
-    rows = clauses.select("clause_id", "limit_unit", F.explode("applies_to").alias("category"), F.posexplode("limits").alias("k", "limit"))
-    a, b = rows.select("category", "limit_unit", *[F.col(c).alias(f"a_{c}") for c in ("clause_id", "k", "limit")]), rows.select("category", "limit_unit", *[F.col(c).alias(f"b_{c}") for c in ("clause_id", "k", "limit")])
-    pairs = a.join(b, ["category", "limit_unit"]).where("struct(a_clause_id, a_k) < struct(b_clause_id, b_k)").where("a_limit.currency = b_limit.currency AND a_limit.amount <> b_limit.amount")
+def monthly_peers(docs: DataFrame) -> DataFrame:
+    """document_id, n_peers, peers_total of documents with a currency: the employee's others of the category, currency and month, in submitted claims or in this one.
+
+    Sums per employee, category, currency and month, less the document's own share: no pairs are made.
+    """
+    rows = docs.where("currency IS NOT NULL").select("document_id", "claim_id", "claim_status", "employee_id", "category", "currency", "amount", F.trunc("bill_date", "month").alias("m"))
+    key = ["employee_id", "category", "currency", "m"]
+    per = rows.groupBy(*key, "claim_id", "claim_status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
+    shared = per.where("claim_status = 'submitted'").groupBy(*key).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    open_ = F.col("claim_status") != "submitted"
+    own = per.select(*key, "claim_id", F.when(open_, F.col("n")).otherwise(0).alias("own_n"), F.when(open_, F.col("s")).otherwise(0).alias("own_s"))
+    joined = rows.join(own, [*key, "claim_id"]).join(shared, key, "left")
+    total = F.coalesce("all_s", F.lit(0)) + F.col("own_s") - F.col("amount")
+    return joined.select("document_id", (F.coalesce("all_n", F.lit(0)) + F.col("own_n") - 1).alias("n_peers"), total.cast("decimal(22,2)").alias("peers_total"))
+
+
+def facts(docs: DataFrame, claims: DataFrame, employees: DataFrame, today: Column) -> DataFrame:
+    """docs with grade (upper case, trimmed), days_since_expense, approval_evidenced, n_peers and peers_total.
+
+    claims: claim_id, submitted_on, note; employees: employee_id, grade. A claim counts from the day on which it was submitted,
+    one that was not from today. Approval is evidenced by a note, or by another document of the claim that is a correspondence.
+    """
+    letter = (F.col("document_type") == "approval_correspondence").cast("int")
+    letters = docs.groupBy("claim_id").agg(F.sum(letter).alias("letters"))
+    rows = docs.join(claims.select("claim_id", "submitted_on", "note"), "claim_id").join(letters, "claim_id").join(employees.select("employee_id", F.upper(F.trim("grade")).alias("grade")), "employee_id", "left")
+    rows = rows.join(monthly_peers(docs), "document_id", "left")
+    evidence = (F.trim(F.coalesce("note", F.lit(""))) != "") | (F.col("letters") > F.coalesce(letter, F.lit(0)))
+    return rows.withColumn("days_since_expense", F.datediff(F.coalesce("submitted_on", today), "bill_date")).withColumn("approval_evidenced", evidence).drop("letters", "submitted_on", "note")
+
+
+def overlapping_limits(clauses: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Pairs of limits, in one clause or in clauses of a shared category, that can apply to one unit and differ: an equi-join on category, scope and currency."""
+    keys = ["category", *(scope or ["limit_unit"]), "currency"]
+    rows = clauses.select("clause_id", *keys[1:-1], F.explode("applies_to").alias("category"), F.posexplode("limits").alias("k", "limit")).withColumn("currency", F.coalesce("limit.currency", F.lit("")))
+    side = lambda x: rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in ("clause_id", "k", "limit")])
+    pairs = side("a").join(side("b"), keys).where("struct(a_clause_id, a_k) < struct(b_clause_id, b_k)").where("a_limit.amount <> b_limit.amount")
     shared = F.forall(F.map_keys("a_limit.when"), lambda k: F.coalesce(F.arrays_overlap(F.try_element_at(F.col("a_limit.when"), k), F.try_element_at(F.col("b_limit.when"), k)), F.lit(True)))
     return pairs.where(shared).select("a_clause_id", "a_k", "b_clause_id", "b_k").distinct()
 

@@ -140,11 +140,6 @@ def checks_passed(spark, d):
     return versions(spark, d).groupBy("document_id").agg(F.count_if(F.col("amount") <= F.col("price")).alias("passed"), F.count(F.lit(1)).alias("n"))
 
 
-@query("A16_limit_summary", f"WITH {DOCS} SELECT category, count(*) AS n, min(amount) AS least, max(amount) AS most, array_to_string(list_sort(list(DISTINCT currency) FILTER (currency IS NOT NULL)), ',') AS currencies FROM docs GROUP BY 1")
-def limit_summary(spark, d):
-    return docs(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("amount").alias("least"), F.max("amount").alias("most"), F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"))
-
-
 @query("F1_visible", f"WITH {DOCS} SELECT document_id FROM docs WHERE doc_status <> 'confirmed'")
 def visible(spark, d):
     return docs(spark, d).where("doc_status <> 'confirmed'").select("document_id")

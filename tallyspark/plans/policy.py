@@ -146,14 +146,7 @@ def idempotent_runs(spark, d):
 @query("J5_monthly_peers", f"""WITH {DOCS}, d AS (SELECT *, date_trunc('month', bill_date)::DATE AS m FROM docs WHERE currency IS NOT NULL)
   SELECT a.document_id, count(b.document_id) AS n_peers, coalesce(sum(b.amount), 0)::DECIMAL(22,2) AS peers_total FROM d a LEFT JOIN d b ON a.employee_id = b.employee_id AND a.category = b.category AND a.currency = b.currency AND a.m = b.m AND a.document_id <> b.document_id AND (b.claim_status = 'submitted' OR b.claim_id = a.claim_id) GROUP BY 1""")
 def monthly_peers(spark, d):
-    """Sums per employee, category, currency and month, less the document's own share: no pairs are made."""
-    rows = docs(spark, d).where("currency IS NOT NULL").withColumn("m", F.trunc("bill_date", "month"))
-    key = ["employee_id", "category", "currency", "m"]
-    per = rows.groupBy(*key, "claim_id", "claim_status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
-    shared = per.where("claim_status = 'submitted'").groupBy(*key).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    own = per.select(*key, "claim_id", F.when(F.col("claim_status") == "submitted", 0).otherwise(F.col("n")).alias("own_n"), F.when(F.col("claim_status") == "submitted", 0).otherwise(F.col("s")).alias("own_s"))
-    joined = rows.join(own, [*key, "claim_id"]).join(shared, key, "left")
-    return joined.select("document_id", (F.coalesce("all_n", F.lit(0)) + F.col("own_n") - 1).alias("n_peers"), (F.coalesce("all_s", F.lit(0)) + F.col("own_s") - F.col("amount")).cast("decimal(22,2)").alias("peers_total"))
+    return L.monthly_peers(docs(spark, d))
 
 
 @query("P45_effective_verdict", f"WITH {_VERDICTS} SELECT unit_id, CASE WHEN unit_id % 10 = 3 THEN 'compliant' ELSE verdict END AS verdict FROM ver")
@@ -162,23 +155,7 @@ def effective_verdict(spark, d):
     return L.verdicts(units(spark, d), clauses(spark)).join(human, "unit_id", "left").select("unit_id", F.coalesce("human", "verdict").alias("verdict"))
 
 
-_OVERLAPS = """WITH p AS (SELECT DISTINCT p_type, floor(p_retailprice)::DECIMAL(12,2) AS a FROM part), r AS (SELECT *, (row_number() OVER (PARTITION BY p_type ORDER BY a) - 1)::INT AS k FROM p QUALIFY k < 3)
-  SELECT x.p_type AS a_clause_id, x.k AS a_k, y.p_type AS b_clause_id, y.k AS b_k FROM r x JOIN r y ON split_part(x.p_type, ' ', 1) = split_part(y.p_type, ' ', 1) AND (x.p_type < y.p_type OR x.p_type = y.p_type AND x.k < y.k) AND x.a <> y.a"""
-
-
-@query("L12_overlapping_limits", _OVERLAPS)
-def overlapping_limits(spark, d):
-    """Each part type is a clause with its three lowest prices as limits."""
-    from tallyspark.plans.proxy import table
-
-    prices = table(spark, d, "part").groupBy("p_type").agg(F.sort_array(F.collect_set(F.floor("p_retailprice").cast("decimal(12,2)"))).alias("a"))
-    limit = lambda x: F.struct(x.alias("amount"), F.lit("INR").alias("currency"), F.create_map().cast("map<string,array<string>>").alias("when"))
-    rows = prices.select(F.col("p_type").alias("clause_id"), F.lit("per_item").alias("limit_unit"), F.array(F.substring_index("p_type", " ", 1)).alias("applies_to"), F.transform(F.slice("a", 1, 3), limit).alias("limits"))
-    return L.overlapping_limits(rows)
-
-
 query("J14_applicable_limits", f"WITH {_UNITS} SELECT unit_id, lim_amount AS amount, open AS unresolved FROM cand")(candidate_limits)
-query("J15_limit_overlaps", _OVERLAPS)(overlapping_limits)
 
 
 @query("U2_thresholds", """WITH t(clause_id, currency, amount, kind, category) AS (VALUES ('L-NIGHT', 'INR', 4000::DECIMAL(12,2), 'approval', 'PROMO BURNISHED COPPER'), ('L-NIGHT', 'USD', 4500, 'approval', 'PROMO BURNISHED COPPER'), ('L-PERSON', 'INR', 0, 'approval', 'ECONOMY ANODIZED STEEL'), ('L-NIGHT', NULL, 1000, 'documentation', 'PROMO BURNISHED COPPER'))
@@ -207,31 +184,6 @@ def segments(spark, d):
     return marked.groupBy("doc_id", F.coalesce("section", F.lit(-1)).cast("long").alias("segment")).agg(F.md5(text).alias("digest"), F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("L11_days_since_expense", f"WITH {DOCS} SELECT document_id, CASE WHEN bill_date - created_on >= 0 THEN (bill_date - created_on)::INT END AS days FROM docs")
-def days_since(spark, d):
-    days = F.datediff("bill_date", "created_on")
-    return docs(spark, d).select("document_id", F.when(days >= 0, days).alias("days"))
-
-
-@query("L13_findings", "SELECT doc_id, f AS finding FROM (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '(?i)version') THEN 'UNCAPTURED_NUMBERS' END, CASE WHEN n_chars < 100 THEN 'UNSTRUCTURED' END, CASE WHEN text LIKE '% | %' THEN 'TABLE_NOT_STRUCTURED' END], lambda x: x IS NOT NULL)) AS f FROM documents)")
-def findings(spark, d):
-    """Findings on rule texts: numbers that no structure holds, texts too short to structure, tables left as text."""
-    from tallyspark.plans.proxy import table
-
-    text = F.col("text")
-    found = F.array_compact(F.array(F.when(text.rlike("[0-9]") & ~text.rlike("(?i)version"), "UNCAPTURED_NUMBERS"), F.when(F.col("n_chars") < 100, "UNSTRUCTURED"), F.when(text.contains(" | "), "TABLE_NOT_STRUCTURED")))
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("finding"))
-
-
-@query("L14_schema_problems", "SELECT event_id, len(list_filter([event_type NOT IN ('click', 'view', 'purchase'), value < 30, user_id % 2 = 0], lambda x: x))::BIGINT AS n_problems FROM events")
-def schema_problems(spark, d):
-    """Every failed predicate of a row is listed, not only the first."""
-    from tallyspark.plans.proxy import table
-
-    problems = F.array_compact(F.array(F.when(~F.col("event_type").isin("click", "view", "purchase"), "type"), F.when(F.col("value") < 30, "value"), F.when(F.col("user_id") % 2 == 0, "user")))
-    return table(spark, d, "events").select("event_id", F.size(problems).cast("long").alias("n_problems"))
-
-
 @query("L15_overrides", f"WITH {DOCS} SELECT document_id, CASE WHEN doc_status = 'confirmed' THEN 'reviewed' ELSE category END AS category, CASE WHEN doc_status = 'confirmed' THEN category END AS before FROM docs")
 def clause_overrides(spark, d):
     rows = docs(spark, d)
@@ -246,25 +198,8 @@ def publish(spark, d):
     return L.publish(table(spark, d, "nation").select(F.col("n_name").alias("label"), F.lit(True).alias("is_active")), "NEW")
 
 
-@query("L18_table_rows", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: len(string_split(x, ' | ')) > 2))::BIGINT AS n_rows, coalesce(list_max(list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' | ')))), 0)::BIGINT AS widest FROM documents")
-def table_rows(spark, d):
-    """Pipe-separated rows of texts and their widest row."""
-    from tallyspark.plans.proxy import table
-
-    cells = F.transform(F.split("text", "\n"), lambda x: F.size(F.split(x, r" \| ")))
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(cells, lambda n: n > 2)).cast("long").alias("n_rows"), F.array_max(cells).cast("long").alias("widest"))
-
-
 @query("L19_explanations", f"WITH {_VERDICTS} SELECT unit_id, CASE comparison WHEN 'over_limit' THEN 'over the limit' WHEN 'within_limit' THEN 'within the limit' WHEN 'at_limit' THEN 'at the limit' WHEN 'no_limit' THEN 'no limit applies' ELSE 'cannot be compared: ' || missing END AS explanation FROM ver")
 def explanations(spark, d):
     names = F.create_map(*[F.lit(x) for p in {"over_limit": "over the limit", "within_limit": "within the limit", "at_limit": "at the limit", "no_limit": "no limit applies"}.items() for x in p])
     lacking = F.concat(F.lit("cannot be compared: "), F.array_join("missing", ","))
     return L.verdicts(units(spark, d), clauses(spark)).select("unit_id", F.coalesce(F.try_element_at(names, F.col("comparison")), lacking).alias("explanation"))
-
-
-@query("P49_clause_round_trip", f"WITH {_UNITS} SELECT clause_id, CASE WHEN count(*) = 1 THEN max(amount) END AS only_limit FROM lim GROUP BY 1")
-def clause_round_trip(spark, d):
-    """To JSON and back; the only limit of a clause is its scalar limit."""
-    kind = "clause_id string, limits array<struct<amount:decimal(12,2),currency:string>>"
-    back = clauses(spark).select(F.from_json(F.to_json(F.struct("clause_id", "limits")), kind).alias("c")).where("size(c.limits) > 0")
-    return back.select("c.clause_id", F.when(F.size("c.limits") == 1, F.col("c.limits")[0]["amount"]).alias("only_limit"))

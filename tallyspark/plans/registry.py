@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "claims", "fraud", "policy", "documents", "evaluation", "responses", "io", "paths")
+MODULES = ("scalars", "claims", "fraud", "policy", "ruleset", "documents", "evaluation", "responses", "io", "paths")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
