@@ -46,6 +46,6 @@ def contract(rows: DataFrame, id_col: str, required: list[str], domains: dict[st
     sums += [F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)).alias(f"domain {c}") for c, allowed in domains.items()]
     sums.append((F.count(F.lit(1)) - F.count_distinct(id_col)).alias(f"repeated {id_col}"))
     one = rows.agg(*sums)
-    long = one.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(f"`{c}`")) for c in one.columns]))).alias("check", "problems"))
+    long = one.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("problems")) for c in one.columns]))).alias("check", "problems"))
     few = rows.where(F.col(category).isNotNull()).groupBy(category).count().where(F.col("count") < least).agg(F.count(F.lit(1)).alias("problems"))
     return long.unionByName(few.select(F.lit(f"few {category}").alias("check"), "problems"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -100,3 +101,27 @@ def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block:
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def backfill(rows: DataFrame, category: str, document_type: Column, text: Column) -> DataFrame:
+    """rows whose category is missing get the rules' one, with its confidence and method "rules"; evidence documents stay without; the others stay as they are."""
+    missing, found = F.col(category).isNull(), rule_category(document_type, text)
+    return rows.select(*[c for c in rows.columns if c != category], F.when(missing, found["category"]).otherwise(F.col(category)).alias(category), F.when(missing, found["confidence"]).alias("backfilled_confidence"), F.when(missing & found["category"].isNotNull(), "rules").alias("backfilled_by"))
+
+
+def carried(before: Column, confidence: Column, method: Column, after: Column) -> Column:
+    """struct(category, confidence, method) of an edited version: what it had, or "employee" without a confidence where the category was changed."""
+    same = before.eqNullSafe(after)
+    return F.struct(after.alias("category"), F.when(same, confidence).alias("confidence"), F.when(same, method).otherwise("employee").alias("method"))
+
+
+def dispatch(rows: DataFrame, key: str, methods: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(key, method, category, confidence): the predictions of every method, each a function of rows -> key, category, confidence."""
+    some = [run(rows).select(key, F.lit(name).alias("method"), "category", F.col("confidence").cast("double").alias("confidence")) for name, run in methods.items()]
+    return reduce(DataFrame.unionByName, some)
+
+
+def to_do(rows: DataFrame, predictions: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """rows without a valid prediction: one of this fingerprint and without an error."""
+    valid = predictions.where((F.col("fingerprint") == fingerprint) & F.col("error").isNull())
+    return rows.join(valid.select(key), key, "left_anti")

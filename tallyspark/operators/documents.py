@@ -156,3 +156,13 @@ def needs_review(checks: DataFrame, claims: DataFrame) -> DataFrame:
 def better_attempt(attempts: DataFrame) -> DataFrame:
     """attempts: document_id, attempt, passed. The repair wins only if strictly more checks pass."""
     return attempts.groupBy("document_id").agg(F.max_by("attempt", F.struct("passed", -F.col("attempt"))).alias("chosen"))
+
+
+def run_summary(checks: DataFrame, attempts: DataFrame, price_in: Column, price_out: Column) -> DataFrame:
+    """document_id, passed, n_checks, tokens, cost. checks: document_id, passed; attempts: document_id, prompt, completion, of the first attempt and of a repair. A document without checks has 0 of 0."""
+    from tallyspark.functions import scalars as S
+
+    cost = S.call_cost(F.col("prompt"), F.col("completion"), price_in, price_out)
+    spent = attempts.groupBy("document_id").agg(F.sum(F.col("prompt") + F.col("completion")).alias("tokens"), F.sum(cost).alias("cost"))
+    done = checks.groupBy("document_id").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("n_checks"))
+    return spent.join(done, "document_id", "left").select("document_id", F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("n_checks", F.lit(0)).alias("n_checks"), "tokens", "cost")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -102,21 +103,37 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def match_items(expected: DataFrame, found: DataFrame, least: float = 0.6) -> DataFrame:
-    """(doc, name) tables -> matched, missed, extra per document. Each expected item, in order, takes the best item that is left: sequential in a document, parallel over documents."""
+    """(doc, pos, name) tables -> matched, missed, extra per document. Each expected item, in order, takes the best item that is left: sequential in a document, parallel over documents.
+
+    Tasks read their documents one after the other from sorted rows, so that small documents cost no call each.
+    """
     sides = expected.select("doc", F.lit(0).alias("side"), "pos", "name").unionByName(found.select("doc", F.lit(1).alias("side"), "pos", "name"))
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "pos"])
-        left, matched, wanted = list(rows.loc[rows["side"] == 1, "name"]), 0, list(rows.loc[rows["side"] == 0, "name"])
-        total = len(left)
+    def greedy(wanted: list[str], left: list[str]) -> tuple[int, int, int]:
+        matched, left = 0, list(left)
         for name in wanted:
             scores = [_ratio(name, x) for x in left]
             if scores and max(scores) >= least:
                 left.pop(scores.index(max(scores)))
                 matched += 1
-        return pd.DataFrame({"doc": [rows["doc"].iloc[0]], "matched": [matched], "missed": [len(wanted) - matched], "extra": [total - matched]})
-
-    return sides.groupBy("doc").applyInPandas(greedy, "doc long, matched long, missed long, extra long")
+        return matched, len(wanted) - matched, len(left)
+
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, names = None, ([], [])
+        for batch in batches:
+            out = []
+            for d, side, name in zip(batch["doc"].tolist(), batch["side"].tolist(), batch["name"].tolist(), strict=True):
+                if doc is not None and d != doc:
+                    out.append((doc, *greedy(*names)))
+                    names = ([], [])
+                doc = d
+                names[side].append(name)
+            yield pd.DataFrame(out, columns=["doc", "matched", "missed", "extra"])
+        if doc is not None:
+            yield pd.DataFrame([(doc, *greedy(*names))], columns=["doc", "matched", "missed", "extra"])
+
+    dealt = sides.where("doc IS NOT NULL").repartition("doc").sortWithinPartitions("doc", "side", "pos")
+    return dealt.mapInPandas(documents, "doc long, matched long, missed long, extra long")
 
 
 def pairs_of_lines(lines: DataFrame) -> DataFrame:
@@ -140,3 +157,21 @@ def corpus_summary(scores: DataFrame) -> DataFrame:
     """scores: doc, correct, total. Documents without pairs are skipped."""
     per = scores.where("total > 0")
     return per.agg(F.count(F.lit(1)).alias("documents"), F.try_divide(F.sum("correct"), F.sum("total")).alias("accuracy"), F.count_if(F.col("correct") == F.col("total")).alias("all_correct"))
+
+
+def agreement(rows: DataFrame, silver: str, gold: str) -> DataFrame:
+    """label, n, agreed, overridden for each silver label and, with label null, for all rows: the most overridden labels are the first ones by `overridden`."""
+    same = F.col(silver).eqNullSafe(F.col(gold))
+    per = rows.select(F.col(silver).alias("label"), same.alias("same")).rollup("label").agg(F.grouping("label").alias("all"), F.count(F.lit(1)).alias("n"), F.count_if("same").alias("agreed"))
+    return per.select(F.when(F.col("all") == 0, F.coalesce(F.col("label").cast("string"), F.lit("none"))).alias("label"), "n", "agreed", (F.col("n") - F.col("agreed")).alias("overridden"))
+
+
+def menu_items(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, pos, sub, nm, price, cnt): a menu is an object or an array of objects; an entry counts if it has a name or a price, and each of its sub-items beside it."""
+    listed = lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False)), F.try_variant_get(v, "$", "array<variant>")).when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), F.array(v)).otherwise(F.array().cast("array<variant>"))
+    whole = lambda vs: F.filter(vs, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    field = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias(name)
+    entries = rows.select(key, F.try_parse_json(F.col(json)).alias("m")).select(key, F.posexplode(whole(listed(F.col("m")))).alias("pos", "v"))
+    own = entries.select(key, "pos", F.lit(None).cast("int").alias("sub"), field("nm"), field("price"), field("cnt")).where("nm IS NOT NULL OR price IS NOT NULL")
+    subs = entries.select(key, "pos", F.posexplode(whole(listed(F.try_variant_get("v", "$.sub", "variant")))).alias("sub", "v"))
+    return own.unionByName(subs.select(key, "pos", "sub", field("nm"), field("price"), field("cnt")))

@@ -131,3 +131,8 @@ def score(results: list[DataFrame]) -> DataFrame:
     per = rows.groupBy("claim_id").agg(F.least(F.lit(100), F.sum(F.when(fired, S.lookup(T.WEIGHTS, F.col("rule_id"))).otherwise(0))).cast("long").alias("risk_score"), F.count_if(fired).alias("n_fired"), F.count_if(F.col("status") != "not_applicable").alias("assessable"), F.count(F.lit(1)).alias("n_rules"))
     band = F.when((F.col("n_fired") == 0) & (F.col("assessable") < T.MIN_ASSESSABLE), "unassessable").when(F.col("risk_score") >= T.BAND_HIGH, "high").when(F.col("risk_score") >= T.BAND_MEDIUM, "medium").otherwise("low")
     return per.withColumn("risk_band", band)
+
+
+def duplicate_files(files: DataFrame, keys: list[str], removed: Column) -> DataFrame:
+    """keys and n: files that stand more than once among those that were not removed."""
+    return files.where(~F.coalesce(removed, F.lit(False))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -20,7 +20,7 @@ def flatten(rows: DataFrame, key: str, json: str, depth: int = 3, cut: int = 160
     for k in range(depth + 1):
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        text = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
+        text = F.when(kind != "VOID", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
         short = F.when(F.length(text) > cut, F.concat(F.left(text, F.lit(cut)), F.lit("..."))).otherwise(text)
         leaves.append(level.where((F.col("path") != "") & (F.lit(True) if k == depth else ~nested)).select(key, "path", short.alias("value")))
         if k < depth:
@@ -58,3 +58,9 @@ def reason_required(changes: DataFrame, failing: Column, printed: Column) -> Dat
     money, grows = S.money_field(F.col("field_path")), S.inflatable_field(F.col("field_path")) & (F.col("direction") == "increase")
     free = F.col("change_type") == "suggestion_applied"
     return changes.withColumn("reason_required", (money & failing) | (~free & (grows | (money & ~printed))))
+
+
+def resolve(requests: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
+    """requests (key, path, and more) with value and found: a path whose value is null is found, one that is not there is not."""
+    there = leaves.select(key, "path", "value", F.lit(True).alias("found"))
+    return requests.join(there, [key, "path"], "left").withColumn("found", F.coalesce("found", F.lit(False)))

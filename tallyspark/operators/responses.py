@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions import tables as T
 
 
 def category_answer(answer: Column, categories: list[str]) -> Column:
@@ -90,3 +91,52 @@ def normalize_extraction(answer: Column, types: list[str]) -> Column:
 def request_text(vendor: Column, items: Column, fields: Column) -> Column:
     """Vendor, the first 20 items of 80 characters, and 800 characters of further fields."""
     return F.concat_ws("\n", vendor, F.concat_ws(", ", F.transform(F.slice(items, 1, 20), lambda x: F.substring(x, 1, 80))), F.substring(fields, 1, 800))
+
+
+def units_failure(answer: Column) -> Column:
+    """not_json, or no_units if there is no list of objects that has any; else null."""
+    v = F.try_parse_json(answer)
+    units = F.try_variant_get(v, "$.units", "array<variant>")
+    whole = F.coalesce(F.size(units) > 0, F.lit(False)) & F.coalesce(F.forall(units, lambda u: F.schema_of_variant(u).startswith("OBJECT")), F.lit(False))
+    return F.when(v.isNull(), "not_json").when(~whole, "no_units")
+
+
+def quantities(specs: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
+    """(key, quantity, value, failure, note) of quantities that an answer derives from paths of the document.
+
+    specs: key, quantity (nights, days, persons, distance_km), path, from_path, to_path, of which the unused are null; leaves:
+    key, path, value, as flatten() gives them. A path that the document does not have fails; a value that is no valid
+    quantity is null and noted.
+    """
+    parts = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("role"), F.col(c).alias("path"))) for c in ("path", "from_path", "to_path")]))).alias("p")
+    asked = specs.select(key, "quantity", parts).select(key, "quantity", "p.role", "p.path")
+    seen = asked.join(leaves.select(key, "path", "value", F.lit(True).alias("there")), [key, "path"], "left")
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("value"))).alias(role)
+    per = seen.groupBy(key, "quantity").agg(of("path"), of("from_path"), of("to_path"), F.min(F.when(F.col("there").isNull(), F.col("path"))).alias("lost"))
+    a, b = S.parse_date(F.col("from_path")), S.parse_date(F.col("to_path"))
+    count = S.parse_count(F.col("path")).cast("decimal(20,4)")
+    distance = S.parse_amount(F.col("path")).cast("decimal(20,4)")
+    value = (
+        F.when(F.col("lost").isNotNull(), None)
+        .when(F.col("quantity") == "distance_km", F.when(distance > 0, distance))
+        .when(F.col("path").isNotNull(), count)
+        .when(F.col("quantity") == "nights", S.nights_between(a, b).cast("decimal(20,4)"))
+        .when(F.col("quantity") == "days", S.inclusive_days(a, b).cast("decimal(20,4)"))
+    )
+    failure = F.when(F.col("lost").isNotNull(), "quantity_path_not_found")
+    return per.select(key, "quantity", value.alias("value"), failure.alias("failure"), F.when(failure.isNull() & value.isNull(), "unreadable").alias("note"))
+
+
+def dimension_failures(units: DataFrame, clauses: DataFrame) -> DataFrame:
+    """unit_id, failure, dimensions: named dimension values (lower case) of each unit, or bad_dimension_value where one is not among those that its clause's limits allow.
+
+    units: unit_id, clause_id, named map<string,string>; clauses: clause_id, limits. Vehicle types are checked like the named
+    ones; grades, tiers and zones are computed, so an answer's values for them do not count.
+    """
+    allowed = F.map_from_entries(F.transform(F.array_distinct(F.flatten(F.transform("limits", lambda x: F.map_keys(x["when"])))), lambda k: F.struct(k, F.flatten(F.transform("limits", lambda x: F.transform(F.coalesce(F.try_element_at(x["when"], k), F.array().cast("array<string>")), F.lower))))))
+    rows = units.join(F.broadcast(clauses.select("clause_id", allowed.alias("allowed"))), "clause_id", "left")
+    rows = rows.withColumn("asked", F.map_filter(F.coalesce("allowed", F.create_map().cast("map<string,array<string>>")), lambda k, _: ~k.isin(*[d for d in T.CODE_DIMENSIONS if d != "vehicle_type"])))
+    value = lambda k: F.lower(F.try_element_at("named", k))
+    bad = F.exists(F.map_entries("asked"), lambda e: F.coalesce(~F.array_contains(e["value"], value(e["key"])), F.lit(False)))
+    dims = F.map_from_entries(F.transform(F.array_sort(F.map_keys("asked")), lambda k: F.struct(k, value(k))))
+    return rows.select("unit_id", F.when(bad, "bad_dimension_value").alias("failure"), F.when(~bad, dims).alias("dimensions"))

@@ -68,3 +68,18 @@ def top_with_ties(rows: DataFrame, key: str, score: str) -> DataFrame:
     ranked = rows.withColumn("_rank", F.rank().over(Window.partitionBy(key).orderBy(F.desc(score))))
     best = ranked.where("_rank = 1").drop("_rank")
     return best.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy(key)) > 1)
+
+
+def active_version(versions: DataFrame, label: str | None = None) -> DataFrame:
+    """versions: label, is_active, created_on and more. The version of this label, or without one the newest that is active; one row or none."""
+    if label is not None:
+        return versions.where(F.col("label") == label)
+    return versions.where("is_active").orderBy(F.desc("created_on"), F.desc("label")).limit(1)
+
+
+def revert(versions: DataFrame, key: str, ai: Column) -> DataFrame:
+    """A new version of each document that copies everything of its first AI version (where `ai` holds), numbered after its last; documents without one have none."""
+    rest = [c for c in versions.columns if c not in (key, "version", "source")]
+    first = F.min_by(F.when(ai, F.struct(*rest)), F.when(ai, F.col("version"))).alias("copy")
+    per = versions.groupBy(key).agg((F.max("version") + 1).alias("version"), first).where("copy IS NOT NULL")
+    return per.select(key, "version", F.lit("employee").alias("source"), "copy.*")

@@ -6,9 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.operators import audit as I
+from tallyspark.operators import categorize as C
+from tallyspark.operators import documents as Q
+from tallyspark.operators import evaluate as E
 from tallyspark.operators import versions as V
+from tallyspark.plans.documents import claims as claims_of
+from tallyspark.plans.evaluation import _PARTS, _RULES, _TEXT, _TYPE
 from tallyspark.plans.proxy import DOCS, VERSIONS, docs, table, versions
-from tallyspark.plans.registry import query
+from tallyspark.plans.registry import SQL, query
 
 _COLUMNS = "document_id, claim_id, employee_id, version, amount, currency, doc_status, claim_status, vendor, bill_date, category"
 _LIST = _COLUMNS.split(", ")
@@ -35,9 +41,10 @@ def latest_assessment(spark, d):
     return V.latest(rows, ["user_id"], "at").select("user_id", "event_id", "event_type")
 
 
-@query("W5_active_version", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+@query("W5_active_version", "(SELECT 'active' AS how, o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate::DATE DESC, o_orderkey::VARCHAR DESC LIMIT 1) UNION ALL SELECT 'label', o_orderkey FROM orders WHERE o_orderkey = 7")
 def active_version(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1).select("o_orderkey", "o_orderdate")
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("label"), (F.col("o_orderstatus") == "F").alias("is_active"), F.to_date("o_orderdate").alias("created_on"))
+    return V.active_version(rows).select(F.lit("active").alias("how"), "o_orderkey").unionByName(V.active_version(rows, "7").select(F.lit("label").alias("how"), "o_orderkey"))
 
 
 @query("W6_carry_forward", """SELECT doc_id, pos, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section
@@ -119,9 +126,9 @@ def median_latency(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median_value"))
 
 
-@query("A12_agreement", "SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS agreed FROM labels")
+@query("A12_agreement", "SELECT quality::VARCHAR AS label, count(*) AS n, count(*) FILTER (quality = toxic) AS agreed, count(*) FILTER (quality <> toxic) AS overridden FROM labels GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (quality = toxic), count(*) FILTER (quality <> toxic) FROM labels")
 def agreement(spark, d):
-    return table(spark, d, "labels").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("agreed"))
+    return E.agreement(table(spark, d, "labels"), "quality", "toxic")
 
 
 @query("A13_coverage", "SELECT p_type AS category, count(*) AS n, count(*) >= 8 AS enough FROM part GROUP BY 1")
@@ -135,9 +142,15 @@ def batch_tally(spark, d):
     return per.groupBy(F.when(F.col("k") > 1, "reused").otherwise("evaluated").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A15_checks_passed", f"WITH {VERSIONS} SELECT document_id, count(*) FILTER (amount <= price) AS passed, count(*) AS n FROM versions GROUP BY 1")
+@query("A15_checks_passed", f"""WITH k AS (SELECT document_id, count(*) FILTER (passed) AS passed, count(*) AS n_checks FROM ({SQL['Q1_checks']}) GROUP BY 1),
+  t AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS document_id, sum(l_partkey + 50)::BIGINT AS tokens, sum(round(l_partkey * 0.15 / 1000000 + 50 * 0.6 / 1000000, 8)::DECIMAL(20,8))::DECIMAL(30,8) AS cost FROM lineitem GROUP BY 1)
+  SELECT document_id, coalesce(passed, 0) AS passed, coalesce(n_checks, 0) AS n_checks, tokens, cost FROM t LEFT JOIN k USING (document_id)""")
 def checks_passed(spark, d):
-    return versions(spark, d).groupBy("document_id").agg(F.count_if(F.col("amount") <= F.col("price")).alias("passed"), F.count(F.lit(1)).alias("n"))
+    """Checks passed of all, and tokens and cost of each document's attempts."""
+    rows = claims_of(spark, d)
+    attempts = rows.select("document_id", F.col("k3").alias("prompt"), F.lit(50).cast("long").alias("completion"))
+    price = lambda x: F.lit(x).cast("decimal(10,4)")
+    return Q.run_summary(Q.check_rows(rows), attempts, price("0.15"), price("0.60")).withColumn("cost", F.col("cost").cast("decimal(30,8)"))
 
 
 @query("F1_visible", f"WITH {DOCS} SELECT document_id FROM docs WHERE doc_status <> 'confirmed'")
@@ -190,9 +203,13 @@ def stale_decisions(spark, d):
     return rows.join(rows.groupBy("document_id").agg(F.max("version").alias("latest")), "document_id", "left").select("document_id", "version", (F.col("latest").isNotNull() & (F.col("version") != F.col("latest"))).alias("stale"))
 
 
-@query("J7_to_do", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+_STATES = "CASE WHEN quality = 1 THEN 'f2' ELSE 'f1' END AS fingerprint, CASE WHEN toxic = 1 THEN 'timeout' END AS error"
+
+
+@query("J7_to_do", f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, {_STATES} FROM labels) WHERE fingerprint = 'f2' AND error IS NULL)")
 def to_do(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 0"), "doc_id", "left_anti").select("doc_id")
+    """Predictions of another fingerprint, or with an error, are done again."""
+    return C.to_do(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").selectExpr("doc_id", *_STATES.split(", ")), "doc_id", "f2")
 
 
 @query("J8_gold_label", "SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2)::BIGINT AS gold, l.doc_id IS NOT NULL AS overridden FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -244,17 +261,22 @@ def illegal_transitions(spark, d):
 
 
 @query("I1_immutability", f"""WITH {VERSIONS}, a AS (SELECT * FROM versions WHERE version = 1), b AS (SELECT * FROM versions WHERE version = 2)
-  SELECT document_id, CASE WHEN b.document_id IS NULL THEN 'gone' WHEN a.amount IS DISTINCT FROM b.amount OR a.currency IS DISTINCT FROM b.currency THEN 'changed' ELSE 'same' END AS finding FROM a LEFT JOIN b USING (document_id)""")
+  SELECT document_id, CASE WHEN b.document_id IS NULL THEN 'gone' WHEN (a.amount, a.vendor, a.bill_date, a.category, a.price) IS DISTINCT FROM (b.amount, b.vendor, b.bill_date, b.category, b.price) OR a.currency IS DISTINCT FROM b.currency THEN 'changed' ELSE 'same' END AS finding FROM a LEFT JOIN b USING (document_id)""")
 def immutability(spark, d):
-    rows = versions(spark, d)
-    sealed = F.xxhash64("amount", "currency")
-    a, b = rows.where("version = 1").select("document_id", sealed.alias("x")), rows.where("version = 2").select("document_id", sealed.alias("y"))
-    return a.join(b, "document_id", "left").select("document_id", F.when(F.col("y").isNull(), "gone").when(F.col("x") != F.col("y"), "changed").otherwise("same").alias("finding"))
+    """First versions as one snapshot, second ones as the next; the status is the reviewer's."""
+    rows = versions(spark, d).select("document_id", "version", "amount", "currency", "vendor", "bill_date", "category", "price", "doc_status")
+    a, b = (rows.where(F.col("version") == n).drop("version") for n in (1, 2))
+    return I.immutability(a, b, ["document_id"], ["doc_status"])
+
+
+_UNIQUE = [("region", ["r_regionkey"]), ("nation", ["n_nationkey"]), ("customer", ["c_custkey"]), ("supplier", ["s_suppkey"]), ("part", ["p_partkey"]), ("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"]), ("events", ["event_id"]), ("documents", ["doc_id"]), ("labels", ["doc_id"]), ("conversations", ["conv_id", "turn"])]
+_FOREIGN = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
 
 
-@query("I3_referential", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("I3_referential", " UNION ALL ".join([f"SELECT '{t}({','.join(c)}) unique' AS rule, count(*) AS violations FROM (SELECT {', '.join(c)} FROM {t} GROUP BY ALL HAVING count(*) > 1)" for t, c in _UNIQUE] + [f"SELECT '{a}.{b} -> {c}.{e}', count(*) FROM {a} WHERE {b} NOT IN (SELECT {e} FROM {c})" for a, b, c, e in _FOREIGN]))
 def referential(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    names = {n for n, _ in _UNIQUE} | {x for a, _, b, _ in _FOREIGN for x in (a, b)}
+    return I.keys({n: table(spark, d, n) for n in names}, _UNIQUE, _FOREIGN)
 
 
 @query("D3_direction", f"""WITH {VERSIONS} SELECT a.document_id, CASE WHEN b.amount > a.amount THEN 'increase' WHEN b.amount < a.amount THEN 'decrease' ELSE 'none' END AS direction FROM versions a JOIN versions b ON a.document_id = b.document_id AND a.version = 1 AND b.version = 2""")
@@ -279,11 +301,11 @@ def missing_category(spark, d):
     return docs(spark, d).where("currency IS NULL AND NOT startswith(category, 'STANDARD')").select("document_id")
 
 
-@query("C7_backfilled", f"WITH {DOCS} SELECT document_id, coalesce(currency, CASE WHEN amount > 2500 THEN 'accommodation' ELSE 'other' END) AS category FROM docs")
+@query("C7_backfilled", f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'kept' ELSE {_RULES} END AS category, CASE WHEN p_partkey % 3 > 0 AND {_RULES} IS NOT NULL THEN 'rules' END AS backfilled_by FROM {_PARTS}")
 def backfilled(spark, d):
     """Missing categories take the rules' one; the others stay."""
-    rules = F.when(F.col("amount") > 2500, "accommodation").otherwise("other")
-    return docs(spark, d).select("document_id", F.coalesce("currency", rules).alias("category"))
+    rows = table(spark, d, "part").withColumn("category", F.when(F.col("p_partkey") % 3 == 0, "kept"))
+    return C.backfill(rows, "category", F.expr(_TYPE), F.expr(_TEXT)).select("p_partkey", "category", "backfilled_by")
 
 
 @query("C9_silver_labels", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'manual' END, nullif(regexp_extract(d.source, '(\\d+)$', 1), '')) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -292,11 +314,12 @@ def silver_labels(spark, d):
     return table(spark, d, "documents").join(manual, "doc_id", "left").select("doc_id", F.coalesce("m", F.nullif(F.regexp_extract("source", r"(\d+)$", 1), F.lit(""))).alias("label"))
 
 
-@query("C10_method_table", "SELECT doc_id, 'rules' AS method, lang AS category FROM documents UNION ALL SELECT doc_id, 'silver', CASE WHEN quality = 1 THEN 'en' ELSE 'other' END FROM labels")
+@query("C10_method_table", f"SELECT p_partkey, 'rules' AS method, {_RULES} AS category FROM {_PARTS} UNION ALL SELECT p_partkey, 'type', CASE k WHEN 'restaurant_bill' THEN 'travel_meals' WHEN 'hotel_invoice' THEN 'accommodation' WHEN 'telecom_bill' THEN 'phone_internet' WHEN 'generic_receipt' THEN 'other' END FROM {_PARTS}")
 def method_table(spark, d):
     """One prediction table, keyed by id and method."""
-    rules = table(spark, d, "documents").select("doc_id", F.lit("rules").alias("method"), F.col("lang").alias("category"))
-    return rules.unionByName(table(spark, d, "labels").select("doc_id", F.lit("silver").alias("method"), F.when(F.col("quality") == 1, "en").otherwise("other").alias("category")))
+    rules = lambda rows: rows.select("p_partkey", C.rule_category(F.expr(_TYPE), F.expr(_TEXT)).alias("r")).select("p_partkey", "r.category", "r.confidence")
+    by_type = lambda rows: rows.select("p_partkey", S.category_of_type(F.expr(_TYPE)).alias("category"), F.lit(None).cast("double").alias("confidence"))
+    return C.dispatch(table(spark, d, "part"), "p_partkey", {"rules": rules, "type": by_type}).drop("confidence")
 
 
 @query("D5_category_correction", f"WITH {VERSIONS}, a AS (SELECT document_id, arg_min(category, version) AS first, arg_max(category, version) AS last FROM versions GROUP BY 1) SELECT document_id, CASE WHEN first <> last THEN last END AS correction FROM a")

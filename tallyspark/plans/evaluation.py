@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
+from tallyspark.operators import audit as I
 from tallyspark.operators import categorize as C
 from tallyspark.operators import evaluate as E
-from tallyspark.plans.proxy import table
+from tallyspark.plans.proxy import VERSIONS, table, versions
 from tallyspark.plans.registry import query
 
 _TYPE = "CASE p_partkey % 7 WHEN 0 THEN 'restaurant_bill' WHEN 1 THEN 'hotel_invoice' WHEN 2 THEN 'approval_correspondence' WHEN 3 THEN 'telecom_bill' ELSE 'generic_receipt' END"
@@ -168,9 +169,10 @@ def sanity(spark, d):
     return table(spark, d, "lineitem").where(found.isNull() | (F.abs(found - printed) > 0.01)).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("E21_contract", "SELECT count(*) - count(DISTINCT doc_id) AS repeated_ids, count(*) FILTER (text IS NULL) AS no_text, count(*) FILTER (lang NOT IN ('en', 'de', 'fr', 'es')) AS odd_lang FROM documents")
+@query("E21_contract", "SELECT 'missing text' AS check, count(*) FILTER (text IS NULL) AS problems FROM documents UNION ALL SELECT 'missing source', count(*) FILTER (source IS NULL) FROM documents UNION ALL SELECT 'domain lang', count(*) FILTER (lang NOT IN ('en', 'de', 'fr')) FROM documents UNION ALL SELECT 'domain source', count(*) FILTER (source NOT IN ('src0', 'src1', 'src2')) FROM documents UNION ALL SELECT 'repeated doc_id', count(*) - count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'few source', count(*) FROM (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) < 60)")
 def contract(spark, d):
-    return table(spark, d, "documents").agg((F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("repeated_ids"), F.count_if(F.col("text").isNull()).alias("no_text"), F.count_if(~F.col("lang").isin("en", "de", "fr", "es")).alias("odd_lang"))
+    """Required values, unique ids, domains, and categories with too few rows."""
+    return I.contract(table(spark, d, "documents"), "doc_id", ["text", "source"], {"lang": ["en", "de", "fr"], "source": ["src0", "src1", "src2"]}, "source", 60)
 
 
 @query("E22_freeze_guard", "SELECT bool_or(quality = 1) AS frozen, bool_and(quality = 1) AS complete FROM labels")
@@ -212,23 +214,29 @@ def leaks(spark, d):
     return C.cosine_leaks(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), limit=0.25).select("train_id", "held_id")
 
 
-@query("C8_carried_category", "SELECT doc_id, CASE WHEN quality = 0 THEN 'employee' ELSE 'rules' END AS method, CASE WHEN quality = 0 THEN NULL ELSE 0.65 END::DOUBLE AS confidence FROM labels")
+@query("C8_carried_category", f"WITH {VERSIONS} SELECT a.document_id, b.category, CASE WHEN a.category = b.category THEN a.confidence END AS confidence, CASE WHEN a.category = b.category THEN 'rules' ELSE 'employee' END AS method FROM versions a JOIN versions b ON a.document_id = b.document_id AND a.version = 1 AND b.version = 2")
 def carried_category(spark, d):
-    edited = F.col("quality") == 0
-    return table(spark, d, "labels").select("doc_id", F.when(edited, "employee").otherwise("rules").alias("method"), F.when(~edited, F.lit(0.65)).alias("confidence"))
+    """The second version of a document carries its category on, or the employee's."""
+    rows = versions(spark, d)
+    a = rows.where("version = 1").select("document_id", F.col("category").alias("before"), "confidence")
+    b = rows.where("version = 2").select("document_id", F.col("category").alias("after"))
+    return a.join(b, "document_id").select("document_id", C.carried(F.col("before"), F.col("confidence"), F.lit("rules"), F.col("after")).alias("c")).select("document_id", "c.*")
 
 
 query("J12_item_matches")(match_items)
 
 
-@query("E14_menu_items", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 2 WHEN p_partkey % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS n_items FROM part")
+@query("E14_menu_items", """WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, p_name, floor(p_retailprice)::BIGINT::VARCHAR AS price FROM part)
+  SELECT p_partkey, 0 AS pos, NULL::INT AS sub, p_name AS nm, price, CASE WHEN k = 0 THEN '1' END AS cnt FROM p WHERE k < 3 UNION ALL SELECT p_partkey, 1, NULL, NULL, '7', '2' FROM p WHERE k = 1
+  UNION ALL SELECT p_partkey, 0, 0, 'sub ' || p_partkey, NULL, NULL FROM p WHERE k IN (2, 3) UNION ALL SELECT p_partkey, 0, 1, NULL, price, NULL FROM p WHERE k = 3""")
 def menu_items(spark, d):
-    """A menu is an object or an array; an item's sub-items count beside it."""
-    raw = F.element_at(F.array(F.lit('{"nm":"a"}'), F.lit('[{"nm":"a"},{"nm":"b"}]'), F.lit('{"nm":"a","sub":[{"nm":"c"}]}')), (F.col("p_partkey") % 3 + 1).cast("int"))
-    v = F.parse_json(raw)
-    items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-    subs = F.aggregate(items, F.lit(0), lambda a, x: a + F.coalesce(F.size(F.try_variant_get(x, "$.sub", "array<variant>")), F.lit(0)))
-    return table(spark, d, "part").select("p_partkey", (F.size(items) + F.greatest(subs, F.lit(0))).cast("long").alias("n_items"))
+    """Menus of a part: an object, an array with a nameless entry, an entry with one sub-item, an empty entry with two, and no menu."""
+    name, price, key = F.col("p_name"), F.floor("p_retailprice").cast("string"), F.col("p_partkey").cast("string")
+    own = F.concat(F.lit('"nm":"'), name, F.lit('","price":"'), price, F.lit('"'))
+    sub = F.concat(F.lit('{"nm":"sub '), key, F.lit('"}'))
+    kinds = F.array(F.concat(F.lit("{"), own, F.lit(',"cnt":1}')), F.concat(F.lit("[{"), own, F.lit('},{"price":7,"cnt":"2"},{"cnt":3},"x"]')), F.concat(F.lit("[{"), own, F.lit(',"sub":'), sub, F.lit("}]")), F.concat(F.lit('{"sub":['), sub, F.lit(',{"price":'), price, F.lit("}]}")), F.lit('"none"'))
+    rows = table(spark, d, "part").select("p_partkey", F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")).alias("menu"))
+    return E.menu_items(rows, "p_partkey", "menu")
 
 
 @query("E15_amount_like", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_quantity ELSE l_extendedprice END::DECIMAL(20,4) AS total FROM lineitem")

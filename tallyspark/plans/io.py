@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.operators import audit as I
 from tallyspark.operators import documents as Q
 from tallyspark.operators import versions as V
 from tallyspark.plans.documents import claims
@@ -44,11 +45,12 @@ def texts(spark, d):
     return readers.with_texts(table(spark, d, "documents").select("doc_id"), found, "doc_id").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("S5_keyed_object", "SELECT n_nationkey::VARCHAR AS key, n_name AS company, n_regionkey::VARCHAR AS total FROM nation")
+@query("S5_keyed_object", "SELECT c_custkey::VARCHAR AS key, c_name AS company, c_nationkey::VARCHAR AS total FROM customer")
 def keyed_object(spark, d):
+    """Objects of at most some thousand keys each, a line for each object."""
     path = readers.scratch(spark)
-    pair = F.struct(F.col("n_nationkey").cast("string"), F.struct(F.col("n_name").alias("company"), F.col("n_regionkey").cast("string").alias("total")))
-    table(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value")).write.text(path)
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.struct(F.col("c_name").alias("company"), F.col("c_nationkey").cast("string").alias("total")).alias("v"))
+    sinks.keyed_objects(rows, path)
     return readers.keyed_object(spark, path, "struct<company:string,total:string>")
 
 
@@ -59,9 +61,17 @@ def lines(spark, d):
     return readers.lines(spark, path, "doc_id long, quality int")
 
 
-@query("S7_scan", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS employees FROM orders")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("S7_scan", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
 def scan(spark, d):
-    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("employees"))
+    """All tables; a count reads no column."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    return reduce(DataFrame.unionByName, [table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in _TABLES])
 
 
 @query("S8_cache", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -71,10 +81,14 @@ def cache(spark, d):
     return readers.cache(spark, path, "user_id long, event_id long, event_type string", "user_id", "event_id").select("user_id", "event_type")
 
 
-@query("S9_overrides", "SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'bad' END, d.lang) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("S9_overrides", "SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'bad' END, d.lang) AS label, CASE WHEN l.toxic = 1 AND quality = 0 THEN 'seen' END AS notes, coalesce(l.toxic = 1 AND quality = 1, false) AS ambiguous FROM (SELECT doc_id, lang FROM documents) d LEFT JOIN labels l USING (doc_id)")
 def overrides(spark, d):
-    human = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("bad").alias("human"))
-    return table(spark, d, "documents").join(human, "doc_id", "left").select("doc_id", F.coalesce("human", "lang").alias("label"))
+    """A map of overrides in files of one object each, read back and laid over the documents' own labels."""
+    path = readers.scratch(spark)
+    human = table(spark, d, "labels").where("toxic = 1").select("doc_id", F.struct(F.lit("bad").alias("label"), F.when(F.col("quality") == 0, "seen").alias("notes"), (F.col("quality") == 1).alias("ambiguous")).alias("v"))
+    sinks.keyed_objects(human.select(F.col("doc_id").cast("string").alias("key"), "v"), path)
+    found = readers.keyed_object(spark, path, "struct<label:string,notes:string,ambiguous:boolean>").withColumn("doc_id", F.col("key").cast("long"))
+    return readers.with_overrides(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), found, "doc_id")
 
 
 @query("S10_pages_text", "SELECT conv_id, md5(string_agg(CASE WHEN turn % 2 = 0 THEN '' ELSE role END, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
@@ -118,7 +132,7 @@ def resumed_predictions(spark, d):
 def nested_report(spark, d):
     path = readers.scratch(spark)
     sinks.nested_report(table(spark, d, "documents").select("lang", "doc_id", "n_chars"), "lang", path)
-    return readers.lines(spark, path, "lang string, n long, documents array<struct<doc_id:long,n_chars:long>>").where(F.size("documents") == F.col("n")).select("lang", "n")
+    return readers.lines(spark, path, "lang string, part int, n long, documents array<struct<doc_id:long,n_chars:long>>").where(F.size("documents") == F.col("n")).groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 @query("K6_replaced_methods", "SELECT event_type AS method, event_id % 2 + CASE WHEN event_type = 'purchase' THEN 10 ELSE 0 END AS v, count(*) AS n FROM events GROUP BY ALL")
@@ -163,9 +177,15 @@ def idempotent_intake(spark, d):
     return jobs.without_repeats(rows, ["source", "sha"], "at", "1 day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T5_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("T5_resume", "SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) THEN 2 ELSE 1 END::INT AS run FROM documents")
 def resume(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    """The first run has predicted the labelled rows, some under another fingerprint or with an error; the second does the rest, and all have a valid prediction then."""
+    path, rows = readers.scratch(spark), table(spark, d, "documents").select("doc_id")
+    first = table(spark, d, "labels").select("doc_id", F.lit("rules").alias("method"), F.when(F.col("quality") == 1, "f2").otherwise("f1").alias("fingerprint"), F.when(F.col("toxic") == 1, "timeout").alias("error"), F.lit(1).alias("run"))
+    sinks.append_predictions(first, path)
+    second = sinks.unpredicted(rows, spark.read.parquet(path), "doc_id", "f2").select("doc_id", F.lit("rules").alias("method"), F.lit("f2").alias("fingerprint"), F.lit(None).cast("string").alias("error"), F.lit(2).alias("run"))
+    sinks.append_predictions(second, path)
+    return spark.read.parquet(path).where("fingerprint = 'f2' AND error IS NULL").select("doc_id", "run")
 
 
 @query("T6_weekly_counts", "SELECT user_id, date_trunc('week', ts)::DATE AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -190,6 +210,12 @@ def reviewer_overlay(spark, d):
     return docs(spark, d).join(newest, "employee_id", "left").select("document_id", F.coalesce("label", "doc_status").alias("verdict"))
 
 
-@query("I4_label_domain", "SELECT event_id, event_type IN ('click', 'view') AS valid FROM events")
+_REVIEWED = "CASE event_id % 5 WHEN 0 THEN 'compliant' WHEN 1 THEN 'violation' WHEN 2 THEN 'needs_approval' WHEN 3 THEN 'insufficient_information' ELSE 'fine' END"
+
+
+@query("I4_label_domain", f"SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'bad_verdict' WHEN event_id % 3 > 0 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = event_id % 3000 AND p_partkey % 2 = event_id % 2) THEN 'unknown_clause' END AS problem FROM events")
 def label_domain(spark, d):
-    return table(spark, d, "events").select("event_id", F.col("event_type").isin("click", "view").alias("valid"))
+    """Reviewers' labels on events; parts are the clauses, of two versions of the policy."""
+    clauses = table(spark, d, "part").select((F.col("p_partkey") % 2).cast("string").alias("policy_version"), F.col("p_partkey").cast("string").alias("clause_id"))
+    labels = table(spark, d, "events").select("event_id", (F.col("event_id") % 2).cast("string").alias("policy_version"), F.expr(_REVIEWED).alias("human_verdict"), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 3000).cast("string")).alias("human_clause_id"))
+    return I.reviewer_labels(labels, clauses).select("event_id", "problem")

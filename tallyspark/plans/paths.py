@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import paths as P
+from tallyspark.operators import versions as V
 from tallyspark.plans.proxy import VERSIONS, table, versions
 from tallyspark.plans.registry import query
 
@@ -24,9 +25,13 @@ def flatten(spark, d):
     return P.flatten(_json(spark, d, 1), "document_id", "body")
 
 
-@query("P30_resolve_path", f"WITH {VERSIONS} SELECT document_id, price::VARCHAR AS value FROM versions WHERE version = 1")
+@query("P30_resolve_path", f"""WITH {VERSIONS} SELECT document_id, p AS path, CASE p WHEN 'items[0].price' THEN price::VARCHAR END AS value, p <> 'items[3]' AND NOT (p = 'note' AND document_id % 2 = 0) AS found FROM (SELECT *, unnest(['items[0].price', 'items[3]', 'note']) AS p FROM versions WHERE version = 1)""")
 def resolve_path(spark, d):
-    return _json(spark, d, 1).select("document_id", F.try_variant_get(F.parse_json("body"), "$.items[0].price", "string").alias("value"))
+    """A value, a path that is not there, and one whose value is null in every other document."""
+    body = F.regexp_replace("body", r"\}$", F.when(F.col("document_id") % 2 == 1, ',"note":null}').otherwise("}"))
+    rows = _json(spark, d, 1).select("document_id", body.alias("body"))
+    asked = rows.select("document_id", F.explode(F.array(*[F.lit(x) for x in ("items[0].price", "items[3]", "note")])).alias("path"))
+    return P.resolve(asked, P.flatten(rows, "document_id", "body"), "document_id")
 
 
 _DIFF = f"WITH {VERSIONS}, a AS ({_WIDE.format(n=1)}), b AS ({_WIDE.format(n=2)}), df AS (SELECT document_id, path AS field_path, a.value AS ai_value, b.value AS employee_value FROM a JOIN b USING (document_id, path) WHERE a.value <> b.value)"
@@ -73,12 +78,11 @@ def applied_edits(spark, d):
     return P.apply_edits(leaves, edits, "document_id", ["vendor", "totals", "items"])[0]
 
 
-@query("D9_reverts", f"WITH {VERSIONS} SELECT a.document_id, a.amount, l.n + 1 AS version FROM versions a JOIN (SELECT document_id, max(version) AS n FROM versions GROUP BY 1) l USING (document_id) WHERE a.version = 1")
+@query("D9_reverts", f"WITH {VERSIONS} SELECT a.document_id, a.amount, a.currency, a.vendor, a.category, a.bill_date, l.n + 1 AS version, 'employee' AS source FROM (SELECT * FROM versions WHERE currency IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY version) = 1) a JOIN (SELECT document_id, max(version) AS n FROM versions GROUP BY 1) l USING (document_id)")
 def reverts(spark, d):
-    """New versions that copy the first one."""
-    rows = versions(spark, d)
-    last = rows.groupBy("document_id").agg((F.max("version") + 1).alias("next"), F.min_by("amount", "version").alias("amount"))
-    return last.select("document_id", "amount", F.col("next").alias("version"))
+    """New versions that copy the first one of the model, which those with a currency stand for."""
+    rows = versions(spark, d).select("document_id", "version", F.lit("ai").alias("source"), "amount", "currency", "vendor", "category", "bill_date")
+    return V.revert(rows, "document_id", F.col("currency").isNotNull())
 
 
 @query("J9_category_corrections", f"WITH {VERSIONS} SELECT a.document_id, a.category AS ai_value, b.category AS employee_value FROM versions a JOIN versions b ON a.document_id = b.document_id AND a.version = 1 AND b.version = 2 WHERE a.category <> b.category")

@@ -112,25 +112,38 @@ def narrative_requests(spark, d):
     return fired.groupBy("claim_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rule_id", "hits")))).alias("request"))
 
 
-@query("V2_units_present", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'no_units' ELSE 'not_json' END AS failure FROM events")
+@query("V2_units_present", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no_units' WHEN 2 THEN 'not_json' ELSE 'no_units' END AS failure FROM events")
 def units_present(spark, d):
-    raw = F.element_at(F.array(F.lit('{"units":[{"refs":[0]}]}'), F.lit('{"units":[]}'), F.lit("nope")), (F.col("event_id") % 3 + 1).cast("int"))
-    units = F.try_variant_get(F.try_parse_json(raw), "$.units", "array<variant>")
-    return table(spark, d, "events").select("event_id", F.when(F.try_parse_json(raw).isNull(), "not_json").when(units.isNull() | (F.size(units) == 0), "no_units").alias("failure"))
+    number = F.col("event_id").cast("string")
+    raw = F.element_at(F.array(F.concat(F.lit('{"units":[{"refs":['), number, F.lit("]}]}")), F.concat(F.lit('{"units":[],"n":'), number, F.lit("}")), F.concat(F.lit("{"), F.col("props")), F.concat(F.lit('{"units":[{"refs":[]},'), number, F.lit("]}")), F.col("props")), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", V.units_failure(raw).alias("failure"))
 
 
-@query("V6_quantity_paths", "SELECT event_id, event_id % 2 = 0 AS path_exists FROM events")
+@query("V6_quantity_paths", """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderdate::DATE AS day FROM orders)
+  SELECT o_orderkey, 'nights' AS quantity, CASE WHEN k < 2 THEN k + 1 END::DECIMAL(20,4) AS value, CASE WHEN k = 3 THEN 'quantity_path_not_found' END AS failure, CASE WHEN k = 2 THEN 'unreadable' END AS note FROM o
+  UNION ALL SELECT o_orderkey, 'days', CASE WHEN k < 2 THEN k + 2 END, CASE WHEN k = 3 THEN 'quantity_path_not_found' END, CASE WHEN k = 2 THEN 'unreadable' END FROM o
+  UNION ALL SELECT o_orderkey, 'persons', CASE WHEN k <> 2 THEN k + 1 END, NULL, CASE WHEN k = 2 THEN 'unreadable' END FROM o
+  UNION ALL SELECT o_orderkey, 'distance_km', CASE WHEN k > 0 THEN k * 10 + 0.5 END, NULL, CASE WHEN k = 0 THEN 'unreadable' END FROM o""")
 def quantity_paths(spark, d):
-    """Paths that an answer names and the document has."""
+    """Nights, days, persons and kilometres out of each order's stay: from dates, a count and an amount; some cannot be read, some paths are not there."""
     from tallyspark.operators.paths import flatten
 
-    rows = table(spark, d, "events").select("event_id", F.lit('{"stay":{"nights":2}}').alias("body"), F.when(F.col("event_id") % 2 == 0, "stay.nights").otherwise("stay.days").alias("path"))
-    there = flatten(rows, "event_id", "body").select("event_id", "path", F.lit(True).alias("e"))
-    return rows.select("event_id", "path").join(there, ["event_id", "path"], "left").select("event_id", F.coalesce("e", F.lit(False)).alias("path_exists"))
+    k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
+    leave = F.when(k == 2, "soon").otherwise(F.date_format(F.date_add(day, (k + 1).cast("int")), "dd/MM/yyyy"))
+    km = F.when(k == 0, "0").otherwise(F.concat((k * 10).cast("string"), F.lit(".5")))
+    body = F.concat(F.lit('{"stay":{"in":"'), F.date_format(day, "dd/MM/yyyy"), F.when(k == 3, '"').otherwise(F.concat(F.lit('","out":"'), leave, F.lit('"'))), F.lit('},"guests":["'), F.when(k == 2, "some").otherwise(F.concat((k + 1).cast("string"), F.lit(" pax"))), F.lit('"],"km":"'), km, F.lit('"}'))
+    rows = table(spark, d, "orders").select("o_orderkey", body.alias("body"))
+    spec = lambda quantity, path=None, a=None, b=None: F.struct(F.lit(quantity).alias("quantity"), *[F.lit(x).cast("string").alias(n) for n, x in (("path", path), ("from_path", a), ("to_path", b))])
+    specs = rows.select("o_orderkey", F.explode(F.array(spec("nights", None, "stay.in", "stay.out"), spec("days", None, "stay.in", "stay.out"), spec("persons", "guests[0]"), spec("distance_km", "km"))).alias("s")).select("o_orderkey", "s.*")
+    return V.quantities(specs, flatten(rows, "o_orderkey", "body"), "o_orderkey")
 
 
-@query("V7_dimension_values", "SELECT o_orderkey, o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'F') AS allowed FROM orders")
+@query("V7_dimension_values", "SELECT o_orderkey AS unit_id, CASE WHEN o_orderkey % 3 = 0 AND lower(o_orderpriority) NOT IN ('1-urgent', '2-high') THEN 'bad_dimension_value' END AS failure, CASE WHEN o_orderkey % 3 > 0 THEN '' WHEN lower(o_orderpriority) IN ('1-urgent', '2-high') THEN 'occasion=' || lower(o_orderpriority) || ',vehicle_type=' END AS dimensions FROM orders")
 def dimension_values(spark, d):
-    rows = table(spark, d, "orders")
-    allowed = rows.where("o_orderstatus = 'F'").agg(F.collect_set("o_orderpriority").alias("values"))
-    return rows.crossJoin(F.broadcast(allowed)).select("o_orderkey", F.array_contains("values", F.col("o_orderpriority")).alias("allowed"))
+    """Every third order's clause has limits by occasion; the others' by grade, which an answer does not name."""
+    limits = "array<struct<amount:decimal(12,2),currency:string,when:map<string,array<string>>>>"
+    clauses = spark.createDataFrame([("C-OCCASION", [(None, "INR", {"occasion": ["1-Urgent"], "grade": ["L1"]}), (None, "INR", {"occasion": ["2-High"], "vehicle_type": ["car"]})]), ("C-GRADE", [(None, "INR", {"grade": ["L1"]})])], f"clause_id string, limits {limits}")
+    units = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit_id"), F.when(F.col("o_orderkey") % 3 == 0, "C-OCCASION").otherwise("C-GRADE").alias("clause_id"), F.create_map(F.lit("occasion"), F.col("o_orderpriority"), F.lit("grade"), F.lit("L9")).alias("named"))
+    found = V.dimension_failures(units, clauses)
+    listed = F.array_join(F.transform(F.map_entries("dimensions"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ",")
+    return found.select("unit_id", "failure", listed.alias("dimensions"))

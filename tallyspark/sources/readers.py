@@ -44,10 +44,16 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("name"), F.col("value").alias("text"))
 
 
-def keyed_object(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """Files that hold one JSON object, document key -> value -> a row for each key."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "v"))
-    return whole.select("key", "v.*") if isinstance(whole.schema["v"].dataType, T.StructType) else whole
+def keyed_object(spark: SparkSession, path: str, value: str, whole: bool = False) -> DataFrame:
+    """JSON objects, document key -> value, a row for each key: one object a line, or a file that is one object (whole)."""
+    rows = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "v"))
+    return rows.select("key", "v.*") if isinstance(rows.schema["v"].dataType, T.StructType) else rows
+
+
+def with_overrides(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """rows (key, label) with the label, notes and ambiguous flag of a person's override, where there is one; ids of overrides that no row has are left out."""
+    human = overrides.select(key, F.col("label").alias("_label"), "notes", "ambiguous")
+    return rows.join(human, key, "left").select(key, F.coalesce("_label", "label").alias("label"), "notes", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

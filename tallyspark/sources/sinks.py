@@ -42,12 +42,20 @@ def unpredicted(rows: DataFrame, done: DataFrame, key: str, fingerprint: str) ->
     return rows.join(valid.select(key), key, "left_anti")
 
 
-def nested_report(documents: DataFrame, by: str, path: str) -> None:
-    """One JSON object for each `by`: a count and the array of its documents."""
+def nested_report(documents: DataFrame, by: str, path: str, size: int = 1000) -> None:
+    """JSON objects for each `by`, of about `size` documents each: the part's number, a count and the array of its documents, so that no row holds a whole group."""
     rest = [c for c in documents.columns if c != by]
-    documents.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(*rest))).alias("documents")).write.mode("overwrite").json(path)
+    sizes = documents.groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("_parts"))
+    rows = documents.join(F.broadcast(sizes), by).withColumn("part", F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")).drop("_parts")
+    rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(*rest))).alias("documents")).write.mode("overwrite").json(path)
 
 
 def replace_methods(rows: DataFrame, path: str) -> None:
     """Replaces the stored rows of the methods in rows, and no others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(path)
+
+
+def keyed_objects(rows: DataFrame, path: str, keys: int = 1000) -> None:
+    """rows (key, v) as JSON objects, key -> v, of about `keys` keys each, a line for each object: no object holds a whole table."""
+    parts = F.pmod(F.xxhash64("key"), F.greatest(F.ceil(F.lit(rows.count()) / keys), F.lit(1)))
+    rows.groupBy(parts.alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "v")))).alias("value")).select("value").write.mode("overwrite").text(path)
