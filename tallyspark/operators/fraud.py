@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
+from tallyspark.sources.readers import stored
 
 
 def _usable(docs: DataFrame) -> DataFrame:
@@ -16,43 +17,61 @@ def _usable(docs: DataFrame) -> DataFrame:
     return keyed.where("vendor_key IS NOT NULL AND amount IS NOT NULL AND currency IS NOT NULL AND bill_date IS NOT NULL")
 
 
-def duplicate_pairs(docs: DataFrame, same_employee: bool, days: int = T.DUPLICATE_DAYS) -> DataFrame:
-    """Each unordered pair once: (document_id, other_id, claim_id, other_claim_id, days_apart).
+def _pairs(docs: DataFrame, days: int) -> DataFrame:
+    """Each unordered pair once, with both sides' claim and its status, whether the employee is the same, and days_apart.
 
     An equi-join on vendor, amount, currency and a date bucket; a document meets its own bucket and the next one, so every
     pair within the window meets once and a vendor's whole history never meets itself.
     """
     width = days + 1
-    rows = _usable(docs).select("vendor_key", "amount", "currency", "bill_date", "document_id", "claim_id", "employee_id", F.floor(F.unix_date("bill_date") / width).alias("bucket"))
-    other = rows.select("vendor_key", "amount", "currency", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("other_bucket"), *[F.col(c).alias(f"other_{c}") for c in ("bill_date", "document_id", "claim_id", "employee_id")])
+    own = ("document_id", "claim_id", "employee_id", "claim_status")
+    rows = _usable(docs).select("vendor_key", "amount", "currency", "bill_date", *own, F.floor(F.unix_date("bill_date") / width).alias("bucket"))
+    other = rows.select("vendor_key", "amount", "currency", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("other_bucket"), *[F.col(c).alias(f"other_{c}") for c in ("bill_date", *own)])
     pair = rows.join(other, ["vendor_key", "amount", "currency", "bucket"])
     once = (F.col("bucket") != F.col("other_bucket")) | (F.col("document_id") < F.col("other_document_id"))
-    who = F.col("employee_id") == F.col("other_employee_id") if same_employee else F.col("employee_id") != F.col("other_employee_id")
-    near = F.abs(F.datediff("bill_date", "other_bill_date")) <= days
-    pair = pair.where(once & who & near & (F.col("document_id") != F.col("other_document_id")))
+    apart = F.abs(F.datediff("bill_date", "other_bill_date"))
+    pair = pair.where(once & (apart <= days) & (F.col("document_id") != F.col("other_document_id")))
     first = F.col("document_id") < F.col("other_document_id")
-    ends = lambda a, b: (F.when(first, F.col(a)).otherwise(F.col(b)), F.when(first, F.col(b)).otherwise(F.col(a)))
-    (d, o), (c, oc) = ends("document_id", "other_document_id"), ends("claim_id", "other_claim_id")
-    return pair.select(d.alias("document_id"), o.alias("other_id"), c.alias("claim_id"), oc.alias("other_claim_id"), F.abs(F.datediff("bill_date", "other_bill_date")).alias("days_apart"))
+    end = lambda c, low: F.when(first if low else ~first, F.col(c)).otherwise(F.col(f"other_{c}"))
+    return pair.select(
+        end("document_id", True).alias("document_id"), end("document_id", False).alias("other_id"), end("claim_id", True).alias("claim_id"), end("claim_id", False).alias("other_claim_id"),
+        end("claim_status", True).alias("claim_status"), end("claim_status", False).alias("other_status"), (F.col("employee_id") == F.col("other_employee_id")).alias("same_employee"), apart.alias("days_apart"),
+    )
+
+
+def duplicate_pairs(docs: DataFrame, same_employee: bool, days: int = T.DUPLICATE_DAYS) -> DataFrame:
+    """Each unordered pair once: (document_id, other_id, claim_id, other_claim_id, days_apart)."""
+    pairs = _pairs(docs, days).where(F.col("same_employee") if same_employee else ~F.col("same_employee"))
+    return pairs.select("document_id", "other_id", "claim_id", "other_claim_id", "days_apart")
+
+
+def _duplicate_hits(pairs: DataFrame) -> DataFrame:
+    """(claim_id, same_employee, hits): pairs count for both claims, against submitted claims and the claim itself."""
+    side = lambda claim, status: F.struct(F.col(claim).alias("claim_id"), F.col(status).alias("against"))
+    both = F.array(side("claim_id", "other_status"), side("other_claim_id", "claim_status"))
+    inner = F.col("claim_id") == F.col("other_claim_id")
+    sides = pairs.select("same_employee", F.explode(F.when(inner, F.array(F.struct(F.col("claim_id"), F.lit("submitted").alias("against")))).otherwise(both)).alias("s"))
+    return sides.where("s.against = 'submitted'").groupBy("s.claim_id", "same_employee").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _comparable() -> Column:
+    return S.normalize_vendor(F.col("vendor")).isNotNull() & F.col("amount").isNotNull() & F.col("currency").isNotNull() & F.col("bill_date").isNotNull()
 
 
 def _status(docs: DataFrame, rule: str, usable: Column, hits: DataFrame) -> DataFrame:
     """fired where a claim has hits, not_applicable where it has no usable document, else clear."""
     claims = docs.groupBy("claim_id").agg(F.count_if(usable).alias("usable"))
     joined = claims.join(hits, "claim_id", "left")
-    status = F.when(F.coalesce("hits", F.lit(0)) > 0, "fired").when(F.col("usable") == 0, "not_applicable").otherwise("clear")
-    return joined.select("claim_id", F.lit(rule).alias("rule_id"), status.alias("status"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    return joined.select("claim_id", F.lit(rule).alias("rule_id"), _said("hits", F.col("usable") == 0).alias("status"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+def _said(hits: str, unusable: Column) -> Column:
+    return F.when(F.coalesce(hits, F.lit(0)) > 0, "fired").when(unusable, "not_applicable").otherwise("clear")
 
 
 def duplicates(docs: DataFrame, same_employee: bool, days: int = T.DUPLICATE_DAYS) -> DataFrame:
-    """Pairs count for both claims; against submitted claims and the claim itself."""
-    pairs = duplicate_pairs(docs, same_employee, days)
-    status = docs.groupBy("claim_id").agg(F.first("claim_status").alias("s"))
-    sides = pairs.select("document_id", "other_id", "claim_id", "other_claim_id").union(pairs.select("other_id", "document_id", "other_claim_id", "claim_id"))
-    seen = sides.join(status.select(F.col("claim_id").alias("other_claim_id"), "s"), "other_claim_id").where("s = 'submitted' OR claim_id = other_claim_id")
-    hits = seen.groupBy("claim_id").agg(F.count_distinct(F.least("document_id", "other_id"), F.greatest("document_id", "other_id")).alias("hits"))
-    usable = S.normalize_vendor(F.col("vendor")).isNotNull() & F.col("amount").isNotNull() & F.col("currency").isNotNull() & F.col("bill_date").isNotNull()
-    return _status(docs, "duplicate_same_employee" if same_employee else "duplicate_cross_employee", usable, hits)
+    hits = _duplicate_hits(_pairs(docs, days).where(F.col("same_employee") if same_employee else ~F.col("same_employee"))).drop("same_employee")
+    return _status(docs, "duplicate_same_employee" if same_employee else "duplicate_cross_employee", _comparable(), hits)
 
 
 def threshold_hits(docs: DataFrame, thresholds: DataFrame, margin: int = T.THRESHOLD_MARGIN_PERCENT) -> DataFrame:
@@ -69,8 +88,7 @@ def threshold_gaming(docs: DataFrame, thresholds: DataFrame, margin: int = T.THR
     return _status(docs, "threshold_gaming", F.col("amount").isNotNull() & F.col("currency").isNotNull() & F.col("category").isNotNull(), hits)
 
 
-def velocity(docs: DataFrame, documents: int = T.WEEK_DOCUMENTS, totals: dict[str, int] = T.WEEK_TOTALS) -> DataFrame:
-    """Weeks of the claim's documents in which its employee has too many documents or too high a total, over submitted claims and the claim itself."""
+def _velocity_hits(docs: DataFrame, documents: int, totals: dict[str, int]) -> DataFrame:
     dated = docs.where("bill_date IS NOT NULL").withColumn("week", F.date_trunc("week", "bill_date").cast("date"))
     listed = F.when(F.col("currency").isin(*totals), F.col("amount"))
     sums = lambda rows, keys: rows.groupBy(*keys, "currency").agg(F.count(F.lit(1)).alias("n"), F.sum(listed).alias("total"))
@@ -81,8 +99,12 @@ def velocity(docs: DataFrame, documents: int = T.WEEK_DOCUMENTS, totals: dict[st
     per = seen.groupBy("claim_id", "week", "currency").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     cap = S.lookup({c: float(v) for c, v in totals.items()}, F.col("currency"))
     per = per.groupBy("claim_id", "week").agg(F.sum("n").alias("n"), F.max(F.coalesce(F.col("total") > cap, F.lit(False))).alias("over"))
-    hits = per.where((F.col("n") > documents) | ((F.col("n") >= 2) & F.col("over"))).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
-    return _status(docs, "velocity", F.col("bill_date").isNotNull(), hits)
+    return per.where((F.col("n") > documents) | ((F.col("n") >= 2) & F.col("over"))).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def velocity(docs: DataFrame, documents: int = T.WEEK_DOCUMENTS, totals: dict[str, int] = T.WEEK_TOTALS) -> DataFrame:
+    """Weeks of the claim's documents in which its employee has too many documents or too high a total, over submitted claims and the claim itself."""
+    return _status(docs, "velocity", F.col("bill_date").isNotNull(), _velocity_hits(docs, documents, totals))
 
 
 def _per_document(docs: DataFrame, rule: str, usable: Column, hit: Column) -> DataFrame:
@@ -103,36 +125,108 @@ def weekend_business(docs: DataFrame, categories=T.WEEKEND_CATEGORIES) -> DataFr
     return hits.select("claim_id", F.lit("weekend_business").alias("rule_id"), status.alias("status"), "hits")
 
 
+def _repeat_hits(decisions: DataFrame, least: int) -> DataFrame:
+    violated = decisions.where("verdict = 'violation' AND clause_id IS NOT NULL")
+    per = violated.groupBy("employee_id", "clause_id", "claim_id").agg(F.count(F.lit(1)).alias("n"))
+    history = per.groupBy("employee_id", "clause_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return per.select("employee_id", "clause_id", "claim_id").join(history, ["employee_id", "clause_id"]).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def repeat_violation(claims: DataFrame, decisions: DataFrame, least: int = T.REPEAT_VIOLATIONS) -> DataFrame:
     """decisions: claim_id, employee_id, clause_id, verdict of latest runs. Clauses violated here and at least `least` times by the employee."""
-    violated = decisions.where("verdict = 'violation' AND clause_id IS NOT NULL")
-    history = violated.groupBy("employee_id", "clause_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    hits = violated.select("claim_id", "employee_id", "clause_id").distinct().join(history, ["employee_id", "clause_id"]).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = _repeat_hits(decisions, least)
     known = decisions.groupBy("claim_id").agg(F.count_if(F.col("verdict") != "insufficient_information").alias("known"))
     joined = claims.select("claim_id").distinct().join(known, "claim_id", "left").join(hits, "claim_id", "left")
     status = F.when(F.coalesce("hits", F.lit(0)) > 0, "fired").when(F.coalesce("known", F.lit(0)) == 0, "not_applicable").otherwise("clear")
     return joined.select("claim_id", F.lit("policy_repeat_violation").alias("rule_id"), status.alias("status"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
+def _corrected(rule: str) -> Column:
+    return (S.money_field(F.col("field_path")) & (F.col("direction") == "increase")) if rule == "correction_upward" else (F.coalesce("reason", F.lit("")) != "")
+
+
 def corrections_rule(docs: DataFrame, corrections: DataFrame, rule: str) -> DataFrame:
     """correction_upward: money fields edited upward; correction_guardrail: edits that carry a reason. docs has has_ai."""
-    hit = (S.money_field(F.col("field_path")) & (F.col("direction") == "increase")) if rule == "correction_upward" else (F.coalesce("reason", F.lit("")) != "")
-    hits = corrections.where(hit).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = corrections.where(_corrected(rule)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
     joined = docs.groupBy("claim_id").agg(F.max("has_ai").alias("ai")).join(hits, "claim_id", "left")
     n = F.when(F.col("ai"), F.coalesce("hits", F.lit(0))).otherwise(0)
     status = F.when(~F.col("ai"), "not_applicable").when(n > 0, "fired").otherwise("clear")
     return joined.select("claim_id", F.lit(rule).alias("rule_id"), status.alias("status"), n.cast("long").alias("hits"))
 
 
-def score(results: list[DataFrame]) -> DataFrame:
-    """Weighted score and band of each claim; too few assessable rules and none fired is unassessable, not low."""
-    rows = reduce(DataFrame.unionByName, results)
+def assess(docs: DataFrame, thresholds: DataFrame, decisions: DataFrame, corrections: DataFrame, weekly_documents: int = T.WEEK_DOCUMENTS, weekly_totals: dict[str, int] = T.WEEK_TOTALS, least_violations: int = T.REPEAT_VIOLATIONS) -> DataFrame:
+    """All nine rules at once, (claim_id, rule_id, status, hits), as the single ones give them. docs has has_ai.
+
+    What a claim's own documents say is one aggregate; the hits of rules that look beyond the claim are summed in a second one
+    and joined to it by claim, so that each further rule costs only what it needs itself.
+    """
+    rounded = F.col("amount").isNotNull() & F.coalesce(F.col("currency").isin(*T.ROUND_STEP), F.lit(False))
+    scope = F.coalesce(F.col("category").isin(*T.WEEKEND_CATEGORIES), F.lit(False))
+    dated = scope & F.col("bill_date").isNotNull()
+    own = docs.groupBy("claim_id").agg(
+        F.count_if(_comparable()).alias("comparable"),
+        F.count_if(F.col("amount").isNotNull() & F.col("currency").isNotNull() & F.col("category").isNotNull()).alias("priced"),
+        F.count_if(F.col("bill_date").isNotNull()).alias("dated"),
+        F.count_if(rounded).alias("rounded"),
+        F.count_if(rounded & (F.col("amount") >= S.lookup(T.ROUND_MIN, F.col("currency"))) & (F.col("amount") % S.lookup(T.ROUND_STEP, F.col("currency")) == 0)).alias("round_number"),
+        F.count_if(scope).alias("in_scope"),
+        F.count_if(dated).alias("in_scope_dated"),
+        F.count_if(dated & (F.weekday("bill_date") >= 5)).alias("weekend_business"),
+        F.max("has_ai").alias("ai"),
+    )
+    named = lambda rows, rule: rows.select("claim_id", (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), F.col("hits").cast("long").alias("hits"))
+    counted = lambda rows, of: rows.groupBy("claim_id").agg(of.alias("hits"))
+    which = F.when(F.col("same_employee"), "duplicate_same_employee").otherwise("duplicate_cross_employee")
+    edits = corrections.groupBy("claim_id").agg(*[F.count_if(_corrected(r)).alias(r) for r in ("correction_upward", "correction_guardrail")])
+    edited = edits.select("claim_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hits")) for r in ("correction_upward", "correction_guardrail")])).alias("e")).select("claim_id", "e.rule", "e.hits")
+    parts = [
+        named(_duplicate_hits(_pairs(docs, T.DUPLICATE_DAYS)), which),
+        named(counted(threshold_hits(docs, thresholds), F.count(F.lit(1))), "threshold_gaming"),
+        named(_velocity_hits(docs, weekly_documents, weekly_totals), "velocity"),
+        named(_repeat_hits(decisions, least_violations), "policy_repeat_violation"),
+        named(counted(decisions, F.count_if(F.col("verdict") != "insufficient_information")), "known"),
+        named(edited, F.col("rule")),
+    ]
+    beyond = ("duplicate_same_employee", "duplicate_cross_employee", "threshold_gaming", "velocity", "policy_repeat_violation", "known", "correction_upward", "correction_guardrail")
+    sums = reduce(DataFrame.unionByName, parts).groupBy("claim_id").agg(*[F.sum(F.when(F.col("rule") == r, F.col("hits"))).alias(r) for r in beyond])
+    unusable = {
+        "duplicate_same_employee": F.col("comparable") == 0,
+        "duplicate_cross_employee": F.col("comparable") == 0,
+        "threshold_gaming": F.col("priced") == 0,
+        "velocity": F.col("dated") == 0,
+        "round_number": F.col("rounded") == 0,
+        "weekend_business": (F.col("in_scope") > 0) & (F.col("in_scope_dated") == 0),
+        "policy_repeat_violation": F.coalesce("known", F.lit(0)) == 0,
+    }
+    zero = lambda r: F.coalesce(r, F.lit(0)).cast("long")
+    said = [F.struct(F.lit(r).alias("rule_id"), _said(r, none).alias("status"), zero(r).alias("hits")) for r, none in unusable.items()]
+    for r in ("correction_upward", "correction_guardrail"):
+        said.append(F.struct(F.lit(r).alias("rule_id"), F.when(~F.col("ai"), "not_applicable").otherwise(_said(r, F.lit(False))).alias("status"), F.when(F.col("ai"), zero(r)).otherwise(F.lit(0).cast("long")).alias("hits")))
+    return own.join(sums, "claim_id", "left").select("claim_id", F.explode(F.array(*said)).alias("r")).select("claim_id", "r.*")
+
+
+def score(rows: DataFrame | list[DataFrame]) -> DataFrame:
+    """rows: claim_id, rule_id, status, in one table or several. Weighted score and band of each claim; too few assessable rules and none fired is unassessable, not low."""
+    rows = rows if isinstance(rows, DataFrame) else reduce(DataFrame.unionByName, rows)
     fired = F.col("status") == "fired"
     per = rows.groupBy("claim_id").agg(F.least(F.lit(100), F.sum(F.when(fired, S.lookup(T.WEIGHTS, F.col("rule_id"))).otherwise(0))).cast("long").alias("risk_score"), F.count_if(fired).alias("n_fired"), F.count_if(F.col("status") != "not_applicable").alias("assessable"), F.count(F.lit(1)).alias("n_rules"))
     band = F.when((F.col("n_fired") == 0) & (F.col("assessable") < T.MIN_ASSESSABLE), "unassessable").when(F.col("risk_score") >= T.BAND_HIGH, "high").when(F.col("risk_score") >= T.BAND_MEDIUM, "medium").otherwise("low")
     return per.withColumn("risk_band", band)
 
 
+def review_queue(scores: DataFrame) -> DataFrame:
+    """claim_id, risk_band, risk_score, place: the place within the band, by falling score and then by claim.
+
+    A band may hold most claims, so they are dealt out in ranges, which are counted, and numbered each in its own task.
+    """
+    ranged = scores.select("claim_id", "risk_band", "risk_score").repartitionByRange("risk_band", F.desc("risk_score"), "claim_id").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged)
+    sizes = ranged.groupBy("risk_band", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), (F.col("a.risk_band") == F.col("b.risk_band")) & (F.col("b.part") < F.col("a.part")), "left").groupBy("a.risk_band", "a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    turn = Window.partitionBy("part", "risk_band").orderBy(F.desc("risk_score"), "claim_id")
+    return ranged.withColumn("turn", F.row_number().over(turn)).join(F.broadcast(before), ["risk_band", "part"]).select("claim_id", "risk_band", "risk_score", (F.col("turn") + F.col("before")).cast("long").alias("place"))
+
+
 def duplicate_files(files: DataFrame, keys: list[str], removed: Column) -> DataFrame:
     """keys and n: files that stand more than once among those that were not removed."""
     return files.where(~F.coalesce(removed, F.lit(False))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

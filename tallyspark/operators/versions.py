@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from tallyspark.functions.tables import VERDICTS
 
 
+def _picked(rows: DataFrame, keys: list[str], order: str, pick) -> DataFrame:
+    """An aggregate for each column, combined before the shuffle; the value of the chosen row counts, null or not."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    best = {F.max_by: F.max, F.min_by: F.min}[pick]
+    return rows.groupBy(*keys).agg(best(order).alias(order), *[pick(c, order).alias(c) for c in rest]).select(rows.columns)
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the greatest `order` of each key; combined before the shuffle, without a sort."""
-    rest = F.struct(*[c for c in rows.columns])
-    return rows.groupBy(*keys).agg(F.max_by(rest, F.col(order)).alias("row")).select("row.*")
+    """The row with the greatest `order` of each key; `order` is not null and does not repeat within a key."""
+    return _picked(rows, keys, order, F.max_by)
 
 
 def earliest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("row")).select("row.*")
+    """The row with the least `order` of each key, as latest()."""
+    return _picked(rows, keys, order, F.min_by)
 
 
 def latest_run(rows: DataFrame, key: str, seq: str) -> DataFrame:

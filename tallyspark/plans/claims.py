@@ -22,7 +22,7 @@ _LIST = _COLUMNS.split(", ")
 
 @query("W1_latest_version", f"WITH {DOCS} SELECT {_COLUMNS} FROM docs")
 def latest_version(spark, d):
-    return docs(spark, d).select(_LIST)
+    return V.latest(versions(spark, d).select(_LIST), ["document_id"], "version")
 
 
 @query("W2_first_ai_version", f"WITH {VERSIONS} SELECT {_COLUMNS} FROM versions WHERE currency IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY version) = 1")

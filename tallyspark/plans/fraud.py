@@ -8,6 +8,7 @@ from tallyspark.operators import fraud as R
 from tallyspark.operators import versions as V
 from tallyspark.plans.proxy import DOCS, VERSIONS, docs, table, versions
 from tallyspark.plans.registry import query
+from tallyspark.sources.readers import stored
 
 _VENDOR = "trim(regexp_replace(regexp_replace(lower(vendor), '[^a-z0-9 ]', ' ', 'g'), '\\b(pvt|ltd|limited|private|llp|inc|the)\\b', ' ', 'g'))"
 _USABLE = f"u AS (SELECT *, {_VENDOR} AS vk FROM docs WHERE amount IS NOT NULL AND currency IS NOT NULL AND bill_date IS NOT NULL AND vendor IS NOT NULL)"
@@ -138,14 +139,10 @@ def correction_guardrail(spark, d):
 
 
 def results(spark, d):
-    """The nine rules over one set of current documents, which is computed once."""
-    rows = docs(spark, d).persist()
+    """The nine rules over one set of current documents."""
+    rows = _scoped(_with_ai(stored(docs(spark, d))))
     _, decisions = _decided(rows)
-    with_ai, edits = _with_ai(rows), _corrections(spark, d)
-    return [
-        R.duplicates(rows, same_employee=True), R.duplicates(rows, same_employee=False), R.threshold_gaming(rows, thresholds(spark)), R.velocity(rows, documents=2, totals={"INR": 6000}), R.round_number(rows), R.weekend_business(_scoped(rows)),
-        R.repeat_violation(rows, decisions), R.corrections_rule(with_ai, edits, "correction_upward"), R.corrections_rule(with_ai, edits, "correction_guardrail"),
-    ]
+    return R.assess(rows, thresholds(spark), decisions, _corrections(spark, d), weekly_documents=2, weekly_totals={"INR": 6000})
 
 
 def all_sql() -> str:
@@ -169,29 +166,17 @@ def score(spark, d):
 @query("O2_review_queue", f"SELECT claim_id, risk_band, risk_score, row_number() OVER (PARTITION BY risk_band ORDER BY risk_score DESC, claim_id) AS place FROM ({_BANDED})")
 def review_queue(spark, d):
     """Places within each band; the bands follow one another: high, medium, unassessable, low."""
-    from pyspark.sql import Window
-
-    turn = Window.partitionBy("risk_band").orderBy(F.desc("risk_score"), "claim_id")
-    return R.score(results(spark, d)).select("claim_id", "risk_band", "risk_score", F.row_number().over(turn).cast("long").alias("place"))
+    return R.review_queue(R.score(results(spark, d)))
 
 
 @query("A8_rule_coverage", f"SELECT rule_id, count(*) FILTER (status = 'fired') AS fired, count(*) FILTER (status = 'clear') AS clear, count(*) FILTER (status = 'not_applicable') AS not_applicable FROM ({all_sql()}) GROUP BY 1")
 def rule_coverage(spark, d):
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
-    rows = reduce(DataFrame.unionByName, results(spark, d))
-    return rows.groupBy("rule_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fired", "clear", "not_applicable")])
+    return results(spark, d).groupBy("rule_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fired", "clear", "not_applicable")])
 
 
 @query("R12_assessments", f"SELECT claim_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'fired'), '') AS fired, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'not_applicable'), '') AS not_applicable, 'v1' AS ruleset FROM ({all_sql()}) GROUP BY 1")
 def assessments(spark, d):
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
-    rows = reduce(DataFrame.unionByName, results(spark, d))
+    rows = results(spark, d)
     named = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("rule_id")))), ",").alias(s)
     return rows.groupBy("claim_id").agg(named("fired"), named("not_applicable")).withColumn("ruleset", F.lit("v1"))
 

@@ -13,16 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per version of a document; versions count from 1 in the order they were made."""
-    t = lambda name: table(spark, sf_dir, name)
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their order, numbered within their document, the last of which is marked. One exchange by order serves the join and the numbering."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     made = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.withColumn("version", F.row_number().over(made)).withColumn("is_last", F.lead(F.lit(1)).over(made).isNull())
+
+
+def _described(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    joined = rows.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("document_id"),
         F.col("l_orderkey").alias("claim_id"),
         F.col("o_custkey").alias("employee_id"),
-        F.row_number().over(made).alias("version"),
+        "version",
         (F.col("l_quantity") * 100).cast("decimal(12,2)").alias("amount"),
         F.when(F.col("l_returnflag") == "A", "INR").when(F.col("l_returnflag") == "R", "USD").alias("currency"),
         F.when(F.col("l_linestatus") == "F", "confirmed").otherwise("needs_review").alias("doc_status"),
@@ -36,6 +42,11 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per version of a document; versions count from 1 in the order they were made."""
+    return _described(spark, sf_dir, _made(spark, sf_dir))
+
+
 VERSIONS = """versions AS (
   SELECT l_orderkey * 100 + l_linenumber AS document_id, l_orderkey AS claim_id, o_custkey AS employee_id,
     row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_extendedprice, l_partkey, l_suppkey, l_quantity)::INT AS version,
@@ -48,7 +59,5 @@ DOCS = VERSIONS + ",\ndocs AS (SELECT * FROM versions QUALIFY row_number() OVER
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest version of each document."""
-    from tallyspark.operators.versions import latest
-
-    return latest(versions(spark, sf_dir), ["document_id"], "version")
+    """The latest version of each document; the others are left before anything else is joined."""
+    return _described(spark, sf_dir, _made(spark, sf_dir).where("is_last"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators import responses as V
@@ -108,7 +105,7 @@ def policy_requests(spark, d):
 @query("V15_narrative_requests", f"""SELECT claim_id, '[' || string_agg('{{"rule_id":"' || rule_id || '","hits":' || hits || '}}', ',' ORDER BY rule_id) || ']' AS request FROM ({all_sql()}) WHERE status = 'fired' GROUP BY 1""")
 def narrative_requests(spark, d):
     """For each claim with a fired rule, the fired rules only."""
-    fired = reduce(DataFrame.unionByName, results(spark, d)).where("status = 'fired'")
+    fired = results(spark, d).where("status = 'fired'")
     return fired.groupBy("claim_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rule_id", "hits")))).alias("request"))
 
 

@@ -10,10 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's checkpoint folder. Where none is set, a temporary one, but in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return (base or tempfile.mkdtemp(prefix="scratch-")).rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under the session's checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="scratch-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, computed once and kept in the shared folder, without their lineage; for results that several parts of a plan read."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
 
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
