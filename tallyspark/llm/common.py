@@ -12,11 +12,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names in spark.checkpoint.dir; one of our own only where none is named."""
+    """df with its lineage cut, in the folder that the session names in spark.checkpoint.dir. Where none is named a temporary one serves, in local mode only."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

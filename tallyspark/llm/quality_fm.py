@@ -32,12 +32,17 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Settings:
-    """What the model is fitted with. The sample is bounded: at most good + bad labelled rows."""
+    """What the model is fitted with.
+
+    The sample is bounded: at most good + bad labelled rows, of at most most_chars characters each (longer texts are left out
+    of training, never of scoring).
+    """
 
     words: int = 1 << 13
     rank: int = 8
     good: int = 3000
     bad: int = 3000
+    most_chars: int = 100_000
     epochs: int = 12
     rate: float = 0.05
     l2: float = 1e-4
@@ -130,7 +135,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, at: Setti
 
 def train(docs: DataFrame, labels: DataFrame, at: Settings = Settings()) -> Machine:
     """Features are made on the executors; the driver gets those of the bounded sample."""
-    sample = labelled_sample(docs, labels, "quality", {1: at.good, 0: at.bad})
+    sample = labelled_sample(docs, labels, "quality", {1: at.good, 0: at.bad}, at.most_chars)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,7 +160,11 @@ def score_of(text: Column, machine: Machine, words: int = Settings.words) -> Col
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = Settings.words) -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted. Null ids are not held out; repeated rows get equal scores; other columns are not read."""
+    """One row per row of docs: id, held_out, score, predicted.
+
+    Null and empty texts are scored by their statistics; long texts are read whole; null ids are not held out; repeated rows
+    get equal scores; an empty table gives an empty one. Other columns are not read, so their names may clash.
+    """
     scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score_of(F.col(text_col), machine, words).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], most_chars: int = 100_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], most_chars: int) -> DataFrame:
     """(text, label, key): at most per_class[y] rows that are labelled y and not held out, the first by a hash of their id.
 
     The sample is bounded by rows and by characters a row (longer and null texts are left out of training, never of scoring).
