@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
+from tallyspark.operators.versions import numbered
 
 
 def input_text(vendor: Column, items: Column, markdown: Column) -> Column:
@@ -45,9 +46,10 @@ def hybrid(classifier: DataFrame, fallback: DataFrame, threshold: float = 0.3) -
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.8) -> DataFrame:
-    """Rows with `part`: the same share of every label, by a hash of the key."""
-    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key))
-    return rows.withColumn("part", F.when(place < train, "train").otherwise("test"))
+    """Rows with `part`: the same share of every label, by a hash of the key; the key is unique."""
+    placed = numbered(rows, [label], [F.md5(F.col(key).cast("string")), F.col(key)])
+    share = F.coalesce(F.try_divide(F.col("turn") - 1, F.col("of") - 1), F.lit(0.0))
+    return placed.withColumn("part", F.when(share < train, "train").otherwise("test")).drop("turn", "of")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -75,32 +77,34 @@ def classify(model, rows: DataFrame, features: str) -> DataFrame:
     return scored.withColumn("confidence", F.array_max(vector_to_array("probability"))).withColumn("predicted", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 10_000) -> DataFrame:
-    """(train_id, held_id, cosine) over the limit, exactly. Columns: id, v (array of double).
+def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 20_000) -> DataFrame:
+    """(train_id, held_id, cosine) over the limit, exactly. Columns: id, v (array of double, of one length).
 
-    The held rows are the query set: they are worked off in blocks of at most about `block` vectors, so that a task holds
-    one block and its batch of training rows; training rows are never shuffled.
+    The held rows are a query set against all training rows. Both sides are dealt into blocks of about `block` rows by a hash,
+    every pair of blocks meets by an equi-join on the blocks' numbers, and a task holds one block of each side; no vector
+    reaches the driver. Rows without a vector match nothing.
     """
-    blocks = max(1, -(-held.count() // block))
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    n_train, n_held = (max(1, -(-side.count() // block)) for side in (train, held))
 
-    def against(rows) -> DataFrame:
-        ids, unit = np.array([r["id"] for r in rows]), _unit(np.array([r["v"] for r in rows]))
+    def dealt(side: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return side.where("v IS NOT NULL").select(F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
 
-        def compare(batches):
-            for batch in batches:
-                if len(batch) and len(ids):
-                    cosine = _unit(np.stack(batch["v"])) @ unit.T
-                    t, h = np.nonzero(cosine > limit)
-                    yield pd.DataFrame({"train_id": batch["id"].to_numpy()[t], "held_id": ids[h], "cosine": cosine[t, h]})
+    def compare(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"train_id": [], "held_id": [], "cosine": []})
+        left, right, found = _unit(np.stack(a["train_v"])), _unit(np.stack(b["held_v"])), []
+        for k in range(0, len(left), 1000):
+            cosine = left[k : k + 1000] @ right.T
+            t, h = np.nonzero(cosine > limit)
+            found.append(pd.DataFrame({"train_id": a["train_id"].to_numpy()[t + k], "held_id": b["held_id"].to_numpy()[h], "cosine": cosine[t, h]}))
+        return pd.concat(found)
 
-        return train.select("id", "v").mapInPandas(compare, "train_id long, held_id long, cosine double")
-
-    return reduce(DataFrame.unionAll, [against(held.where(part == k).select("id", "v").collect()) for k in range(blocks)])
+    sides = dealt(train, "train", "t", n_train, "h", n_held).groupBy("t", "h").cogroup(dealt(held, "held", "h", n_held, "t", n_train).groupBy("t", "h"))
+    return sides.applyInPandas(compare, "train_id long, held_id long, cosine double")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def backfill(rows: DataFrame, category: str, document_type: Column, text: Column) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
-from tallyspark.sources.readers import stored
+from tallyspark.operators.versions import numbered
 
 
 def _usable(docs: DataFrame) -> DataFrame:
@@ -215,16 +215,9 @@ def score(rows: DataFrame | list[DataFrame]) -> DataFrame:
 
 
 def review_queue(scores: DataFrame) -> DataFrame:
-    """claim_id, risk_band, risk_score, place: the place within the band, by falling score and then by claim.
-
-    A band may hold most claims, so they are dealt out in ranges, which are counted, and numbered each in its own task.
-    """
-    ranged = scores.select("claim_id", "risk_band", "risk_score").repartitionByRange("risk_band", F.desc("risk_score"), "claim_id").withColumn("part", F.spark_partition_id())
-    ranged = stored(ranged)
-    sizes = ranged.groupBy("risk_band", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), (F.col("a.risk_band") == F.col("b.risk_band")) & (F.col("b.part") < F.col("a.part")), "left").groupBy("a.risk_band", "a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    turn = Window.partitionBy("part", "risk_band").orderBy(F.desc("risk_score"), "claim_id")
-    return ranged.withColumn("turn", F.row_number().over(turn)).join(F.broadcast(before), ["risk_band", "part"]).select("claim_id", "risk_band", "risk_score", (F.col("turn") + F.col("before")).cast("long").alias("place"))
+    """claim_id, risk_band, risk_score, place: the place within the band, by falling score and then by claim."""
+    rows = numbered(scores.select("claim_id", "risk_band", "risk_score"), ["risk_band"], [F.desc("risk_score"), F.col("claim_id")])
+    return rows.select("claim_id", "risk_band", "risk_score", F.col("turn").cast("long").alias("place"))
 
 
 def duplicate_files(files: DataFrame, keys: list[str], removed: Column) -> DataFrame:

@@ -140,3 +140,19 @@ def dimension_failures(units: DataFrame, clauses: DataFrame) -> DataFrame:
     bad = F.exists(F.map_entries("asked"), lambda e: F.coalesce(~F.array_contains(e["value"], value(e["key"])), F.lit(False)))
     dims = F.map_from_entries(F.transform(F.array_sort(F.map_keys("asked")), lambda k: F.struct(k, value(k))))
     return rows.select("unit_id", F.when(bad, "bad_dimension_value").alias("failure"), F.when(~bad, dims).alias("dimensions"))
+
+
+def policy_requests(docs: DataFrame, clauses: DataFrame) -> DataFrame:
+    """document_id, request: JSON with the document, its claim's others and the clauses of its category and of all ("*"), numeric limits withheld.
+
+    A claim's documents are few by nature; the clauses of a category are gathered from the small table of clauses.
+    """
+    shown = F.struct("document_id", "vendor", F.col("amount").cast("string").alias("amount"))
+    siblings = docs.groupBy("claim_id").agg(F.sort_array(F.collect_list(shown)).alias("documents"))
+    tagged = clauses.select(F.struct("clause_id", "limit_unit", "is_prohibition").alias("clause"), F.explode("applies_to").alias("category"))
+    own = tagged.where("category <> '*'").groupBy("category").agg(F.collect_set("clause").alias("own"))
+    everywhere = tagged.where("category = '*'").agg(F.collect_set("clause").alias("everywhere"))
+    joined = docs.join(siblings, "claim_id").join(F.broadcast(own), "category", "left").crossJoin(F.broadcast(everywhere))
+    offered = F.sort_array(F.array_union(F.coalesce("own", F.filter("everywhere", lambda _: F.lit(False))), F.col("everywhere")))
+    others = F.filter("documents", lambda x: x["document_id"] != F.col("document_id"))
+    return joined.select("document_id", F.to_json(F.struct("claim_id", "employee_id", shown.alias("document"), others.alias("siblings"), offered.alias("clauses"))).alias("request"))

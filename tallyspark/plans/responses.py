@@ -88,18 +88,11 @@ def first_valid(spark, d):
 
 @query("V13_policy_requests")
 def policy_requests(spark, d):
-    """A request for each latest document with its siblings and the candidate clauses, numeric limits withheld."""
+    """A request for each latest document."""
     from tallyspark.plans.policy import clauses
     from tallyspark.plans.proxy import docs
 
-    rows = docs(spark, d)
-    shown = F.struct("document_id", "vendor", F.col("amount").cast("string").alias("amount"))
-    siblings = rows.groupBy("claim_id").agg(F.sort_array(F.collect_list(shown)).alias("documents"))
-    open_clauses = clauses(spark).select(F.struct("clause_id", "limit_unit", "is_prohibition").alias("clause"), F.explode("applies_to").alias("category"))
-    candidates = open_clauses.groupBy("category").agg(F.sort_array(F.collect_list("clause")).alias("clauses"))
-    joined = rows.join(siblings, "claim_id").join(F.broadcast(candidates), "category", "left")
-    others = F.filter("documents", lambda x: x["document_id"] != F.col("document_id"))
-    return joined.select("document_id", F.to_json(F.struct("claim_id", "employee_id", shown.alias("document"), others.alias("siblings"), "clauses")).alias("request"))
+    return V.policy_requests(docs(spark, d), clauses(spark))
 
 
 @query("V15_narrative_requests", f"""SELECT claim_id, '[' || string_agg('{{"rule_id":"' || rule_id || '","hits":' || hits || '}}', ',' ORDER BY rule_id) || ']' AS request FROM ({all_sql()}) WHERE status = 'fired' GROUP BY 1""")
