@@ -35,7 +35,7 @@ _POS = _U((1 << 24) - 1)
 #: Bytes that are named at a time; texts above are cut into pieces that overlap by a window.
 _PIECE = 1 << 22
 #: A name with more contexts than this is compared window by window over the whole cluster, not in one task.
-GROUP = 20_000
+GROUP = 2_000
 #: Stands for a null id, before all others.
 _NONE = -(2**63)
 
@@ -114,7 +114,7 @@ def _anchor_rows(length: int):
         order = np.argsort(name * _TIMES[3] + context, kind="stable")  # rows come in the order of documents and positions
         k, lo, hi, name, context = (x[order] for x in (k, lo, hi, name, context))
         again = np.concatenate([[False], (name[1:] == name[:-1]) & (context[1:] == context[:-1])])
-        doc, th = np.array([d[0] for d in docs], np.int64)[k], np.array([d[1] for d in docs], np.int32)[k]
+        doc, th = np.array([d[0] for d in docs], np.int64)[k], np.array([d[1] for d in docs], np.int64)[k]
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
         twin = again & (doc == doc[first]) & (th == th[first]) & (lo == lo[first])  # a repeated row, not an earlier place
         name = np.where(again, (doc + 1).astype(np.uint64) * _TIMES[4] + lo.astype(np.uint64), name).view(np.int64)
@@ -125,7 +125,7 @@ def _anchor_rows(length: int):
     return rows
 
 
-_ANCHOR = "name long, context long, doc long, th int, place long"
+_ANCHOR = "name long, context long, doc long, th long, place long"
 
 
 def _rank(hot: frozenset):
@@ -282,10 +282,10 @@ def _settled(texts: DataFrame, length: int, share: float, fraction: float) -> Da
     hot = _hot_names(texts, length, share, fraction)
     salt = [F.when(F.col("name").isin(*hot), F.pmod(F.col("context"), F.lit(1024)))] if hot else []
     dealt = texts.mapInArrow(_anchor_rows(length), _ANCHOR).repartition("name", *salt).sortWithinPartitions("name", "context", "doc", "th", "place")
-    ranked = dealt.mapInPandas(_rank(hot), "name long, doc long, th int, place long, gone boolean")
+    ranked = dealt.mapInPandas(_rank(hot), "name long, doc long, th long, place long, gone boolean")
     gathered = [F.collect_list(F.when(F.col("gone"), F.col("place"))).alias("gone"), *[F.collect_list(F.when(~F.col("gone"), F.col(c))).alias(f"{c}s") for c in ("name", "place")]]
     per_doc = ranked.groupBy("doc", "th").agg(*gathered)
-    return cut(per_doc.mapInPandas(_settle, "doc long, th int, lo array<int>, hi array<int>, names array<long>, los array<int>, his array<int>"))
+    return cut(per_doc.mapInPandas(_settle, "doc long, th long, lo array<int>, hi array<int>, names array<long>, los array<int>, his array<int>"))
 
 
 def _round_two(texts: DataFrame, settled: DataFrame, length: int, group: int) -> DataFrame:
@@ -296,10 +296,10 @@ def _round_two(texts: DataFrame, settled: DataFrame, length: int, group: int) ->
     large = settled.select(F.explode("names").alias("name")).groupBy("name").count().where(F.col("count") > group).select("name")
     some = not large.isEmpty()
     small = contexts.join(large, "name", "left_anti") if some else contexts
-    one_task = small.repartition("name").sortWithinPartitions("name", "doc", "th", "lo").mapInPandas(_compare(length), "doc long, th int, lo int, hi int")
+    one_task = small.repartition("name").sortWithinPartitions("name", "doc", "th", "lo").mapInPandas(_compare(length), "doc long, th long, lo int, hi int")
     if not some:
         return one_task
-    windows = contexts.join(large, "name", "left_semi").mapInPandas(_spread(length), "one long, two long, doc long, th int, lo int")
+    windows = contexts.join(large, "name", "left_semi").mapInPandas(_spread(length), "one long, two long, doc long, th long, lo int")
     first = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "th", "lo")).alias("first"))
     return one_task.union(windows.join(first, ["one", "two"]).where(F.struct("doc", "th", "lo") > F.col("first")).select("doc", "th", "lo", F.col("lo").alias("hi")))
 
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be from 64 to 112 bytes")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc")
     unique = docs.select(doc).groupBy("doc").count().where("count > 1").isEmpty()
-    th = F.lit(0) if unique else F.hash(F.col(text_col))
+    th = F.lit(0).cast("long") if unique else F.xxhash64(F.col(text_col))
     texts = docs.select(doc, th.alias("th"), F.col(text_col).cast("binary").alias("text"))
     settled = _settled(texts, length, hot_share, hot_sample)
     found = _round_two(texts, settled, length, group).groupBy("doc", "th").agg(F.collect_list("lo").alias("lo2"), F.collect_list("hi").alias("hi2"))
