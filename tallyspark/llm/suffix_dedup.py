@@ -35,7 +35,7 @@ _POS = _U((1 << 24) - 1)
 #: Bytes that are named at a time; texts above are cut into pieces that overlap by a window.
 _PIECE = 1 << 22
 #: A name with more contexts than this is compared window by window over the whole cluster, not in one task.
-GROUP = 2_000
+GROUP = 20_000
 #: Stands for a null id, before all others.
 _NONE = -(2**63)
 
