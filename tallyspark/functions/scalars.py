@@ -96,23 +96,30 @@ def gstin_valid(value: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """A printed date, day first; null if no form fits or there is no such day. Two-digit years from 69 on are 19xx."""
+    """A printed date, day first; null if no form fits or there is no such day. Two-digit years from 69 on are 19xx.
+
+    The text's shape is looked at first, so that a text is matched against the forms of its shape only.
+    """
     c = F.regexp_replace(F.regexp_replace(strip(text), r"\s+", " "), r"(\d)(st|nd|rd|th)\b", "$1")
-    day = lambda pattern, form, of=c: F.when(of.rlike(f"^{pattern}$"), F.try_to_date(of, form))
-
-    def short_year(pattern: str, form: str) -> Column:
-        full = F.regexp_replace(c, r"(\d\d)$", "20$1")
-        return F.when(c.rlike(f"^{pattern}$"), F.try_to_date(F.when(F.regexp_extract(c, r"(\d\d)$", 1) >= "69", F.regexp_replace(c, r"(\d\d)$", "19$1")).otherwise(full), form))
-
-    d, month, long = r"\d{1,2}", "[A-Za-z]{3}", "[A-Za-z]{3,9}"
-    forms = [day(rf"\d{{4}}{s}{d}{s}{d}", f"yyyy{t}M{t}d") for s, t in (("-", "-"), ("/", "/"))]
-    forms += [day(rf"{d}{s}{d}{s}\d{{4}}", f"d{t}M{t}yyyy") for s, t in (("/", "/"), ("-", "-"), (r"\.", "."))]
-    forms += [short_year(rf"{d}{s}{d}{s}\d{{2}}", f"d{t}M{t}yyyy") for s, t in (("/", "/"), ("-", "-"), (r"\.", "."))]
-    forms += [day(rf"{d} {month} \d{{4}}", "d MMM yyyy"), day(rf"{d} {long} \d{{4}}", "d MMMM yyyy"), day(rf"{d}-{month}-\d{{4}}", "d-MMM-yyyy"), short_year(rf"{d}-{month}-\d{{2}}", "d-MMM-yyyy")]
-    forms += [day(rf"{month} {d},? \d{{4}}", f"MMM d{s} yyyy", of) for s, of in (("", F.replace(c, F.lit(","), F.lit(""))),)]
-    forms += [day(rf"{long} {d},? \d{{4}}", "MMMM d yyyy", F.replace(c, F.lit(","), F.lit("")))]
-    forms.append(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_date(F.substring(c, 1, 10), "yyyy-M-d")))
-    return F.coalesce(*forms)
+    part = lambda pattern, k, of=c: F.regexp_extract(of, pattern, k)
+    day = lambda y, m, d, form="M": F.try_to_date(F.concat_ws("-", y, m, d), f"yyyy-{form}-d")
+    year = lambda y: F.when(F.length(y) == 4, y).when(y >= "69", F.concat(F.lit("19"), y)).when(y != "", F.concat(F.lit("20"), y))
+
+    def named(pattern: str, y: int, m: int, d: int, of: Column = c) -> Column:
+        """The month's name is short or long; May is both."""
+        ends = year(part(pattern, y, of)), part(pattern, m, of), part(pattern, d, of)
+        return F.coalesce(F.when(F.length(ends[1]) == 3, day(*ends, "MMM")), day(*ends, "MMMM"))
+
+    iso, first, stamp = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})$", r"^(\d{4}-\d{2}-\d{2})[T ]"
+    spaced, dashed, month = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$", r"^(\d{1,2})-([A-Za-z]{3})-(\d{4}|\d{2})$", r"^([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})$"
+    return (
+        F.when(c.rlike(first), day(year(part(first, 4)), part(first, 3), part(first, 1)))
+        .when(c.rlike(iso), day(part(iso, 1), part(iso, 3), part(iso, 4)))
+        .when(c.rlike(stamp), F.try_to_date(F.substring(c, 1, 10), "yyyy-M-d"))
+        .when(c.rlike(spaced), named(spaced, 3, 2, 1))
+        .when(c.rlike(month), named(month, 3, 1, 2))
+        .when(c.rlike(dashed), named(dashed, 3, 2, 1))
+    )
 
 
 def nights_between(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
+from tallyspark.functions.joins import small
 from tallyspark.operators.versions import numbered
 
 
@@ -64,7 +65,7 @@ def train_classifier(rows: DataFrame, features: str, label: str):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    weighted = rows.join(F.broadcast(class_weights(rows, label)), label)
+    weighted = rows.join(small(class_weights(rows, label)), label)
     data = weighted.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), "weight")
     return LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01).fit(data)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
+from tallyspark.functions.joins import small
 from tallyspark.operators.versions import numbered
 
 
@@ -77,7 +78,7 @@ def duplicates(docs: DataFrame, same_employee: bool, days: int = T.DUPLICATE_DAY
 def threshold_hits(docs: DataFrame, thresholds: DataFrame, margin: int = T.THRESHOLD_MARGIN_PERCENT) -> DataFrame:
     """Documents just below a threshold of their category or of all ("*"); percent_below has one decimal, half to even."""
     rows = docs.where("amount IS NOT NULL AND currency IS NOT NULL AND category IS NOT NULL").withColumn("scope", F.explode(F.array("category", F.lit("*"))))
-    t = F.broadcast(thresholds.select(F.col("category").alias("scope"), "currency", F.col("amount").alias("threshold"), "kind", "clause_id").where("threshold > 0"))
+    t = small(thresholds.select(F.col("category").alias("scope"), "currency", F.col("amount").alias("threshold"), "kind", "clause_id").where("threshold > 0"))
     near = rows.join(t, ["scope", "currency"]).where((F.col("amount") >= F.col("threshold") * F.lit(100 - margin) / 100) & (F.col("amount") < F.col("threshold")))
     share = (F.col("threshold") - F.col("amount")) * 100 / F.col("threshold")
     return near.select("document_id", "claim_id", "amount", "threshold", "kind", "clause_id", F.bround(share.cast("decimal(20,6)"), 1).cast("decimal(6,1)").alias("percent_below"))

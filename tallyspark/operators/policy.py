@@ -1,4 +1,4 @@
-"""Policy clauses against expense units: limits, conditions, documentation, approval, verdicts.
+"""Policy clauses against expense units: limits, conditions, documentation, approval, verdicts. Clauses are broadcast if they are counted and few.
 
 units: unit_id, clause_id, currency, base_amount, base_of_percent, nights, days, persons, distance_km, n_peers, peers_total
 (null if the month's history is unknown), dims map<string,string>, judgments map<string,boolean>,
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions.joins import small
 
 _UNRESOLVED = "array<string>"
 
@@ -63,7 +64,7 @@ def _lacking() -> Column:
 
 def candidate_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
     """Units x limits that may apply: in the unit's currency (amount limits), with no known dimension outside the allowed values; unresolved lists unknown dimensions."""
-    joined = units.join(F.broadcast(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
+    joined = units.join(small(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
     rows = joined.withColumn("limit", F.explode(F.filter("limits", lambda x: _may_apply(x)))).drop("limits")
     return rows.withColumn("unresolved", _unknown(F.col("limit")))
 
@@ -82,7 +83,7 @@ def resolve_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
     array of the unit's row: no shuffle.
     """
     none = F.array().cast(_UNRESOLVED)
-    rows = units.join(F.broadcast(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
+    rows = units.join(small(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
     found = F.filter("limits", lambda x: _may_apply(x))
     rows = rows.withColumn("found", F.transform(found, lambda x: F.struct(_limit_value(x).alias("value"), _unknown(x).alias("unknown")))).withColumn("compared", _compared())
     within = F.transform("found", lambda x: F.when(F.col("limit_inclusive"), F.col("compared") <= x["value"]).otherwise(F.col("compared") < x["value"]))
@@ -122,7 +123,7 @@ def any_of(values: Column) -> Column:
 
 def check_conditions(units: DataFrame, clauses: DataFrame, limits: DataFrame) -> DataFrame:
     """One row per unit and condition: holds (null if unknown), violated, missing."""
-    rows = units.join(F.broadcast(clauses.select("clause_id", F.explode("conditions").alias("c"))), "clause_id").join(limits.select("unit_id", F.col("compared").alias("unit_amount")), "unit_id")
+    rows = units.join(small(clauses.select("clause_id", F.explode("conditions").alias("c"))), "clause_id").join(limits.select("unit_id", F.col("compared").alias("unit_amount")), "unit_id")
     of = F.col("c.quantity")
     quantity = F.when(of == "amount", F.col("base_amount")).when(of == "unit_amount", F.col("unit_amount")).when(of == "nights", F.col("nights")).when(of == "days", F.col("days")).when(of == "persons", F.col("persons")).when(of == "distance_km", F.col("distance_km"))
     value = F.when(F.col("c.check") == "numeric", holds(F.col("c.op"), quantity, F.col("c.value"))).otherwise(F.try_element_at("judgments", F.col("c.id")))
@@ -134,7 +135,7 @@ def check_conditions(units: DataFrame, clauses: DataFrame, limits: DataFrame) ->
 
 def check_documentation(units: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row per unit and item: violated if it is required and known to be absent, missing if that is unknown."""
-    rows = units.join(F.broadcast(clauses.select("clause_id", F.explode("documents").alias("d"))), "clause_id")
+    rows = units.join(small(clauses.select("clause_id", F.explode("documents").alias("d"))), "clause_id")
     present = F.try_element_at("documentation", F.col("d.item"))
     required = F.when(F.col("d.min_amount").isNull(), F.lit(True)).otherwise(F.col("base_amount") >= F.col("d.min_amount"))
     lacking = F.when(required.isNull(), "document_amount").when(required & present.isNull(), F.concat(F.lit("documentation:"), F.col("d.item")))
@@ -143,7 +144,7 @@ def check_documentation(units: DataFrame, clauses: DataFrame) -> DataFrame:
 
 def check_approval(units: DataFrame, clauses: DataFrame) -> DataFrame:
     """Units of clauses with approval thresholds: needed is true if the undivided amount is above and no approval is evidenced."""
-    rows = units.join(F.broadcast(clauses.where(F.size("approval") > 0).select("clause_id", "approval")), "clause_id")
+    rows = units.join(small(clauses.where(F.size("approval") > 0).select("clause_id", "approval")), "clause_id")
     threshold = F.try_element_at("approval", F.col("currency"))
     lacking = F.when(F.col("currency").isNull(), "currency").when(threshold.isNull(), "fx_rate").when(F.col("base_amount").isNull(), "document_amount")
     above = F.when(threshold > 0, F.col("base_amount") > threshold).otherwise(F.col("base_amount") > 0)
@@ -157,7 +158,7 @@ def verdicts(units: DataFrame, clauses: DataFrame) -> DataFrame:
     conditions = check_conditions(units, clauses, limits).groupBy("unit_id").agg(F.bool_or("violated").alias("c_bad"), F.collect_set("missing").alias("c_missing"))
     documents = check_documentation(units, clauses).groupBy("unit_id").agg(F.bool_or("violated").alias("d_bad"), F.collect_set("missing").alias("d_missing"))
     approval = check_approval(units, clauses).select("unit_id", F.col("needed").alias("a_needed"), F.array_compact(F.array("missing")).alias("a_missing"))
-    banned = F.broadcast(clauses.select("clause_id", (F.col("is_prohibition") & (F.size("conditions") == 0)).alias("banned")))
+    banned = small(clauses.select("clause_id", (F.col("is_prohibition") & (F.size("conditions") == 0)).alias("banned")))
     rows = units.select("unit_id", "clause_id").join(banned, "clause_id").join(limits, "unit_id").join(conditions, "unit_id", "left").join(documents, "unit_id", "left").join(approval, "unit_id", "left")
     none = F.array().cast(_UNRESOLVED)
     missing = F.array_sort(F.array_distinct(F.concat("missing", *[F.coalesce(c, none) for c in ("c_missing", "d_missing", "a_missing")])))
@@ -170,8 +171,8 @@ def category_clauses(categories: DataFrame, clauses: DataFrame) -> DataFrame:
     """Categories with the clauses tagged for them and those tagged "*": an equi-join and a broadcast of the universal ones."""
     tagged = clauses.select("clause_id", F.explode("applies_to").alias("category"))
     everywhere = tagged.where("category = '*'").select("clause_id").distinct()
-    own = categories.join(F.broadcast(tagged.where("category <> '*'")), "category").select("category", "clause_id")
-    return own.unionByName(categories.select("category").crossJoin(F.broadcast(everywhere))).distinct()
+    own = categories.join(small(tagged.where("category <> '*'")), "category").select("category", "clause_id")
+    return own.unionByName(categories.select("category").crossJoin(small(everywhere))).distinct()
 
 
 def monthly_peers(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
+from tallyspark.functions.joins import small
 
 
 def category_answer(answer: Column, categories: list[str]) -> Column:
@@ -50,7 +51,7 @@ def tri_state(answer: Column, path: str) -> Column:
 
 def clause_failure(units: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
     """units: unit_id, category, clause_id. Failure: unknown_clause, not_a_candidate, or null."""
-    rows = units.join(F.broadcast(known.select("clause_id", F.lit(True).alias("k"))), "clause_id", "left").join(F.broadcast(candidates.select("category", "clause_id", F.lit(True).alias("c"))), ["category", "clause_id"], "left")
+    rows = units.join(small(known.select("clause_id", F.lit(True).alias("k"))), "clause_id", "left").join(small(candidates.select("category", "clause_id", F.lit(True).alias("c"))), ["category", "clause_id"], "left")
     return rows.select("unit_id", F.when(F.col("clause_id").isNull(), None).when(F.col("k").isNull(), "unknown_clause").when(F.col("c").isNull(), "not_a_candidate").alias("failure"))
 
 
@@ -134,7 +135,7 @@ def dimension_failures(units: DataFrame, clauses: DataFrame) -> DataFrame:
     ones; grades, tiers and zones are computed, so an answer's values for them do not count.
     """
     allowed = F.map_from_entries(F.transform(F.array_distinct(F.flatten(F.transform("limits", lambda x: F.map_keys(x["when"])))), lambda k: F.struct(k, F.flatten(F.transform("limits", lambda x: F.transform(F.coalesce(F.try_element_at(x["when"], k), F.array().cast("array<string>")), F.lower))))))
-    rows = units.join(F.broadcast(clauses.select("clause_id", allowed.alias("allowed"))), "clause_id", "left")
+    rows = units.join(small(clauses.select("clause_id", allowed.alias("allowed"))), "clause_id", "left")
     rows = rows.withColumn("asked", F.map_filter(F.coalesce("allowed", F.create_map().cast("map<string,array<string>>")), lambda k, _: ~k.isin(*[d for d in T.CODE_DIMENSIONS if d != "vehicle_type"])))
     value = lambda k: F.lower(F.try_element_at("named", k))
     bad = F.exists(F.map_entries("asked"), lambda e: F.coalesce(~F.array_contains(e["value"], value(e["key"])), F.lit(False)))
@@ -152,7 +153,7 @@ def policy_requests(docs: DataFrame, clauses: DataFrame) -> DataFrame:
     tagged = clauses.select(F.struct("clause_id", "limit_unit", "is_prohibition").alias("clause"), F.explode("applies_to").alias("category"))
     own = tagged.where("category <> '*'").groupBy("category").agg(F.collect_set("clause").alias("own"))
     everywhere = tagged.where("category = '*'").agg(F.collect_set("clause").alias("everywhere"))
-    joined = docs.join(siblings, "claim_id").join(F.broadcast(own), "category", "left").crossJoin(F.broadcast(everywhere))
+    joined = docs.join(siblings, "claim_id").join(small(own), "category", "left").crossJoin(F.broadcast(everywhere))
     offered = F.sort_array(F.array_union(F.coalesce("own", F.filter("everywhere", lambda _: F.lit(False))), F.col("everywhere")))
     others = F.filter("documents", lambda x: x["document_id"] != F.col("document_id"))
     return joined.select("document_id", F.to_json(F.struct("claim_id", "employee_id", shown.alias("document"), others.alias("siblings"), offered.alias("clauses"))).alias("request"))

@@ -97,11 +97,11 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column]) -> DataFram
     """rows with `turn`, their place in the group from 1 in this order, which must not tie, and `of`, the group's rows.
 
     A group may hold most rows, so rows are dealt out in ranges of group and order; each range is numbered in its own task and
-    starts after the rows of the ranges before it, which are counted. Only the counts of ranges are broadcast.
+    starts after the rows of the ranges before it, which are counted.
     """
     ranged = stored(rows.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     up_to, whole = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
     starts = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("of"))
     turn = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
-    return ranged.withColumn("_turn", turn).join(F.broadcast(starts), [*group, "_part"]).withColumn("turn", F.col("_turn") + F.col("_before")).select(*rows.columns, "turn", "of")
+    return ranged.withColumn("_turn", turn).join(starts, [*group, "_part"]).withColumn("turn", F.col("_turn") + F.col("_before")).select(*rows.columns, "turn", "of")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions.joins import small
 from tallyspark.operators import audit as I
 from tallyspark.operators import categorize as C
 from tallyspark.operators import documents as Q
@@ -256,7 +257,7 @@ def status_from_events(spark, d):
 def illegal_transitions(spark, d):
     turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events").select("event_id", "event_type", F.lag("event_type").over(turn).alias("before"))
-    legal = rows.select("event_type").distinct().alias("a").crossJoin(F.broadcast(rows.select(F.col("event_type").alias("before")).distinct())).where("a.event_type <> before")
+    legal = rows.select("event_type").distinct().alias("a").crossJoin(small(rows.select(F.col("event_type").alias("before")).distinct())).where("a.event_type <> before")
     return rows.where("before IS NOT NULL").join(legal, ["event_type", "before"], "left_anti").select("event_id", "event_type", "before")
 
 

@@ -14,13 +14,13 @@ from tallyspark.sources import readers, sinks
 from tallyspark.streaming import jobs
 
 
-@query("S1_results", "SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'fuel_receipt' ELSE 'other' END AS document_type FROM nation")
+@query("S1_results", "SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'fuel_receipt' ELSE 'other' END AS document_type FROM supplier")
 def results(spark, d):
     """A file for each object; the outer object's type fills a missing inner one."""
     path = readers.scratch(spark)
-    inner = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, "fuel_receipt").alias("document_type"))
-    rows = table(spark, d, "nation").select("n_nationkey", F.lit("other").alias("document_type"), inner.alias("clean_json"))
-    rows.write.partitionBy("n_nationkey").json(path)
+    inner = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "fuel_receipt").alias("document_type"))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.lit("other").alias("document_type"), inner.alias("clean_json"))
+    rows.write.partitionBy("s_suppkey").json(path)
     return readers.results(spark, f"{path}/*/*.json", "document_type string, clean_json struct<id:string,document_type:string>").select("clean_json.id", "clean_json.document_type")
 
 

@@ -191,11 +191,11 @@ def clause_overrides(spark, d):
     return rows.join(fixes, "document_id", "left").select("document_id", F.coalesce("fix", "category").alias("category"), F.when(F.col("fix").isNotNull(), F.col("category")).alias("before"))
 
 
-@query("L16_publish", "SELECT n_name AS label, false AS is_active FROM nation UNION ALL SELECT 'NEW', true")
+@query("L16_publish", "SELECT s_name AS label, false AS is_active FROM supplier UNION ALL SELECT 'NEW', true")
 def publish(spark, d):
     from tallyspark.plans.proxy import table
 
-    return L.publish(table(spark, d, "nation").select(F.col("n_name").alias("label"), F.lit(True).alias("is_active")), "NEW")
+    return L.publish(table(spark, d, "supplier").select(F.col("s_name").alias("label"), F.lit(True).alias("is_active")), "NEW")
 
 
 @query("L19_explanations", f"WITH {_VERDICTS} SELECT unit_id, CASE comparison WHEN 'over_limit' THEN 'over the limit' WHEN 'within_limit' THEN 'within the limit' WHEN 'at_limit' THEN 'at the limit' WHEN 'no_limit' THEN 'no limit applies' ELSE 'cannot be compared: ' || missing END AS explanation FROM ver")

@@ -20,7 +20,7 @@ def append_versions(tables: dict[str, DataFrame], root: str, run_id: str) -> Non
 
 def published(spark, root: str, name: str) -> DataFrame:
     """The rows of published runs."""
-    return spark.read.parquet(f"{root}/{name}").join(F.broadcast(spark.read.parquet(f"{root}/runs").distinct()), "run_id", "left_semi")
+    return spark.read.parquet(f"{root}/{name}").join(spark.read.parquet(f"{root}/runs").distinct(), "run_id", "left_semi")
 
 
 def append_decisions(decisions: DataFrame, path: str, before: DataFrame | None) -> DataFrame:
@@ -46,7 +46,7 @@ def nested_report(documents: DataFrame, by: str, path: str, size: int = 1000) ->
     """JSON objects for each `by`, of about `size` documents each: the part's number, a count and the array of its documents, so that no row holds a whole group."""
     rest = [c for c in documents.columns if c != by]
     sizes = documents.groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("_parts"))
-    rows = documents.join(F.broadcast(sizes), by).withColumn("part", F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")).drop("_parts")
+    rows = documents.join(sizes, by).withColumn("part", F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")).drop("_parts")
     rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(*rest))).alias("documents")).write.mode("overwrite").json(path)
 
 

@@ -41,7 +41,7 @@ MOVES = (("upload", ("none",), "processing"), ("finish", ("processing",), "ready
 
 
 def fold_commands(commands: DataFrame, key: str, order: str, command: str) -> DataFrame:
-    """One row per key: status after all commands in order, and how many were legal; illegal ones change nothing."""
+    """One row per key: status after all commands in order, and how many were legal; illegal ones change nothing. A document's commands are few by nature; they are folded in its row."""
     state = F.struct(F.lit("none").alias("status"), F.lit(0).alias("applied"))
 
     def step(s, c):
