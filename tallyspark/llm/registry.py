@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontamination, html_text, licenses, mixing, pii, quality_fm, quality_rules, simhash, suffix_dedup, toxicity_crf
+from tallyspark.llm import conversation_repair, decontamination, hard_negatives, html_text, licenses, mixing, pii, quality_fm, quality_rules, secrets, simhash, suffix_dedup, toxicity_crf
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_quality_fm": quality_fm.op9_quality_fm,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_secrets": secrets.op13_secrets,
     }
 
 
