@@ -87,7 +87,7 @@ def _bucket_links(radius: int):
             yield from solve(held, np.array([len(held)]))
 
     def solve(data: pd.DataFrame, edge: np.ndarray) -> Iterator[pd.DataFrame]:
-        prints, ids = data["print"].to_numpy(np.int64).view(np.uint64), data["rep"].to_numpy()  # bits of negative numbers are not counted as they are stored
+        prints, ids = data["print"].to_numpy(np.int64).view(np.uint64), data["print"].to_numpy()  # bits of negative numbers are not counted as they are stored
         starts = np.concatenate([[0], edge[edge < len(data)]])
         sizes = np.diff(np.concatenate([starts, [len(data)]]))
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -116,22 +116,25 @@ def hamming_components(prints: DataFrame, radius: int = 3, block: int = BLOCK) -
     """
     classes = cut(prints.groupBy("print").agg(F.min("id").alias("rep")))
     tables = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("print").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(radius))]))
-    rows = classes.where("rep IS NOT NULL").select("print", "rep", tables.alias("b")).select("b.mask", "b.bits", "print", "rep")
+    rows = classes.select("print", tables.alias("b")).select("b.mask", "b.bits", "print")
     sizes = rows.groupBy("mask", "bits").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     rows = rows.join(sizes.drop("count"), ["mask", "bits"])
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
-    rows = rows.select("mask", "bits", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "print", "rep")
+    rows = rows.select("mask", "bits", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "print")
     dealt = rows.repartition("mask", "bits", "one", "two").sortWithinPartitions("mask", "bits", "one", "two", "print")
-    linked = components(dealt.mapInPandas(_bucket_links(radius), "u long, v long"))
-    return classes.join(linked, classes["rep"] == linked["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    linked = components(dealt.mapInPandas(_bucket_links(radius), "u long, v long"))  # components of fingerprints, so classes without an id link too
+    named = classes.join(linked, classes["print"] == linked["node"], "left").select("print", "rep", F.coalesce("component", "print").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "component").select("print", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id reachable, its own included).
 
     Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows give repeated rows. A row
-    without an id gets its class's component and lends it no id; a class of such rows only has component null. Other
+    without an id links others like any row and gets its component, but lends it no id; a component of such rows only is null. An
+    empty table gives an empty one; very long texts are read whole. Other
     columns of docs are neither read nor returned.
     """
     prints = cut(docs.select(F.col(id_col).cast("long").alias("id"), _fingerprints(F.col(text_col)).alias("print")))

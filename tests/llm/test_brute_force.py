@@ -78,6 +78,15 @@ def test_hot_buckets_and_chains(spark):
         assert {k: found[p] for k, p in signed} == plain_components([k for k, _ in rows], [p for _, p in rows])
 
 
+def test_rows_without_id_link_others(spark):
+    """Classes all of whose rows lack an id stand between others, and lend no id."""
+    rows = [(1, 0), (None, 7), (None, 7), (3, 63), (None, 1 << 40), (5, -1), (None, -2), (4, -16)]
+    found = {r.print: r.component_id for r in simhash.hamming_components(spark.createDataFrame(rows, "id long, print long"), 3).collect()}
+    assert found == {0: 1, 7: 1, 63: 1, 1 << 40: 1, -1: 4, -2: 4, -16: 4}
+    alone = spark.createDataFrame([(None, 0), (None, 1), (2, -1)], "id long, print long")
+    assert {r.print: r.component_id for r in simhash.hamming_components(alone, 3).collect()} == {0: None, 1: None, -1: 2}
+
+
 def test_masks_cover():
     rnd = random.Random(1)
     masks = [m % (1 << 64) for m in simhash.masks(3)]
