@@ -1,11 +1,14 @@
 """Policy clauses against expense units: limits, conditions, documentation, approval, verdicts. Clauses are broadcast if they are counted and few.
 
-units: unit_id, clause_id, currency, base_amount, base_of_percent, nights, days, persons, distance_km, n_peers, peers_total
-(null if the month's history is unknown), dims map<string,string>, judgments map<string,boolean>,
-documentation map<string,boolean>, approval_evidenced.
+units: unit_id, clause_id, currency, base_amount, base_of_percent, nights, days, persons, distance_km, grade_rank,
+days_since_expense, n_peers, peers_total (null if the month's history is unknown), dims map<string,string>,
+judgments map<string,boolean>, documentation map<string,boolean>, approval_evidenced.
 clauses: clause_id, limit_unit, limit_kind, limit_inclusive, is_prohibition,
 limits array<struct<amount,currency,when:map<string,array<string>>>>,
-conditions array<struct<id,kind,check,quantity,op,value>>, documents array<struct<item,min_amount>>, approval map<string,decimal>.
+conditions array<struct<id,kind,check,quantity,op,value,depends_on:array<string>,within>>: a condition with `within` is an
+alternative of the condition of that id, which stands before it; alternatives may have alternatives,
+documents array<struct<item,min_amount,by_currency:map<string,decimal>>>: a threshold for all currencies or one for each,
+approval map<string,decimal>. A unit's clause is joined once; all that follows are expressions on the unit's row.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions import tables as T
 from tallyspark.functions.joins import small
 
 _UNRESOLVED = "array<string>"
@@ -75,6 +79,39 @@ def per_unit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("missing", F.when(F.col("compared").isNull(), _lacking())).withColumn("within", F.when(F.col("limit_inclusive"), F.col("compared") <= F.col("limit_value")).otherwise(F.col("compared") < F.col("limit_value")))
 
 
+def _with_limits(rows: DataFrame) -> DataFrame:
+    """rows, units with their clause, and what resolve_limits() gives of each."""
+    none = F.array().cast(_UNRESOLVED)
+    found = F.filter("limits", lambda x: _may_apply(x))
+    rows = rows.withColumn("_found", F.transform(found, lambda x: F.struct(_limit_value(x).alias("value"), _unknown(x).alias("unknown")))).withColumn("_compared", _compared())
+    within = F.transform("_found", lambda x: F.when(F.col("limit_inclusive"), F.col("_compared") <= x["value"]).otherwise(F.col("_compared") < x["value"]))
+    rows = rows.withColumn("_within", within).withColumn("_values", F.transform("_found", lambda x: x["value"])).withColumn("_unknown", F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda x: x["unknown"])))))
+    all_in, some_in = F.coalesce(F.forall("_within", lambda x: x), F.lit(True)), F.coalesce(F.exists("_within", lambda x: x), F.lit(False))
+    unit, money_limit, entries = F.col("limit_unit"), F.col("limit_kind") == "amount", F.size("limits")
+    missing = (
+        F.when((unit == "unknown") & (entries > 0), F.array(F.lit("policy_limit_unit")))
+        .when(unit.isin("none", "unknown"), none)
+        .when(entries == 0, F.array(F.lit("policy_limit_missing")))
+        .when(money_limit & F.col("currency").isNull(), F.array(F.lit("currency")))
+        .when(money_limit & ~F.array_contains(F.transform("limits", lambda x: x["currency"]), F.col("currency")), F.array(F.lit("fx_rate")))
+        .when(F.size("_found") == 0, F.array(F.lit("applicable_limit")))
+        .when(F.col("_compared").isNull(), F.array(_lacking()))
+        .when((F.size("_unknown") == 0) & (F.size(F.array_distinct("_values")) > 1), F.array(F.lit("applicable_limit")))
+        .when((F.size("_unknown") > 0) & some_in & ~all_in, F.col("_unknown"))
+        .otherwise(none)
+    )
+    rows = rows.withColumn("limit_missing", missing).withColumn("_all_in", all_in)
+    applies = ~unit.isin("none", "unknown")
+    limit = F.when(F.col("_all_in"), F.array_min("_values")).otherwise(F.array_max("_values"))
+    comparison = F.when(F.size("limit_missing") > 0, "not_evaluated").when(~applies, "no_limit").when(~F.col("_all_in"), "over_limit").when(F.col("_compared") < limit, "within_limit").otherwise("at_limit")
+    settled = (F.size("limit_missing") == 0) & applies
+    rows = rows.withColumn("comparison", comparison).withColumn("compared", F.when(settled, F.col("_compared"))).withColumn("limit_applied", F.when(settled, limit))
+    return rows.drop("_found", "_compared", "_within", "_values", "_unknown", "_all_in")
+
+
+_LIMITS = ("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")
+
+
 def resolve_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row per unit: comparison (within_limit, at_limit, over_limit, no_limit, not_evaluated), compared, limit_applied, missing.
 
@@ -82,34 +119,8 @@ def resolve_limits(units: DataFrame, clauses: DataFrame) -> DataFrame:
     limits agree: the least is reported if all hold, the greatest if none does. A clause's limits are few, so they stay an
     array of the unit's row: no shuffle.
     """
-    none = F.array().cast(_UNRESOLVED)
-    rows = units.join(small(clauses.select("clause_id", "limit_unit", "limit_kind", "limit_inclusive", "limits")), "clause_id")
-    found = F.filter("limits", lambda x: _may_apply(x))
-    rows = rows.withColumn("found", F.transform(found, lambda x: F.struct(_limit_value(x).alias("value"), _unknown(x).alias("unknown")))).withColumn("compared", _compared())
-    within = F.transform("found", lambda x: F.when(F.col("limit_inclusive"), F.col("compared") <= x["value"]).otherwise(F.col("compared") < x["value"]))
-    values = F.transform("found", lambda x: x["value"])
-    rows = rows.select("unit_id", "currency", "limit_unit", "limit_kind", "compared", F.size("limits").alias("n_entries"), F.transform("limits", lambda x: x["currency"]).alias("currencies"), _lacking().alias("lacking"), F.size("found").alias("n_found"),
-        F.coalesce(F.forall(within, lambda x: x), F.lit(True)).alias("all_in"), F.coalesce(F.exists(within, lambda x: x), F.lit(False)).alias("some_in"), F.size(F.array_distinct(values)).alias("n_limits"), F.array_min(values).alias("least"), F.array_max(values).alias("most"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["unknown"])))).alias("unknown_dims"))
-    money_limit = F.col("limit_kind") == "amount"
-    missing = (
-        F.when((F.col("limit_unit") == "unknown") & (F.col("n_entries") > 0), F.array(F.lit("policy_limit_unit")))
-        .when(F.col("limit_unit").isin("none", "unknown"), none)
-        .when(F.col("n_entries") == 0, F.array(F.lit("policy_limit_missing")))
-        .when(money_limit & F.col("currency").isNull(), F.array(F.lit("currency")))
-        .when(money_limit & ~F.array_contains("currencies", F.col("currency")), F.array(F.lit("fx_rate")))
-        .when(F.col("n_found") == 0, F.array(F.lit("applicable_limit")))
-        .when(F.col("compared").isNull(), F.array(F.col("lacking")))
-        .when((F.size("unknown_dims") == 0) & (F.col("n_limits") > 1), F.array(F.lit("applicable_limit")))
-        .when((F.size("unknown_dims") > 0) & F.col("some_in") & ~F.col("all_in"), F.col("unknown_dims"))
-        .otherwise(none)
-    )
-    rows = rows.withColumn("missing", missing)
-    applies = ~F.col("limit_unit").isin("none", "unknown")
-    limit = F.when(F.col("all_in"), F.col("least")).otherwise(F.col("most"))
-    comparison = F.when(F.size("missing") > 0, "not_evaluated").when(~applies, "no_limit").when(~F.col("all_in"), "over_limit").when(F.col("compared") < limit, "within_limit").otherwise("at_limit")
-    settled = (F.size("missing") == 0) & applies
-    return rows.select("unit_id", comparison.alias("comparison"), F.when(settled, F.col("compared")).alias("compared"), F.when(settled, limit).alias("limit_applied"), "missing")
+    rows = _with_limits(units.join(small(clauses.select(*_LIMITS)), "clause_id"))
+    return rows.select("unit_id", "comparison", "compared", "limit_applied", F.col("limit_missing").alias("missing"))
 
 
 def holds(op: Column, left: Column, right: Column) -> Column:
@@ -121,50 +132,102 @@ def any_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(False), lambda a, x: a | x)
 
 
-def check_conditions(units: DataFrame, clauses: DataFrame, limits: DataFrame) -> DataFrame:
-    """One row per unit and condition: holds (null if unknown), violated, missing."""
-    rows = units.join(small(clauses.select("clause_id", F.explode("conditions").alias("c"))), "clause_id").join(limits.select("unit_id", F.col("compared").alias("unit_amount")), "unit_id")
-    of = F.col("c.quantity")
-    quantity = F.when(of == "amount", F.col("base_amount")).when(of == "unit_amount", F.col("unit_amount")).when(of == "nights", F.col("nights")).when(of == "days", F.col("days")).when(of == "persons", F.col("persons")).when(of == "distance_km", F.col("distance_km"))
-    value = F.when(F.col("c.check") == "numeric", holds(F.col("c.op"), quantity, F.col("c.value"))).otherwise(F.try_element_at("judgments", F.col("c.id")))
-    rows = rows.withColumn("holds", value)
-    violated = F.coalesce(((F.col("c.kind") == "requires") & ~F.col("holds")) | ((F.col("c.kind") == "excludes") & F.col("holds")), F.lit(False))
-    lacking = F.when(F.col("holds").isNull(), F.coalesce(S.missing_name(of), F.concat(F.lit("condition:"), F.col("c.id"))))
-    return rows.select("unit_id", F.col("c.id").alias("condition_id"), "holds", violated.alias("violated"), lacking.alias("missing"))
+def _quantity(name: Column) -> Column:
+    """One of the eight quantities of a unit; unit_amount is what its limit was compared with."""
+    columns = {"amount": "base_amount", "unit_amount": "compared"}
+    return F.coalesce(*[F.when(name == q, F.col(columns.get(q, q)).cast("decimal(20,4)")) for q in T.NUMERIC_QUANTITIES])
+
+
+_STATE = "array<struct<id: string, within: string, kind: string, holds: boolean, missing: array<string>>>"
+
+
+def conditions(column: str = "conditions", reliable: tuple[str, ...] = T.FIELDS["extracted"], facts: dict[str, tuple[str, ...]] = T.FIELDS) -> Column:
+    """Every condition and alternative of a unit's clause with holds (null if unknown) and missing, in their order.
+
+    A fold from the last to the first: alternatives come after what they belong to, so they are known when it is reached. A condition
+    with alternatives is their three-valued OR, and lacks what its unknown alternatives lack. A judgment lacks those facts it depends on
+    that documents do not have reliably, else all that it depends on, else its own answer; a number lacks its quantity.
+    """
+    none = F.array().cast(_UNRESOLVED)
+    doubtful = [f for status, names in facts.items() for f in names if f not in reliable]
+
+    def lacks(c: Column) -> Column:
+        depends = F.coalesce(c["depends_on"], none)
+        unreliable = F.filter(depends, lambda d: d.isin(*doubtful))
+        judged = F.when(F.size(unreliable) > 0, unreliable).when(F.size(depends) > 0, depends).otherwise(F.array(F.concat(F.lit("condition:"), c["id"])))
+        return F.when(numeric(c), F.array(S.missing_name(c["quantity"]))).otherwise(judged)
+
+    def numeric(c: Column) -> Column:
+        return F.coalesce((c["check"] == "numeric") & c["quantity"].isNotNull(), F.lit(False))
+
+    def step(known: Column, c: Column) -> Column:
+        parts = F.filter(known, lambda x: F.coalesce(x["within"] == c["id"], F.lit(False)))
+        own = F.when(F.size(parts) > 0, any_of(F.transform(parts, lambda x: x["holds"]))).when(numeric(c), holds(c["op"], _quantity(c["quantity"]), c["value"])).otherwise(F.try_element_at("judgments", c["id"]))
+        open_parts = F.flatten(F.transform(F.filter(parts, lambda x: x["holds"].isNull()), lambda x: x["missing"]))
+        missing = F.when(own.isNotNull(), none).when(F.size(parts) > 0, open_parts).otherwise(lacks(c))
+        return F.concat(F.array(F.struct(c["id"].alias("id"), c["within"].alias("within"), c["kind"].alias("kind"), own.alias("holds"), missing.alias("missing"))), known)
+
+    return F.aggregate(F.reverse(column), F.array().cast(_STATE), step)
+
+
+def _broken(x: Column) -> Column:
+    return F.coalesce(x["within"].isNull() & (((x["kind"] == "requires") & ~x["holds"]) | ((x["kind"] == "excludes") & x["holds"])), F.lit(False))
+
+
+def check_conditions(units: DataFrame, clauses: DataFrame) -> DataFrame:
+    """One row per unit and condition: holds (null if unknown), violated, missing (an array). Alternatives show in the condition that has them."""
+    rows = _with_limits(units.join(small(clauses.select(*_LIMITS, "conditions")), "clause_id"))
+    found = rows.select("unit_id", F.explode(F.filter(conditions(), lambda x: x["within"].isNull())).alias("c"))
+    return found.select("unit_id", F.col("c.id").alias("condition_id"), "c.holds", _broken(F.col("c")).alias("violated"), "c.missing")
+
+
+def _document(d: Column) -> Column:
+    """item, violated, missing. A threshold for each currency needs the unit's, and has no rate for others; beneath it nothing is required."""
+    by, currency = d["by_currency"], F.col("currency")
+    threshold = F.when(by.isNotNull(), F.try_element_at(by, currency)).otherwise(d["min_amount"])
+    lacking = F.when(by.isNotNull() & currency.isNull(), "currency").when(by.isNotNull() & threshold.isNull(), "fx_rate").when(threshold.isNotNull() & F.col("base_amount").isNull(), "document_amount")
+    required = lacking.isNull() & F.coalesce(F.col("base_amount") >= threshold, F.lit(True))
+    present = F.try_element_at("documentation", d["item"])
+    missing = F.coalesce(lacking, F.when(required & present.isNull(), F.concat(F.lit("documentation:"), d["item"])))
+    return F.struct(d["item"].alias("item"), F.coalesce(required & ~present, F.lit(False)).alias("violated"), missing.alias("missing"))
 
 
 def check_documentation(units: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row per unit and item: violated if it is required and known to be absent, missing if that is unknown."""
-    rows = units.join(small(clauses.select("clause_id", F.explode("documents").alias("d"))), "clause_id")
-    present = F.try_element_at("documentation", F.col("d.item"))
-    required = F.when(F.col("d.min_amount").isNull(), F.lit(True)).otherwise(F.col("base_amount") >= F.col("d.min_amount"))
-    lacking = F.when(required.isNull(), "document_amount").when(required & present.isNull(), F.concat(F.lit("documentation:"), F.col("d.item")))
-    return rows.select("unit_id", F.col("d.item").alias("item"), F.coalesce(required & ~present, F.lit(False)).alias("violated"), lacking.alias("missing"))
+    rows = units.join(small(clauses.select("clause_id", "documents")), "clause_id")
+    return rows.select("unit_id", F.inline(F.transform("documents", _document)))
 
 
-def check_approval(units: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Units of clauses with approval thresholds: needed is true if the undivided amount is above and no approval is evidenced."""
-    rows = units.join(small(clauses.where(F.size("approval") > 0).select("clause_id", "approval")), "clause_id")
+def _approval() -> tuple[Column, Column]:
+    """Whether approval is needed and not evidenced, and what is lacking to tell; of clauses with thresholds."""
     threshold = F.try_element_at("approval", F.col("currency"))
     lacking = F.when(F.col("currency").isNull(), "currency").when(threshold.isNull(), "fx_rate").when(F.col("base_amount").isNull(), "document_amount")
     above = F.when(threshold > 0, F.col("base_amount") > threshold).otherwise(F.col("base_amount") > 0)
-    needed = lacking.isNull() & above & ~F.coalesce("approval_evidenced", F.lit(False))
-    return rows.select("unit_id", F.coalesce(needed, F.lit(False)).alias("needed"), lacking.alias("missing"))
+    return F.coalesce(lacking.isNull() & above & ~F.coalesce("approval_evidenced", F.lit(False)), F.lit(False)), lacking
+
+
+def check_approval(units: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Units of clauses with approval thresholds: needed is true if the undivided amount is above and no approval is evidenced."""
+    rows = units.join(small(clauses.where(F.size("approval") > 0).select("clause_id", "approval")), "clause_id")
+    needed, lacking = _approval()
+    return rows.select("unit_id", needed.alias("needed"), lacking.alias("missing"))
 
 
 def verdicts(units: DataFrame, clauses: DataFrame) -> DataFrame:
-    """unit_id, verdict, comparison, limit_applied, compared, missing: violation before needs_approval before insufficient_information before compliant."""
-    limits = resolve_limits(units, clauses)
-    conditions = check_conditions(units, clauses, limits).groupBy("unit_id").agg(F.bool_or("violated").alias("c_bad"), F.collect_set("missing").alias("c_missing"))
-    documents = check_documentation(units, clauses).groupBy("unit_id").agg(F.bool_or("violated").alias("d_bad"), F.collect_set("missing").alias("d_missing"))
-    approval = check_approval(units, clauses).select("unit_id", F.col("needed").alias("a_needed"), F.array_compact(F.array("missing")).alias("a_missing"))
-    banned = small(clauses.select("clause_id", (F.col("is_prohibition") & (F.size("conditions") == 0)).alias("banned")))
-    rows = units.select("unit_id", "clause_id").join(banned, "clause_id").join(limits, "unit_id").join(conditions, "unit_id", "left").join(documents, "unit_id", "left").join(approval, "unit_id", "left")
-    none = F.array().cast(_UNRESOLVED)
-    missing = F.array_sort(F.array_distinct(F.concat("missing", *[F.coalesce(c, none) for c in ("c_missing", "d_missing", "a_missing")])))
-    bad = F.col("banned") | (F.col("comparison") == "over_limit") | F.coalesce("c_bad", F.lit(False)) | F.coalesce("d_bad", F.lit(False))
-    verdict = F.when(bad, "violation").when(F.coalesce("a_needed", F.lit(False)), "needs_approval").when(F.size(missing) > 0, "insufficient_information").otherwise("compliant")
-    return rows.select("unit_id", verdict.alias("verdict"), "comparison", "limit_applied", "compared", missing.alias("missing"))
+    """unit_id, verdict, comparison, limit_applied, compared, missing: violation before needs_approval before insufficient_information before compliant.
+
+    missing has each name once, in the order of finding: limit, conditions, documentation, approval. No shuffle.
+    """
+    rules = small(clauses.select(*_LIMITS, "is_prohibition", "conditions", "documents", "approval"))
+    rows = _with_limits(units.join(rules, "clause_id"))
+    rows = rows.withColumn("_conditions", F.filter(conditions(), lambda x: x["within"].isNull())).withColumn("_documents", F.transform("documents", _document))
+    needed, lacking = _approval()
+    asked = F.coalesce(F.size("approval") > 0, F.lit(False))
+    missing = F.array_distinct(F.array_compact(F.concat("limit_missing", F.flatten(F.transform("_conditions", lambda x: x["missing"])), F.transform("_documents", lambda x: x["missing"]), F.array(F.when(asked, lacking)))))
+    bad = (F.col("is_prohibition") & (F.size("conditions") == 0)) | (F.col("comparison") == "over_limit") | F.exists("_conditions", _broken) | F.exists("_documents", lambda x: x["violated"])
+    rows = rows.withColumn("missing", missing)
+    verdict = F.when(bad, "violation").when(asked & needed, "needs_approval").when(F.size("missing") > 0, "insufficient_information").otherwise("compliant")
+    return rows.select("unit_id", verdict.alias("verdict"), "comparison", "limit_applied", "compared", "missing")
 
 
 def category_clauses(categories: DataFrame, clauses: DataFrame) -> DataFrame:

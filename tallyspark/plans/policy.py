@@ -9,21 +9,22 @@ from tallyspark.plans.proxy import DOCS, docs
 from tallyspark.plans.registry import query
 
 _CLAUSES = (
-    # clause, unit, kind, inclusive, prohibition, limits (amount, currency, when), conditions (id, kind, check, quantity, op, value), documents (item, min), approval, categories
-    ("L-NIGHT", "per_night", "amount", True, False, [(900, "INR", {"tier": ["1"]}), (600, "INR", {"tier": ["2", "3"]}), (70, "USD", {})], [("c1", "requires", "judgment", None, None, None)], [("invoice", 1000)], {"INR": 4000, "USD": 4500}, ["PROMO BURNISHED COPPER"]),
-    ("L-PERSON", "per_person", "amount", False, False, [(500, "INR", {}), (500, "USD", {})], [("c2", "requires", "numeric", "persons", ">=", 2)], [], {"INR": 0}, ["ECONOMY ANODIZED STEEL"]),
-    ("L-MONTH", "per_month", "amount", True, False, [(6000, "INR", {})], [("c3", "excludes", "judgment", None, None, None)], [("receipt", None)], {}, ["SMALL PLATED BRASS", "*"]),
-    ("L-KM", "per_km", "amount", True, False, [(12, "INR", {}), (1, "USD", {})], [], [], {}, ["LARGE BRUSHED STEEL"]),
-    ("L-SHARE", "percent_of_amount", "amount", True, False, [(10, "INR", {}), (10, "USD", {"tier": ["1"]}), (20, "USD", {"tier": ["2"]})], [], [], {}, ["MEDIUM POLISHED TIN"]),
+    # clause, unit, kind, inclusive, prohibition, limits (amount, currency, when), conditions (id, kind, check, quantity, op, value, depends_on, within), documents (item, min, by currency), approval, categories
+    ("L-NIGHT", "per_night", "amount", True, False, [(900, "INR", {"tier": ["1"]}), (600, "INR", {"tier": ["2", "3"]}), (70, "USD", {})], [("c1", "requires", "judgment", None, None, None, ["bill_date", "client_name"], None)], [("invoice", 1000, None)], {"INR": 4000, "USD": 4500}, ["PROMO BURNISHED COPPER"]),
+    ("L-PERSON", "per_person", "amount", False, False, [(500, "INR", {}), (500, "USD", {})], [("c2", "requires", "numeric", "persons", ">=", 2, [], None), ("c4", "requires", None, None, None, None, [], None), ("c4a", None, "judgment", None, None, None, ["vehicle_ownership"], "c4"), ("c4b", None, "numeric", "grade_rank", ">=", 5, [], "c4")], [], {"INR": 0}, ["ECONOMY ANODIZED STEEL"]),
+    ("L-MONTH", "per_month", "amount", True, False, [(6000, "INR", {})], [("c3", "excludes", "judgment", None, None, None, [], None)], [("receipt", None, None)], {}, ["SMALL PLATED BRASS", "*"]),
+    ("L-KM", "per_km", "amount", True, False, [(12, "INR", {}), (1, "USD", {})], [("c5", "requires", "numeric", "days_since_expense", "<=", 30, [], None)], [("invoice", None, {"INR": 2500})], {}, ["LARGE BRUSHED STEEL"]),
+    ("L-SHARE", "percent_of_amount", "amount", True, False, [(10, "INR", {}), (10, "USD", {"tier": ["1"]}), (20, "USD", {"tier": ["2"]})], [("c6", "excludes", None, None, None, None, [], None), ("c6a", None, None, None, None, None, [], "c6"), ("c6aa", None, "judgment", None, None, None, ["bill_date"], "c6a"), ("c6ab", None, "numeric", "amount", ">", 3000, [], "c6a"), ("c6b", None, "judgment", None, None, None, None, "c6")], [], {}, ["MEDIUM POLISHED TIN"]),
     ("L-NONE", "none", "amount", True, True, [], [], [], {}, ["STANDARD POLISHED TIN"]),
 )
-_CLAUSE_TYPE = "clause_id string, limit_unit string, limit_kind string, limit_inclusive boolean, is_prohibition boolean, limits array<struct<amount:decimal(12,2),currency:string,when:map<string,array<string>>>>, conditions array<struct<id:string,kind:string,check:string,quantity:string,op:string,value:decimal(12,2)>>, documents array<struct<item:string,min_amount:decimal(12,2)>>, approval map<string,decimal(12,2)>, applies_to array<string>"
+_CLAUSE_TYPE = "clause_id string, limit_unit string, limit_kind string, limit_inclusive boolean, is_prohibition boolean, limits array<struct<amount:decimal(12,2),currency:string,when:map<string,array<string>>>>, conditions array<struct<id:string,kind:string,check:string,quantity:string,op:string,value:decimal(12,2),depends_on:array<string>,within:string>>, documents array<struct<item:string,min_amount:decimal(12,2),by_currency:map<string,decimal(12,2)>>>, approval map<string,decimal(12,2)>, applies_to array<string>"
 
 
 def clauses(spark):
     from decimal import Decimal as D
 
-    rows = [(a, b, c, d, e, [(D(x), y, z) for x, y, z in f], [(*x[:5], None if x[5] is None else D(x[5])) for x in g], [(x, None if y is None else D(y)) for x, y in h], {k: D(v) for k, v in i.items()}, j) for a, b, c, d, e, f, g, h, i, j in _CLAUSES]
+    number = lambda x: None if x is None else D(x)
+    rows = [(a, b, c, d, e, [(D(x), y, z) for x, y, z in f], [(*x[:5], number(x[5]), *x[6:]) for x in g], [(x, number(y), z and {k: D(v) for k, v in z.items()}) for x, y, z in h], {k: D(v) for k, v in i.items()}, j) for a, b, c, d, e, f, g, h, i, j in _CLAUSES]
     return spark.createDataFrame(rows, _CLAUSE_TYPE)
 
 
@@ -38,8 +39,8 @@ def units(spark, d):
     dims = F.map_filter(F.create_map(F.lit("tier"), F.when(part(11, 4) > 0, part(11, 4).cast("string"))), lambda _, v: v.isNotNull())
     return docs(spark, d).select(
         F.col("document_id").alias("unit_id"), F.expr(_CLAUSE_OF).alias("clause_id"), "currency", opt(7, 10, F.col("amount")).alias("base_amount"), opt(13, 5, F.col("price")).alias("base_of_percent"), opt(17, 6, part(17, 6)).cast("int").alias("nights"),
-        opt(19, 4, part(19, 4)).cast("int").alias("days"), opt(23, 5, part(23, 5)).cast("int").alias("persons"), opt(29, 6, part(29, 300)).cast("decimal(10,2)").alias("distance_km"), opt(31, 5, part(31, 5)).cast("int").alias("n_peers"), opt(31, 5, part(31, 5) * 1000).cast("decimal(12,2)").alias("peers_total"),
-        dims.alias("dims"), F.create_map(F.lit("c1"), tri(37), F.lit("c3"), tri(41)).alias("judgments"), F.create_map(F.lit("invoice"), tri(43), F.lit("receipt"), tri(47)).alias("documentation"), tri(53).alias("approval_evidenced"),
+        opt(19, 4, part(19, 4)).cast("int").alias("days"), opt(23, 5, part(23, 5)).cast("int").alias("persons"), opt(29, 6, part(29, 300)).cast("decimal(10,2)").alias("distance_km"), opt(59, 8, part(59, 8)).cast("int").alias("grade_rank"), opt(61, 6, part(61, 60)).cast("int").alias("days_since_expense"), opt(31, 5, part(31, 5)).cast("int").alias("n_peers"), opt(31, 5, part(31, 5) * 1000).cast("decimal(12,2)").alias("peers_total"),
+        dims.alias("dims"), F.create_map(F.lit("c1"), tri(37), F.lit("c3"), tri(41), F.lit("c4a"), tri(67), F.lit("c6aa"), tri(71), F.lit("c6b"), tri(73)).alias("judgments"), F.create_map(F.lit("invoice"), tri(43), F.lit("receipt"), tri(47)).alias("documentation"), tri(53).alias("approval_evidenced"),
     )
 
 
@@ -53,7 +54,7 @@ def _tri(k: int) -> str:
 
 _UNITS = f"""{DOCS}, units AS (SELECT document_id AS unit_id, {_CLAUSE_OF} AS clause_id, currency, CASE WHEN {_p(7, 10)} <> 0 THEN amount END AS base, CASE WHEN {_p(13, 5)} <> 0 THEN price END AS share_of, CASE WHEN {_p(17, 6)} <> 0 THEN {_p(17, 6)} END AS nights,
   CASE WHEN {_p(23, 5)} <> 0 THEN {_p(23, 5)} END AS persons, CASE WHEN {_p(29, 6)} <> 0 THEN {_p(29, 300)} END::DECIMAL(10,2) AS km, CASE WHEN {_p(31, 5)} <> 0 THEN {_p(31, 5)} * 1000 END::DECIMAL(12,2) AS peers, CASE WHEN {_p(11, 4)} > 0 THEN {_p(11, 4)}::VARCHAR END AS tier,
-  {_tri(37)} AS c1, {_tri(41)} AS c3, {_tri(43)} AS invoice, {_tri(47)} AS receipt, {_tri(53)} AS approved FROM docs),
+  CASE WHEN {_p(59, 8)} <> 0 THEN {_p(59, 8)} END AS rank, CASE WHEN {_p(61, 6)} <> 0 THEN {_p(61, 60)} END AS since, {_tri(37)} AS c1, {_tri(41)} AS c3, {_tri(67)} AS c4a, {_tri(71)} AS c6aa, {_tri(73)} AS c6b, {_tri(43)} AS invoice, {_tri(47)} AS receipt, {_tri(53)} AS approved FROM docs),
 lim(clause_id, unit, incl, amount, cur, tiers) AS (VALUES ('L-NIGHT', 'per_night', true, 900::DECIMAL(12,2), 'INR', ['1']), ('L-NIGHT', 'per_night', true, 600, 'INR', ['2', '3']), ('L-NIGHT', 'per_night', true, 70, 'USD', NULL), ('L-PERSON', 'per_person', false, 500, 'INR', NULL), ('L-PERSON', 'per_person', false, 500, 'USD', NULL),
   ('L-MONTH', 'per_month', true, 6000, 'INR', NULL), ('L-KM', 'per_km', true, 12, 'INR', NULL), ('L-KM', 'per_km', true, 1, 'USD', NULL), ('L-SHARE', 'percent_of_amount', true, 10, 'INR', NULL), ('L-SHARE', 'percent_of_amount', true, 10, 'USD', ['1']), ('L-SHARE', 'percent_of_amount', true, 20, 'USD', ['2'])),
 cand AS (SELECT u.*, unit, incl, lim.amount AS lim_amount, tiers IS NOT NULL AND tier IS NULL AS open FROM units u JOIN lim ON u.clause_id = lim.clause_id AND u.currency = cur WHERE tiers IS NULL OR tier IS NULL OR list_contains(tiers, tier)),
@@ -88,25 +89,30 @@ def comparisons(spark, d):
     return L.resolve_limits(u, clauses(spark)).join(u.select("unit_id", "clause_id"), "unit_id").groupBy("clause_id", "comparison").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("L6_any_of", f"WITH {_UNITS} SELECT unit_id, c1 OR c3 OR invoice AS holds FROM units")
-def any_of(spark, d):
-    values = F.array(F.col("judgments")["c1"], F.col("judgments")["c3"], F.col("documentation")["invoice"])
-    return units(spark, d).select("unit_id", L.any_of(values).alias("holds"))
-
-
-_COND = f"""{_UNITS}, cond AS (SELECT unit_id, 'c1' AS condition_id, c1 AS holds, coalesce(NOT c1, false) AS violated, CASE WHEN c1 IS NULL THEN 'condition:c1' END AS missing FROM units WHERE clause_id = 'L-NIGHT'
-  UNION ALL SELECT unit_id, 'c2', persons >= 2, coalesce(NOT persons >= 2, false), CASE WHEN persons IS NULL THEN 'attendee_count' END FROM units WHERE clause_id = 'L-PERSON'
-  UNION ALL SELECT unit_id, 'c3', c3, coalesce(c3, false), CASE WHEN c3 IS NULL THEN 'condition:c3' END FROM units WHERE clause_id = 'L-MONTH'),
+_COND = f"""{_UNITS}, cond0 AS (SELECT unit_id, 'c1' AS condition_id, c1 AS holds, NOT c1 AS violated, ['client_name'] AS lacks FROM units WHERE clause_id = 'L-NIGHT'
+  UNION ALL SELECT unit_id, 'c2', persons >= 2, NOT persons >= 2, ['attendee_count'] FROM units WHERE clause_id = 'L-PERSON'
+  UNION ALL SELECT unit_id, 'c4', c4a OR rank >= 5, NOT (c4a OR rank >= 5), [CASE WHEN c4a IS NULL THEN 'vehicle_ownership' END, CASE WHEN rank IS NULL THEN 'employee_grade' END] FROM units WHERE clause_id = 'L-PERSON'
+  UNION ALL SELECT unit_id, 'c3', c3, c3, ['condition:c3'] FROM units WHERE clause_id = 'L-MONTH'
+  UNION ALL SELECT unit_id, 'c5', since <= 30, since > 30, ['bill_date'] FROM units WHERE clause_id = 'L-KM'
+  UNION ALL SELECT unit_id, 'c6', c6aa OR base > 3000 OR c6b, c6aa OR base > 3000 OR c6b, [CASE WHEN c6aa IS NULL AND base > 3000 IS NOT TRUE THEN 'bill_date' END, CASE WHEN c6aa IS NOT TRUE AND base IS NULL THEN 'document_amount' END, CASE WHEN c6b IS NULL THEN 'condition:c6b' END] FROM units WHERE clause_id = 'L-SHARE'),
+cond AS (SELECT unit_id, condition_id, holds, coalesce(violated, false) AS violated, CASE WHEN holds IS NULL THEN list_filter(lacks, lambda x: x IS NOT NULL) ELSE [] END AS missing FROM cond0),
 docu AS (SELECT unit_id, 'invoice' AS item, coalesce(base >= 1000 AND NOT invoice, false) AS violated, CASE WHEN base IS NULL THEN 'document_amount' WHEN base >= 1000 AND invoice IS NULL THEN 'documentation:invoice' END AS missing FROM units WHERE clause_id = 'L-NIGHT'
-  UNION ALL SELECT unit_id, 'receipt', coalesce(NOT receipt, false), CASE WHEN receipt IS NULL THEN 'documentation:receipt' END FROM units WHERE clause_id = 'L-MONTH'),
+  UNION ALL SELECT unit_id, 'receipt', coalesce(NOT receipt, false), CASE WHEN receipt IS NULL THEN 'documentation:receipt' END FROM units WHERE clause_id = 'L-MONTH'
+  UNION ALL SELECT unit_id, 'invoice', coalesce(currency = 'INR' AND base >= 2500 AND NOT invoice, false), CASE WHEN currency IS NULL THEN 'currency' WHEN currency <> 'INR' THEN 'fx_rate' WHEN base IS NULL THEN 'document_amount' WHEN base >= 2500 AND invoice IS NULL THEN 'documentation:invoice' END FROM units WHERE clause_id = 'L-KM'),
 thr(clause_id, cur, t) AS (VALUES ('L-NIGHT', 'INR', 4000), ('L-NIGHT', 'USD', 4500), ('L-PERSON', 'INR', 0)),
 appr AS (SELECT unit_id, coalesce(currency IS NOT NULL AND t IS NOT NULL AND base > t AND NOT coalesce(approved, false), false) AS needed, CASE WHEN currency IS NULL THEN 'currency' WHEN t IS NULL THEN 'fx_rate' WHEN base IS NULL THEN 'document_amount' END AS missing FROM units u LEFT JOIN thr ON u.clause_id = thr.clause_id AND currency = cur WHERE u.clause_id IN ('L-NIGHT', 'L-PERSON'))"""
 
 
-@query("L7_conditions", f"WITH {_COND} SELECT unit_id, condition_id, holds, violated, missing FROM cond")
+@query("L6_any_of", f"WITH {_COND} SELECT unit_id, condition_id, holds, array_to_string(missing, ',') AS missing FROM cond WHERE condition_id IN ('c4', 'c6')")
+def any_of(spark, d):
+    """Conditions with alternatives, one of them with alternatives of its own, and what the unknown ones lack."""
+    rows = L.check_conditions(units(spark, d), clauses(spark)).where("condition_id IN ('c4', 'c6')")
+    return rows.select("unit_id", "condition_id", "holds", F.array_join("missing", ",").alias("missing"))
+
+
+@query("L7_conditions", f"WITH {_COND} SELECT unit_id, condition_id, holds, violated, array_to_string(missing, ',') AS missing FROM cond")
 def conditions(spark, d):
-    u, c = units(spark, d), clauses(spark)
-    return L.check_conditions(u, c, L.resolve_limits(u, c))
+    return L.check_conditions(units(spark, d), clauses(spark)).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("L8_documentation", f"WITH {_COND} SELECT unit_id, item, violated, missing FROM docu")
@@ -119,8 +125,8 @@ def approval(spark, d):
     return L.check_approval(units(spark, d), clauses(spark))
 
 
-_VERDICTS = f"""{_COND}, mis AS (SELECT unit_id, l_missing AS m FROM lims UNION SELECT unit_id, missing FROM cond UNION SELECT unit_id, missing FROM docu UNION SELECT unit_id, missing FROM appr),
-m AS (SELECT unit_id, coalesce(array_to_string(list_sort(list(m) FILTER (m IS NOT NULL)), ','), '') AS missing FROM mis GROUP BY 1),
+_VERDICTS = f"""{_COND}, mis AS (SELECT unit_id, 0 AS k, l_missing AS m FROM lims UNION ALL SELECT unit_id, 100 * substr(condition_id, 2)::INT + j, missing[j] FROM (SELECT *, generate_subscripts(missing, 1) AS j FROM cond) UNION ALL SELECT unit_id, 1000, missing FROM docu UNION ALL SELECT unit_id, 2000, missing FROM appr),
+m AS (SELECT unit_id, coalesce(string_agg(m, ',' ORDER BY k), '') AS missing FROM (SELECT unit_id, m, min(k) AS k FROM mis GROUP BY 1, 2) GROUP BY 1),
 bad AS (SELECT unit_id FROM lims WHERE comparison = 'over_limit' OR clause_id = 'L-NONE' UNION SELECT unit_id FROM cond WHERE violated UNION SELECT unit_id FROM docu WHERE violated),
 ver AS (SELECT unit_id, clause_id, CASE WHEN unit_id IN (SELECT unit_id FROM bad) THEN 'violation' WHEN unit_id IN (SELECT unit_id FROM appr WHERE needed) THEN 'needs_approval' WHEN missing <> '' THEN 'insufficient_information' ELSE 'compliant' END AS verdict, comparison, missing FROM lims JOIN m USING (unit_id))"""
 

@@ -7,13 +7,14 @@ import pytest
 from tallyspark.operators import policy as L
 from tallyspark.plans.policy import _CLAUSE_TYPE
 
-UNIT = "unit_id long, clause_id string, currency string, base_amount decimal(12,2), base_of_percent decimal(12,2), nights int, days int, persons int, distance_km decimal(10,2), n_peers int, peers_total decimal(12,2), dims map<string,string>, judgments map<string,boolean>, documentation map<string,boolean>, approval_evidenced boolean"
+UNIT = "unit_id long, clause_id string, currency string, base_amount decimal(12,2), base_of_percent decimal(12,2), nights int, days int, persons int, distance_km decimal(10,2), grade_rank int, days_since_expense int, n_peers int, peers_total decimal(12,2), dims map<string,string>, judgments map<string,boolean>, documentation map<string,boolean>, approval_evidenced boolean"
 
 
 def verdict(spark, clause=None, **facts):
     c = {"unit": "per_night", "kind": "amount", "inclusive": True, "banned": False, "limits": [(D(100), "INR", {})], "conditions": [], "documents": [], "approval": {}} | (clause or {})
-    f = {"currency": "INR", "base": D(100), "share_of": None, "nights": 1, "days": None, "persons": None, "km": None, "n_peers": None, "peers": None, "dims": {}, "judgments": {}, "documentation": {}, "approved": None} | facts
-    clauses = spark.createDataFrame([("C", c["unit"], c["kind"], c["inclusive"], c["banned"], c["limits"], c["conditions"], c["documents"], c["approval"], ["*"])], _CLAUSE_TYPE)
+    f = {"currency": "INR", "base": D(100), "share_of": None, "nights": 1, "days": None, "persons": None, "km": None, "rank": None, "since": None, "n_peers": None, "peers": None, "dims": {}, "judgments": {}, "documentation": {}, "approved": None} | facts
+    filled = lambda some, n: [(*x, *[None] * (n - len(x))) for x in some]
+    clauses = spark.createDataFrame([("C", c["unit"], c["kind"], c["inclusive"], c["banned"], c["limits"], filled(c["conditions"], 8), filled(c["documents"], 3), c["approval"], ["*"])], _CLAUSE_TYPE)
     units = spark.createDataFrame([(1, "C", *f.values())], UNIT)
     r = L.verdicts(units, clauses).first()
     return r.verdict, r.comparison, list(r.missing)
@@ -58,6 +59,36 @@ CASES = [
 ]
 
 
+LEASED_OR_SENIOR = [("c1", "requires"), ("c1a", None, "judgment", None, None, None, ["vehicle_ownership"], "c1"), ("c1b", None, "numeric", "grade_rank", ">=", D(5), None, "c1")]
+NESTED = [("c1", "excludes"), ("c2", None, None, None, None, None, None, "c1"), ("c3", None, "judgment", None, None, None, ["trip_id", "currency"], "c2"), ("c4", None, "numeric", "nights", ">", D(5), None, "c2"), ("c5", None, "judgment", None, None, None, ["claim_note"], "c1")]
+WINDOW = [("c", "requires", "numeric", "days_since_expense", "<=", D(30))]
+FREE = {"unit": "none", "limits": []}
+CASES += [
+    (FREE | {"conditions": LEASED_OR_SENIOR}, {"rank": 5}, ("compliant", "no_limit", [])),
+    (FREE | {"conditions": LEASED_OR_SENIOR}, {"rank": 4, "judgments": {"c1a": True}}, ("compliant", "no_limit", [])),
+    (FREE | {"conditions": LEASED_OR_SENIOR}, {"rank": 4, "judgments": {"c1a": False}}, ("violation", "no_limit", [])),
+    (FREE | {"conditions": LEASED_OR_SENIOR}, {"rank": 4}, ("insufficient_information", "no_limit", ["vehicle_ownership"])),
+    (FREE | {"conditions": LEASED_OR_SENIOR}, {"judgments": {"c1a": False}}, ("insufficient_information", "no_limit", ["employee_grade"])),
+    (FREE | {"conditions": LEASED_OR_SENIOR}, {}, ("insufficient_information", "no_limit", ["vehicle_ownership", "employee_grade"])),
+    (FREE | {"conditions": NESTED}, {}, ("insufficient_information", "no_limit", ["trip_id", "claim_note"])),
+    (FREE | {"conditions": NESTED}, {"nights": None}, ("insufficient_information", "no_limit", ["trip_id", "stay_nights", "claim_note"])),
+    (FREE | {"conditions": NESTED}, {"nights": 6}, ("violation", "no_limit", [])),
+    (FREE | {"conditions": NESTED}, {"judgments": {"c3": False, "c5": False}}, ("compliant", "no_limit", [])),
+    (FREE | {"conditions": NESTED}, {"judgments": {"c5": True}}, ("violation", "no_limit", [])),
+    (FREE | {"conditions": WINDOW}, {"since": 30}, ("compliant", "no_limit", [])),
+    (FREE | {"conditions": WINDOW}, {"since": 90}, ("violation", "no_limit", [])),
+    (FREE | {"conditions": WINDOW}, {}, ("insufficient_information", "no_limit", ["bill_date"])),
+    ({"conditions": [("c", "requires", "numeric", "unit_amount", "<", D(60))]}, {"nights": 2}, ("compliant", "within_limit", [])),
+    ({"conditions": [("c", "requires", "judgment", None, None, None, ["bill_date"])]}, {}, ("insufficient_information", "at_limit", ["bill_date"])),
+    ({"conditions": [("c", "requires", "judgment", None, None, None, ["bill_date", "client_name"])], "documents": [("x", None)]}, {"base": D(101)}, ("violation", "over_limit", ["client_name", "documentation:x"])),
+    (FREE | {"documents": [("x", None, {"INR": D(500), "USD": D(10)})]}, {"base": D(499)}, ("compliant", "no_limit", [])),
+    (FREE | {"documents": [("x", None, {"INR": D(500), "USD": D(10)})]}, {"currency": "USD", "base": D(10), "documentation": {"x": False}}, ("violation", "no_limit", [])),
+    (FREE | {"documents": [("x", None, {"INR": D(500)})]}, {"currency": "EUR"}, ("insufficient_information", "no_limit", ["fx_rate"])),
+    (FREE | {"documents": [("x", None, {"INR": D(500)})]}, {"currency": None}, ("insufficient_information", "no_limit", ["currency"])),
+    (FREE | {"documents": [("x", None, {"INR": D(500)})]}, {"base": None}, ("insufficient_information", "no_limit", ["document_amount"])),
+]
+
+
 @pytest.mark.parametrize("clause, facts, want", CASES)
 def test_verdict(spark, clause, facts, want):
     assert verdict(spark, clause, **facts) == want
