@@ -1,10 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
 Pass one splits a page into blocks at block-level tags and classifies each by its link density, its length and its stop-word
-density, with thresholds of the page's language: good, bad, or ambiguous (short, or of middling density). Pass two gives the
-ambiguous ones the label of their nearest decided neighbours. The element that a block stands in has two says only: blocks of
-navigation, forms, adverts and comments are never good, nor are those beside a page's main element; and where neighbours
-disagree or are missing, a block of the main element is good. Good blocks are joined in page order.
+density, with thresholds of the page's language: good, bad, or ambiguous (short, or of middling density). Where a page is in none
+of the languages whose stop words are known, the share of short words stands for it, or of marks in scripts without spaces. Much
+linked text is bad unless dense prose holds it. Pass two gives the ambiguous ones the label of their nearest decided neighbours.
+The element that a block stands in has two says only: blocks of navigation, forms, adverts and comments are never good, nor are
+those beside a page's main element; and where neighbours disagree or are missing, a block of the main element is good. A page
+of which nothing was decided is its short blocks. Good blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head)(?=$|[\s_-])", re.I)
 _OWN = re.compile(r"(?:article|post|entry|content|story|body|main|page-title)", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Marks of prose, and letters of scripts that set no spaces between words.
+_MARK = re.compile("[,.;:!?、。，．；：！？]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 #: Frequent words by language.
 STOP_WORDS = {
     language: frozenset(words.split())
@@ -73,6 +78,9 @@ class Rules:
     short: int = 70
     long: int = 200
     links: float = 0.2
+    #: Linked share from which dense prose is bad too, and the share of short words that prose of other languages has.
+    most_links: float = 0.5
+    short_words: float = 0.22
     stop_words: tuple = (("en", 0.08, 0.16), ("de", 0.06, 0.13), ("fr", 0.05, 0.12), ("es", 0.06, 0.13))
 
 
@@ -199,28 +207,37 @@ def blocks(page: str) -> list[_Block]:
     return [b for b in found if b.text]
 
 
-def _language(words: list[list[str]], rules: Rules) -> tuple[frozenset, float, float]:
-    """Stop words and thresholds of the language whose stop words are the most frequent on the page; of ties the first."""
+def _densities(found: list[_Block], rules: Rules) -> tuple[list[float], float]:
+    """Each block's density as a multiple of what prose has, and the multiple from which it is nearly prose: of the stop words of the language
+    that has most of them on the page (of ties the first). Where all the page has not twice as many of them as prose must have, also of words of at most
+    three letters, or of marks where words aren't set apart; the greater counts."""
+    words = [_WORD.findall(b.text.lower()) for b in found]
     counts = Counter(w for ws in words for w in ws)
     language, low, high = max(rules.stop_words, key=lambda x: sum(counts[w] for w in STOP_WORDS[x[0]]))
-    return STOP_WORDS[language], low, high
+    stop = STOP_WORDS[language]
+    share = lambda ws, fits: sum(map(fits, ws)) / len(ws) if ws else 0.0
+    densities = [share(ws, stop.__contains__) / high for ws in words]
+    if sum(counts[w] for w in stop) < 2 * high * counts.total():
+        marked = lambda text: float(len(_MARK.findall(text)) * 60 >= len(text) and _UNSPACED.search(text) is not None)
+        densities = [max(d, share(ws, lambda w: len(w) <= 3) / rules.short_words, marked(b.text)) for d, b, ws in zip(densities, found, words, strict=True)]
+    return densities, low / high
 
 
 def _first_pass(found: list[_Block], framed: bool, rules: Rules) -> None:
     """Labels blocks good, bad, near (middling density) or short."""
-    words = [_WORD.findall(b.text.lower()) for b in found]
-    stop, low, high = _language(words, rules)
-    for b, ws in zip(found, words, strict=True):
-        size, stops = len(b.text), sum(w in stop for w in ws) / len(ws) if ws else 0.0
-        if b.linked > rules.links * size:
+    densities, low = _densities(found, rules)
+    for b, density in zip(found, densities, strict=True):
+        size = len(b.text)
+        prose = density >= 1 and size >= rules.short and not b.away
+        if b.linked > (rules.most_links if prose else rules.links) * size:
             b.label, b.by = "bad", "links"
-        elif b.away or b.text[0] == "©":
+        elif b.away or b.text[0] == "©" and size < rules.short:
             b.label, b.by = "bad", "veto"
         elif size < rules.short:
             b.label = "short"
-        elif stops >= high and (b.inside or size > rules.long):
+        elif density >= 1 and (b.inside or size > rules.long):
             b.label, b.by = ("bad", "veto") if framed and not b.inside else ("good", "density")
-        elif stops >= low or b.inside:
+        elif density >= low or b.inside:
             b.label = "near"
         else:
             b.label, b.by = "bad", "density"
@@ -239,6 +256,7 @@ def _nearest(found: list[_Block], order: range) -> list[str | None]:
 def _second_pass(found: list[_Block], framed: bool) -> None:
     """Labels what the first pass has left ambiguous by the nearest decided neighbours; where these don't agree, the element decides."""
     before, after = _nearest(found, range(len(found))), _nearest(found, range(len(found) - 1, -1, -1))
+    decided = any(b.by for b in found)
     for b, pair in zip(found, zip(before, after, strict=True), strict=True):
         if b.by:
             continue
@@ -250,10 +268,10 @@ def _second_pass(found: list[_Block], framed: bool) -> None:
             b.label = "good" if b.inside else "bad"
         elif b.label == "near":
             b.label, by = "good" if "good" in around or around == {None} else "bad", "neighbours"
-        elif b.heading:
+        elif b.heading and decided:
             b.label, by = "good" if pair[1] == "good" else "bad", "neighbours"
         else:
-            b.label, by = "good" if around == {"good", None} else "bad", "neighbours"
+            b.label, by = "good" if around == {"good", None} or not decided and not b.away else "bad", "neighbours"
         b.by = by
 
 
