@@ -287,16 +287,6 @@ def version_direction(spark, d):
     return a.join(b, "document_id").select("document_id", S.direction(F.col("x"), F.col("y")).alias("direction"))
 
 
-@query("D1_field_diff", f"""WITH {VERSIONS}, long AS (SELECT document_id, version, f AS field_path, v FROM (SELECT document_id, version, unnest(['amount', 'currency', 'vendor', 'bill_date']) AS f, unnest([amount::VARCHAR, currency, vendor, bill_date::VARCHAR]) AS v FROM versions))
-  SELECT a.document_id, a.field_path, a.v AS ai_value, b.v AS employee_value FROM long a JOIN long b ON a.document_id = b.document_id AND a.field_path = b.field_path AND a.version = 1 AND b.version = 2 WHERE a.v IS DISTINCT FROM b.v""")
-def field_diff(spark, d):
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_path"), F.col(f).cast("string").alias("v")) for f in ("amount", "currency", "vendor", "bill_date")]))
-    long = versions(spark, d).where("version <= 2").select("document_id", "version", fields.alias("f")).select("document_id", "version", "f.*")
-    side = lambda n, name: long.where(F.col("version") == n).select("document_id", "field_path", F.col("v").alias(name), F.lit(True).alias(f"has_{name}"))
-    both = side(1, "ai_value").join(side(2, "employee_value"), ["document_id", "field_path"], "full_outer").where("has_ai_value AND has_employee_value")
-    return both.where(~S.values_equal(F.col("ai_value"), F.col("employee_value"))).select("document_id", "field_path", "ai_value", "employee_value")
-
-
 @query("F7_missing_category", f"WITH {DOCS} SELECT document_id FROM docs WHERE currency IS NULL AND category NOT LIKE 'STANDARD%'")
 def missing_category(spark, d):
     return docs(spark, d).where("currency IS NULL AND NOT startswith(category, 'STANDARD')").select("document_id")

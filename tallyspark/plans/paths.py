@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.operators import diffs as D
 from tallyspark.operators import paths as P
 from tallyspark.operators import versions as V
 from tallyspark.plans.proxy import VERSIONS, table, versions
@@ -38,18 +39,53 @@ _DIFF = f"WITH {VERSIONS}, a AS ({_WIDE.format(n=1)}), b AS ({_WIDE.format(n=2)}
 
 
 def _diff(spark, d):
-    before, after = (P.flatten(_json(spark, d, n), "document_id", "body") for n in (1, 2))
-    return P.diff(before.join(after.select("document_id").distinct(), "document_id", "left_semi"), after, "document_id")
+    before, after = (_json(spark, d, n).select("document_id", F.parse_json("body").alias(name)) for n, name in ((1, "a"), (2, "b")))
+    return D.differences(before.join(after, "document_id"), "document_id", depth=3)
 
 
 @query("J10_version_diff", f"{_DIFF} SELECT * FROM df")
 def version_diff(spark, d):
-    return _diff(spark, d)
+    return _diff(spark, d).drop("change_type")
 
 
-@query("D2_edited_roots", f"{_DIFF} SELECT * FROM df WHERE field_path LIKE 'items%'")
+_BOTH = """a AS (SELECT * FROM versions WHERE version = 1), b AS (SELECT * FROM versions WHERE version = 2),
+  ab AS (SELECT a.document_id, a.vendor AS v1, b.vendor AS v2, a.price AS p1, b.price AS p2, (a.amount / 100)::INT AS q1, (b.amount / 100)::INT AS q2 FROM a JOIN b USING (document_id))"""
+
+
+@query("D1_field_diff", f"""WITH {VERSIONS}, {_BOTH} SELECT document_id, 'vendor' AS field_path, v1 AS ai_value, v2 AS employee_value, NULL AS change_type FROM ab WHERE v1 <> v2
+  UNION ALL SELECT document_id, 'line_items[0].total', p1::VARCHAR, p2::VARCHAR, NULL FROM ab WHERE p1 <> p2
+  UNION ALL SELECT document_id, 'line_items[2]', NULL, '{{"total":"' || p2 || '"}}', 'row_added' FROM ab WHERE document_id % 3 = 0
+  UNION ALL SELECT document_id, 'line_items[1]', 'x', NULL, 'row_removed' FROM ab WHERE document_id % 3 = 1
+  UNION ALL SELECT document_id, 'note', 'n', '{{"k":[1]}}', NULL FROM ab WHERE document_id % 5 = 0
+  UNION ALL SELECT document_id, 'deep.a.b.c[0][1].d', q1::VARCHAR, q2::VARCHAR, NULL FROM ab WHERE q1 <> q2""")
+def field_diff(spark, d):
+    """Two versions of nested documents: changed cells at any depth, elements added and removed, a value that becomes an object."""
+    body = lambda items, note: F.parse_json(F.format_string('{"vendor":"%s","line_items":[%s],"note":%s,"deep":{"a":{"b":{"c":[[0,{"d":%d}]]}}},"same":[]}', F.col("vendor"), items, note, (F.col("amount") / 100).cast("int")))
+    item = F.format_string('{"total":"%s"}', F.col("price").cast("string"))
+    k = F.col("document_id") % 3
+    rows = versions(spark, d)
+    before = rows.where("version = 1").select("document_id", body(F.concat(item, F.lit(',"x"')), F.lit('"n"')).alias("a"))
+    changed = F.when(k == 0, F.concat(item, F.lit(',"x",'), item)).when(k == 1, item).otherwise(F.concat(item, F.lit(',"x"')))
+    after = rows.where("version = 2").select("document_id", body(changed, F.when(F.col("document_id") % 5 == 0, '{"k":[1]}').otherwise('"n"')).alias("b"))
+    return D.differences(before.join(after, "document_id"), "document_id")
+
+
+@query("D2_edited_roots", f"""WITH {VERSIONS}, a AS (SELECT *, document_id % 50 AS km FROM versions WHERE version = 1) SELECT document_id, 'vendor' AS field_path, vendor AS ai_value, 'new' AS employee_value, NULL AS change_type FROM a WHERE document_id % 4 = 0
+  UNION ALL SELECT document_id, 'travel_entries[0].kms', km::VARCHAR, (km + 1)::VARCHAR, NULL FROM a WHERE document_id % 2 = 1
+  UNION ALL SELECT document_id, 'travel_entries[1]', NULL, '{{"place":"' || vendor || '"}}', 'row_added' FROM a WHERE document_id % 7 = 0
+  UNION ALL SELECT document_id, 'line_items[0].total', price::VARCHAR, (price + 1)::VARCHAR, NULL FROM a WHERE document_id % 3 = 0""")
 def edited_roots(spark, d):
-    return _diff(spark, d).where("startswith(field_path, 'items')")
+    """Edits of a whole list of trips, stored under other names, of one cell and of a field."""
+    rows = versions(spark, d).where("version = 1")
+    km, even = F.col("document_id") % 50, F.col("document_id") % 2
+    fields = F.format_string('{"vendor":"%s","line_items":[{"total":"%s"}],"travel_entries":[{"date":"d","place_of_visit":"%s","km":"%d"}]}', "vendor", F.col("price").cast("string"), "vendor", km)
+    added = F.when(F.col("document_id") % 7 == 0, F.format_string(',{"place":"%s"}', "vendor")).otherwise("")
+    trips = F.format_string('[{"date":"d","place":"%s","kms":"%d"}%s]', F.col("vendor"), km + even, added)
+    total = F.when(F.col("document_id") % 3 == 0, F.format_string('"%s"', (F.col("price") + 1).cast("string"))).otherwise(F.col("price").cast("string"))  # the same number is no change
+    vendor = F.format_string('"%s"', F.when(F.col("document_id") % 4 == 0, "new").otherwise(F.col("vendor")))
+    edit = lambda path, value: F.struct(F.lit(path).alias("path"), F.parse_json(value).alias("value"))
+    edits = rows.select("document_id", F.inline(F.array(edit("travel_entries", trips), edit("line_items[0].total", total), edit("vendor", vendor))))
+    return D.edit_corrections(rows.select("document_id", F.parse_json(fields).alias("fields")), edits, "document_id")
 
 
 @query("U4_key_union", f"WITH {VERSIONS}, k AS (SELECT DISTINCT document_id, version FROM versions WHERE version <= 2) SELECT document_id, count(*) * 4 // count(*) AS n_paths FROM k GROUP BY 1")
