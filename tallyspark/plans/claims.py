@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
-from tallyspark.functions.joins import small
 from tallyspark.operators import audit as I
 from tallyspark.operators import categorize as C
 from tallyspark.operators import documents as Q
 from tallyspark.operators import evaluate as E
 from tallyspark.operators import versions as V
+from tallyspark.operators.lifecycle import breaches
 from tallyspark.plans.documents import claims as claims_of
 from tallyspark.plans.evaluation import _PARTS, _RULES, _TEXT, _TYPE
 from tallyspark.plans.proxy import DOCS, VERSIONS, docs, table, versions
@@ -253,12 +253,20 @@ def status_from_events(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
 
 
-@query("T7_illegal_transitions", "SELECT event_id, event_type, before FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND before = event_type")
+_LOG = "['upload', 'finish', 'edit', 'confirm', 'edit', 'reopen', 'confirm', 'submit', 'remove'][(event_id * 5 // 3 % 9 + 1)::INT]"
+
+
+@query("T7_illegal_transitions", f"""WITH e AS (SELECT user_id // 4 AS claim_id, user_id AS document_id, event_id AS "at", {_LOG} AS event, ['ready', 'needs_review', 'failed'][(event_id % 3 + 1)::INT] AS status FROM events),
+  x AS (SELECT *, (SELECT arg_max(CASE b.event WHEN 'finish' THEN b.status WHEN 'upload' THEN 'processing' WHEN 'confirm' THEN 'confirmed' WHEN 'reopen' THEN 'needs_review' ELSE 'removed' END, b."at") FROM e b WHERE b.claim_id = e.claim_id AND b.document_id = e.document_id AND b."at" < e."at" AND b.event NOT IN ('edit', 'submit')) AS state,
+    EXISTS (SELECT 1 FROM e b WHERE b.claim_id = e.claim_id AND b.event = 'submit' AND b."at" < e."at") AS late FROM e WHERE event <> 'submit'),
+  y AS (SELECT *, CASE WHEN late AND event <> 'finish' THEN 'edit_after_submit' WHEN event = 'edit' AND state = 'confirmed' THEN 'edit_of_confirmed' WHEN event = 'confirm' AND coalesce(state, '') NOT IN ('ready', 'needs_review') THEN 'confirm_from_wrong_state' END AS breach FROM x)
+  SELECT claim_id, document_id, "at", event, breach FROM y WHERE breach IS NOT NULL""")
 def illegal_transitions(spark, d):
-    turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").select("event_id", "event_type", F.lag("event_type").over(turn).alias("before"))
-    legal = rows.select("event_type").distinct().alias("a").crossJoin(small(rows.select(F.col("event_type").alias("before")).distinct())).where("a.event_type <> before")
-    return rows.where("before IS NOT NULL").join(legal, ["event_type", "before"], "left_anti").select("event_id", "event_type", "before")
+    """Four users are the documents of a claim."""
+    at = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(c) for c in ("upload", "finish", "edit", "confirm", "edit", "reopen", "confirm", "submit", "remove")]), (F.floor(at * 5 / 3) % 9 + 1).cast("int"))
+    end = F.element_at(F.array(F.lit("ready"), F.lit("needs_review"), F.lit("failed")), (at % 3 + 1).cast("int"))
+    return breaches(table(spark, d, "events").select(F.floor(F.col("user_id") / 4).alias("claim_id"), F.col("user_id").alias("document_id"), at.alias("at"), name.alias("event"), end.alias("status")))
 
 
 @query("I1_immutability", f"""WITH {VERSIONS}, a AS (SELECT * FROM versions WHERE version = 1), b AS (SELECT * FROM versions WHERE version = 2)

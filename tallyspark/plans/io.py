@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import audit as I
 from tallyspark.operators import documents as Q
+from tallyspark.operators import lifecycle as C
 from tallyspark.operators import versions as V
 from tallyspark.plans.documents import claims
 from tallyspark.plans.proxy import DOCS, docs, table
@@ -155,20 +156,60 @@ def arrivals(spark, d):
     return spark.read.parquet(f"{root}/out").select("document_id", "name", "passed")
 
 
-@query("T2_folded_commands")
+_COMMANDS = "['create', 'upload', 'upload', 'finish', 'finish', 'edit', 'confirm', 'confirm', 'reopen', 'submit', 'remove', 'retry', 'pay'][(event_id * 7 // 3 % 13 + 1)::INT]"
+#: One document for each claim, so that the claim's and the document's state are a row; users are claims, events their commands.
+_FOLD = f"""WITH RECURSIVE cmd AS (SELECT user_id, event_id AS "at", {_COMMANDS} AS cmd, (event_id % 100)::DECIMAL(22,2) AS amt, CASE event_id % 2 WHEN 0 THEN 'INR' ELSE 'USD' END AS cur, ['ready', 'needs_review', 'failed'][(event_id % 3 + 1)::INT] AS fin, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS "at", NULL::VARCHAR AS command, NULL::VARCHAR AS outcome, NULL::VARCHAR AS before, NULL::VARCHAR AS after, CASE WHEN {{stored}} THEN 'draft' END AS c, CASE WHEN {{stored}} THEN 'ready' END AS s, CASE WHEN {{stored}} THEN 10::DECIMAL(22,2) END AS amount, CASE WHEN {{stored}} THEN 'INR' END AS currency, NULL::BIGINT AS sub, NULL::DECIMAL(22,2) AS total, NULL::VARCHAR AS total_cur FROM events
+  UNION ALL SELECT user_id, n, "at", cmd, outcome, CASE WHEN cmd IN ('create', 'submit') THEN c ELSE s END, CASE WHEN cmd IN ('create', 'submit') THEN c2 ELSE s2 END, c2, s2, a2, u2, CASE WHEN outcome = 'applied' AND cmd = 'submit' THEN "at" ELSE sub END,
+    CASE WHEN outcome <> 'applied' OR cmd IN ('create', 'finish') THEN total WHEN s2 = 'confirmed' THEN a2 WHEN cmd = 'submit' THEN 0 END, CASE WHEN outcome <> 'applied' OR cmd IN ('create', 'finish') THEN total_cur WHEN s2 = 'confirmed' THEN u2 WHEN cmd = 'submit' THEN 'INR' END
+    FROM (SELECT *, CASE WHEN outcome <> 'applied' THEN c WHEN cmd = 'create' THEN 'draft' WHEN cmd = 'submit' THEN 'submitted' ELSE c END AS c2,
+      CASE WHEN outcome <> 'applied' THEN s ELSE CASE cmd WHEN 'upload' THEN 'processing' WHEN 'finish' THEN fin WHEN 'confirm' THEN 'confirmed' WHEN 'reopen' THEN 'needs_review' WHEN 'retry' THEN 'processing' WHEN 'remove' THEN 'removed' WHEN 'edit' THEN CASE WHEN fin = 'failed' THEN s ELSE fin END ELSE s END END AS s2,
+      CASE WHEN outcome = 'applied' AND cmd IN ('upload', 'finish', 'edit', 'confirm') THEN amt ELSE amount END AS a2, CASE WHEN outcome = 'applied' AND cmd IN ('upload', 'finish', 'edit', 'confirm') THEN cur ELSE currency END AS u2
+      FROM (SELECT st.user_id, cmd.n, cmd."at", cmd.cmd, amt, cur, fin, c, s, amount, currency, sub, total, total_cur,
+        CASE WHEN cmd.cmd = 'create' THEN CASE WHEN c IS NULL THEN 'applied' ELSE 'claim_exists' END WHEN cmd.cmd = 'pay' THEN 'unknown_command' WHEN c IS NULL THEN 'claim_not_found' WHEN c <> 'draft' AND cmd.cmd <> 'finish' THEN 'claim_submitted'
+          WHEN cmd.cmd = 'submit' THEN CASE WHEN s IS NULL OR s = 'removed' THEN 'no_documents' WHEN s <> 'confirmed' THEN 'unconfirmed_documents' ELSE 'applied' END WHEN cmd.cmd = 'upload' THEN CASE WHEN s IS NULL THEN 'applied' ELSE 'document_exists' END
+          WHEN s IS NULL OR s = 'removed' THEN 'document_not_found' WHEN cmd.cmd = 'finish' AND s <> 'processing' THEN 'not_processing' WHEN cmd.cmd = 'edit' AND s = 'confirmed' THEN 'document_confirmed' WHEN cmd.cmd = 'confirm' AND s NOT IN ('ready', 'needs_review') THEN 'not_confirmable'
+          WHEN cmd.cmd = 'reopen' AND s <> 'confirmed' THEN 'not_confirmed' WHEN cmd.cmd = 'retry' AND s <> 'failed' THEN 'not_failed' ELSE 'applied' END AS outcome
+        FROM st JOIN cmd ON cmd.user_id = st.user_id AND cmd.n = st.n + 1)))"""
+
+
+def _commands(spark, d):
+    at = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(c) for c in ("create", "upload", "upload", "finish", "finish", "edit", "confirm", "confirm", "reopen", "submit", "remove", "retry", "pay")]), (F.floor(at * 7 / 3) % 13 + 1).cast("int"))
+    end = F.element_at(F.array(F.lit("ready"), F.lit("needs_review"), F.lit("failed")), (at % 3 + 1).cast("int"))
+    return table(spark, d, "events").select(F.col("user_id").cast("long").alias("claim_id"), at.cast("long").alias("at"), name.alias("command"), (F.col("user_id") * 10).cast("long").alias("document_id"), (at % 100).cast(C.AMOUNT).alias("amount"), F.when(at % 2 == 0, "INR").otherwise("USD").alias("currency"), end.alias("status"), F.lit(True).alias("needs_confirm"))
+
+
+def _applied(spark, d):
+    """Every third claim has a stored draft with a document that is ready."""
+    users = table(spark, d, "events").select(F.col("user_id").alias("claim_id")).distinct().where("claim_id % 3 = 0")
+    claims = users.select("claim_id", F.lit("draft").alias("status"), F.lit(None).cast("long").alias("submitted_at"), F.lit(None).cast(C.AMOUNT).alias("total_amount"), F.lit(None).cast("string").alias("currency"))
+    documents = users.select("claim_id", (F.col("claim_id") * 10).alias("document_id"), F.lit("ready").alias("status"), F.lit(10).cast(C.AMOUNT).alias("amount"), F.lit("INR").alias("currency"), F.lit(True).alias("needs_confirm"))
+    return C.apply_commands(claims, documents, _commands(spark, d))
+
+
+@query("T2_folded_commands", f"{_FOLD.format(stored='false')} SELECT user_id AS claim_id, \"at\", command, outcome, before, after, total AS total_amount, total_cur AS currency FROM st WHERE n > 0")
 def folded_commands(spark, d):
-    command = F.element_at(F.array(*[F.lit(c) for c in ("upload", "finish", "confirm", "reopen", "remove")]), (F.xxhash64("event_type", "event_id") % 5 + 5).cast("int") % 5 + 1)
-    rows = table(spark, d, "events").select("user_id", "event_id", command.alias("command"))
-    return jobs.fold_commands(rows, "user_id", "event_id", "command")
+    """Commands as a stream of files, with state kept for each claim."""
+    root = readers.scratch(spark)
+    rows = _commands(spark, d)
+    rows.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    jobs.follow_commands(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("document_id")
 
 
-@query("T8_command_fold", "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'ready' ELSE 'processing' END AS status FROM orders GROUP BY 1")
+@query("T8_command_fold", f"{_FOLD.format(stored='user_id % 3 = 0')} SELECT user_id AS claim_id, \"at\", command, outcome, before, after, total AS total_amount, total_cur AS currency FROM st WHERE n > 0")
 def command_fold(spark, d):
-    """An upload comes first; each F order finishes, and only the first finish is legal."""
-    rows = table(spark, d, "orders")
-    first = rows.select("o_custkey").distinct().select("o_custkey", F.lit(-1).cast("long").alias("at"), F.lit("upload").alias("command"))
-    rest = rows.select("o_custkey", F.col("o_orderkey").alias("at"), F.when(F.col("o_orderstatus") == "F", "finish").otherwise("reopen").alias("command"))
-    return jobs.fold_commands(first.unionByName(rest), "o_custkey", "at", "command").select("o_custkey", "status")
+    """One audit row for each command, on stored state."""
+    return C.audit(_applied(spark, d)).drop("document_id")
+
+
+@query("T8_new_states", f"{_FOLD.format(stored='user_id % 3 = 0')} SELECT user_id AS claim_id, c AS status, sub AS submitted_at, total AS total_amount, total_cur AS currency, s AS document FROM st WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1")
+def new_states(spark, d):
+    """The claims and the status of their document after all commands."""
+    claims, documents = C.states(_applied(spark, d))
+    return claims.join(documents.select("claim_id", F.col("status").alias("document")), "claim_id", "left")
 
 
 @query("T4_idempotent_intake", "SELECT count(DISTINCT (source, sha256(text))) AS n FROM documents")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tallyspark.operators.lifecycle import AUDIT, Claim
 
 
 def arrive(stream: DataFrame, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame], path: str) -> StreamingQuery:
@@ -36,19 +42,28 @@ def last_status(stream: DataFrame, key: str, status: str, order: str) -> DataFra
     return stream.groupBy(key).agg(F.max_by(status, order).alias("status"))
 
 
-#: Command, states in which it is legal, next state.
-MOVES = (("upload", ("none",), "processing"), ("finish", ("processing",), "ready"), ("confirm", ("ready", "needs_review"), "confirmed"), ("reopen", ("confirmed",), "ready"), ("remove", ("ready", "needs_review", "failed"), "removed"), ("retry", ("failed",), "processing"))
+def follow_commands(stream: DataFrame) -> DataFrame:
+    """The audit rows of a stream of commands (see operators.lifecycle), claims beginning without state. A claim's state, its documents as JSON, is all
+    that is kept; a batch's commands are taken in the order of `at`."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        claim = _stored(kept.get[0]) if kept.exists else Claim()
+        rows = pd.concat(batches).sort_values("at")
+        out = []
+        for at, command, document, amount, currency, status, needs in zip(*(rows[c].tolist() for c in ("at", "command", "document_id", "amount", "currency", "status", "needs_confirm")), strict=True):
+            outcome, before, after = claim.apply(int(at), command, document, amount, currency, status, needs)
+            out.append((key[0], document, at, command, outcome, before, after, claim.total, claim.currency))
+        kept.update((json.dumps([claim.status, claim.submitted_at, _plain(claim.total), claim.currency, [[d, s, _plain(a), c, n] for d, (s, a, c, n) in claim.documents.items()]]),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in AUDIT.split(", ")]).astype({"document_id": "Int64"})
+
+    return stream.groupBy("claim_id").applyInPandasWithState(step, AUDIT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def fold_commands(commands: DataFrame, key: str, order: str, command: str) -> DataFrame:
-    """One row per key: status after all commands in order, and how many were legal; illegal ones change nothing. A document's commands are few by nature; they are folded in its row."""
-    state = F.struct(F.lit("none").alias("status"), F.lit(0).alias("applied"))
+def _plain(amount: Decimal | None) -> str | None:
+    return None if amount is None or amount != amount else str(amount)
 
-    def step(s, c):
-        after = F.lit(None).cast("string")
-        for name, legal, to in MOVES:
-            after = F.when((c["command"] == name) & s["status"].isin(*legal), F.lit(to)).otherwise(after)
-        return F.struct(F.coalesce(after, s["status"]).alias("status"), F.when(after.isNotNull(), s["applied"] + 1).otherwise(s["applied"]).alias("applied"))
 
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(command).alias("command"))))
-    return commands.groupBy(key).agg(ordered.alias("c")).select(key, F.aggregate("c", state, step).alias("s")).select(key, "s.status", "s.applied")
+def _stored(state: str) -> Claim:
+    status, submitted_at, total, currency, documents = json.loads(state)
+    number = lambda x: None if x is None else Decimal(x)
+    return Claim(status, submitted_at, number(total), currency, {d: [s, number(a), c, n] for d, s, a, c, n in documents})

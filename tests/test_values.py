@@ -13,7 +13,6 @@ from tallyspark.operators import categorize as C
 from tallyspark.operators import evaluate as E
 from tallyspark.operators import responses as V
 from tallyspark.operators import versions
-from tallyspark.streaming import jobs
 
 
 def blocks(a, b):
@@ -68,19 +67,6 @@ def test_greedy_matching(spark):
     assert got == want
 
 
-def test_folded_commands(spark):
-    rnd = random.Random(3)
-    names = [m[0] for m in jobs.MOVES]
-    rows = [(rnd.randrange(20), k, rnd.choice(names)) for k in range(600)]
-    want = {}
-    for key, _, command in rows:
-        status, n = want.get(key, ("none", 0))
-        move = next(m for m in jobs.MOVES if m[0] == command)
-        want[key] = (move[2], n + 1) if status in move[1] else (status, n)
-    frame = spark.createDataFrame(rows, "key long, at long, command string").orderBy(F.rand(1))
-    assert {r.key: (r.status, r.applied) for r in jobs.fold_commands(frame, "key", "at", "command").collect()} == want
-
-
 def test_classifier_predicts_held_out_labels(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(4, 8)) * 2
