@@ -5,7 +5,7 @@ days_since_expense, n_peers, peers_total (null if the month's history is unknown
 judgments map<string,boolean>, documentation map<string,boolean>, approval_evidenced.
 clauses: clause_id, limit_unit, limit_kind, limit_inclusive, is_prohibition,
 limits array<struct<amount,currency,when:map<string,array<string>>>>,
-conditions array<struct<id,kind,check,quantity,op,value,depends_on:array<string>,within>>: a condition with `within` is an
+conditions array<struct<id,kind,check,quantity,op,value,depends_on:array<string>,within,text>>: a condition with `within` is an
 alternative of the condition of that id, which stands before it; alternatives may have alternatives,
 documents array<struct<item,min_amount,by_currency:map<string,decimal>>>: a threshold for all currencies or one for each,
 approval map<string,decimal>. A unit's clause is joined once; all that follows are expressions on the unit's row.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
 from tallyspark.functions.joins import small
+from tallyspark.operators.versions import latest_run
 
 _UNRESOLVED = "array<string>"
 
@@ -138,7 +139,7 @@ def _quantity(name: Column) -> Column:
     return F.coalesce(*[F.when(name == q, F.col(columns.get(q, q)).cast("decimal(20,4)")) for q in T.NUMERIC_QUANTITIES])
 
 
-_STATE = "array<struct<id: string, within: string, kind: string, holds: boolean, missing: array<string>>>"
+_STATE = "array<struct<id: string, within: string, kind: string, text: string, holds: boolean, missing: array<string>>>"
 
 
 def conditions(column: str = "conditions", reliable: tuple[str, ...] = T.FIELDS["extracted"], facts: dict[str, tuple[str, ...]] = T.FIELDS) -> Column:
@@ -165,7 +166,7 @@ def conditions(column: str = "conditions", reliable: tuple[str, ...] = T.FIELDS[
         own = F.when(F.size(parts) > 0, any_of(F.transform(parts, lambda x: x["holds"]))).when(numeric(c), holds(c["op"], _quantity(c["quantity"]), c["value"])).otherwise(F.try_element_at("judgments", c["id"]))
         open_parts = F.flatten(F.transform(F.filter(parts, lambda x: x["holds"].isNull()), lambda x: x["missing"]))
         missing = F.when(own.isNotNull(), none).when(F.size(parts) > 0, open_parts).otherwise(lacks(c))
-        return F.concat(F.array(F.struct(c["id"].alias("id"), c["within"].alias("within"), c["kind"].alias("kind"), own.alias("holds"), missing.alias("missing"))), known)
+        return F.concat(F.array(F.struct(c["id"].alias("id"), c["within"].alias("within"), c["kind"].alias("kind"), F.coalesce(c["text"], c["id"]).alias("text"), own.alias("holds"), missing.alias("missing"))), known)
 
     return F.aggregate(F.reverse(column), F.array().cast(_STATE), step)
 
@@ -214,9 +215,10 @@ def check_approval(units: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def verdicts(units: DataFrame, clauses: DataFrame) -> DataFrame:
-    """unit_id, verdict, comparison, limit_applied, compared, missing: violation before needs_approval before insufficient_information before compliant.
+    """unit_id, clause_id, verdict, comparison, limit_applied, compared, limit_unit, currency, missing, reasons: violation before needs_approval before insufficient_information before compliant.
 
-    missing has each name once, in the order of finding: limit, conditions, documentation, approval. No shuffle.
+    missing has each name once, reasons a text for each violation and lacking approval, in the order of finding: limit, conditions,
+    documentation, approval. No shuffle.
     """
     rules = small(clauses.select(*_LIMITS, "is_prohibition", "conditions", "documents", "approval"))
     rows = _with_limits(units.join(rules, "clause_id"))
@@ -224,10 +226,18 @@ def verdicts(units: DataFrame, clauses: DataFrame) -> DataFrame:
     needed, lacking = _approval()
     asked = F.coalesce(F.size("approval") > 0, F.lit(False))
     missing = F.array_distinct(F.array_compact(F.concat("limit_missing", F.flatten(F.transform("_conditions", lambda x: x["missing"])), F.transform("_documents", lambda x: x["missing"]), F.array(F.when(asked, lacking)))))
-    bad = (F.col("is_prohibition") & (F.size("conditions") == 0)) | (F.col("comparison") == "over_limit") | F.exists("_conditions", _broken) | F.exists("_documents", lambda x: x["violated"])
-    rows = rows.withColumn("missing", missing)
-    verdict = F.when(bad, "violation").when(asked & needed, "needs_approval").when(F.size("missing") > 0, "insufficient_information").otherwise("compliant")
-    return rows.select("unit_id", verdict.alias("verdict"), "comparison", "limit_applied", "compared", "missing")
+    text = lambda c: c.cast("string")
+    over = F.concat(text(F.col("compared")), F.lit(" exceeds the "), text(F.col("limit_applied")), F.lit(" limit ("), "limit_unit", F.lit(") by "), text((F.col("compared") - F.col("limit_applied")).cast("decimal(14,2)")))
+    broken = F.transform(F.filter("_conditions", _broken), lambda x: F.concat(F.when(x["kind"] == "requires", "required condition not met: ").otherwise("excluded circumstance applies: "), x["text"]))
+    banned = F.when(F.col("is_prohibition") & (F.size("conditions") == 0), F.concat("clause_id", F.lit(" is an unconditional prohibition")))
+    absent = F.transform(F.filter("_documents", lambda x: x["violated"]), lambda x: F.concat(F.lit("required proof missing: "), x["item"]))
+    violations = F.array_compact(F.concat(F.array(F.when(F.col("comparison") == "over_limit", over)), broken, F.array(banned), absent))
+    threshold = F.try_element_at("approval", F.col("currency"))
+    approval = F.when(threshold > 0, F.concat(text(F.col("base_amount")), F.lit(" exceeds the "), text(threshold), F.lit(" approval threshold and no approval is evidenced"))).otherwise(F.concat("clause_id", F.lit(" requires approval and none is evidenced")))
+    rows = rows.withColumn("missing", missing).withColumn("_violations", violations).withColumn("_needed", asked & needed)
+    verdict = F.when(F.size("_violations") > 0, "violation").when(F.col("_needed"), "needs_approval").when(F.size("missing") > 0, "insufficient_information").otherwise("compliant")
+    reasons = F.concat("_violations", F.array_compact(F.array(F.when(F.col("_needed"), approval))))
+    return rows.select("unit_id", "clause_id", verdict.alias("verdict"), "comparison", "limit_applied", "compared", "limit_unit", "currency", "missing", reasons.alias("reasons"))
 
 
 def category_clauses(categories: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -238,24 +248,51 @@ def category_clauses(categories: DataFrame, clauses: DataFrame) -> DataFrame:
     return own.unionByName(categories.select("category").crossJoin(small(everywhere))).distinct()
 
 
-def monthly_peers(docs: DataFrame) -> DataFrame:
-    """document_id, n_peers, peers_total of documents with a currency: the employee's others of the category, currency and month, in submitted claims or in this one.
+_PEER_KEY = ["employee_id", "category", "currency", "m"]
+
+
+def _attributed(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Documents that count as peers, with the clauses that their claim's latest run judged them under (null if none)."""
+    counted = docs.where("currency IS NOT NULL AND amount IS NOT NULL AND bill_date IS NOT NULL").where(F.col("doc_status").isin(*T.EVALUABLE))
+    rows = counted.select("document_id", "claim_id", (F.col("claim_status") == "submitted").alias("shared"), "employee_id", "category", "currency", "amount", F.trunc("bill_date", "month").alias("m"))
+    last = latest_run(decisions.select("claim_id", "document_id", "clause_id", "evaluation_seq"), "claim_id", "evaluation_seq")
+    return rows.join(last.select("document_id", "clause_id").distinct(), "document_id", "left")
 
-    Sums per employee, category, currency and month, less the document's own share: no pairs are made.
-    """
-    rows = docs.where("currency IS NOT NULL").select("document_id", "claim_id", "claim_status", "employee_id", "category", "currency", "amount", F.trunc("bill_date", "month").alias("m"))
-    key = ["employee_id", "category", "currency", "m"]
-    per = rows.groupBy(*key, "claim_id", "claim_status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
-    shared = per.where("claim_status = 'submitted'").groupBy(*key).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    open_ = F.col("claim_status") != "submitted"
-    own = per.select(*key, "claim_id", F.when(open_, F.col("n")).otherwise(0).alias("own_n"), F.when(open_, F.col("s")).otherwise(0).alias("own_s"))
-    joined = rows.join(own, [*key, "claim_id"]).join(shared, key, "left")
-    total = F.coalesce("all_s", F.lit(0)) + F.col("own_s") - F.col("amount")
-    return joined.select("document_id", (F.coalesce("all_n", F.lit(0)) + F.col("own_n") - 1).alias("n_peers"), total.cast("decimal(22,2)").alias("peers_total"))
 
+def monthly_peers(units: DataFrame, docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """units (document_id, clause_id) with n_peers, peers_total and n_unattributed: the other documents of the document's employee, category,
+    currency and calendar month, of submitted claims or of its own claim, that their claim's latest run judged under the same clause.
 
-def facts(docs: DataFrame, claims: DataFrame, employees: DataFrame, today: Column) -> DataFrame:
-    """docs with grade (upper case, trimmed), days_since_expense, approval_evidenced, n_peers and peers_total.
+    Peers that were never judged are counted apart, never added; unattributed_peers() lists them. docs: document_id, claim_id,
+    claim_status, doc_status, employee_id, category, currency, amount, bill_date; decisions: claim_id, document_id, clause_id,
+    evaluation_seq. Units whose document has no currency, category or date have nulls. Sums per employee, category, currency, month and clause, less the document's own share:
+    no pairs are made.
+    """
+    rows = _attributed(docs, decisions)
+    key = [*_PEER_KEY, "clause"]
+    rows = rows.withColumn("clause", F.coalesce("clause_id", F.lit(""))).drop("clause_id")
+    per = rows.groupBy(*key, "claim_id", "shared").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
+    shared = per.where("shared").groupBy(*key).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    own = per.where("NOT shared").select(*key, "claim_id", F.col("n").alias("own_n"), F.col("s").alias("own_s"))
+    mine = rows.select("document_id", "clause", F.lit(1).alias("mine"), F.col("amount").alias("mine_s"))
+    about = docs.where("currency IS NOT NULL AND category IS NOT NULL AND bill_date IS NOT NULL").select("document_id", "claim_id", "employee_id", "category", "currency", F.trunc("bill_date", "month").alias("m"))
+    asked = units.select("document_id", "clause_id").distinct().withColumn("known", F.array("clause_id", F.lit(""))).withColumn("clause", F.explode("known"))
+    found = asked.join(about, "document_id").join(shared, key, "left").join(own, [*key, "claim_id"], "left").join(mine, ["document_id", "clause"], "left")
+    zero = F.lit(0)
+    n = F.coalesce("all_n", zero) + F.coalesce("own_n", zero) - F.coalesce("mine", zero)
+    total = F.coalesce("all_s", zero) + F.coalesce("own_s", zero) - F.coalesce("mine_s", zero)
+    judged = F.col("clause") != ""
+    sums = found.groupBy("document_id", "clause_id").agg(F.sum(F.when(judged, n)).alias("n_peers"), F.sum(F.when(judged, total)).cast("decimal(22,2)").alias("peers_total"), F.sum(F.when(~judged, n)).alias("n_unattributed"))
+    return units.join(sums, ["document_id", "clause_id"], "left")
+
+
+def unattributed_peers(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(employee_id, category, currency, m, claim_id, shared, document_id) of documents that no latest run has judged: one row each, to be met by those keys."""
+    return _attributed(docs, decisions).where("clause_id IS NULL").select(*_PEER_KEY, "claim_id", "shared", "document_id")
+
+
+def facts(docs: DataFrame, claims: DataFrame, employees: DataFrame, decisions: DataFrame, today: Column, grades: tuple[str, ...] = ()) -> DataFrame:
+    """docs with grade (upper case, trimmed), grade_rank (its place in grades), days_since_expense, approval_evidenced, and what monthly_peers() gives for their clause_id.
 
     claims: claim_id, submitted_on, note; employees: employee_id, grade. A claim counts from the day on which it was submitted,
     one that was not from today. Approval is evidenced by a note, or by another document of the claim that is a correspondence.
@@ -263,7 +300,7 @@ def facts(docs: DataFrame, claims: DataFrame, employees: DataFrame, today: Colum
     letter = (F.col("document_type") == "approval_correspondence").cast("int")
     letters = docs.groupBy("claim_id").agg(F.sum(letter).alias("letters"))
     rows = docs.join(claims.select("claim_id", "submitted_on", "note"), "claim_id").join(letters, "claim_id").join(employees.select("employee_id", F.upper(F.trim("grade")).alias("grade")), "employee_id", "left")
-    rows = rows.join(monthly_peers(docs), "document_id", "left")
+    rows = monthly_peers(rows, docs, decisions).withColumn("grade_rank", S.grade_rank(F.col("grade"), list(grades)) if grades else F.lit(None).cast("int"))
     evidence = (F.trim(F.coalesce("note", F.lit(""))) != "") | (F.col("letters") > F.coalesce(letter, F.lit(0)))
     return rows.withColumn("days_since_expense", F.datediff(F.coalesce("submitted_on", today), "bill_date")).withColumn("approval_evidenced", evidence).drop("letters", "submitted_on", "note")
 
@@ -278,6 +315,40 @@ def overlapping_limits(clauses: DataFrame, scope: list[str] | None = None) -> Da
     return pairs.where(shared).select("a_clause_id", "a_k", "b_clause_id", "b_k").distinct()
 
 
+def plan_runs(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """requests with evaluation_seq and reused: a claim's stored run of the same policy and prompt version is used again unless `force`; else the run is new.
+
+    requests: claim_id, policy_version, prompt_version, force, one for each claim; stored: claim_id, policy_version, prompt_version, evaluation_seq of
+    stored decisions, which stay as they are. A new run's number follows the claim's last of any version.
+    """
+    keys = ["claim_id", "policy_version", "prompt_version"]
+    runs = stored.groupBy(*keys).agg(F.max("evaluation_seq").alias("same"))
+    last = runs.groupBy("claim_id").agg(F.max("same").alias("last"))
+    rows = requests.join(runs, keys, "left").join(last, "claim_id", "left")
+    reused = F.col("same").isNotNull() & ~F.coalesce("force", F.lit(False))
+    return rows.select(*requests.columns, F.when(reused, F.col("same")).otherwise(F.coalesce("last", F.lit(0)) + 1).alias("evaluation_seq"), reused.alias("reused"))
+
+
+def append_runs(planned: DataFrame, stored: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """stored with the decisions of the new runs among planned: verdicts (claim_id and more) get the run's versions and number."""
+    fresh = planned.where("NOT reused").select("claim_id", "policy_version", "prompt_version", "evaluation_seq")
+    return stored.unionByName(verdicts.join(fresh, "claim_id").select(stored.columns))
+
+
+def explanation(verdict: Column, comparison: Column, amount: Column, limit: Column, unit: Column, currency: Column, missing: Column, reasons: Column, clause: Column) -> Column:
+    """One sentence that a verdict's own outcome makes, so that it can't contradict it; amounts as format_comparison() prints them."""
+    said = S.format_comparison(amount, limit, unit, currency)
+    first = F.coalesce(F.get(reasons, F.lit(0)), verdict)
+    return (
+        F.when(verdict.isNull(), "Could not be evaluated.")
+        .when((verdict == "compliant") & said.isNotNull(), F.concat(F.lit("Within the limit under "), clause, F.lit(": "), said, F.lit(".")))
+        .when(verdict == "compliant", F.concat(F.lit("No limit is exceeded and no condition of "), clause, F.lit(" is violated.")))
+        .when(verdict == "insufficient_information", F.concat(F.lit("Cannot be decided under "), clause, F.lit(": missing "), F.array_join(missing, ", "), F.lit(".")))
+        .when((comparison == "over_limit") & said.isNotNull(), F.concat(F.lit("Over the limit under "), clause, F.lit(": "), said, F.lit(".")))
+        .otherwise(F.concat(F.upper(F.left(first, F.lit(1))), F.substr(first, F.lit(2)), F.lit(" ("), clause, F.lit(").")))
+    )
+
+
 def publish(versions: DataFrame, label: str) -> DataFrame:
     """Versions with the new one active and all others not; a label that exists already gives an unchanged table."""
     exists = versions.where(F.col("label") == label).limit(1)

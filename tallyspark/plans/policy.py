@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import policy as L
 from tallyspark.plans.proxy import DOCS, docs
 from tallyspark.plans.registry import query
+from tallyspark.plans.scalars import _shown
 
 _CLAUSES = (
     # clause, unit, kind, inclusive, prohibition, limits (amount, currency, when), conditions (id, kind, check, quantity, op, value, depends_on, within), documents (item, min, by currency), approval, categories
@@ -17,14 +18,14 @@ _CLAUSES = (
     ("L-SHARE", "percent_of_amount", "amount", True, False, [(10, "INR", {}), (10, "USD", {"tier": ["1"]}), (20, "USD", {"tier": ["2"]})], [("c6", "excludes", None, None, None, None, [], None), ("c6a", None, None, None, None, None, [], "c6"), ("c6aa", None, "judgment", None, None, None, ["bill_date"], "c6a"), ("c6ab", None, "numeric", "amount", ">", 3000, [], "c6a"), ("c6b", None, "judgment", None, None, None, None, "c6")], [], {}, ["MEDIUM POLISHED TIN"]),
     ("L-NONE", "none", "amount", True, True, [], [], [], {}, ["STANDARD POLISHED TIN"]),
 )
-_CLAUSE_TYPE = "clause_id string, limit_unit string, limit_kind string, limit_inclusive boolean, is_prohibition boolean, limits array<struct<amount:decimal(12,2),currency:string,when:map<string,array<string>>>>, conditions array<struct<id:string,kind:string,check:string,quantity:string,op:string,value:decimal(12,2),depends_on:array<string>,within:string>>, documents array<struct<item:string,min_amount:decimal(12,2),by_currency:map<string,decimal(12,2)>>>, approval map<string,decimal(12,2)>, applies_to array<string>"
+_CLAUSE_TYPE = "clause_id string, limit_unit string, limit_kind string, limit_inclusive boolean, is_prohibition boolean, limits array<struct<amount:decimal(12,2),currency:string,when:map<string,array<string>>>>, conditions array<struct<id:string,kind:string,check:string,quantity:string,op:string,value:decimal(12,2),depends_on:array<string>,within:string,text:string>>, documents array<struct<item:string,min_amount:decimal(12,2),by_currency:map<string,decimal(12,2)>>>, approval map<string,decimal(12,2)>, applies_to array<string>"
 
 
 def clauses(spark):
     from decimal import Decimal as D
 
     number = lambda x: None if x is None else D(x)
-    rows = [(a, b, c, d, e, [(D(x), y, z) for x, y, z in f], [(*x[:5], number(x[5]), *x[6:]) for x in g], [(x, number(y), z and {k: D(v) for k, v in z.items()}) for x, y, z in h], {k: D(v) for k, v in i.items()}, j) for a, b, c, d, e, f, g, h, i, j in _CLAUSES]
+    rows = [(a, b, c, d, e, [(D(x), y, z) for x, y, z in f], [(*x[:5], number(x[5]), *x[6:], None) for x in g], [(x, number(y), z and {k: D(v) for k, v in z.items()}) for x, y, z in h], {k: D(v) for k, v in i.items()}, j) for a, b, c, d, e, f, g, h, i, j in _CLAUSES]
     return spark.createDataFrame(rows, _CLAUSE_TYPE)
 
 
@@ -143,16 +144,38 @@ def category_clauses(spark, d):
     return L.category_clauses(table(spark, d, "part").select(F.col("p_type").alias("category")).distinct(), clauses(spark))
 
 
-@query("L17_idempotent_runs", f"WITH {DOCS} SELECT DISTINCT claim_id FROM docs WHERE claim_id NOT IN (SELECT claim_id FROM docs WHERE doc_status = 'confirmed')")
+@query("L17_idempotent_runs", """WITH r AS (SELECT o_orderkey AS claim_id, CASE o_custkey % 3 WHEN 0 THEN 'v2' ELSE 'v1' END AS policy_version, o_custkey % 4 = 0 AS force FROM orders), s AS (SELECT l_orderkey AS claim_id, CASE l_linenumber % 2 WHEN 0 THEN 'v1' ELSE 'v2' END AS policy_version, l_linenumber AS seq FROM lineitem WHERE l_linenumber > 1)
+  SELECT claim_id, policy_version, 'p1' AS prompt_version, force, (CASE WHEN NOT force AND same IS NOT NULL THEN same ELSE coalesce((SELECT max(seq) FROM s WHERE s.claim_id = q.claim_id), 0) + 1 END)::BIGINT AS evaluation_seq, same IS NOT NULL AND NOT force AS reused
+  FROM (SELECT r.*, (SELECT max(seq) FROM s WHERE s.claim_id = r.claim_id AND s.policy_version = r.policy_version) AS same FROM r) q""")
 def idempotent_runs(spark, d):
-    rows = docs(spark, d)
-    return rows.select("claim_id").distinct().join(rows.where("doc_status = 'confirmed'").select("claim_id"), "claim_id", "left_anti")
+    """Claims are asked for under one of two versions, some with force; runs of both versions are stored."""
+    from tallyspark.plans.proxy import table
+
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_custkey") % 3 == 0, "v2").otherwise("v1").alias("policy_version"), F.lit("p1").alias("prompt_version"), (F.col("o_custkey") % 4 == 0).alias("force"))
+    stored = table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("claim_id"), F.when(F.col("l_linenumber") % 2 == 0, "v1").otherwise("v2").alias("policy_version"), F.lit("p1").alias("prompt_version"), F.col("l_linenumber").cast("long").alias("evaluation_seq"))
+    return L.plan_runs(asked, stored)
+
+
+#: Two runs of every third claim, one of the others, none of every fifth document; a run's clause follows from document and run.
+_DECISIONS = "decisions AS (SELECT claim_id, document_id, s AS seq, 'C' || (document_id + s) % 2 AS clause_id FROM docs, range(1, 3) t(s) WHERE document_id % 5 > 0 AND (s = 1 OR claim_id % 3 = 0))"
+_PEERS = f"""{_DECISIONS}, last AS (SELECT document_id, clause_id FROM decisions d WHERE seq = (SELECT max(seq) FROM decisions e WHERE e.claim_id = d.claim_id)),
+  kin AS (SELECT *, date_trunc('month', bill_date)::DATE AS m FROM docs WHERE currency IS NOT NULL),
+  peers AS (SELECT a.document_id, 'C' || a.document_id % 2 AS clause_id, count(*) FILTER (WHERE l.clause_id = 'C' || a.document_id % 2) AS n_peers, coalesce(sum(b.amount) FILTER (WHERE l.clause_id = 'C' || a.document_id % 2), 0)::DECIMAL(22,2) AS peers_total, count(*) FILTER (WHERE b.document_id IS NOT NULL AND l.clause_id IS NULL) AS n_unattributed
+    FROM kin a LEFT JOIN kin b ON a.employee_id = b.employee_id AND a.category = b.category AND a.currency = b.currency AND a.m = b.m AND a.document_id <> b.document_id AND (b.claim_status = 'submitted' OR b.claim_id = a.claim_id) LEFT JOIN last l ON l.document_id = b.document_id GROUP BY 1)"""
 
 
-@query("J5_monthly_peers", f"""WITH {DOCS}, d AS (SELECT *, date_trunc('month', bill_date)::DATE AS m FROM docs WHERE currency IS NOT NULL)
-  SELECT a.document_id, count(b.document_id) AS n_peers, coalesce(sum(b.amount), 0)::DECIMAL(22,2) AS peers_total FROM d a LEFT JOIN d b ON a.employee_id = b.employee_id AND a.category = b.category AND a.currency = b.currency AND a.m = b.m AND a.document_id <> b.document_id AND (b.claim_status = 'submitted' OR b.claim_id = a.claim_id) GROUP BY 1""")
+def decisions(rows):
+    """Stored decisions of the documents, see _DECISIONS."""
+    runs = rows.where("document_id % 5 > 0").select("claim_id", "document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("evaluation_seq")).where("evaluation_seq = 1 OR claim_id % 3 = 0")
+    return runs.withColumn("clause_id", F.concat(F.lit("C"), ((F.col("document_id") + F.col("evaluation_seq")) % 2).cast("string")))
+
+
+@query("J5_monthly_peers", f"WITH {DOCS}, {_PEERS} SELECT d.document_id, 'C' || d.document_id % 2 AS clause_id, n_peers, peers_total, n_unattributed FROM docs d LEFT JOIN peers USING (document_id)")
 def monthly_peers(spark, d):
-    return L.monthly_peers(docs(spark, d))
+    """Peers by clause of their claim's latest run, and those without any run."""
+    rows = docs(spark, d)
+    units = rows.select("document_id", F.concat(F.lit("C"), (F.col("document_id") % 2).cast("string")).alias("clause_id"))
+    return L.monthly_peers(units, rows, decisions(rows))
 
 
 @query("P45_effective_verdict", f"WITH {_VERDICTS} SELECT unit_id, CASE WHEN unit_id % 10 = 3 THEN 'compliant' ELSE verdict END AS verdict FROM ver")
@@ -204,8 +227,18 @@ def publish(spark, d):
     return L.publish(table(spark, d, "supplier").select(F.col("s_name").alias("label"), F.lit(True).alias("is_active")), "NEW")
 
 
-@query("L19_explanations", f"WITH {_VERDICTS} SELECT unit_id, CASE comparison WHEN 'over_limit' THEN 'over the limit' WHEN 'within_limit' THEN 'within the limit' WHEN 'at_limit' THEN 'at the limit' WHEN 'no_limit' THEN 'no limit applies' ELSE 'cannot be compared: ' || missing END AS explanation FROM ver")
+_LABEL = "CASE clause_id WHEN 'L-NIGHT' THEN 'per night' WHEN 'L-PERSON' THEN 'per person' WHEN 'L-MONTH' THEN 'per month' WHEN 'L-KM' THEN 'km rate x distance' ELSE '% of bill amount' END"
+_SAID = f"{_shown('cmp', 'currency')} || ' vs ' || {_shown('limit_applied', 'currency')} || ' limit (' || {_LABEL} || ')'"
+
+
+@query("L19_explanations", f"""WITH {_VERDICTS}, why AS (SELECT unit_id, 1 AS k, condition_id AS j, CASE WHEN condition_id IN ('c3', 'c6') THEN 'Excluded circumstance applies: ' ELSE 'Required condition not met: ' END || condition_id AS w FROM cond WHERE violated
+    UNION ALL SELECT unit_id, 2, '', 'L-NONE is an unconditional prohibition' FROM units WHERE clause_id = 'L-NONE' UNION ALL SELECT unit_id, 3, '', 'Required proof missing: ' || item FROM docu WHERE violated
+    UNION ALL SELECT unit_id, 4, '', CASE WHEN t > 0 THEN base || ' exceeds the ' || t::DECIMAL(12,2) || ' approval threshold and no approval is evidenced' ELSE u.clause_id || ' requires approval and none is evidenced' END FROM appr JOIN units u USING (unit_id) JOIN thr ON thr.clause_id = u.clause_id AND cur = currency WHERE needed),
+  f AS (SELECT unit_id, arg_min(w, k || j) AS w FROM why GROUP BY 1)
+  SELECT unit_id, CASE WHEN verdict = 'compliant' AND cmp IS NOT NULL THEN 'Within the limit under ' || v.clause_id || ': ' || {_SAID.replace('clause_id', 'v.clause_id')} || '.' WHEN verdict = 'compliant' THEN 'No limit is exceeded and no condition of ' || v.clause_id || ' is violated.'
+    WHEN verdict = 'insufficient_information' THEN 'Cannot be decided under ' || v.clause_id || ': missing ' || replace(v.missing, ',', ', ') || '.' WHEN v.comparison = 'over_limit' THEN 'Over the limit under ' || v.clause_id || ': ' || {_SAID.replace('clause_id', 'v.clause_id')} || '.' ELSE w || ' (' || v.clause_id || ').' END AS explanation
+  FROM ver v JOIN lims USING (unit_id) LEFT JOIN f USING (unit_id)""")
 def explanations(spark, d):
-    names = F.create_map(*[F.lit(x) for p in {"over_limit": "over the limit", "within_limit": "within the limit", "at_limit": "at the limit", "no_limit": "no limit applies"}.items() for x in p])
-    lacking = F.concat(F.lit("cannot be compared: "), F.array_join("missing", ","))
-    return L.verdicts(units(spark, d), clauses(spark)).select("unit_id", F.coalesce(F.try_element_at(names, F.col("comparison")), lacking).alias("explanation"))
+    rows = L.verdicts(units(spark, d), clauses(spark))
+    said = L.explanation(*[F.col(c) for c in ("verdict", "comparison", "compared", "limit_applied", "limit_unit", "currency", "missing", "reasons", "clause_id")])
+    return rows.select("unit_id", said.alias("explanation"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import policy as L
 from tallyspark.operators import ruleset as B
+from tallyspark.plans.policy import _PEERS, decisions
 from tallyspark.plans.proxy import DOCS, docs, table
 from tallyspark.plans.registry import query
 
@@ -139,15 +140,14 @@ def days_since(spark, d):
     return docs(spark, d).select("document_id", F.when(days >= 0, days).alias("days"))
 
 
-@query("L11_facts", f"""WITH {DOCS}, c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderstatus = 'F' THEN (o_orderdate + INTERVAL 200 DAY)::DATE END AS submitted_on, CASE WHEN o_orderpriority LIKE '1%' THEN 'agreed' ELSE ' ' END AS note FROM orders),
-  a AS (SELECT claim_id, count(*) AS n FROM docs WHERE currency IS NULL GROUP BY 1),
-  m AS (SELECT document_id, claim_id, claim_status, employee_id, category, currency, amount, date_trunc('month', bill_date)::DATE AS m FROM docs WHERE currency IS NOT NULL),
-  p AS (SELECT x.document_id, count(y.document_id) AS n_peers, coalesce(sum(y.amount), 0)::DECIMAL(22,2) AS peers_total FROM m x LEFT JOIN m y ON x.employee_id = y.employee_id AND x.category = y.category AND x.currency = y.currency AND x.m = y.m AND x.document_id <> y.document_id AND (y.claim_status = 'submitted' OR y.claim_id = x.claim_id) GROUP BY 1)
-  SELECT d.document_id, CASE WHEN employee_id % 7 > 0 THEN 'L' || employee_id % 7 END AS grade, coalesce(submitted_on, DATE '1999-06-01') - bill_date AS days_since_expense, trim(note) <> '' OR coalesce(n, 0) > CASE WHEN currency IS NULL THEN 1 ELSE 0 END AS approval_evidenced, n_peers, peers_total
-  FROM docs d JOIN c USING (claim_id) LEFT JOIN a USING (claim_id) LEFT JOIN p ON p.document_id = d.document_id""")
+@query("L11_facts", f"""WITH {DOCS}, {_PEERS}, c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderstatus = 'F' THEN (o_orderdate + INTERVAL 200 DAY)::DATE END AS submitted_on, CASE WHEN o_orderpriority LIKE '1%' THEN 'agreed' ELSE ' ' END AS note FROM orders),
+  a AS (SELECT claim_id, count(*) AS n FROM docs WHERE currency IS NULL GROUP BY 1)
+  SELECT d.document_id, CASE WHEN employee_id % 7 > 0 THEN 'L' || employee_id % 7 END AS grade, nullif(employee_id % 7, 0)::INT AS grade_rank, coalesce(submitted_on, DATE '1999-06-01') - bill_date AS days_since_expense, trim(note) <> '' OR coalesce(n, 0) > CASE WHEN currency IS NULL THEN 1 ELSE 0 END AS approval_evidenced, n_peers, peers_total
+  FROM docs d JOIN c USING (claim_id) LEFT JOIN a USING (claim_id) LEFT JOIN peers p ON p.document_id = d.document_id""")
 def facts(spark, d):
-    """Grade, days since the expense, evidence of approval and the month's peers of each latest document."""
-    rows = docs(spark, d).withColumn("document_type", F.when(F.col("currency").isNull(), "approval_correspondence").otherwise("generic_receipt"))
+    """Grade and its rank, days since the expense, evidence of approval and the month's peers of each latest document."""
+    rows = docs(spark, d).withColumn("document_type", F.when(F.col("currency").isNull(), "approval_correspondence").otherwise("generic_receipt")).withColumn("clause_id", F.concat(F.lit("C"), (F.col("document_id") % 2).cast("string")))
     claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "F", F.date_add(F.to_date("o_orderdate"), 200)).alias("submitted_on"), F.when(F.col("o_orderpriority").startswith("1"), "agreed").otherwise(" ").alias("note"))
     employees = table(spark, d, "customer").select(F.col("c_custkey").alias("employee_id"), F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit(" l"), (F.col("c_custkey") % 7).cast("string"), F.lit(" "))).alias("grade"))
-    return L.facts(rows, claims, employees, F.lit("1999-06-01").cast("date")).select("document_id", "grade", "days_since_expense", "approval_evidenced", "n_peers", "peers_total")
+    found = L.facts(rows, claims, employees, decisions(rows), F.lit("1999-06-01").cast("date"), tuple(f"L{k}" for k in range(1, 7)))
+    return found.select("document_id", "grade", "grade_rank", "days_since_expense", "approval_evidenced", "n_peers", "peers_total")

@@ -14,7 +14,7 @@ def verdict(spark, clause=None, **facts):
     c = {"unit": "per_night", "kind": "amount", "inclusive": True, "banned": False, "limits": [(D(100), "INR", {})], "conditions": [], "documents": [], "approval": {}} | (clause or {})
     f = {"currency": "INR", "base": D(100), "share_of": None, "nights": 1, "days": None, "persons": None, "km": None, "rank": None, "since": None, "n_peers": None, "peers": None, "dims": {}, "judgments": {}, "documentation": {}, "approved": None} | facts
     filled = lambda some, n: [(*x, *[None] * (n - len(x))) for x in some]
-    clauses = spark.createDataFrame([("C", c["unit"], c["kind"], c["inclusive"], c["banned"], c["limits"], filled(c["conditions"], 8), filled(c["documents"], 3), c["approval"], ["*"])], _CLAUSE_TYPE)
+    clauses = spark.createDataFrame([("C", c["unit"], c["kind"], c["inclusive"], c["banned"], c["limits"], filled(c["conditions"], 9), filled(c["documents"], 3), c["approval"], ["*"])], _CLAUSE_TYPE)
     units = spark.createDataFrame([(1, "C", *f.values())], UNIT)
     r = L.verdicts(units, clauses).first()
     return r.verdict, r.comparison, list(r.missing)
