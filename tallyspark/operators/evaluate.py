@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tallyspark.functions import scalars as S
+from tallyspark.functions import tables as T
+
 
 def labelled(predictions: DataFrame) -> DataFrame:
     return predictions.where("gold IS NOT NULL").withColumn("predicted", F.coalesce("predicted", F.lit("none")))
@@ -136,21 +139,77 @@ def match_items(expected: DataFrame, found: DataFrame, least: float = 0.6) -> Da
     return dealt.mapInPandas(documents, "doc long, matched long, missed long, extra long")
 
 
+def awaiting(lines: DataFrame, key: str, order: str, alone: Column) -> DataFrame:
+    """lines with `waits` (a line that asks for the next one) and `taken` (one that a line before it has asked for), and `answer`, the next line's order.
+
+    alone: the line asks for an answer, unless it is one: in a run of such lines every second one answers the one before. Windows over a
+    key's lines in order; no line is read twice.
+    """
+    turn = Window.partitionBy(key).orderBy(order)
+    rows = lines.withColumn("_alone", F.coalesce(alone, F.lit(False))).withColumn("_run", F.sum(F.when(F.col("_alone"), 0).otherwise(1)).over(turn))
+    place = F.row_number().over(Window.partitionBy(key, "_run", "_alone").orderBy(order))
+    rows = rows.withColumn("waits", F.col("_alone") & (place % 2 == 1))
+    return rows.withColumn("taken", F.coalesce(F.lag("waits").over(turn), F.lit(False))).withColumn("answer", F.when(F.col("waits"), F.lead(order).over(turn))).drop("_alone", "_run")
+
+
 def pairs_of_lines(lines: DataFrame) -> DataFrame:
-    """(doc, pos, line) -> (doc, pos, key, value): "**Key**: value", "Key: value", or a key alone whose value is the next line.
+    """(doc, pos, line) -> (doc, pos, n, key, value): the pairs of a text's lines, n by place in the line.
 
-    A line that served as a value is no key: in a run of keys alone, keys and values alternate.
+    Forms, in order: a table row of two cells; "**Key**: value"; "**Key**" alone, whose value is the next line that isn't blank, whatever it is; else
+    "Key: value" and, besides, every "Key: value" that two spaces or the line's end close. Lines that served as a value and lines
+    that rule tables off are not searched.
+    """
+    rows = lines.select("doc", "pos", S.strip(F.col("line")).alias("line")).where("line <> ''")
+    ruled = F.col("line").rlike(r"^\|---|^[| -]*$")
+    has = lambda pattern: F.col("line").rlike(pattern)
+    part = lambda pattern, n: F.regexp_extract("line", pattern, n)
+    pair = lambda pattern: F.array(F.struct(part(pattern, 1).alias("key"), part(pattern, 2).alias("value")))
+    table = has(T.PAIR_TABLE_ROW) & ~F.contains(part(T.PAIR_TABLE_ROW, 1), F.lit("---"))
+    rows = awaiting(rows, "doc", "pos", has(T.PAIR_KEY_ALONE) & ~ruled & ~table & ~has(T.PAIR_BOLD))
+    after = F.lead("line").over(Window.partitionBy("doc").orderBy("pos"))
+    inline = F.zip_with(F.regexp_extract_all("line", F.lit(T.PAIR_INLINE), 1), F.regexp_extract_all("line", F.lit(T.PAIR_INLINE), 2), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    none = F.array().cast("array<struct<key: string, value: string>>")
+    found = (
+        F.when(F.col("taken"), none)
+        .when(F.col("waits"), F.when(F.col("answer").isNotNull(), F.array(F.struct(part(T.PAIR_KEY_ALONE, 1).alias("key"), F.col("next").alias("value")))).otherwise(none))
+        .when(ruled, none)
+        .when(table, pair(T.PAIR_TABLE_ROW))
+        .when(has(T.PAIR_BOLD), pair(T.PAIR_BOLD))
+        .otherwise(F.concat(F.when(has(T.PAIR_PLAIN), pair(T.PAIR_PLAIN)).otherwise(none), inline))
+    )
+    return rows.withColumn("next", after).select("doc", "pos", F.posexplode(found).alias("n", "p")).select("doc", "pos", "n", "p.key", "p.value")
+
+
+def recovered_items(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, pos, source, item): the items of extracted receipts, wherever they landed; the first place that has any counts.
+
+    A field (other than additional_fields) that is a list of objects; a further field's text that is a JSON list; further fields like item_1_name and
+    "Item 2 qty", put together by their number into nm, price and cnt. Fields are searched in the order in which they stand. item is a
+    variant; a conveyance form's trips are no items.
     """
-    rows = lines.where(F.trim("line") != "")
-    key = F.regexp_extract("line", r"^\s*(?:\*\*)?([A-Za-z][A-Za-z0-9 .#/_-]{0,59}?)(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.*)$", 1)
-    value = F.regexp_extract("line", r"^\s*(?:\*\*)?([A-Za-z][A-Za-z0-9 .#/_-]{0,59}?)(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.*)$", 2)
-    order = Window.partitionBy("doc").orderBy("pos")
-    rows = rows.withColumn("key", F.nullif(key, F.lit(""))).withColumn("value", F.nullif(F.trim(value), F.lit(""))).withColumn("alone", F.col("key").isNotNull() & F.col("value").isNull())
-    rows = rows.withColumn("next", F.lead("line").over(order)).withColumn("run", F.sum(F.when(F.col("alone"), 0).otherwise(1)).over(order))
-    place = F.row_number().over(Window.partitionBy("doc", "run", "alone").orderBy("pos"))
-    rows = rows.withColumn("odd", place % 2 == 1).withColumn("before_odd", F.lag(F.col("alone") & F.col("odd")).over(order))
-    pair = F.when(F.col("alone") & F.col("odd"), F.trim("next")).when(~F.col("alone") & ~F.coalesce("before_odd", F.lit(False)), F.col("value"))
-    return rows.withColumn("value", pair).where("key IS NOT NULL AND value IS NOT NULL").select("doc", "pos", "key", "value")
+    v, more = F.col("v"), F.try_variant_get("v", "$.additional_fields", "map<string,variant>")
+    is_kind = lambda x, kind: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+    listed = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    text_of = lambda x: F.when(is_kind(x, "STRING"), F.try_variant_get(x, "$", "string"))
+    parsed = rows.select(key, F.col(json).alias("j"), F.try_parse_json(F.col(json)).alias("v")).where(is_kind(v, "OBJECT"))
+    parsed = parsed.withColumn("fields", fields).withColumn("more", F.coalesce(more, F.create_map().cast("map<string,variant>"))).withColumn("names", F.json_object_keys("j")).withColumn("more_names", F.coalesce(F.json_object_keys(F.get_json_object("j", "$.additional_fields")), F.array().cast("array<string>")))
+    trips = (F.try_variant_get("v", "$.document_type", "string") == "local_conveyance_form") & is_kind(F.try_element_at("fields", F.lit("travel_entries")), "ARRAY")
+    lists = F.transform(F.filter("names", lambda n: n != "additional_fields"), lambda n: listed(F.when(is_kind(F.try_element_at("fields", n), "ARRAY"), F.try_element_at("fields", n))))
+    first_list = F.get(F.filter(lists, lambda x: x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: is_kind(e, "OBJECT"))), F.lit(0))
+    texts = F.transform(F.filter("more_names", lambda n: F.coalesce(F.ltrim(text_of(F.try_element_at("more", n))).startswith("["), F.lit(False))), lambda n: F.try_parse_json(text_of(F.try_element_at("more", n))))
+    first_text = F.get(F.filter(F.transform(texts, lambda x: F.when(is_kind(x, "ARRAY"), listed(x))), lambda x: x.isNotNull()), F.lit(0))
+    match = lambda n, k: F.regexp_extract(F.trim(n), T.NUMBERED_ITEM, k)
+    entry = lambda n: F.struct(match(n, 1).alias("number"), F.lower(match(n, 2)).alias("field"), F.nullif(F.coalesce(text_of(F.try_element_at("more", n)), F.to_json(F.try_element_at("more", n))), F.lit("")).alias("value"))
+    entries = F.transform(F.filter("more_names", lambda n: match(n, 1) != ""), entry)
+    parsed = parsed.withColumn("entries", entries).withColumn("numbers", F.array_sort(F.array_distinct(F.transform("entries", lambda e: F.struct(e["number"].cast("decimal(38,0)").alias("n"), e["number"].alias("number"))))))
+    last = lambda number, field: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("entries", lambda e: (e["number"] == number) & (e["field"] == field)), lambda e: e["value"])), -1)
+    item = lambda number: F.parse_json(F.to_json(F.struct(*[F.coalesce(*[last(number, F.lit(f)) for f in names]).alias(name) for name, names in T.ITEM_FIELDS.items()]), {"ignoreNullFields": "false"}))
+    numbered = F.transform("numbers", lambda x: item(x["number"]))
+    source = F.when(F.coalesce(trips, F.lit(False)), None).when(F.col("a").isNotNull(), "list").when(F.col("b").isNotNull(), "json_text").when(F.size("c") > 0, "numbered")
+    found = parsed.withColumn("trips", trips).select(key, "v", "fields", F.when(~F.coalesce("trips", F.lit(False)), first_list).alias("a"), first_text.alias("b"), numbered.alias("c")).withColumn("source", source)
+    items = F.when(F.col("source") == "list", F.col("a")).when(F.col("source") == "json_text", F.col("b")).when(F.col("source") == "numbered", F.col("c"))
+    return found.select(key, "source", F.posexplode(items).alias("pos", "item")).select(key, "pos", "source", "item")
 
 
 def corpus_summary(scores: DataFrame) -> DataFrame:

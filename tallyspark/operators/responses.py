@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
 from tallyspark.functions.joins import small
+from tallyspark.operators.paths import resolve
 
 
 def category_answer(answer: Column, categories: list[str]) -> Column:
@@ -38,9 +41,34 @@ def exact_cover(refs: Column, n: Column) -> Column:
     )
 
 
-def reconcile(stated: Column, refs_total: Column, n_refs: Column) -> Column:
-    """Failure of a stated amount: it must be backed by references and equal their sum to the cent."""
-    return F.when(stated.isNotNull() & (n_refs == 0), "amount_without_refs").when(stated.isNotNull() & (S.money(stated) != S.money(refs_total)), "amount_differs")
+def signed_sums(refs: DataFrame, leaves: DataFrame, key: str, unit: str = "unit_id") -> DataFrame:
+    """(key, unit, n_refs, total, failure, derivation): the sums of units' signed references into their document's leaves.
+
+    refs: key, unit, pos, path, sign; leaves: key, path, value, as flatten() gives them. The first reference by pos that can't be used
+    decides the failure, bad_sign (neither 1 nor -1), path_not_found or not_an_amount, and then there is no total. derivation has
+    the numbers with their paths. A unit's references are few; they meet the leaves by document and path.
+    """
+    found = resolve(refs.where("path IS NOT NULL"), leaves, key).withColumn("number", S.parse_amount(F.col("value")))
+    failure = F.when(~F.coalesce(F.col("sign").isin(1, -1), F.lit(False)), "bad_sign").when(~F.col("found"), "path_not_found").when(F.col("number").isNull(), "not_an_amount")
+    text = F.concat(F.when(F.col("sign") == 1, "+ ").otherwise("- "), F.col("number").cast("decimal(20,2)").cast("string"), F.lit(" ("), "path", F.lit(")"))
+    rows = found.withColumn("failure", failure).withColumn("text", text)
+    first = F.min(F.when(F.col("failure").isNotNull(), F.struct("pos", "failure")))["failure"]
+    total = F.sum(F.col("sign") * F.col("number")).cast("decimal(22,2)")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    sums = rows.groupBy(key, unit).agg(F.count(F.lit(1)).alias("n_refs"), total.alias("total"), first.alias("failure"), parts.alias("derivation"))
+    return sums.select(key, unit, "n_refs", F.when(F.col("failure").isNull(), F.col("total")).alias("total"), "failure", F.when(F.col("failure").isNull(), F.col("derivation")).alias("derivation"))
+
+
+def reconcile(stated: Column, refs_total: Column, n_refs: Column, refs_failure: Column | None = None) -> Column:
+    """Failure of a stated amount: its references must be usable, back it and equal it to the cent."""
+    lost = F.lit(None).cast("string") if refs_failure is None else F.when(refs_failure.isNotNull(), "amount_ref_invalid")
+    return F.coalesce(lost, F.when(stated.isNotNull() & (F.coalesce(n_refs, F.lit(0)) == 0), "amount_without_refs").when(stated.isNotNull() & (S.money(stated) != S.money(refs_total)), "amount_differs"))
+
+
+def reconciled(units: DataFrame, sums: DataFrame, key: str, unit: str = "unit_id") -> DataFrame:
+    """units (key, unit, stated) with total and failure, from signed_sums()."""
+    rows = units.join(sums.select(key, unit, "n_refs", "total", F.col("failure").alias("refs_failure")), [key, unit], "left")
+    return rows.select(*units.columns, "total", reconcile(F.col("stated"), F.col("total"), F.col("n_refs"), F.col("refs_failure")).alias("failure"))
 
 
 def tri_state(answer: Column, path: str) -> Column:
@@ -49,17 +77,83 @@ def tri_state(answer: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
 
 
+def judgments(answers: Column, ids: Column) -> Column:
+    """struct(values, notes) of a JSON object's answers to the conditions of these ids: true, false or null, the answer itself or its "met" or "present".
+
+    What is neither a truth value nor null counts as unknown and is noted, as is an answer that is missing.
+    """
+    given = F.try_variant_get(F.try_parse_json(answers), "$", "map<string,variant>")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    inner = lambda v: F.when(kind(v).startswith("OBJECT"), F.coalesce(F.try_variant_get(v, "$.met", "variant"), F.try_variant_get(v, "$.present", "variant"))).otherwise(v)
+    answer = lambda k: inner(F.try_element_at(given, k))
+    value = lambda k: F.when(kind(answer(k)) == "BOOLEAN", F.try_variant_get(answer(k), "$", "boolean"))
+    note = lambda k: F.when(~F.coalesce(F.map_contains_key(given, k), F.lit(False)), F.concat(k, F.lit(": not answered"))).when(~kind(answer(k)).isin("BOOLEAN", "VOID"), F.concat(k, F.lit(": not true or false")))
+    return F.struct(F.map_from_arrays(ids, F.transform(ids, value)).alias("values"), F.array_compact(F.transform(ids, note)).alias("notes"))
+
+
+def approval(claimed: Column, has_evidence: Column) -> Column:
+    """struct(evidenced, note): approval that an answer claims counts only where the claim has evidence of any."""
+    unfounded = F.coalesce(claimed, F.lit(False)) & ~F.coalesce(has_evidence, F.lit(False))
+    return F.struct(F.when(unfounded, F.lit(False)).otherwise(claimed).alias("evidenced"), F.when(unfounded, "approval reported without any evidence in the claim").alias("note"))
+
+
 def clause_failure(units: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
     """units: unit_id, category, clause_id. Failure: unknown_clause, not_a_candidate, or null."""
     rows = units.join(small(known.select("clause_id", F.lit(True).alias("k"))), "clause_id", "left").join(small(candidates.select("category", "clause_id", F.lit(True).alias("c"))), ["category", "clause_id"], "left")
     return rows.select("unit_id", F.when(F.col("clause_id").isNull(), None).when(F.col("k").isNull(), "unknown_clause").when(F.col("c").isNull(), "not_a_candidate").alias("failure"))
 
 
-def grounded(text: Column, evidence: Column, referenced: Column, fired: Column) -> Column:
-    """struct(grounded, stray_numbers, stray_rules): numbers and rules of a narrative that its evidence does not have."""
-    numbers = F.array_except(S.numbers_in(text), evidence)
-    rules = F.array_except(referenced, fired)
-    return F.struct((F.size(numbers) + F.size(rules) == 0).alias("grounded"), F.size(numbers).alias("stray_numbers"), F.size(rules).alias("stray_rules"))
+_STRING = r'"((?:[^"\\]++|\\.)*+)"'
+
+
+def evidence_numbers(json: Column) -> Column:
+    """Every number in the keys and values of a JSON text, and the length of every list in it."""
+    words = F.array_join(F.regexp_extract_all(json, F.lit(_STRING), 1), " ")
+    rest = F.regexp_replace(json, _STRING, " s ")
+    tokens = F.regexp_extract_all(rest, F.lit(r"([\[\]{},]|[^\s\[\]{},:]+)"), 1)
+    level = F.struct(F.lit(False).alias("list"), F.lit(0).alias("commas"), F.lit(False).alias("any"))
+    start = F.struct(F.array(level).alias("open"), F.array().cast("array<int>").alias("sizes"))
+
+    def step(s: Column, t: Column) -> Column:
+        top, below = F.element_at(s["open"], 1), F.slice(s["open"], F.lit(2), F.size(s["open"]))
+        seen = lambda commas, any_: F.concat(F.array(F.struct(top["list"].alias("list"), commas.alias("commas"), any_.alias("any"))), below)
+        opened = F.when(t.isin("[", "{"), F.concat(F.array(F.struct((t == "[").alias("list"), F.lit(0).alias("commas"), F.lit(False).alias("any"))), seen(top["commas"], F.lit(True))))
+        stack = opened.when(t.isin("]", "}"), below).when(t == ",", seen(top["commas"] + 1, top["any"])).otherwise(seen(top["commas"], F.lit(True)))
+        size = F.when(top["any"], top["commas"] + 1).otherwise(0)
+        return F.struct(stack.alias("open"), F.when((t == "]") & top["list"], F.concat(s["sizes"], F.array(size))).otherwise(s["sizes"]).alias("sizes"))
+
+    sizes = F.transform(F.aggregate(tokens, start, step, lambda s: s["sizes"]), lambda n: n.cast("decimal(30,4)"))
+    return F.array_distinct(F.concat(S.numbers_in(words), S.numbers_in(F.translate(rest, ",", " ")), sizes))
+
+
+def grounded(answer: Column, rules: Column) -> Column:
+    """struct(summary, failure) of a narrative, a JSON object with summary and rules_referenced, given all rules' results.
+
+    rules: array of struct(rule_id, status, reason, evidence: JSON). Failures, in order: not_json, no_summary, no_rules (none declared),
+    unfired_rule:name (declared, but not fired), mentions:name (an unfired rule's name or a phrase that speaks of it), stray_number:n (the
+    least that is in no reason or evidence of a fired rule, nor the length of a list there).
+    """
+    v = F.try_parse_json(answer)
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    summary = F.nullif(S.strip(text("$.summary")), F.lit(""))
+    fired = F.filter(rules, lambda r: r["status"] == "fired")
+    names = F.transform(fired, lambda r: r["rule_id"])
+    declared = F.when(F.schema_of_variant(F.try_variant_get(v, "$.rules_referenced", "variant")).startswith("ARRAY"), F.try_variant_get(v, "$.rules_referenced", "array<string>"))
+    unfired = F.get(F.filter(declared, lambda n: ~F.coalesce(F.array_contains(names, n), F.lit(False))), F.lit(0))
+    lowered = F.lower(summary)
+    speaks = lambda rule: F.lit(False) | F.contains(lowered, F.lit(rule)) | reduce(lambda a, p: a | F.contains(lowered, F.lit(p)), T.RULE_PHRASES[rule], F.lit(False))
+    mentioned = F.coalesce(*[F.when(~F.coalesce(F.array_contains(names, rule), F.lit(False)) & speaks(rule), F.lit(rule)) for rule in T.RULE_PHRASES])
+    known = F.concat(F.flatten(F.transform(fired, lambda r: F.concat(S.numbers_in(F.coalesce(r["reason"], F.lit(""))), evidence_numbers(F.coalesce(r["evidence"], F.lit("{}")))))), F.array(F.size(fired).cast("decimal(30,4)")))
+    stray = F.array_min(F.array_except(S.numbers_in(summary), known))
+    failure = (
+        F.when(v.isNull(), "not_json")
+        .when(summary.isNull(), "no_summary")
+        .when(F.coalesce(F.size(declared), F.lit(0)) <= 0, "no_rules")
+        .when(F.exists(declared, lambda n: ~F.coalesce(F.array_contains(names, n), F.lit(False))), F.concat(F.lit("unfired_rule:"), F.coalesce(unfired, F.lit(""))))
+        .when(mentioned.isNotNull(), F.concat(F.lit("mentions:"), mentioned))
+        .when(stray.isNotNull(), F.concat(F.lit("stray_number:"), F.regexp_replace(stray.cast("string"), r"\.?0+$", "")))
+    )
+    return F.struct(F.when(failure.isNull(), summary).alias("summary"), failure.alias("failure"))
 
 
 def id_cover(given: Column, wanted: Column) -> Column:

@@ -9,7 +9,7 @@ notes. Arrays and maps may be empty, not null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
@@ -160,6 +160,72 @@ def schema_problems(entries: DataFrame, key: str, json: str, categories, fields:
     return rows.select(key, F.explode(F.when(~_is(v, "OBJECT"), F.array(F.lit("entry"))).otherwise(problems)).alias("problem"))
 
 
+def segments(texts: DataFrame, key: str, text: str, without: tuple[str, ...] = T.REFERENCE_SECTIONS, bulleted: tuple[str, ...] = T.BULLET_SECTIONS) -> DataFrame:
+    """(key, clause_id, section, sort_order, text, synthesized, duplicate): the clauses of rule texts with sections "## 8. Title".
+
+    A clause begins with a number of its own section ("8.4. ", "5.3.1. ") and goes on until the next one, a rule "---" or a heading.
+    Sections in `without` are no clauses, nor is what stands before the first. In sections in `bulleted` each bullet outside a clause is one, with a made
+    number (19.1, 19.2, ...) and the section's lines before it, joined to one line, as its first line. duplicate: the text has the number more
+    than once. sort_order counts from 0. Windows carry section, clause and count forward over a text's lines.
+    """
+    lines = texts.select(key, F.posexplode(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")).alias("pos", "line"))
+    turn = Window.partitionBy(key).orderBy("pos")
+    heading = F.nullif(F.regexp_extract("line", r"^## (\d+)\. .+?\s*$", 1), F.lit(""))
+    rows = lines.withColumn("heading", heading).withColumn("head", F.last(F.when(F.col("heading").isNotNull(), F.struct("heading", "pos")), ignorenulls=True).over(turn))
+    rows = rows.withColumn("section", F.col("head.heading")).where(F.col("section").isNotNull() & ~F.col("section").isin(*without))
+    number = F.nullif(F.regexp_extract("line", r"^(\d+\.\d+(?:\.\d+)?)\.\s", 1), F.lit(""))
+    starts = number.isNotNull() & (F.substring_index(number, ".", 1) == F.col("section"))
+    ends = F.col("heading").isNotNull() | (F.trim("line") == "---")
+    mark = F.when(ends, F.struct(F.lit(None).cast("string").alias("id"), F.col("pos").alias("at"))).when(starts, F.struct(number.alias("id"), F.col("pos").alias("at")))
+    rows = rows.withColumn("ends", ends).withColumn("clause", F.last(mark, ignorenulls=True).over(turn))
+    within = F.col("clause.id").isNotNull()
+    whole = rows.where(within).groupBy(key, "section", F.col("clause.id").alias("clause_id"), F.col("clause.at").alias("at"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")  # the lines of one clause
+    numbered = whole.agg(S.strip(joined).alias("text")).withColumn("synthesized", F.lit(False))
+    loose = rows.where(~within & ~F.col("ends") & F.col("section").isin(*bulleted)).withColumn("bullet", F.col("line").rlike(r"^- .+$"))
+    part = Window.partitionBy(key, "head.pos").orderBy("pos")
+    intro = F.concat_ws(" ", F.collect_list(F.when(~F.col("bullet"), F.nullif(S.strip(F.col("line")), F.lit("")))).over(part))  # a section's introduction is a few lines
+    loose = loose.withColumn("intro", intro).withColumn("n", F.sum(F.col("bullet").cast("int")).over(part)).where("bullet")
+    made = loose.select(key, "section", F.concat_ws(".", "section", F.col("n").cast("string")).alias("clause_id"), F.col("pos").alias("at"), F.when(F.col("intro") != "", F.concat_ws("\n", "intro", "line")).otherwise(F.col("line")).alias("text"), F.lit(True).alias("synthesized"))
+    found = numbered.unionByName(made)
+    times = F.count(F.lit(1)).over(Window.partitionBy(key, "clause_id"))
+    return found.select(key, "clause_id", "section", (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("sort_order"), "text", "synthesized", (times > 1).alias("duplicate"))
+
+
+def override(clauses: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clauses, log, problems) of manual corrections.
+
+    clauses: clause_id, body (the clause as a JSON object). patches: clause_id, patch, a JSON object of new values by field and "_reason", one for
+    each clause; ids that begin with "_" are comments. The log has the reason, the changed fields, sorted, and what they were, as JSON. problems has
+    (clause_id, problem): unknown_clause, no_reason, unknown_field:name; a clause with a problem stays as it was. The scalar limit
+    follows the only limit of limit_table, if it has one.
+    """
+    objects = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
+    asked = patches.where(~F.col("clause_id").startswith("_")).withColumn("p", objects(F.col("patch")))
+    both = asked.join(clauses.withColumn("b", objects(F.col("body"))), "clause_id", "left").withColumn("names", F.array_sort(F.array_except(F.map_keys("p"), F.array(F.lit("_reason")))))
+    both = both.withColumn("reason", F.nullif(F.try_variant_get(F.try_element_at("p", F.lit("_reason")), "$", "string"), F.lit("")))
+    unknown = F.transform(F.filter("names", lambda n: ~F.map_contains_key("b", n)), lambda n: F.concat(F.lit("unknown_field:"), n))
+    both = both.withColumn("problems", F.when(F.col("b").isNull(), F.array(F.lit("unknown_clause"))).when(F.col("reason").isNull(), F.array(F.lit("no_reason"))).otherwise(unknown))
+    sound = both.where(F.size("problems") == 0)
+    value = lambda n: F.to_json(F.try_element_at("b", n))
+    before = F.concat(F.lit("{"), F.array_join(F.transform("names", lambda n: F.concat(F.lit('"'), n, F.lit('":'), F.coalesce(value(n), F.lit("null")))), ","), F.lit("}"))
+    log = sound.select("clause_id", "reason", F.col("names").alias("changed"), before.alias("before"))
+    one = lambda m, f: F.when(F.map_contains_key(m, "limit_table"), F.coalesce(F.when(F.size(limits(m)) == 1, F.try_variant_get(F.get(limits(m), F.lit(0)), f"$.{f}", "variant")), F.parse_json(F.lit("null"))))
+    limits = lambda m: F.try_variant_get(F.try_element_at(m, F.lit("limit_table")), "$", "array<variant>")
+    merged = F.map_concat(F.map_filter("b", lambda k, _: ~F.array_contains("names", k)), F.map_filter("p", lambda k, _: k != "_reason"))
+    rows = sound.select("clause_id", merged.alias("m"))
+    scalars = F.map_filter(F.create_map(F.lit("limit_amount"), one(F.col("m"), "amount"), F.lit("limit_currency"), one(F.col("m"), "currency")), lambda _, v: v.isNotNull())
+    rows = rows.withColumn("scalars", scalars).select("clause_id", F.map_concat(F.map_filter("m", lambda k, _: ~F.map_contains_key("scalars", k)), "scalars").alias("m"))
+    new = clauses.join(rows, "clause_id", "left").select("clause_id", F.coalesce(F.when(F.col("m").isNotNull(), _object(F.col("m"))), "body").alias("body"))
+    return new, log, both.select("clause_id", F.explode("problems").alias("problem"))
+
+
+def _object(m: Column) -> Column:
+    """A map of variants as JSON, its keys sorted."""
+    parts = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(F.to_json(F.create_map(k, F.lit(0))).substr(F.lit(2), F.length(F.to_json(F.create_map(k, F.lit(0)))) - 3), F.coalesce(F.to_json(F.try_element_at(m, k)), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
 def table_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, cells) of the pipe-table rows of texts, in their order, without the lines that only rule tables off."""
     lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).withColumn("line", S.strip(F.col("line")))
@@ -174,8 +240,6 @@ def reference_tables(texts: DataFrame, key: str, text: str) -> DataFrame:
     A group with members, "Western Europe (France, Spain, etc.)", gives its members; one that ends in "etc." is open. Names are
     in lower case, but for grades and groups. A document's tables are few, so ranks come from a window over its grades.
     """
-    from pyspark.sql import Window
-
     rows = table_rows(texts, key, text).withColumn("head", F.col("cells")[0]).withColumn("rest", F.get("cells", F.lit(1)))
     grades = rows.where(F.col("head").rlike(r"^L\d$")).withColumn("value", F.row_number().over(Window.partitionBy(key).orderBy("pos")).cast("string"))
     tiers = rows.where(F.col("head").rlike(r"^Tier [12]$")).select(key, F.lit("city").alias("kind"), F.explode(F.split("rest", ",")).alias("name"), F.right("head", F.lit(1)).alias("value"))

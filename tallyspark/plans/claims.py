@@ -56,9 +56,14 @@ def carry_forward(spark, d):
     return V.carry_forward(marked, "doc_id", "pos", "mark").select("doc_id", "pos", "section")
 
 
-@query("W7_next_turn", "SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations")
+@query("W7_next_turn", """WITH RECURSIVE l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line) <> ''),
+  w AS (SELECT doc_id, pos, length(line) % 3 > 0 AS waits, false AS taken FROM l WHERE pos = 1 UNION ALL SELECT l.doc_id, l.pos, length(line) % 3 > 0 AND NOT w.waits, w.waits FROM w JOIN l ON l.doc_id = w.doc_id AND l.pos = w.pos + 1)
+  SELECT doc_id, pos, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.doc_id = w.doc_id AND l.pos = w.pos + 1) THEN pos + 1 END AS answer FROM w WHERE waits""")
 def next_turn(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_role"))
+    """Lines of a length not divisible by three wait for the next one that isn't blank."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("trim(line) <> ''")
+    lines = lines.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")).cast("long"))
+    return E.awaiting(lines, "doc_id", "pos", F.length("line") % 3 > 0).where("waits").select("doc_id", "pos", "answer")
 
 
 @query("W8_best_with_ties", f"""WITH {DOCS} SELECT employee_id, document_id, count(*) OVER (PARTITION BY employee_id) > 1 AS tied FROM (SELECT *, rank() OVER (PARTITION BY employee_id ORDER BY amount DESC) AS r FROM docs) WHERE r = 1""")
@@ -99,12 +104,6 @@ def roll_up(spark, d):
     return V.roll_up(claims.join(docs(spark, d).select("claim_id", F.expr(_VERDICT).alias("verdict")), "claim_id", "left"), "claim_id")
 
 
-@query("A5_signed_sum", "SELECT l_orderkey, CAST(sum(CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END * CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total FROM lineitem GROUP BY 1")
-def signed_sum(spark, d):
-    sign = F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(1).cast("decimal(1,0)")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(sign * F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(22,2)").alias("total"))
-
-
 @query("A6_next_version", f"WITH {VERSIONS} SELECT document_id, max(version) + 1 AS next_seq FROM versions GROUP BY 1")
 def next_version(spark, d):
     return V.next_sequence(versions(spark, d), "document_id", "version")

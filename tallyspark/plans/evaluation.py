@@ -150,11 +150,17 @@ def pooled(spark, d):
     return E.pooled(scores).withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 
-@query("E17_pairs", "SELECT c_custkey AS doc, 'Segment' AS key, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'Name', c_name FROM customer UNION ALL SELECT c_custkey, 'Balance', c_acctbal::DECIMAL(12,2)::VARCHAR FROM customer")
+@query("E17_pairs", """WITH c AS (SELECT *, c_acctbal::DECIMAL(12,2)::VARCHAR AS bal FROM customer) SELECT c_custkey AS doc, p[1]::INT AS pos, p[2]::INT AS n, p[3] AS key, p[4] AS value FROM (SELECT *, unnest([(0, 0, 'Segment', c_mktsegment), (1, 0, 'Name', c_name), (4, 0, 'Phone', '| Balance | ' || bal || ' |'), (6, 0, 'Nation', c_nationkey::VARCHAR),
+  (8, 0, 'Total', bal || '  Due Date: 1 May   Ref: R' || c_custkey), (8, 1, 'Total', bal), (8, 2, 'Due Date', '1 May'), (8, 3, 'Ref', 'R' || c_custkey), (9, 0, 'Key one', '**Key two**'), (11, 0, 'Key three', 'end: of it')]) AS p FROM c)""")
 def pairs(spark, d):
-    lines = F.array(F.concat(F.lit("**Segment**: "), F.col("c_mktsegment")), F.lit("Name:"), F.lit(" "), F.col("c_name"), F.lit("---"), F.lit("Balance:"), F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    """Every form: a value in bold, keys alone whose values follow, one of them a table row, table rows, plain and inline pairs, a run of keys."""
+    bal = F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    lines = F.array(
+        F.concat(F.lit("**Segment**: "), "c_mktsegment"), F.lit("* **Name**:"), F.lit(" "), F.col("c_name"), F.lit("**Phone**"), F.concat(F.lit("| Balance | "), bal, F.lit(" |")), F.concat(F.lit("| Nation | "), F.col("c_nationkey").cast("string"), F.lit(" |")), F.lit("|---|---|"),
+        F.concat(F.lit("Total: "), bal, F.lit("  Due Date: 1 May   Ref: R"), F.col("c_custkey").cast("string")), F.lit("**Key one**"), F.lit("**Key two**"), F.lit("**Key three**:"), F.lit("end: of it"), F.lit("**last**"),
+    )
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(lines).alias("pos", "line"))
-    return E.pairs_of_lines(rows).select("doc", "key", "value")
+    return E.pairs_of_lines(rows)
 
 
 @query("E19_corpus_summary", "SELECT count(*) AS documents, round(sum(c) / sum(t), 9) AS accuracy, count(*) FILTER (c = t) AS all_correct FROM (SELECT event_id % 4 AS t, least(user_id % 4, event_id % 4) AS c FROM events) WHERE t > 0")
@@ -247,14 +253,18 @@ def amount_like(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(named, S.first_amount(entries, "total")).alias("total"))
 
 
-@query("E16_numbered_items", "SELECT l_orderkey AS doc, l_linenumber::INT AS n, max(l_partkey)::VARCHAR AS name, max(l_suppkey)::VARCHAR AS total FROM lineitem GROUP BY 1, 2")
+@query("E16_numbered_items", """WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, p_name, floor(p_retailprice)::BIGINT::VARCHAR AS price FROM part)
+  SELECT p_partkey, 0 AS pos, 'list' AS source, '{"any":"' || p_name || '"}' AS item FROM p WHERE k = 0 UNION ALL SELECT p_partkey, 0, 'json_text', '{"nm":"' || p_name || '"}' FROM p WHERE k = 1 UNION ALL SELECT p_partkey, 1, 'json_text', '7' FROM p WHERE k = 1
+  UNION ALL SELECT p_partkey, 0, 'numbered', '{"cnt":"3","nm":"' || p_name || '","price":"' || price || '"}' FROM p WHERE k = 2 UNION ALL SELECT p_partkey, 1, 'numbered', '{"cnt":null,"nm":"ten","price":null}' FROM p WHERE k = 2""")
 def numbered_items(spark, d):
-    """item_N_field keys put together by N."""
-    per = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("a"), F.max("l_suppkey").alias("b"))
-    key = lambda f: F.concat(F.lit("item_"), F.col("l_linenumber").cast("string"), F.lit(f"_{f}"))
-    fields = per.select(F.col("l_orderkey").alias("doc"), F.explode(F.create_map(key("name"), F.col("a").cast("string"), key("total"), F.col("b").cast("string"))).alias("key", "value"))
-    parts = fields.select("doc", F.regexp_extract("key", r"^item_(\d+)_", 1).cast("int").alias("n"), F.regexp_extract("key", r"^item_\d+_(.*)$", 1).alias("field"), "value")
-    return parts.groupBy("doc", "n").pivot("field", ["name", "total"]).agg(F.first("value"))
+    """Items as a list beside one that is none, as the text of a list, as numbered keys, as trips, and none."""
+    name, price = F.col("p_name"), F.floor("p_retailprice").cast("string")
+    listed = F.format_string('{"tags":["x"],"empty":[],"rows":[{"any":"%s"}],"additional_fields":{"item_1_name":"no"}}', name)
+    text = F.format_string('{"additional_fields":{"note":"[not json","items":"[{\\"nm\\":\\"%s\\"},7]","item_1_name":"no"}}', name)
+    numbered = F.format_string('{"additional_fields":{"item_10_desc":"ten","Item 2 Name":"%s","item2price":"","item_2_amount":"%s","item_2_qty":3,"item_x_name":"no"}}', name, price)
+    trips = F.lit('{"document_type":"local_conveyance_form","travel_entries":[{"kms":"1"}],"additional_fields":{"item_1_name":"no"}}')
+    rows = table(spark, d, "part").select("p_partkey", F.element_at(F.array(listed, text, numbered, trips, F.lit('{"total":1}')), (F.col("p_partkey") % 5 + 1).cast("int")).alias("j"))
+    return E.recovered_items(rows, "p_partkey", "j").select("p_partkey", "pos", "source", F.to_json("item").alias("item"))
 
 
 @query("E18_pair_scores")

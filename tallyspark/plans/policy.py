@@ -200,24 +200,48 @@ def all_thresholds(spark, d):
     return approval.unionByName(receipt).join(parts, "category", "left")
 
 
-@query("L1_segments", """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), m AS (SELECT *, CASE WHEN length(line) < 40 THEN pos END AS start FROM l),
-  s AS (SELECT *, coalesce(last_value(start IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS segment FROM m) SELECT doc_id, segment, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest, count(*) AS n_lines FROM s GROUP BY 1, 2""")
+_RULES = "# Rules\n1.1. not yet\n## 1. General\nintro\n1.1. First <T>\nmore\n\n| a | b |\n1.2. Second\n---\nstray\n- no bullet\n## 2. Terms\n2.1. term\n## 3. Caps\n1.5. of another section\n3.1.2. Deep <N>\n- of the clause\n4.1. no start\n3.1.2. again\n## 19. Never\n\nThese are never\npaid by us:\n- drinks <N>\n- fines\n19.9. numbered\n- its own\n## 4. End\n4.1. Last"
+
+
+@query("L1_segments", """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), x AS (SELECT doc_id, t, unnest([('1.1', '1', 0, '1.1. First ' || t || chr(10) || 'more' || chr(10) || chr(10) || '| a | b |', false, false), ('1.2', '1', 1, '1.2. Second', false, false), ('3.1.2', '3', 2, '3.1.2. Deep ' || doc_id || chr(10) || '- of the clause' || chr(10) || '4.1. no start', false, true), ('3.1.2', '3', 3, '3.1.2. again', false, true),
+  ('19.1', '19', 4, 'These are never paid by us:' || chr(10) || '- drinks ' || doc_id, true, false), ('19.2', '19', 5, 'These are never paid by us:' || chr(10) || '- fines', true, false), ('19.9', '19', 6, '19.9. numbered' || chr(10) || '- its own', false, false), ('4.1', '4', 7, '4.1. Last', false, false)]) AS c FROM t)
+  SELECT doc_id, c[1] AS clause_id, c[2] AS section, c[3]::INT AS sort_order, md5(c[4]) AS digest, c[5] AS synthesized, c[6] AS duplicate FROM x""")
 def segments(spark, d):
-    """Short lines start segments; a document's first lines may stand before any."""
-    from tallyspark.operators.versions import carry_forward
+    """Rule texts with each document's text and number in them."""
+    from tallyspark.operators.ruleset import segments as cut
     from tallyspark.plans.proxy import table
 
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marked = carry_forward(lines.withColumn("start", F.when(F.length("line") < 40, F.col("pos"))), "doc_id", "pos", "start")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy("doc_id", F.coalesce("section", F.lit(-1)).cast("long").alias("segment")).agg(F.md5(text).alias("digest"), F.count(F.lit(1)).alias("n_lines"))
+    text = F.replace(F.replace(F.lit(_RULES), F.lit("<T>"), F.trim(F.regexp_replace("text", r"\s+", " "))), F.lit("<N>"), F.col("doc_id").cast("string"))
+    found = cut(table(spark, d, "documents").select("doc_id", text.alias("rules")), "doc_id", "rules")
+    return found.select("doc_id", "clause_id", "section", "sort_order", F.md5("text").alias("digest"), "synthesized", "duplicate")
+
+
+def _overridden(spark, d):
+    """Parts are clauses; the patches are sound, of a missing clause, without a reason, of an unknown field, or a comment."""
+    from tallyspark.operators.ruleset import override
+    from tallyspark.plans.proxy import table
 
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.floor("p_retailprice").cast("long").alias("n"))
+    name = F.concat(F.lit("P"), F.col("k").cast("string"))
+    clauses_ = rows.select(name.alias("clause_id"), F.format_string('{"limit_table":[{"amount":%d,"currency":"INR"}],"limit_unit":"per_trip","limit_amount":%d,"limit_currency":"INR","notes":null}', "n", "n").alias("body"))
+    kind = F.col("k") % 6
+    patch = F.when(kind == 0, F.format_string('{"_reason":"price","limit_table":[{"amount":%d,"currency":"USD"}],"notes":"n"}', F.col("n") + 1)).when(kind == 1, F.lit('{"_reason":"two","limit_table":[{"amount":1},{"amount":2}]}')).when(kind == 2, F.lit('{"limit_unit":"per_day"}')).when(kind == 3, F.lit('{"_reason":"x","limit_unit":"per_day","mood":1}')).otherwise('{"_reason":"x","notes":"y"}')
+    patches = rows.where("k % 6 < 5").select(F.when(kind == 4, F.concat(F.lit("X"), name)).otherwise(name).alias("clause_id"), patch.alias("patch")).unionByName(rows.where("k % 6 = 5").select(F.concat(F.lit("_"), name).alias("clause_id"), F.lit("{}").alias("patch")))
+    return override(clauses_, patches)
 
-@query("L15_overrides", f"WITH {DOCS} SELECT document_id, CASE WHEN doc_status = 'confirmed' THEN 'reviewed' ELSE category END AS category, CASE WHEN doc_status = 'confirmed' THEN category END AS before FROM docs")
+
+@query("L15_overrides", """SELECT 'P' || p_partkey AS clause_id, '{' || CASE p_partkey % 6 WHEN 0 THEN '"limit_amount":' || n + 1 || ',"limit_currency":"USD","limit_table":[{"amount":' || n + 1 || ',"currency":"USD"}],"limit_unit":"per_trip","notes":"n"' WHEN 1 THEN '"limit_amount":null,"limit_currency":null,"limit_table":[{"amount":1},{"amount":2}],"limit_unit":"per_trip","notes":null'
+    ELSE '"limit_table":[{"amount":' || n || ',"currency":"INR"}],"limit_unit":"per_trip","limit_amount":' || n || ',"limit_currency":"INR","notes":null' END || '}' AS body FROM (SELECT *, floor(p_retailprice)::BIGINT AS n FROM part)""")
 def clause_overrides(spark, d):
-    rows = docs(spark, d)
-    fixes = rows.where("doc_status = 'confirmed'").select("document_id", F.lit("reviewed").alias("fix"))
-    return rows.join(fixes, "document_id", "left").select("document_id", F.coalesce("fix", "category").alias("category"), F.when(F.col("fix").isNotNull(), F.col("category")).alias("before"))
+    return _overridden(spark, d)[0]
+
+
+@query("L15_override_log", """SELECT 'P' || p_partkey AS clause_id, CASE p_partkey % 6 WHEN 0 THEN 'price' ELSE 'two' END AS reason, CASE p_partkey % 6 WHEN 0 THEN 'limit_table,notes' ELSE 'limit_table' END AS changed, '{"limit_table":[{"amount":' || floor(p_retailprice)::BIGINT || ',"currency":"INR"}]' || CASE p_partkey % 6 WHEN 0 THEN ',"notes":null' ELSE '' END || '}' AS before, NULL AS problem FROM part WHERE p_partkey % 6 < 2
+  UNION ALL SELECT CASE p_partkey % 6 WHEN 4 THEN 'XP' ELSE 'P' END || p_partkey, NULL, NULL, NULL, CASE p_partkey % 6 WHEN 2 THEN 'no_reason' WHEN 3 THEN 'unknown_field:mood' ELSE 'unknown_clause' END FROM part WHERE p_partkey % 6 IN (2, 3, 4)""")
+def override_log(spark, d):
+    """What was changed and why, and what could not be."""
+    _, log, problems = _overridden(spark, d)
+    return log.withColumn("changed", F.array_join("changed", ",")).withColumn("problem", F.lit(None).cast("string")).unionByName(problems, allowMissingColumns=True)
 
 
 @query("L16_publish", "SELECT s_name AS label, false AS is_active FROM supplier UNION ALL SELECT 'NEW', true")

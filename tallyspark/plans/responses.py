@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.operators import paths as P
 from tallyspark.operators import responses as V
 from tallyspark.plans.fraud import all_sql, results
 from tallyspark.plans.proxy import table
@@ -34,25 +35,60 @@ def clause_failure(spark, d):
     return V.clause_failure(units, known, allowed)
 
 
-@query("V5_reconcile", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 1 THEN 'amount_without_refs' WHEN l_partkey % 3 = 2 AND l_tax::DECIMAL(12,2) <> 0 THEN 'amount_differs' END AS failure FROM lineitem")
+#: Documents with their amounts as leaves, and units that refer to them: a sum, a difference, one without references, a lost path, a text.
+_REFS = """d AS (SELECT o_orderkey AS doc, o_totalprice::DECIMAL(12,2) AS a, (o_custkey % 1000)::DECIMAL(12,2) AS b, o_orderkey % 5 AS k FROM orders)"""
+
+
+def _amounts(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_totalprice").cast("decimal(12,2)").alias("a"), (F.col("o_custkey") % 1000).cast("decimal(12,2)").alias("b"), (F.col("o_orderkey") % 5).alias("k"))
+    body = F.format_string('{"amount":"₹ %s","vendor":"none","line_items":[{"total":"%s"}]}', F.col("a").cast("string"), F.col("b").cast("string"))
+    leaves = P.flatten(rows.select("doc", body.alias("body")), "doc", "body")
+    ref = lambda pos, path, sign: F.struct(F.lit(pos).alias("pos"), F.lit(path).alias("path"), F.lit(sign).alias("sign"))
+    item = "line_items[0].total"
+    chosen = F.when(F.col("k") == 0, F.array(ref(0, "amount", 1), ref(1, item, 1))).when(F.col("k") == 1, F.array(ref(0, "amount", 1), ref(1, item, -1))).when(F.col("k") == 3, F.array(ref(0, "amount", 1), ref(1, "line_items[7].total", 1), ref(2, "vendor", 1))).when(F.col("k") == 4, F.array(ref(0, "vendor", 1), ref(1, "amount", 2)))
+    refs = rows.select("doc", F.lit(0).alias("unit_id"), F.inline(chosen))
+    return rows, V.signed_sums(refs, leaves, "doc")
+
+
+@query("A5_signed_sum", f"WITH {_REFS} SELECT doc, CASE k WHEN 3 THEN 3 ELSE 2 END::BIGINT AS n_refs, CASE k WHEN 0 THEN a + b WHEN 1 THEN a - b END::DECIMAL(22,2) AS total, CASE k WHEN 3 THEN 'path_not_found' WHEN 4 THEN 'not_an_amount' END AS failure, CASE WHEN k < 2 THEN '+ ' || a || ' (amount) ' || CASE k WHEN 0 THEN '+ ' ELSE '- ' END || b || ' (line_items[0].total)' END AS derivation FROM d WHERE k <> 2")
+def signed_sum(spark, d):
+    """Signed references into the leaves of each order's document."""
+    return _amounts(spark, d)[1].drop("unit_id")
+
+
+@query("V5_reconcile", f"WITH {_REFS} SELECT doc, CASE WHEN k >= 3 THEN 'amount_ref_invalid' WHEN k = 2 THEN 'amount_without_refs' WHEN k = 0 AND b <> 0 THEN 'amount_differs' END AS failure FROM d")
 def reconcile(spark, d):
-    stated, tax = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_tax").cast("decimal(12,2)")
-    total = F.when(F.col("l_partkey") % 3 == 2, stated + tax).otherwise(stated)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.reconcile(stated, total, F.when(F.col("l_partkey") % 3 == 1, 0).otherwise(2)).alias("failure"))
+    """The stated amount is the difference, or the amount itself."""
+    rows, sums = _amounts(spark, d)
+    units = rows.select("doc", F.lit(0).alias("unit_id"), F.when(F.col("k") == 1, F.col("a") - F.col("b")).otherwise(F.col("a")).alias("stated"))
+    return V.reconciled(units, sums, "doc").select("doc", "failure")
 
 
-@query("V8_tri_state", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS value FROM events")
+@query("V8_tri_state", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS a, CASE event_id % 3 WHEN 0 THEN true END AS b, concat_ws(',', CASE WHEN event_id % 5 IN (2, 3) THEN 'a: not true or false' WHEN event_id % 5 = 4 THEN 'a: not answered' END, CASE event_id % 3 WHEN 1 THEN 'b: not true or false' END) AS notes, event_id % 5 = 0 AND event_id % 2 = 0 AS evidenced FROM events")
 def tri_state(spark, d):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ('{"a":true}', '{"a":false}', '{"a":"yes"}', '{"a":1}', '{}')]), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", V.tri_state(raw, "$.a").alias("value"))
+    """Answers with notes, and an approval that only every second claim has evidence of."""
+    a = F.element_at(F.array(*[F.lit(x) for x in ('"a":true,', '"a":{"met":false},', '"a":"yes",', '"a":1,', "")]), (F.col("event_id") % 5 + 1).cast("int"))
+    b = F.element_at(F.array(*[F.lit(x) for x in ('{"present":true}', '["true"]', "null")]), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, d, "events").select("event_id", V.judgments(F.concat(F.lit("{"), a, F.lit('"b":'), b, F.lit("}")), F.array(F.lit("a"), F.lit("b"))).alias("j"))
+    values = F.col("j.values")
+    agreed = V.approval(F.coalesce(values["a"], F.lit(False)), F.col("event_id") % 2 == 0)["evidenced"]
+    return rows.select("event_id", values["a"].alias("a"), values["b"].alias("b"), F.array_join("j.notes", ",").alias("notes"), agreed.alias("evidenced"))
 
 
-@query("V9_grounded", "SELECT event_id, (event_id % 2 = 0 OR event_id = 2) AND event_id % 3 = 0 AS grounded FROM events")
+@query("V9_grounded", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_summary' WHEN 3 THEN 'no_rules' WHEN 4 THEN 'unfired_rule:round_number' WHEN 5 THEN 'mentions:weekend_business' WHEN 6 THEN CASE WHEN event_id + 1 NOT IN (2, 3, 2026, 7, 8, user_id) THEN 'stray_number:' || (event_id + 1) END END AS failure,
+  CASE WHEN event_id % 8 IN (0, 7) OR event_id % 8 = 6 AND event_id + 1 IN (2, 3, 2026, 7, 8, user_id) THEN md5(CASE event_id % 8 WHEN 0 THEN '3 receipts of ' || event_id || ' dated 2026-07-08, 2 rules.' WHEN 6 THEN 'Total ' || (event_id + 1) ELSE 'No number.' END) END AS digest FROM events""")
 def grounded(spark, d):
-    text = F.concat(F.lit("2 documents of "), F.col("event_id").cast("string"), F.lit(".00"))
-    evidence = F.array_compact(F.array(F.lit(2).cast("decimal(30,4)"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("decimal(30,4)"))))
-    fired = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("velocity"))).otherwise(F.array(F.lit("round_number")))
-    return table(spark, d, "events").select("event_id", V.grounded(text, evidence, F.array(F.lit("velocity")), fired)["grounded"].alias("grounded"))
+    """Narratives, a failure of each kind and sound ones, over evidence with a list of three and nested numbers."""
+    k, e, u = F.col("event_id") % 8, F.col("event_id"), F.col("user_id")
+    said = lambda text, rules='["velocity"]': F.format_string('{"summary":"%s","rules_referenced":%s}', text, F.lit(rules))
+    answer = (
+        F.when(k == 0, said(F.format_string(" 3 receipts of %d dated 2026-07-08, 2 rules. ", e))).when(k == 1, F.lit("velocity")).when(k == 2, F.lit('{"summary":" ","rules_referenced":["velocity"]}')).when(k == 3, said(F.lit("x"), "[]"))
+        .when(k == 4, said(F.lit("x"), '["velocity","round_number"]')).when(k == 5, said(F.lit("Spent on a Sunday."))).when(k == 6, said(F.format_string("Total %d", e + 1))).otherwise(said(F.lit("No number."), '["velocity","duplicate_same_employee"]'))
+    )
+    evidence = F.when(k == 6, F.format_string('{"user":"%d"}', u)).otherwise(F.format_string('{"documents":["a","b",{"x":[]}],"amount":{"total":%d}}', e))
+    rule = lambda name, status, reason, json: F.struct(F.lit(name).alias("rule_id"), F.lit(status).alias("status"), F.lit(reason).alias("reason"), json.alias("evidence"))
+    rules = F.array(rule("velocity", "fired", "since 2026-07-08", evidence), rule("duplicate_same_employee", "fired", "3 apart", F.lit("{}")), rule("round_number", "clear", "", F.lit('{"n":99999}')))
+    return table(spark, d, "events").select("event_id", V.grounded(answer, rules).alias("g")).select("event_id", "g.failure", F.md5("g.summary").alias("digest"))
 
 
 @query("V10_id_cover", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE '' END AS missing, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '' END AS unexpected FROM orders")
