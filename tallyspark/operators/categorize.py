@@ -14,6 +14,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.functions import tables as T
 from tallyspark.functions.joins import small
 from tallyspark.operators.versions import numbered
+from tallyspark.sources.readers import stored
 
 
 def input_text(vendor: Column, items: Column, markdown: Column) -> Column:
@@ -78,17 +79,75 @@ def classify(model, rows: DataFrame, features: str) -> DataFrame:
     return scored.withColumn("confidence", F.array_max(vector_to_array("probability"))).withColumn("predicted", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 20_000) -> DataFrame:
+_CELL = "id long, v array<double>, cell int, band int"
+
+
+def _placed(pivots: np.ndarray, reach: float, visits: bool):
+    """Vectors by the pivot that is nearest and the band of their angle to it, or, for visits, by every pivot and band where a vector within
+    reach of them can be."""
+
+    def place(batches):
+        for rows in batches:
+            v = _unit(np.stack(rows["v"])) if len(rows) else np.zeros((0, pivots.shape[1]))
+            angle = np.arccos(np.clip(v @ pivots.T, -1, 1))
+            if not visits:
+                cell = angle.argmin(axis=1) if len(v) else np.zeros(0, int)
+                band = (angle[np.arange(len(v)), cell] / reach).astype(int)
+                yield pd.DataFrame({"id": rows["id"].to_numpy(), "v": rows["v"].to_numpy(), "cell": cell, "band": band})
+                continue
+            # one whose nearest pivot this is lies at most `reach` nearer to it, and at most `reach` farther from any other
+            row, cell = np.nonzero(angle <= angle.min(axis=1, initial=np.pi, keepdims=True) + 2 * reach + 1e-7)
+            at = angle[row, cell]
+            first = np.maximum(np.floor((at - reach - 1e-7) / reach), 0).astype(int)
+            times = np.floor((at + reach + 1e-7) / reach).astype(int) - first + 1
+            again = np.repeat(np.arange(len(row)), times)
+            step = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+            yield pd.DataFrame({"id": rows["id"].to_numpy()[row[again]], "v": rows["v"].to_numpy()[row[again]], "cell": cell[again], "band": first[again] + step})
+
+    return place
+
+
+def leak_candidates(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(visits, members): training rows and held rows with the (cell, band) in which pairs over the limit meet, each pair in one.
+
+    An index by the triangle inequality on angles. Up to `pivots` held vectors, of least hash, are pivots: a bounded sample, which decides the
+    work and never the result. A held vector stands in the cell of its nearest pivot, in a band of its angle to it. With the limit's angle
+    r, a training vector visits a cell only if its angle to the pivot is within 2r of that to its own nearest pivot, and
+    there the bands within r of that angle.
+    """
+    reach = float(np.arccos(np.clip(limit, -1, 1))) or 1e-9
+    usable = lambda side: side.where("v IS NOT NULL").where(F.exists("v", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    held = usable(held)
+    some = held.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
+    base = _unit(np.array([r.v for r in some])) if some else np.zeros((0, 1))
+    members = held.mapInPandas(_placed(base, reach, False), _CELL) if some else held.select("*", F.lit(0).alias("cell"), F.lit(0).alias("band"))
+    visits = usable(train).mapInPandas(_placed(base, reach, True), _CELL) if some else usable(train).select("*", F.lit(0).alias("cell"), F.lit(0).alias("band"))
+    return visits, members
+
+
+def compared_pairs(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int = 256) -> DataFrame:
+    """compared, the pairs that cosine_leaks() multiplies out, and possible, all pairs there are."""
+    visits, members = leak_candidates(train, held, limit, pivots)
+    per = lambda side, name: side.groupBy("cell", "band").agg(F.count(F.lit(1)).alias(name))
+    met = per(visits, "a").join(per(members, "b"), ["cell", "band"]).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("compared"))
+    return met.withColumn("possible", F.lit(train.count() * held.count()))
+
+
+def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 20_000, pivots: int = 256) -> DataFrame:
     """(train_id, held_id, cosine) over the limit, exactly. Columns: id, v (array of double, of one length).
 
-    The held rows are a query set against all training rows. Both sides are dealt into blocks of about `block` rows by a hash,
-    every pair of blocks meets by an equi-join on the blocks' numbers, and a task holds one block of each side; no vector
-    reaches the driver. Rows without a vector match nothing.
+    Rows meet in the cells and bands of leak_candidates(), by an equi-join. A cell and band with over `block` rows is cut into blocks by a hash, each
+    pair of which is a task of its own, so no task holds a whole hot cell. Rows without a vector, or with zeros only, match nothing.
     """
-    n_train, n_held = (max(1, -(-side.count() // block)) for side in (train, held))
+    visits, members = leak_candidates(train, held, limit, pivots)
+    visits, members = stored(visits), stored(members)
+    place = ["cell", "band"]
+    count = lambda side, n: side.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = stored(count(members, "bn").join(count(visits, "an"), place))
 
-    def dealt(side: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        return side.where("v IS NOT NULL").select(F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+    def dealt(side: DataFrame, name: str, own: str, n: str, other: str, m: str) -> DataFrame:
+        rows = side.join(sizes, place)
+        return rows.select(*place, F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"), F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
 
     def compare(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -100,10 +159,32 @@ def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block:
             found.append(pd.DataFrame({"train_id": a["train_id"].to_numpy()[t + k], "held_id": b["held_id"].to_numpy()[h], "cosine": cosine[t, h]}))
         return pd.concat(found)
 
-    sides = dealt(train, "train", "t", n_train, "h", n_held).groupBy("t", "h").cogroup(dealt(held, "held", "h", n_held, "t", n_train).groupBy("t", "h"))
+    key = [*place, "t", "h"]
+    sides = dealt(visits, "train", "t", "an", "h", "bn").groupBy(*key).cogroup(dealt(members, "held", "h", "bn", "t", "an").groupBy(*key))
     return sides.applyInPandas(compare, "train_id long, held_id long, cosine double")
 
 
+def training_run(train: DataFrame, held: DataFrame, features: str, label: str, path: str, key: str = "id", limit: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(report, dropped) of one training job, whose model is stored at path.
+
+    Training rows over the limit of cosine with a held row are dropped; of the rest, a share of every label is kept out, a class-balanced
+    model is fitted on the others and reported on it: label, precision, recall, f1, support. The stored model is fitted on all that is left. Rows
+    without a vector take no part.
+    """
+    side = lambda rows: rows.select(F.col(key).alias("id"), F.col(features).alias("v"))
+    dropped = stored(cosine_leaks(side(train), side(held), limit).groupBy("train_id").agg(F.max("cosine").alias("cosine")))
+    left = train.where(F.col(features).isNotNull() & F.col(label).isNotNull()).join(dropped.select(F.col("train_id").alias(key)), key, "left_anti")
+    parts = stored(stratified_split(left, label, key))
+    scored = classify(train_classifier(parts.where("part = 'train'"), features, label), parts.where("part = 'test'"), features)
+    gold, found = F.col(label), F.col("predicted")
+    marks = scored.select(F.explode(F.array(F.struct(gold.cast("int").alias("label"), F.lit(1).alias("support"), F.lit(0).alias("claimed"), (gold == found).cast("int").alias("hit")), F.struct(found.alias("label"), F.lit(0).alias("support"), F.lit(1).alias("claimed"), F.lit(0).alias("hit")))).alias("m")).select("m.*")
+    sums = marks.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "claimed", "hit")])
+    ratio = lambda of: F.coalesce(F.try_divide("hit", of), F.lit(0.0))
+    report = sums.select("label", ratio("claimed").alias("precision"), ratio("support").alias("recall"), F.coalesce(F.try_divide(2 * F.col("hit"), F.col("claimed") + F.col("support")), F.lit(0.0)).alias("f1"), "support")
+    train_classifier(parts, features, label).write().save(path)
+    return report, dropped
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 

@@ -188,8 +188,19 @@ def freeze_guard(spark, d):
 
 @query("C3_classifier")
 def classifier(spark, d):
+    """Fitted on four fifths of the vectors, scored on the rest."""
     rows = table(spark, d, "embeddings")
-    return C.classify(C.train_classifier(rows, "embedding", "label"), rows, "embedding").select("vec_id", "label", "predicted", "confidence")
+    model = C.train_classifier(rows.where("vec_id % 5 > 0"), "embedding", "label")
+    return C.classify(model, rows.where("vec_id % 5 = 0"), "embedding").select("vec_id", "label", "predicted", "confidence")
+
+
+@query("C5_training_run")
+def training_run(spark, d):
+    """Leak filter, split, weighted fit, report, refit and a stored model in one job; a fifth of the vectors is the evaluation set."""
+    from tallyspark.sources import readers
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return C.training_run(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), "v", "label", f"{readers.scratch(spark)}/model", limit=0.4)[0]
 
 
 @query("C4_hybrid", f"WITH {_PRED} SELECT x.id, CASE WHEN x.confidence >= 0.3 THEN x.predicted ELSE y.predicted END AS category, CASE WHEN x.confidence >= 0.3 THEN 'classifier' ELSE 'fallback' END AS method FROM p x JOIN p y ON x.id = y.id AND x.method = 'a' AND y.method = 'b'")

@@ -126,3 +126,41 @@ def test_active_version_and_revert(spark):
     assert versions.active_version(frame).first().label == "v2" and versions.active_version(frame, "v3").first().label == "v3" and versions.active_version(frame, "v9").count() == 0
     edits = spark.createDataFrame([(1, 1, "ai", 5), (1, 2, "employee", 6), (1, 3, "ai", 7), (2, 1, "employee", 8)], "id long, version int, source string, amount int")
     assert [tuple(r) for r in versions.revert(edits, "id", F.col("source") == "ai").collect()] == [(1, 4, "employee", 5)]
+
+
+def test_pruned_leaks_equal_all_pairs(spark):
+    """Clustered vectors, one of them in many copies: the index gives what all pairs give, in a share of the work that falls as the clusters grow in number."""
+    shares = []
+    for clusters in (20, 80):
+        rng = np.random.default_rng(clusters)
+        centres = rng.normal(size=(clusters, 16))
+        rows = [(k, (centres[k % clusters] + 0.15 * rng.normal(size=16)).tolist()) for k in range(25 * clusters)]
+        rows += [(100_000 + k, rows[0][1]) for k in range(60)] + [(200_000, None), (200_001, [0.0] * 16)]
+        frame = spark.createDataFrame(rows, "id long, v array<double>")
+        train, held = frame.where("id % 5 > 0"), frame.where("id % 5 = 0")
+        vectors = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and any(v)}
+        want = {(a, b) for a in vectors if a % 5 for b in vectors if not b % 5 if vectors[a] @ vectors[b] > 0.95}
+        for block in (20_000, 7):
+            got = C.cosine_leaks(train, held, 0.95, block, pivots=40).collect()
+            assert {(r.train_id, r.held_id) for r in got} == want and len(got) == len(want)
+        work = C.compared_pairs(train, held, 0.95, pivots=40).first()
+        shares.append(work.compared / work.possible)
+    assert shares[1] < shares[0] < 0.3
+    assert C.cosine_leaks(train, held.limit(0)).collect() == [] and C.cosine_leaks(train.limit(0), held).collect() == []
+
+
+def test_training_run(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    rng = np.random.default_rng(4)
+    rows = [(k, (np.eye(4)[k % 4] * 3 + rng.normal(size=4)).tolist(), k % 4) for k in range(400)]
+    held = [(1000 + k, rows[k][1], rows[k][2]) for k in range(5)]
+    schema = "id long, v array<double>, label int"
+    report, dropped = C.training_run(spark.createDataFrame(rows, schema), spark.createDataFrame(held, schema), "v", "label", f"{tmp_path}/model", limit=0.999)
+    gone = {r.train_id for r in dropped.collect()}
+    assert set(range(5)) <= gone
+    found = {r.label: r for r in report.collect()}
+    assert set(found) == {0, 1, 2, 3} and abs(sum(r.support for r in found.values()) - (400 - len(gone)) / 5) <= 4
+    assert all(r.f1 > 0.75 for r in found.values())
+    again = C.classify(LogisticRegressionModel.load(f"{tmp_path}/model"), spark.createDataFrame(held, schema), "v").collect()
+    assert len(again) == 5
