@@ -63,8 +63,57 @@ def decide(metrics: DataFrame, fallback: str = "rules") -> DataFrame:
 
 
 def error_groups(predictions: DataFrame) -> DataFrame:
+    """method, gold, predicted, n, first_id and place, from 1: a method's largest groups first, ties by labels."""
     wrong = labelled(predictions).where("gold <> predicted")
-    return wrong.groupBy("method", "gold", "predicted").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    groups = wrong.groupBy("method", "gold", "predicted").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    order = Window.partitionBy("method").orderBy(F.desc("n"), "gold", "predicted")  # as many as there are pairs of labels
+    return groups.withColumn("place", F.row_number().over(order))
+
+
+def error_members(predictions: DataFrame) -> DataFrame:
+    """The wrong predictions with their group's n and place, a row each."""
+    groups = error_groups(predictions).select("method", "gold", "predicted", "n", "place")
+    return labelled(predictions).where("gold <> predicted").join(groups, ["method", "gold", "predicted"])
+
+
+def run_stats(predictions: DataFrame) -> DataFrame:
+    """Of each method's predictions with a gold label: n_scored, parse_failures, their reasons (sorted, "?" for none given), mean_latency_ms, total_tokens
+    (null if none has any), total_cost, latency_p50_ms (the exact median) and cost_per_1000. A missing latency or cost counts as 0."""
+    latency, cost = F.coalesce("latency_ms", F.lit(0)), F.coalesce("cost", F.lit(0)).cast("decimal(20,8)")
+    failed = F.coalesce("parse_failure", F.lit(False))
+    reasons = F.sort_array(F.collect_set(F.when(failed, F.coalesce("parse_failure_reason", F.lit("?")))))
+    return predictions.where("gold IS NOT NULL").groupBy("method").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(failed).alias("parse_failures"), reasons.alias("reasons"), F.avg(latency).alias("mean_latency_ms"), F.sum("total_tokens").alias("total_tokens"), F.sum(cost).alias("total_cost"),
+        F.median(latency).alias("latency_p50_ms"), (F.avg(cost.cast("double")) * 1000).alias("cost_per_1000"),
+    )
+
+
+def promoted(rows: DataFrame, overrides: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows with gold_label, ambiguous, notes and overridden, the ids of overrides that match no row).
+
+    An override's label counts even if it is null; its ambiguous and notes do where they are given, notes if not empty. overrides: key, label, ambiguous, notes.
+    """
+    named = overrides.select(key, F.struct("label", "ambiguous", "notes").alias("o"))
+    rest = [c for c in rows.columns if c not in ("ambiguous", "notes")]
+    hit = F.col("o").isNotNull()
+    given = F.when(hit, F.nullif(F.col("o.notes"), F.lit("")))
+    found = rows.join(named, key, "left").select(*rest, F.when(hit, F.col("o.label")).otherwise(F.col("silver_label")).alias("gold_label"), F.coalesce("o.ambiguous", "ambiguous").alias("ambiguous"), F.coalesce(given, "notes").alias("notes"), hit.alias("overridden"))
+    return found, overrides.select(key).join(rows.select(key), key, "left_anti")
+
+
+def silver_labels(rows: DataFrame, manual: DataFrame, made: str = "synthetic_image", exception: tuple[str, str] = ("synth-team_events-", "travel_meals")) -> DataFrame:
+    """rows with silver_label, ambiguous and labelled: the manual label, else, for rows of the source `made`, the category that their notes expect.
+
+    Rows of the exception's prefix that are marked ambiguous get its label instead, as a reader would conclude. Others stay without. rows: id,
+    source, notes, ambiguous; manual: id, category (null: none), ambiguous.
+    """
+    named = manual.select("id", F.struct("category", "ambiguous").alias("m"))
+    is_made = F.coalesce(F.col("source") == made, F.lit(False))
+    doubtful = F.col("id").startswith(exception[0]) & F.coalesce("ambiguous", F.lit(False))
+    expected = F.nullif(S.strip(F.regexp_extract("notes", r"expected category: ([^.,]*)", 1)), F.lit(""))
+    label = F.when(F.col("m").isNotNull(), F.col("m.category")).when(is_made, F.when(doubtful, exception[1]).otherwise(expected))
+    unsure = F.coalesce("m.ambiguous", is_made & doubtful) | F.coalesce("ambiguous", F.lit(False))
+    return rows.join(named, "id", "left").select(*[c for c in rows.columns if c != "ambiguous"], label.alias("silver_label"), unsure.alias("ambiguous"), (F.col("m").isNotNull() | is_made).alias("labelled"))
 
 
 def what_if(predictions: DataFrame, least: int = 3) -> DataFrame:
@@ -87,9 +136,20 @@ def score_field(expected: Column, found: Column) -> Column:
 
 
 def pooled(scores: DataFrame) -> DataFrame:
-    """scores: matched, missed, extra per document. Precision and recall of all items together."""
-    sums = scores.agg(*[F.sum(c).alias(c) for c in ("matched", "missed", "extra")], F.count_if(F.col("matched") + F.col("missed") == 0).alias("empty_documents"))
-    return sums.select("*", F.try_divide("matched", F.col("matched") + F.col("extra")).alias("precision"), F.try_divide("matched", F.col("matched") + F.col("missed")).alias("recall"))
+    """One row for all documents: samples, succeeded, matched, missed, extra, zero_extracted (nothing matched and nothing extra), precision and recall of all
+    items together, mean_tokens (missing ones are 0) and mean_seconds. scores: success, matched, missed, extra, total_tokens, seconds; failed ones count as samples only."""
+    sums = scores.groupBy().agg(F.count(F.lit(1)).alias("samples"))
+    right = scores.where("success").agg(
+        F.count(F.lit(1)).alias("succeeded"), *[F.sum(c).alias(c) for c in ("matched", "missed", "extra")], F.count_if((F.col("matched") == 0) & (F.col("extra") == 0)).alias("zero_extracted"),
+        F.avg(F.coalesce("total_tokens", F.lit(0))).alias("mean_tokens"), F.avg("seconds").alias("mean_seconds"),
+    )
+    ratio = lambda of: F.try_divide("matched", F.col("matched") + F.col(of))
+    return sums.crossJoin(F.broadcast(right)).select("*", ratio("extra").alias("precision"), ratio("missed").alias("recall"))
+
+
+def type_counts(scores: DataFrame, plausible: list[str]) -> DataFrame:
+    """document_type, n, plausible of the documents that succeeded."""
+    return scores.where("success").groupBy("document_type").agg(F.count(F.lit(1)).alias("n")).withColumn("plausible", F.coalesce(F.col("document_type").isin(*plausible), F.lit(False)))
 
 
 def _ratio(a: str | None, b: str | None) -> float:
@@ -213,9 +273,11 @@ def recovered_items(rows: DataFrame, key: str, json: str) -> DataFrame:
 
 
 def corpus_summary(scores: DataFrame) -> DataFrame:
-    """scores: doc, correct, total. Documents without pairs are skipped."""
+    """scores: doc, correct, found, total. documents, pairs, accuracy (correct of all pairs), value_recall (values found anywhere), all_correct and its share. Documents without pairs are skipped."""
     per = scores.where("total > 0")
-    return per.agg(F.count(F.lit(1)).alias("documents"), F.try_divide(F.sum("correct"), F.sum("total")).alias("accuracy"), F.count_if(F.col("correct") == F.col("total")).alias("all_correct"))
+    right = F.count_if(F.col("correct") == F.col("total"))
+    sums = per.agg(F.count(F.lit(1)).alias("documents"), F.sum("total").alias("pairs"), F.try_divide(F.sum("correct"), F.sum("total")).alias("accuracy"), F.try_divide(F.sum("found"), F.sum("total")).alias("value_recall"), right.alias("all_correct"))
+    return sums.withColumn("all_correct_share", F.try_divide("all_correct", "documents"))
 
 
 def agreement(rows: DataFrame, silver: str, gold: str) -> DataFrame:

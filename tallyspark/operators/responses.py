@@ -237,10 +237,11 @@ def dimension_failures(units: DataFrame, clauses: DataFrame) -> DataFrame:
     return rows.select("unit_id", F.when(bad, "bad_dimension_value").alias("failure"), F.when(~bad, dims).alias("dimensions"))
 
 
-def policy_requests(docs: DataFrame, clauses: DataFrame) -> DataFrame:
-    """document_id, request: JSON with the document, its claim's others and the clauses of its category and of all ("*"), numeric limits withheld.
+def policy_requests(docs: DataFrame, clauses: DataFrame, employees: DataFrame | None = None, leaves: DataFrame | None = None) -> DataFrame:
+    """document_id, request: JSON with the document, its fields, its claim's others, its employee and the clauses of its category and of all ("*"), numeric limits withheld.
 
-    A claim's documents are few by nature; the clauses of a category are gathered from the small table of clauses.
+    leaves: document_id, path, value, as flatten() gives them, shown in the order of paths; employees: employee_id and what is to be shown. A claim's documents
+    and a document's fields are few by nature; the clauses of a category are gathered from the small table of clauses.
     """
     shown = F.struct("document_id", "vendor", F.col("amount").cast("string").alias("amount"))
     siblings = docs.groupBy("claim_id").agg(F.sort_array(F.collect_list(shown)).alias("documents"))
@@ -250,4 +251,12 @@ def policy_requests(docs: DataFrame, clauses: DataFrame) -> DataFrame:
     joined = docs.join(siblings, "claim_id").join(small(own), "category", "left").crossJoin(F.broadcast(everywhere))
     offered = F.sort_array(F.array_union(F.coalesce("own", F.filter("everywhere", lambda _: F.lit(False))), F.col("everywhere")))
     others = F.filter("documents", lambda x: x["document_id"] != F.col("document_id"))
-    return joined.select("document_id", F.to_json(F.struct("claim_id", "employee_id", shown.alias("document"), others.alias("siblings"), offered.alias("clauses"))).alias("request"))
+    parts = ["claim_id", "employee_id", shown.alias("document"), others.alias("siblings"), offered.alias("clauses")]
+    if employees is not None:
+        joined = joined.join(employees.select("employee_id", F.struct(*[c for c in employees.columns if c != "employee_id"]).alias("employee")), "employee_id", "left")
+        parts.append("employee")
+    if leaves is not None:
+        fields = leaves.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("fields"))
+        joined = joined.join(fields, "document_id", "left")
+        parts.append("fields")
+    return joined.select("document_id", F.to_json(F.struct(*parts)).alias("request"))

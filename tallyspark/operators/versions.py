@@ -36,6 +36,19 @@ def next_sequence(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg((F.coalesce(F.max(seq), F.lit(0)) + 1).alias("next_seq"))
 
 
+def claim_documents(claims: DataFrame, versions: DataFrame, checks: DataFrame, employees: DataFrame) -> DataFrame:
+    """A row for each claim and document: the employee's name, the document's latest version and its checks, an array of (name, passed) by name.
+
+    Claims without documents have a row of nulls; a version without checks an empty array. A version's checks are few. claims: claim_id, employee_id; versions: claim_id,
+    document_id, version, and more; checks: document_id, version, name, passed; employees: employee_id, name.
+    """
+    newest = latest(versions, ["document_id"], "version")
+    per = checks.groupBy("document_id", "version").agg(F.array_sort(F.collect_list(F.struct("name", "passed"))).alias("checks"))
+    documents = newest.join(per, ["document_id", "version"], "left")
+    named = claims.join(employees.select("employee_id", F.col("name").alias("employee")), "employee_id", "left")
+    return named.join(documents, "claim_id", "left").withColumn("checks", F.coalesce("checks", F.array().cast("array<struct<name: string, passed: boolean>>")))
+
+
 def totals_by_currency(docs: DataFrame) -> DataFrame:
     """Sums of confirmed documents per claim and currency; a null currency is "unknown", null amounts are skipped."""
     counted = docs.where("doc_status = 'confirmed' AND amount IS NOT NULL")

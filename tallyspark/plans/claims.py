@@ -115,15 +115,27 @@ def frequencies(spark, d):
     return docs(spark, d).select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A10_run_stats", "SELECT event_type, count(*) AS n, count(*) FILTER (value < 20) AS failures, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total, array_to_string(list_sort(list(DISTINCT user_id % 5)), ',') AS reasons FROM events GROUP BY 1")
+_RUN = "(SELECT event_type AS method, CASE WHEN event_id % 7 > 0 THEN 'x' END AS gold, CASE WHEN event_id % 11 > 0 THEN user_id % 50 END AS latency, CASE WHEN event_type <> 'view' THEN event_id % 900 END AS tokens, (event_id % 13)::DECIMAL(20,8) / 1000 AS cost, event_id % 6 = 0 AS failed, CASE event_id % 4 WHEN 0 THEN 'json' WHEN 2 THEN 'schema' END AS reason FROM events)"
+
+
+def _run(spark, d):
+    k = F.col("event_id")
+    return table(spark, d, "events").select(
+        F.col("event_type").alias("method"), F.when(k % 7 > 0, "x").alias("gold"), F.when(k % 11 > 0, F.col("user_id") % 50).alias("latency_ms"), F.when(F.col("event_type") != "view", k % 900).alias("total_tokens"),
+        ((k % 13).cast("decimal(20,8)") / 1000).cast("decimal(20,8)").alias("cost"), (k % 6 == 0).alias("parse_failure"), F.when(k % 4 == 0, "json").when(k % 4 == 2, "schema").alias("parse_failure_reason"),
+    )
+
+
+@query("A10_run_stats", f"SELECT method, count(*) AS n_scored, count(*) FILTER (failed) AS parse_failures, coalesce(array_to_string(list_sort(list(DISTINCT coalesce(reason, '?')) FILTER (failed)), ','), '') AS reasons, round(avg(coalesce(latency, 0)), 6) AS mean_latency_ms, sum(tokens)::BIGINT AS total_tokens, sum(cost)::DECIMAL(30,8) AS total_cost FROM {_RUN} WHERE gold IS NOT NULL GROUP BY 1")
 def run_stats(spark, d):
-    reasons = F.array_join(F.transform(F.sort_array(F.collect_set(F.col("user_id") % 5)), lambda x: x.cast("string")), ",")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 20).alias("failures"), F.sum(F.col("value").cast("decimal(12,2)")).alias("total"), reasons.alias("reasons"))
+    """Event types are methods; some rows have no gold label, no latency, no tokens, no reason."""
+    found = E.run_stats(_run(spark, d)).drop("latency_p50_ms", "cost_per_1000")
+    return found.withColumn("reasons", F.array_join("reasons", ",")).withColumn("mean_latency_ms", F.round("mean_latency_ms", 6)).withColumn("total_cost", F.col("total_cost").cast("decimal(30,8)"))
 
 
-@query("A11_median_latency", "SELECT event_type, median(value) AS median_value FROM events GROUP BY 1")
+@query("A11_median_latency", f"SELECT method, median(coalesce(latency, 0))::DOUBLE AS latency_p50_ms, round(avg(cost::DOUBLE) * 1000, 6) AS cost_per_1000 FROM {_RUN} WHERE gold IS NOT NULL GROUP BY 1")
 def median_latency(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median_value"))
+    return E.run_stats(_run(spark, d)).select("method", F.col("latency_p50_ms").cast("double").alias("latency_p50_ms"), F.round("cost_per_1000", 6).alias("cost_per_1000"))
 
 
 @query("A12_agreement", "SELECT quality::VARCHAR AS label, count(*) AS n, count(*) FILTER (quality = toxic) AS agreed, count(*) FILTER (quality <> toxic) AS overridden FROM labels GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (quality = toxic), count(*) FILTER (quality <> toxic) FROM labels")
@@ -192,9 +204,16 @@ def blocked_claims(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id")).join(per, "claim_id", "left").select("claim_id", (F.col("open").isNull() | (F.col("open") > 0)).alias("blocked"))
 
 
-@query("J1_claim_documents", f"WITH {DOCS} SELECT claim_id, document_id, c_name AS employee, amount FROM docs JOIN customer ON employee_id = c_custkey")
+@query("J1_claim_documents", f"WITH {DOCS} SELECT o_orderkey AS claim_id, document_id, c_name AS employee, version, amount, CASE WHEN document_id IS NULL THEN '' WHEN version = 1 THEN 'currency:' || (currency IS NOT NULL) ELSE 'amount:' || (amount < 4000) || ',currency:' || (currency IS NOT NULL) END AS checks FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN docs ON claim_id = o_orderkey")
 def claim_documents(spark, d):
-    return docs(spark, d).join(table(spark, d, "customer"), F.col("employee_id") == F.col("c_custkey")).select("claim_id", "document_id", F.col("c_name").alias("employee"), "amount")
+    """Every claim with its documents' latest versions and their checks; first versions have one check only."""
+    rows = versions(spark, d)
+    checks = rows.select("document_id", "version", F.explode(F.array(F.struct(F.lit("currency").alias("name"), F.col("currency").isNotNull().alias("passed")), F.struct(F.lit("amount").alias("name"), (F.col("amount") < 4000).alias("passed")))).alias("c")).select("document_id", "version", "c.*").where("version > 1 OR name = 'currency'")
+    claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("employee_id"))
+    employees = table(spark, d, "customer").select(F.col("c_custkey").alias("employee_id"), F.col("c_name").alias("name"))
+    found = V.claim_documents(claims, rows.select("claim_id", "document_id", "version", "amount"), checks, employees)
+    line = F.transform("checks", lambda x: F.concat_ws(":", x["name"], x["passed"].cast("string")))
+    return found.select("claim_id", "document_id", "employee", "version", "amount", F.array_join(line, ",").alias("checks"))
 
 
 @query("J6_stale_decisions", f"WITH {VERSIONS}, l AS (SELECT document_id, max(version) AS latest FROM versions GROUP BY 1) SELECT document_id, version, version <> latest AS stale FROM versions JOIN l USING (document_id)")
@@ -212,10 +231,21 @@ def to_do(spark, d):
     return C.to_do(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").selectExpr("doc_id", *_STATES.split(", ")), "doc_id", "f2")
 
 
-@query("J8_gold_label", "SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2)::BIGINT AS gold, l.doc_id IS NOT NULL AS overridden FROM documents d LEFT JOIN labels l USING (doc_id)")
+def _promoted(spark, d):
+    """Labels override, some without a label, some of documents that are not there."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("silver_label"), (F.col("n_chars") % 2 == 0).alias("ambiguous"), F.col("source").alias("notes"))
+    labels = table(spark, d, "labels").select((F.col("doc_id") * 3).alias("id"), F.when(F.col("quality") == 1, "good").alias("label"), F.when(F.col("toxic") == 1, True).alias("ambiguous"), F.when(F.col("doc_id") % 2 == 0, "seen").otherwise("").alias("notes"))
+    return E.promoted(rows, labels)
+
+
+@query("J8_gold_label", "SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN lang WHEN quality = 1 THEN 'good' END AS gold_label, CASE WHEN toxic = 1 THEN true ELSE n_chars % 2 = 0 END AS ambiguous, CASE WHEN l.doc_id % 2 = 0 THEN 'seen' ELSE source END AS notes, l.doc_id IS NOT NULL AS overridden FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id * 3")
 def gold_label(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("o"))
-    return table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("long"), F.col("n_chars") % 2).alias("gold"), F.coalesce("o", F.lit(False)).alias("overridden"))
+    return _promoted(spark, d)[0].drop("silver_label")
+
+
+@query("J8_unmatched_overrides", "SELECT doc_id * 3 AS id FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)")
+def unmatched_overrides(spark, d):
+    return _promoted(spark, d)[1]
 
 
 @query("J11_duplicate_upload", "SELECT source, sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
@@ -306,10 +336,15 @@ def backfilled(spark, d):
     return C.backfill(rows, "category", F.expr(_TYPE), F.expr(_TEXT)).select("p_partkey", "category", "backfilled_by")
 
 
-@query("C9_silver_labels", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'manual' END, nullif(regexp_extract(d.source, '(\\d+)$', 1), '')) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("C9_silver_labels", """SELECT CASE doc_id % 4 WHEN 0 THEN 'synth-team_events-' ELSE 'synth-fuel-' END || doc_id AS id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN quality = 1 THEN 'manual' END WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 4 = 0 AND n_chars % 2 = 0 THEN 'travel_meals' WHEN doc_id % 5 > 0 THEN lang END END AS silver_label,
+  coalesce(toxic = 1, doc_id % 3 = 0 AND doc_id % 4 = 0 AND n_chars % 2 = 0) OR n_chars % 2 = 0 AS ambiguous, l.doc_id IS NOT NULL OR doc_id % 3 = 0 AS labelled FROM documents LEFT JOIN labels l USING (doc_id)""")
 def silver_labels(spark, d):
-    manual = table(spark, d, "labels").where("quality = 0").select("doc_id", F.lit("manual").alias("m"))
-    return table(spark, d, "documents").join(manual, "doc_id", "left").select("doc_id", F.coalesce("m", F.nullif(F.regexp_extract("source", r"(\d+)$", 1), F.lit(""))).alias("label"))
+    """Manual labels, expected categories out of notes, the ambiguous exception, and rows without any."""
+    name = F.concat(F.when(F.col("doc_id") % 4 == 0, "synth-team_events-").otherwise("synth-fuel-"), F.col("doc_id").cast("string"))
+    notes = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("Made; expected category: "), "lang", F.lit(", or so. More")))
+    rows = table(spark, d, "documents").select(name.alias("id"), F.when(F.col("doc_id") % 3 == 0, "synthetic_image").otherwise("real").alias("source"), notes.alias("notes"), (F.col("n_chars") % 2 == 0).alias("ambiguous"))
+    manual = table(spark, d, "labels").select(name.alias("id"), F.when(F.col("quality") == 1, "manual").alias("category"), (F.col("toxic") == 1).alias("ambiguous"))
+    return E.silver_labels(rows, manual).select("id", "silver_label", "ambiguous", "labelled")
 
 
 @query("C10_method_table", f"SELECT p_partkey, 'rules' AS method, {_RULES} AS category FROM {_PARTS} UNION ALL SELECT p_partkey, 'type', CASE k WHEN 'restaurant_bill' THEN 'travel_meals' WHEN 'hotel_invoice' THEN 'accommodation' WHEN 'telecom_bill' THEN 'phone_internet' WHEN 'generic_receipt' THEN 'other' END FROM {_PARTS}")

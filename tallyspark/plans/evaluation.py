@@ -98,9 +98,10 @@ def decision(spark, d):
     return E.decide(metrics)
 
 
-@query("E8_error_groups", f"WITH {_PRED} SELECT method, gold, predicted, count(*) AS n, min(id) AS first_id FROM q WHERE gold <> predicted GROUP BY ALL")
+@query("E8_error_groups", f"WITH {_PRED}, g AS (SELECT method, gold, predicted, count(*) AS n FROM q WHERE gold <> predicted GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY n DESC, gold, predicted) AS place FROM g) SELECT method, gold, predicted, n, place::INT AS place, id FROM q JOIN o USING (method, gold, predicted)")
 def error_groups(spark, d):
-    return E.error_groups(predictions(spark, d))
+    """Every wrong prediction with its group, the largest first."""
+    return E.error_members(predictions(spark, d)).select("method", "gold", "predicted", "n", "place", "id")
 
 
 @query("O5_largest_error", f"WITH {_PRED}, e AS (SELECT method, gold, predicted, count(*) AS n FROM q WHERE gold <> predicted GROUP BY ALL) SELECT method, gold, predicted, n FROM e QUALIFY row_number() OVER (PARTITION BY method ORDER BY n DESC, gold DESC, predicted DESC) = 1")
@@ -144,10 +145,22 @@ def similarity(spark, d):
     return table(spark, d, "part").select("p_partkey", E.similarity(F.col("p_name"), F.concat(F.substring("p_name", 4, 30), F.lit("x"))).alias("similarity"))
 
 
-@query("E13_pooled", "SELECT sum(m)::BIGINT AS matched, sum(s)::BIGINT AS missed, sum(x)::BIGINT AS extra, count(*) FILTER (m + s = 0) AS empty_documents, round(sum(m) / (sum(m) + sum(x)), 9) AS precision, round(sum(m) / (sum(m) + sum(s)), 9) AS recall FROM (SELECT user_id % 3 AS m, event_id % 2 AS s, event_id % 5 AS x FROM events)")
+_SCORED = "(SELECT event_id % 6 > 0 AS ok, user_id % 3 AS m, event_id % 2 AS s, event_id % 5 AS x, CASE WHEN event_id % 3 > 0 THEN event_id % 700 END AS tokens, (user_id % 40)::DOUBLE / 10 AS sec, event_type AS t FROM events)"
+
+
+def _scored(spark, d):
+    k = F.col("event_id")
+    return table(spark, d, "events").select((k % 6 > 0).alias("success"), (F.col("user_id") % 3).alias("matched"), (k % 2).alias("missed"), (k % 5).alias("extra"), F.when(k % 3 > 0, k % 700).alias("total_tokens"), ((F.col("user_id") % 40) / 10).alias("seconds"), F.col("event_type").alias("document_type"))
+
+
+@query("E13_pooled", f"SELECT count(*) AS samples, count(*) FILTER (ok) AS succeeded, sum(m) FILTER (ok)::BIGINT AS matched, sum(s) FILTER (ok)::BIGINT AS missed, sum(x) FILTER (ok)::BIGINT AS extra, count(*) FILTER (ok AND m + x = 0) AS zero_extracted, round(avg(coalesce(tokens, 0)) FILTER (ok), 6) AS mean_tokens, round(avg(sec) FILTER (ok), 6) AS mean_seconds, round(sum(m) FILTER (ok) / (sum(m) FILTER (ok) + sum(x) FILTER (ok)), 9) AS precision, round(sum(m) FILTER (ok) / (sum(m) FILTER (ok) + sum(s) FILTER (ok)), 9) AS recall FROM {_SCORED}")
 def pooled(spark, d):
-    scores = table(spark, d, "events").select((F.col("user_id") % 3).alias("matched"), (F.col("event_id") % 2).alias("missed"), (F.col("event_id") % 5).alias("extra"))
-    return E.pooled(scores).withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
+    return E.pooled(_scored(spark, d)).withColumns({c: F.round(c, n) for c, n in (("precision", 9), ("recall", 9), ("mean_tokens", 6), ("mean_seconds", 6))})
+
+
+@query("E13_type_counts", f"SELECT t AS document_type, count(*) AS n, t IN ('purchase', 'view') AS plausible FROM {_SCORED} WHERE ok GROUP BY 1")
+def type_counts(spark, d):
+    return E.type_counts(_scored(spark, d), ["purchase", "view"])
 
 
 @query("E17_pairs", """WITH c AS (SELECT *, c_acctbal::DECIMAL(12,2)::VARCHAR AS bal FROM customer) SELECT c_custkey AS doc, p[1]::INT AS pos, p[2]::INT AS n, p[3] AS key, p[4] AS value FROM (SELECT *, unnest([(0, 0, 'Segment', c_mktsegment), (1, 0, 'Name', c_name), (4, 0, 'Phone', '| Balance | ' || bal || ' |'), (6, 0, 'Nation', c_nationkey::VARCHAR),
@@ -163,10 +176,11 @@ def pairs(spark, d):
     return E.pairs_of_lines(rows)
 
 
-@query("E19_corpus_summary", "SELECT count(*) AS documents, round(sum(c) / sum(t), 9) AS accuracy, count(*) FILTER (c = t) AS all_correct FROM (SELECT event_id % 4 AS t, least(user_id % 4, event_id % 4) AS c FROM events) WHERE t > 0")
+@query("E19_corpus_summary", "SELECT count(*) AS documents, sum(t)::BIGINT AS pairs, round(sum(c) / sum(t), 9) AS accuracy, round(sum(f) / sum(t), 9) AS value_recall, count(*) FILTER (c = t) AS all_correct, round(count(*) FILTER (c = t) / count(*), 9) AS all_correct_share FROM (SELECT event_id % 4 AS t, least(user_id % 4, event_id % 4) AS c, least(user_id % 4 + 1, event_id % 4) AS f FROM events) WHERE t > 0")
 def corpus_summary(spark, d):
-    scores = table(spark, d, "events").select(F.col("event_id").alias("doc"), F.least(F.col("user_id") % 4, F.col("event_id") % 4).alias("correct"), (F.col("event_id") % 4).alias("total"))
-    return E.corpus_summary(scores).withColumn("accuracy", F.round("accuracy", 9))
+    most = lambda c: F.least(c, F.col("event_id") % 4)
+    scores = table(spark, d, "events").select(F.col("event_id").alias("doc"), most(F.col("user_id") % 4).alias("correct"), most(F.col("user_id") % 4 + 1).alias("found"), (F.col("event_id") % 4).alias("total"))
+    return E.corpus_summary(scores).withColumns({c: F.round(c, 9) for c in ("accuracy", "value_recall", "all_correct_share")})
 
 
 @query("E20_sanity", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey % 9 = 0 OR abs(l_discount::DECIMAL(4,2) - l_tax::DECIMAL(4,2)) > 0.01")
