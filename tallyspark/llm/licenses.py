@@ -2,7 +2,8 @@
 
 A text's sentences are normalised and mapped to the identifiers of known licence sentences; the sequence of identifiers is
 then matched against ordered licence rules. What a rule has matched is taken out of the sequence before the next rule. A tag
-such as "SPDX-License-Identifier: (MIT OR Apache-2.0)" is one identifier for each licence that it names.
+such as "SPDX-License-Identifier: (MIT OR Apache-2.0)" is one identifier for each licence that it names, and so is a statement that only
+names licences, "Dual licensed under MIT and Apache-2.0" or "License: GPLv3". "Licence" is read as "license".
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ SENTENCES = (
     ("MplUnder", f"{_BY}mozilla public license.*2[.]0.*"),
     ("EplUnder", f"{_BY}eclipse public license.*2[.]0.*"),
     ("EplOneUnder", f"{_BY}eclipse public license.*1[.]0.*"),
-    ("EuplUnder", f"{_BY}(european union public licence|eupl).*"),
+    ("EuplUnder", f"{_BY}(european union public license|eupl).*"),
     ("BoostUnder", f"{_BY}boost software license.*"),
     ("BoostTitle", "boost software license( -)? version 1[.]0.*"),
     ("ArtisticUnder", f"{_BY}artistic license 2[.]0.*"),
@@ -151,6 +152,24 @@ TAG_OF = {t.lower(): t for t in TAGS}
 TAG_OF |= {t.lower().removesuffix("-only"): t for t in TAGS if t.endswith("-only")} | {t.lower().removesuffix("-or-later") + "+": t for t in TAGS if t.endswith("-or-later")}
 _TAG = "^spdx-license-identifier .+$"
 _NAMED = f"^(the )?licen[cs]e (is |under )?(the )?({'|'.join(sorted(t.replace('.', '[.]').replace('+', '[+]') for t in TAG_OF))})$"
+#: Names of licences in a statement, with the tag that each stands for; the first that fits counts.
+_VERSION = "( version)?(( )?v| |-)?"
+_LATER = "([+]| or later| or any later version|-or-later)?"
+NAMES = (
+    "mit( license)?", f"apache( software)?( license)?{_VERSION}2([.]0)?", "((new|modified|revised) )?(bsd( |-)3-clause|3-clause bsd)( license)?", "((simplified) )?(bsd( |-)2-clause|2-clause bsd)( license)?",
+    f"(gnu )?(agpl|affero general public license){_VERSION}3([.]0)?{_LATER}", f"(gnu )?(lgpl|lesser general public license){_VERSION}(2[.]1|3([.]0)?){_LATER}", f"(gnu )?(gpl|general public license){_VERSION}[23]([.]0)?{_LATER}",
+    f"(mpl|mozilla public license){_VERSION}2([.]0)?", f"(epl|eclipse public license){_VERSION}2([.]0)?", "cc0( 1[.]0)?", "(cc|creative commons)( |-)by(-nc-sa|-nc-nd|-nc|-sa|-nd)?( |-)[34][.]0", "isc( license)?", "zlib( license)?", "unlicense",
+)
+TAG_BY_NAME = (
+    ("mit", "mit"), ("apache", "apache-2.0"), (".*3-clause", "bsd-3-clause"), (".*2-clause", "bsd-2-clause"), (".*(agpl|affero).*(later|[+])", "agpl-3.0-or-later"), (".*(agpl|affero)", "agpl-3.0-only"),
+    (".*(lgpl|lesser).*2[.]1.*(later|[+])", "lgpl-2.1-or-later"), (".*(lgpl|lesser).*2[.]1", "lgpl-2.1-only"), (".*(lgpl|lesser).*(later|[+])", "lgpl-3.0-or-later"), (".*(lgpl|lesser)", "lgpl-3.0-only"),
+    (".*(gpl|general).*2.*(later|[+])", "gpl-2.0-or-later"), (".*(gpl|general).*2", "gpl-2.0-only"), (".*(gpl|general).*(later|[+])", "gpl-3.0-or-later"), (".*(gpl|general)", "gpl-3.0-only"), ("m", "mpl-2.0"), ("(epl|eclipse)", "epl-2.0"), ("cc0", "cc0-1.0"),
+    *((f".*by{k}[ -]+{v}", f"cc-by{k}-{v}.0") for k in ("-nc-sa", "-nc-nd", "-nc", "-sa", "-nd", "") for v in "34"), ("isc", "isc"), ("zlib", "zlib"), ("unlicense", "unlicense"),
+)
+_ONE = f"({'|'.join(NAMES)})"
+_STATED = f"^(((.* )?(licensed|released|distributed|available|published|provided|covered) (under|by|with) |(this|the) [a-z]+ (is|are) |licenses? (is |are )?|it is )?(either of |both |one of |any of )?((the )?(terms|conditions) of )?(the |a )*)(either )?{_ONE}( (and|or|and or)( the)? {_ONE})*( licen[cs]ed?s?)?( at your option| see .*| - .*)?$"
+#: The names of a statement, in a text whose spaces are doubled so that neighbours don't share one.
+_EACH = f" ({_ONE.replace(' ', '  ')}) "
 _NO_TAG = ("spdx-license-identifier", "license", "licence", "the", "is", "under", "and", "or", "with", "")
 #: Pattern and replacement, in order: signs, versions and tags that hold a mark, lines that go on in the next one (comment signs left out), ends of sentences.
 STEPS = (
@@ -174,14 +193,21 @@ def _identifiers(text: Column) -> Column:
     for pattern, new in STEPS:
         text = F.regexp_replace(text, pattern, new)
     likely = F.filter(F.transform(F.split(text, "\n"), F.lower), lambda s: s.rlike(HINT))
-    plain = F.transform(likely, lambda s: F.regexp_replace(F.regexp_replace(s, _OTHER, " "), _EDGE, ""))
+    plain = F.transform(likely, lambda s: F.replace(F.regexp_replace(F.regexp_replace(s, _OTHER, " "), _EDGE, ""), F.lit("licence"), F.lit("license")))
 
     def known(s: Column) -> Column:
         found = F.lit(None).cast("string")
         for name, pattern in reversed(SENTENCES):
             found = F.when(s.rlike(f"^({pattern})$"), F.lit(name)).otherwise(found)
         tags = F.transform(F.filter(F.split(s, " "), lambda x: ~x.isin(*_NO_TAG)), lambda x: F.concat(F.lit("Tag:"), x))
-        return F.when(s.rlike(_TAG) | s.rlike(_NAMED), tags).otherwise(F.array(found))
+        names = F.regexp_extract_all(F.concat(F.lit(" "), F.replace(s, F.lit(" "), F.lit("  ")), F.lit(" ")), F.lit(_EACH), 1)
+        return F.when(s.rlike(_TAG) | s.rlike(_NAMED), tags).when(s.rlike(_STATED) & ((F.size(names) > 1) | F.coalesce(found == "Unknown", F.lit(True))), F.transform(names, named)).otherwise(F.array(found))
+
+    def named(name: Column) -> Column:
+        tag = F.lit(None).cast("string")
+        for pattern, t in reversed(TAG_BY_NAME):
+            tag = F.when(name.rlike(f"^{pattern}"), F.lit(f"Tag:{t}")).otherwise(tag)
+        return tag
 
     return F.array_compact(F.flatten(F.transform(plain, known)))
 
@@ -222,7 +248,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _sql() -> str:
     q = lambda s: "'" + s.replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r").replace("'", "''") + "'"
     known = "CASE " + " ".join(f"WHEN regexp_matches(s, {q(f'^({p})$')}) THEN {q(n)}" for n, p in SENTENCES) + " END"
-    known = f"CASE WHEN regexp_matches(s, {q(_TAG)}) OR regexp_matches(s, {q(_NAMED)}) THEN list_transform(list_filter(string_split(s, ' '), lambda x: x NOT IN ({', '.join(map(q, _NO_TAG))})), lambda x: 'Tag:' || x) ELSE [{known}] END"
+    tag = "CASE " + " ".join(f"WHEN regexp_matches(x, {q(f'^{p}')}) THEN {q(f'Tag:{t}')}" for p, t in TAG_BY_NAME) + " END"
+    names = f"regexp_extract_all(' ' || replace(s, ' ', '  ') || ' ', {q(_EACH)}, 1)"
+    known = f"CASE WHEN regexp_matches(s, {q(_TAG)}) OR regexp_matches(s, {q(_NAMED)}) THEN list_transform(list_filter(string_split(s, ' '), lambda x: x NOT IN ({', '.join(map(q, _NO_TAG))})), lambda x: 'Tag:' || x) WHEN regexp_matches(s, {q(_STATED)}) AND (len({names}) > 1 OR coalesce({known}, 'Unknown') = 'Unknown') THEN list_transform({names}, lambda x: {tag}) ELSE [{known}] END"
     text = "coalesce(text, '')"
     for pattern, new in STEPS:
         text = f"regexp_replace({text}, {q(pattern)}, {q(new.replace('$', chr(92)))}, 'g')"
@@ -234,7 +262,7 @@ def _sql() -> str:
         last = f"r{k}"
     return f"""
 WITH lines AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {q(HINT + '|©')}) THEN string_split({text}, chr(10)) ELSE [] END AS ls FROM documents),
-plain AS (SELECT doc_id, list_transform(list_filter(list_transform(ls, lambda x: lower(x)), lambda x: regexp_matches(x, {q(HINT)})), lambda x: regexp_replace(regexp_replace(x, '{_OTHER}', ' ', 'g'), '{_EDGE}', '', 'g')) AS ls FROM lines),
+plain AS (SELECT doc_id, list_transform(list_filter(list_transform(ls, lambda x: lower(x)), lambda x: regexp_matches(x, {q(HINT)})), lambda x: replace(regexp_replace(regexp_replace(x, '{_OTHER}', ' ', 'g'), '{_EDGE}', '', 'g'), 'licence', 'license')) AS ls FROM lines),
 ids AS (SELECT doc_id, list_filter(flatten(list_transform(ls, lambda s: {known})), lambda x: x IS NOT NULL) AS ids FROM plain),
 seq AS (SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(list_transform(ids, lambda x: x || ';'), ''), '') AS sentences,
   list_filter(list_transform(ids, lambda x: {tags}[x]), lambda x: x IS NOT NULL) AS named, coalesce(array_to_string(list_transform(list_filter(ids, lambda x: {tags}[x] IS NULL), lambda x: '<' || x || '>'), ''), '') AS rest, []::VARCHAR[] AS found FROM ids),

@@ -74,6 +74,20 @@ CASES = [
     ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0", ""),
     ("This work is licensed under CC BY-SA 4.0.\nOr: licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-SA,CC-BY", ""),
     ("This is free and unencumbered software released into the public domain.", "Unlicense", ""),
+    ("Licensed under MIT.", "MIT", ""),
+    ("This project is MIT licensed.", "MIT", ""),
+    ("Dual licensed under MIT and Apache-2.0", "MIT,Apache-2.0", ""),
+    ("License: GPLv3", "GPL-3.0-only", ""),
+    ("License: Apache 2.0", "Apache-2.0", ""),
+    ("Released under the terms of the MIT Licence.", "MIT", ""),
+    ("GNU GPL v3", "GPL-3.0-only", ""),
+    ("CC BY 4.0", "CC-BY-4.0", ""),
+    ("Mozilla Public License Version 2.0", "MPL-2.0", ""),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT", ""),
+    ("LGPL Version 2.1", "LGPL-2.1-only", ""),
+    ("The code is available under the GNU General Public License version 2 or later or the BSD 3-Clause license", "GPL-2.0-or-later,BSD-3-Clause", ""),
+    ("We discussed the MIT license and its history at length.", "", ""),
+    ("The mitigation is licensed to operate.", "", ""),
     ("(c) 2020 Jo. All rights reserved.\n© 2021 Jo", "", ""),
     ("Licensed under the Frobnicate licence.", "", "Unknown;"),
     ("The driver has no license to speed, and the permission was given.", "", ""),
