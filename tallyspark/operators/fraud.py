@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
@@ -90,17 +90,16 @@ def threshold_gaming(docs: DataFrame, thresholds: DataFrame, margin: int = T.THR
 
 
 def _velocity_hits(docs: DataFrame, documents: int, totals: dict[str, int]) -> DataFrame:
-    dated = docs.where("bill_date IS NOT NULL").withColumn("week", F.date_trunc("week", "bill_date").cast("date"))
-    listed = F.when(F.col("currency").isin(*totals), F.col("amount"))
-    sums = lambda rows, keys: rows.groupBy(*keys, "currency").agg(F.count(F.lit(1)).alias("n"), F.sum(listed).alias("total"))
-    submitted = sums(dated.where("claim_status = 'submitted'"), ["employee_id", "week"])
-    own = sums(dated.where("claim_status <> 'submitted'"), ["claim_id", "employee_id", "week"])
-    weeks = dated.select("claim_id", "employee_id", "week").distinct()
-    seen = weeks.join(submitted, ["employee_id", "week"]).select("claim_id", "week", "currency", "n", "total").union(own.select("claim_id", "week", "currency", "n", "total"))
-    per = seen.groupBy("claim_id", "week", "currency").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    cap = S.lookup({c: float(v) for c, v in totals.items()}, F.col("currency"))
-    per = per.groupBy("claim_id", "week").agg(F.sum("n").alias("n"), F.max(F.coalesce(F.col("total") > cap, F.lit(False))).alias("over"))
-    return per.where((F.col("n") > documents) | ((F.col("n") >= 2) & F.col("over"))).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
+    """One aggregate by employee, week and claim, with a sum for each currency that has a cap; the week's submitted claims are then added up over its rows."""
+    week, shared = F.date_trunc("week", "bill_date").cast("date"), F.col("claim_status") == "submitted"
+    spent = lambda c: F.sum(F.when(F.col("currency") == c, F.col("amount")))
+    dated = docs.where("bill_date IS NOT NULL").withColumn("week", week).withColumn("shared", shared)
+    per = dated.groupBy("employee_id", "week", "claim_id", "shared").agg(F.count(F.lit(1)).alias("n"), *[spent(c).alias(f"in_{c}") for c in totals])
+    of_week = Window.partitionBy("employee_id", "week")
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("shared"), F.col(c))).over(of_week), F.lit(0)) + F.when(F.col("shared"), 0).otherwise(F.coalesce(c, F.lit(0)))
+    rows = per.select("claim_id", whole("n").alias("n"), *[whole(f"in_{c}").alias(f"in_{c}") for c in totals])
+    over = reduce(lambda x, y: x | y, [F.col(f"in_{c}") > cap for c, cap in totals.items()], F.lit(False))
+    return rows.where((F.col("n") > documents) | ((F.col("n") >= 2) & over)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def velocity(docs: DataFrame, documents: int = T.WEEK_DOCUMENTS, totals: dict[str, int] = T.WEEK_TOTALS) -> DataFrame:

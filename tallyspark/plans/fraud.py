@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import fraud as R
-from tallyspark.operators import versions as V
-from tallyspark.plans.proxy import DOCS, VERSIONS, docs, table, versions
+from tallyspark.plans.proxy import DOCS, docs, docs_with_first, table
 from tallyspark.plans.registry import query
 from tallyspark.sources.readers import stored
 
@@ -107,13 +106,10 @@ def _decided(rows):
     return rows, rows.select("claim_id", "employee_id", F.col("vendor").alias("clause_id"), verdict.alias("verdict"))
 
 
-def _corrections(spark, d):
-    """Latest versions that differ from the first: corrections of the amount, with a reason where the price is high."""
-    rows = versions(spark, d)
-    first = rows.where("version = 1").select("document_id", F.col("amount").alias("before"))
-    last = V.latest(rows.where("version > 1"), ["document_id"], "version")
-    moved = F.when(F.col("amount") > F.col("before"), "increase").when(F.col("amount") < F.col("before"), "decrease").otherwise("none")
-    return last.join(first, "document_id").select("claim_id", "document_id", F.lit("amount").alias("field_path"), moved.alias("direction"), F.when(F.col("price") > 60000, "contradicts the bill").alias("reason"))
+def _corrections(rows):
+    """Latest versions that differ from the first: corrections of the amount, with a reason where the price is high. rows: docs_with_first()."""
+    moved = F.when(F.col("amount") > F.col("first_amount"), "increase").when(F.col("amount") < F.col("first_amount"), "decrease").otherwise("none")
+    return rows.where("version > 1").select("claim_id", "document_id", F.lit("amount").alias("field_path"), moved.alias("direction"), F.when(F.col("price") > 60000, "contradicts the bill").alias("reason"))
 
 
 def _with_ai(rows):
@@ -130,19 +126,21 @@ def _correction_sql(rule: str, hit: str) -> str:
 
 @query("R9_correction_upward", _correction_sql("correction_upward", "direction = 'increase'"))
 def correction_upward(spark, d):
-    return R.corrections_rule(_with_ai(docs(spark, d)), _corrections(spark, d), "correction_upward")
+    rows = docs_with_first(spark, d)
+    return R.corrections_rule(_with_ai(rows), _corrections(rows), "correction_upward")
 
 
 @query("R10_correction_guardrail", _correction_sql("correction_guardrail", "reasoned"))
 def correction_guardrail(spark, d):
-    return R.corrections_rule(_with_ai(docs(spark, d)), _corrections(spark, d), "correction_guardrail")
+    rows = docs_with_first(spark, d)
+    return R.corrections_rule(_with_ai(rows), _corrections(rows), "correction_guardrail")
 
 
 def results(spark, d):
     """The nine rules over one set of current documents."""
-    rows = _scoped(_with_ai(stored(docs(spark, d))))
+    rows = _scoped(_with_ai(stored(docs_with_first(spark, d))))
     _, decisions = _decided(rows)
-    return R.assess(rows, thresholds(spark), decisions, _corrections(spark, d), weekly_documents=2, weekly_totals={"INR": 6000})
+    return R.assess(rows, thresholds(spark), decisions, _corrections(rows), weekly_documents=2, weekly_totals={"INR": 6000})
 
 
 def all_sql() -> str:

@@ -88,9 +88,12 @@ def edited_roots(spark, d):
     return D.edit_corrections(rows.select("document_id", F.parse_json(fields).alias("fields")), edits, "document_id")
 
 
-@query("U4_key_union", f"WITH {VERSIONS}, k AS (SELECT DISTINCT document_id, version FROM versions WHERE version <= 2) SELECT document_id, count(*) * 4 // count(*) AS n_paths FROM k GROUP BY 1")
+@query("U4_key_union", f"WITH {VERSIONS} SELECT document_id, 4 + max((version = 1 AND document_id % 2 = 1)::INT) + max((version = 2 AND document_id % 3 = 0)::INT) + max((version = 1 AND document_id % 5 = 0 OR version = 2 AND document_id % 7 = 0)::INT) AS n_paths FROM versions WHERE version <= 2 GROUP BY 1")
 def key_union(spark, d):
-    leaves = P.flatten(_json(spark, d, 1), "document_id", "body").select("document_id", "path").unionByName(P.flatten(_json(spark, d, 2), "document_id", "body").select("document_id", "path"))
+    """Paths that either version has: one of the first only, one of the second only, one that both can have, beside the four of all."""
+    k, added = F.col("document_id"), lambda name, on: F.when(on, f',"{name}":1').otherwise("")
+    body = lambda n, *more: P.flatten(_json(spark, d, n).select("document_id", F.concat(F.regexp_replace("body", r"\}$", ""), *more, F.lit("}")).alias("body")), "document_id", "body").select("document_id", "path")
+    leaves = body(1, added("first", k % 2 == 1), added("both", k % 5 == 0)).unionByName(body(2, added("second", k % 3 == 0), added("both", k % 7 == 0)))
     return leaves.groupBy("document_id").agg(F.count_distinct("path").alias("n_paths"))
 
 

@@ -5,7 +5,7 @@ A line item is a version of an expense document, an order its claim, a customer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,10 @@ def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     made = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.withColumn("version", F.row_number().over(made)).withColumn("is_last", F.lead(F.lit(1)).over(made).isNull())
+    return joined.withColumn("version", F.row_number().over(made)).withColumn("is_last", F.lead(F.lit(1)).over(made).isNull()).withColumn("first_quantity", F.first("l_quantity").over(made))
 
 
-def _described(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+def _described(spark: SparkSession, sf_dir: str, rows: DataFrame, *more: Column) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     joined = rows.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
@@ -39,6 +39,7 @@ def _described(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
         F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
         F.col("l_discount").cast("decimal(4,2)").alias("confidence"),
         F.to_date("o_orderdate").alias("created_on"),
+        *more,
     )
 
 
@@ -61,3 +62,8 @@ DOCS = VERSIONS + ",\ndocs AS (SELECT * FROM versions QUALIFY row_number() OVER
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest version of each document; the others are left before anything else is joined."""
     return _described(spark, sf_dir, _made(spark, sf_dir).where("is_last"))
+
+
+def docs_with_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs() with first_amount, the amount of the first version, from the same pass."""
+    return _described(spark, sf_dir, _made(spark, sf_dir).where("is_last"), (F.col("first_quantity") * 100).cast("decimal(12,2)").alias("first_amount"))
