@@ -12,7 +12,6 @@ of another label only if the bounds meet one of its windows of scores. Anchors t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
