@@ -6,8 +6,8 @@ and a block, interval arithmetic bounds all inner products with the block's rows
 
     sum_d min(a_d lo_d, a_d hi_d)  <=  <a, v>  <=  sum_d max(a_d lo_d, a_d hi_d)
 
-An anchor reads a block of its own label only if the upper bound reaches a score that enough rows are known to reach, and a block
-of another label only if the bounds meet one of its windows of scores. Anchors that lie near each other share what they read.
+An anchor reads a block of its own label only if the upper bound reaches a score that enough rows are known to reach, by their bounds
+or in the anchor's own block, and a block of another label only if the bounds meet one of its windows of scores. Anchors that lie near each other share what they read.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import cut, read, written
 
 #: Rows of a block, blocks of a group that one task reads, anchors that are compared at a time, groups whose zone maps one task reads.
-BLOCK, GROUP, TOGETHER, ZONES = 256, 16, 1024, 64
+BLOCK, GROUP, TOGETHER, ZONES = 64, 64, 1024, 64
 #: Components and bits for each of the Hilbert curve; together they fit a long.
 AXES, BITS = 15, 4
 
 
 @dataclass(frozen=True)
-class Window100:
+class Settings:
     """How many positives and negatives, and the negative's share of the positive's score, in hundredths."""
 
     positives: int = 5
@@ -83,7 +83,7 @@ def bounds(anchors: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return products(up, lo) + products(down, hi), products(up, hi) + products(down, lo)
 
 
-def _edges(scores: pd.Series, w: int, window: Window100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _edges(scores: pd.Series, w: int, window: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the positive of place w: whether each anchor has one, and the ends of its window of scores, as columns."""
     has = np.array([len(x) > w for x in scores], bool)[:, None]
     of = np.array([x[w] if len(x) > w else 0 for x in scores], np.int64)[:, None]
@@ -129,7 +129,26 @@ def _zones(stored: DataFrame) -> DataFrame:
     return stored.select("z", "block", "label", "vector").groupBy("z").applyInPandas(zones, "z long, block long, label long, n long, lo array<long>, hi array<long>")
 
 
-def _reads(anchors: DataFrame, zones: DataFrame, groups: int, chunks: int, window: Window100, own: bool) -> DataFrame:
+def _seeds(window: Settings):
+    """Anchors with `seed`, the score of the last positive wanted within their own block, the least number there is where it has too few rows."""
+
+    def seeds(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, some in rows.groupby(["block", "label"]):
+            asks = some["anchor"].to_numpy()
+            if asks.any():
+                x = _matrix(some["vector"])
+                scores = products(x[asks], x)
+                scores[np.arange(asks.sum()), np.flatnonzero(asks)] = np.iinfo(np.int64).min
+                k = window.positives
+                last = np.partition(scores, -k, axis=1)[:, -k] if k <= len(some) else np.full(len(scores), np.iinfo(np.int64).min)
+                found.append(some.loc[asks, ["pid", "label", "gid", "id", "vector"]].assign(seed=last))
+        return pd.concat(found) if found else pd.DataFrame(columns=["pid", "label", "gid", "id", "vector", "seed"])
+
+    return seeds
+
+
+def _reads(anchors: DataFrame, zones: DataFrame, groups: int, chunks: int, window: Settings, own: bool) -> DataFrame:
     """(chunk, z, block, label) that some anchor of the chunk must read: of its own label for positives, of others for negatives."""
     span = -(-groups // ZONES)
     left = anchors.withColumn("zz", F.explode(F.sequence(F.lit(0), F.lit(span - 1))))
@@ -144,7 +163,7 @@ def _reads(anchors: DataFrame, zones: DataFrame, groups: int, chunks: int, windo
             same = some["label"].to_numpy()[:, None] == label[None, :]
             floor = np.iinfo(np.int64).min
             if own:  # a block of the label with enough rows besides the anchor gives a score that the last positive reaches
-                sure = np.where(same & (n > window.positives)[None, :], low, floor).max(axis=1, initial=floor)
+                sure = np.maximum(np.where(same & (n > window.positives)[None, :], low, floor).max(axis=1, initial=floor), some["seed"].to_numpy())
                 need |= (same & (up >= sure[:, None])).any(axis=0)
                 continue
             for w in range(window.positives):
@@ -177,7 +196,7 @@ def _first(groups: list[np.ndarray], scores: np.ndarray, ids: pd.Series, gids: n
     return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order)))) < k]
 
 
-def _positives(window: Window100):
+def _positives(window: Settings):
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out, vectors, label, gid = [], _matrix(b["vector"]), b["label"].to_numpy(), b["gid"].to_numpy()
         for k in range(0, len(a) if len(b) else 0, TOGETHER):
@@ -192,7 +211,7 @@ def _positives(window: Window100):
     return compare
 
 
-def _negatives(window: Window100):
+def _negatives(window: Settings):
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out, vectors, label, gid = [], _matrix(b["vector"]), b["label"].to_numpy(), b["gid"].to_numpy()
         for k in range(0, len(a) if len(b) else 0, TOGETHER):
@@ -220,7 +239,7 @@ def whole(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long"))
 
 
-def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", window: Window100 | None = None) -> DataFrame:
+def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", window: Settings | None = None) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows where `anchor` holds.
 
     A row takes no part if its label, its vector or a component is null, or a component is not finite. Positives are the first rows
@@ -233,16 +252,16 @@ def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: st
     No partners are capped: every block that the bounds can't rule out is read whole. Rows of a task are bounded by BLOCK, GROUP and
     the anchors of a chunk; a hot label is many blocks.
     """
-    window = window or Window100()
+    window = window or Settings()
     fine = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     given = given.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", fine)).withColumn("vector", whole(F.col("vector")))
     stored, groups, parts = _ordered(given)
     zones = written(_zones(stored), "zones")
-    asking = stored.where("anchor")
-    merged = max(1, parts * TOGETHER // max(1, asking.count()))  # partitions whose anchors make a chunk
+    asking = stored.groupBy("z").applyInPandas(_seeds(window), "pid long, label long, gid long, id long, vector array<long>, seed long")
+    merged = max(1, parts * TOGETHER // max(1, stored.where("anchor").count()))  # partitions whose anchors make a chunk
     chunks = -(-parts // merged)
-    asking = cut(asking.select(F.floor(F.col("pid") / merged).cast("int").alias("chunk"), "label", "gid", "id", "vector"))
+    asking = cut(asking.select(F.floor(F.col("pid") / merged).cast("int").alias("chunk"), "label", "gid", "id", "vector", "seed"))
 
     found = _read(asking, stored, _reads(asking, zones, groups, chunks, window, own=True), _positives(window), "anchor long, gid long, id long, score long")
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("id"), "gid"))
