@@ -6,7 +6,7 @@ of the languages whose stop words are known, the share of short words stands for
 linked text is bad unless dense prose holds it. Pass two gives the ambiguous ones the label of their nearest decided neighbours.
 The element that a block stands in has two says only: blocks of navigation, forms, adverts and comments are never good, nor are
 those beside a page's main element; and where neighbours disagree or are missing, a block of the main element is good. A page
-of which nothing was decided is its short blocks. Good blocks are joined in page order.
+of which nothing was decided is its short blocks that have a letter or digit. Good blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -271,7 +271,7 @@ def _second_pass(found: list[_Block], framed: bool) -> None:
         elif b.heading and decided:
             b.label, by = "good" if pair[1] == "good" else "bad", "neighbours"
         else:
-            b.label, by = "good" if around == {"good", None} or not decided and not b.away else "bad", "neighbours"
+            b.label, by = "good" if around == {"good", None} or not decided and not b.away and any(map(str.isalnum, b.text)) else "bad", "neighbours"
         b.by = by
 
 
