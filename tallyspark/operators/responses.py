@@ -126,34 +126,34 @@ def evidence_numbers(json: Column) -> Column:
     return F.array_distinct(F.concat(S.numbers_in(words), S.numbers_in(F.translate(rest, ",", " ")), sizes))
 
 
-def grounded(answer: Column, rules: Column) -> Column:
-    """struct(summary, failure) of a narrative, a JSON object with summary and rules_referenced, given all rules' results.
+def grounded(rows: DataFrame, answer: str, rules: str) -> DataFrame:
+    """rows with summary and failure of a narrative, a JSON object with summary and rules_referenced, given all rules' results.
 
     rules: array of struct(rule_id, status, reason, evidence: JSON). Failures, in order: not_json, no_summary, no_rules (none declared),
     unfired_rule:name (declared, but not fired), mentions:name (an unfired rule's name or a phrase that speaks of it), stray_number:n (the
-    least that is in no reason or evidence of a fired rule, nor the length of a list there).
+    least that is in no reason or evidence of a fired rule, nor the length of a list there). Each part is a column, so it is computed once.
     """
-    v = F.try_parse_json(answer)
+    v = F.col("_v")
     text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
-    summary = F.nullif(S.strip(text("$.summary")), F.lit(""))
-    fired = F.filter(rules, lambda r: r["status"] == "fired")
-    names = F.transform(fired, lambda r: r["rule_id"])
     declared = F.when(F.schema_of_variant(F.try_variant_get(v, "$.rules_referenced", "variant")).startswith("ARRAY"), F.try_variant_get(v, "$.rules_referenced", "array<string>"))
-    unfired = F.get(F.filter(declared, lambda n: ~F.coalesce(F.array_contains(names, n), F.lit(False))), F.lit(0))
-    lowered = F.lower(summary)
-    speaks = lambda rule: F.lit(False) | F.contains(lowered, F.lit(rule)) | reduce(lambda a, p: a | F.contains(lowered, F.lit(p)), T.RULE_PHRASES[rule], F.lit(False))
-    mentioned = F.coalesce(*[F.when(~F.coalesce(F.array_contains(names, rule), F.lit(False)) & speaks(rule), F.lit(rule)) for rule in T.RULE_PHRASES])
-    known = F.concat(F.flatten(F.transform(fired, lambda r: F.concat(S.numbers_in(F.coalesce(r["reason"], F.lit(""))), evidence_numbers(F.coalesce(r["evidence"], F.lit("{}")))))), F.array(F.size(fired).cast("decimal(30,4)")))
-    stray = F.array_min(F.array_except(S.numbers_in(summary), known))
+    staged = rows.withColumn("_v", F.try_parse_json(F.col(answer))).withColumn("_fired", F.filter(rules, lambda r: r["status"] == "fired"))
+    staged = staged.withColumn("_summary", F.nullif(S.strip(text("$.summary")), F.lit(""))).withColumn("_declared", declared).withColumn("_names", F.transform("_fired", lambda r: r["rule_id"]))
+    known = F.flatten(F.transform("_fired", lambda r: F.concat(S.numbers_in(F.coalesce(r["reason"], F.lit(""))), evidence_numbers(F.coalesce(r["evidence"], F.lit("{}"))))))
+    staged = staged.withColumn("_lowered", F.lower("_summary")).withColumn("_known", F.concat(known, F.array(F.size("_fired").cast("decimal(30,4)"))))
+    absent = lambda n: ~F.coalesce(F.array_contains("_names", n), F.lit(False))
+    speaks = lambda rule: reduce(lambda x, p: x | F.contains("_lowered", F.lit(p)), T.RULE_PHRASES[rule], F.contains("_lowered", F.lit(rule)))
+    mentioned = F.coalesce(*[F.when(absent(F.lit(rule)) & speaks(rule), F.lit(rule)) for rule in T.RULE_PHRASES])
+    staged = staged.withColumn("_mentioned", mentioned).withColumn("_unfired", F.filter("_declared", absent)).withColumn("_stray", F.array_min(F.array_except(S.numbers_in(F.col("_summary")), F.col("_known"))))
     failure = (
         F.when(v.isNull(), "not_json")
-        .when(summary.isNull(), "no_summary")
-        .when(F.coalesce(F.size(declared), F.lit(0)) <= 0, "no_rules")
-        .when(F.exists(declared, lambda n: ~F.coalesce(F.array_contains(names, n), F.lit(False))), F.concat(F.lit("unfired_rule:"), F.coalesce(unfired, F.lit(""))))
-        .when(mentioned.isNotNull(), F.concat(F.lit("mentions:"), mentioned))
-        .when(stray.isNotNull(), F.concat(F.lit("stray_number:"), F.regexp_replace(stray.cast("string"), r"\.?0+$", "")))
+        .when(F.col("_summary").isNull(), "no_summary")
+        .when(F.coalesce(F.size("_declared"), F.lit(0)) <= 0, "no_rules")
+        .when(F.size("_unfired") > 0, F.concat(F.lit("unfired_rule:"), F.coalesce(F.get("_unfired", F.lit(0)), F.lit(""))))
+        .when(F.col("_mentioned").isNotNull(), F.concat(F.lit("mentions:"), "_mentioned"))
+        .when(F.col("_stray").isNotNull(), F.concat(F.lit("stray_number:"), F.regexp_replace(F.col("_stray").cast("string"), r"\.?0+$", "")))
     )
-    return F.struct(F.when(failure.isNull(), summary).alias("summary"), failure.alias("failure"))
+    staged = staged.withColumn("failure", failure)
+    return staged.select(*rows.columns, F.when(F.col("failure").isNull(), F.col("_summary")).alias("summary"), "failure")
 
 
 def id_cover(given: Column, wanted: Column) -> Column:

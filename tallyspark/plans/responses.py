@@ -88,7 +88,8 @@ def grounded(spark, d):
     evidence = F.when(k == 6, F.format_string('{"user":"%d"}', u)).otherwise(F.format_string('{"documents":["a","b",{"x":[]}],"amount":{"total":%d}}', e))
     rule = lambda name, status, reason, json: F.struct(F.lit(name).alias("rule_id"), F.lit(status).alias("status"), F.lit(reason).alias("reason"), json.alias("evidence"))
     rules = F.array(rule("velocity", "fired", "since 2026-07-08", evidence), rule("duplicate_same_employee", "fired", "3 apart", F.lit("{}")), rule("round_number", "clear", "", F.lit('{"n":99999}')))
-    return table(spark, d, "events").select("event_id", V.grounded(answer, rules).alias("g")).select("event_id", "g.failure", F.md5("g.summary").alias("digest"))
+    rows = table(spark, d, "events").select("event_id", answer.alias("answer"), rules.alias("rules"))
+    return V.grounded(rows, "answer", "rules").select("event_id", "failure", F.md5("summary").alias("digest"))
 
 
 @query("V10_id_cover", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE '' END AS missing, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE '' END AS unexpected FROM orders")

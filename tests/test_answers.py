@@ -22,7 +22,7 @@ NARRATIVES = [
 def test_grounding(spark):
     told = lambda a: json.dumps({"summary": a, "rules_referenced": ["duplicate_same_employee"]}) if a[0].isupper() else a
     rows = spark.createDataFrame([(k, told(a), RULES) for k, (a, _) in enumerate(NARRATIVES)], "k int, a string, rules array<struct<rule_id:string,status:string,reason:string,evidence:string>>")
-    got = {r.k: r.g for r in rows.select("k", V.grounded(F.col("a"), F.col("rules")).alias("g")).collect()}
+    got = {r.k: r for r in V.grounded(rows, "a", "rules").collect()}
     assert [got[k].failure for k in range(len(NARRATIVES))] == [w for _, w in NARRATIVES]
     assert got[11].summary == NARRATIVES[11][0] and got[0].summary is None
 
