@@ -107,17 +107,19 @@ def _placed(pivots: np.ndarray, reach: float, visits: bool):
     return place
 
 
-def leak_candidates(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int = 256) -> tuple[DataFrame, DataFrame]:
+def leak_candidates(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(visits, members): training rows and held rows with the (cell, band) in which pairs over the limit meet, each pair in one.
 
-    An index by the triangle inequality on angles. Up to `pivots` held vectors, of least hash, are pivots: a bounded sample, which decides the
-    work and never the result. A held vector stands in the cell of its nearest pivot, in a band of its angle to it. With the limit's angle
+    An index by the triangle inequality on angles. Up to `pivots` held vectors (one for each 64, at most 256, unless given), of least hash, are
+    pivots: a bounded sample, which decides the work and never the result. A held vector stands in the cell of its nearest pivot, in a band of its angle to it. With the limit's angle
     r, a training vector visits a cell only if its angle to the pivot is within 2r of that to its own nearest pivot, and
     there the bands within r of that angle.
     """
     reach = float(np.arccos(np.clip(limit, -1, 1))) or 1e-9
     usable = lambda side: side.where("v IS NOT NULL").where(F.exists("v", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     held = usable(held)
+    if pivots is None:
+        pivots = min(256, max(1, held.limit(256 * 64).count() // 64))
     some = held.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     base = _unit(np.array([r.v for r in some])) if some else np.zeros((0, 1))
     members = held.mapInPandas(_placed(base, reach, False), _CELL) if some else held.select("*", F.lit(0).alias("cell"), F.lit(0).alias("band"))
@@ -125,7 +127,7 @@ def leak_candidates(train: DataFrame, held: DataFrame, limit: float = 0.95, pivo
     return visits, members
 
 
-def compared_pairs(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int = 256) -> DataFrame:
+def compared_pairs(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int | None = None) -> DataFrame:
     """compared, the pairs that cosine_leaks() multiplies out, and possible, all pairs there are."""
     visits, members = leak_candidates(train, held, limit, pivots)
     per = lambda side, name: side.groupBy("cell", "band").agg(F.count(F.lit(1)).alias(name))
@@ -133,7 +135,7 @@ def compared_pairs(train: DataFrame, held: DataFrame, limit: float = 0.95, pivot
     return met.withColumn("possible", F.lit(train.count() * held.count()))
 
 
-def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 20_000, pivots: int = 256) -> DataFrame:
+def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 20_000, pivots: int | None = None) -> DataFrame:
     """(train_id, held_id, cosine) over the limit, exactly. Columns: id, v (array of double, of one length).
 
     Rows meet in the cells and bands of leak_candidates(), by an equi-join. A cell and band with over `block` rows is cut into blocks by a hash, each
