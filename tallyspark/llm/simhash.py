@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tallyspark.llm.common import cut, read
+from tallyspark.llm.common import cut, read, written
 from tallyspark.llm.components import components
+from tallyspark.llm.similarity import linked
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct fingerprints that one task compares with one another at most, about; larger buckets are dealt out as pairs of blocks.
@@ -142,9 +143,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+def _text_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """(h, component_id) over the links of the fingerprints and those of all pairs of texts that are similar enough."""
+    texts = prints.join(groups, "print").select("h", "component_id").distinct()
+    hubs = texts.groupBy("component_id").agg(F.min("h").alias("v"))
+    known = written(texts.join(hubs, "component_id").where("h <> v").select(F.col("h").alias("u"), "v"), "known")  # Spark cannot unite a checkpoint of renamed columns
+    found = linked(docs.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")), known, threshold)
+    return prints.select("h").distinct().join(found, F.col("h") == F.col("node"), "left").select("h", F.coalesce("component", "h").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each group of near-duplicates, that with the least id, with all its columns, whatever their names.
 
+    With `similarity`, texts whose sets of five-word shingles are at least that similar are linked too, every such pair: a
+    radius of few bits misses most edited copies, and one that covers them needs buckets of a large share of all rows.
+
     Of rows with equal ids the one with the least fingerprint and then the least hash of its text counts, in a group and
     among the groups' first rows, so an id stays once at most. Rows without an id are members like others, and link others; one of them stays only where no row of the group has an id. Null
     and empty texts are one group. An empty table gives an empty one.
@@ -155,8 +168,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     key = lambda t: [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k"), F.col(id_col).isNull().alias("bare"), F.xxhash64(t).alias("h")]
     prints = cut(docs.select(*key(F.col(text_col)), _fingerprints(F.col(text_col)).alias("print")).groupBy("k", "bare", "h", "print").agg(F.count(F.lit(1)).alias("times")))
     groups = hamming_components(prints.select(F.col("print").alias("id"), "print"), radius)
+    if similarity:
+        groups, member = _text_groups(docs, prints, groups, text_col, similarity), "h"
+    else:
+        member = "print"
     least = F.min(F.struct("bare", "k", "print", "h", "times")).alias("first")
-    firsts = prints.groupBy("print").agg(least).join(groups, "print").groupBy("component_id").agg(F.min("first").alias("first")).select("first.*")
+    firsts = prints.groupBy(member).agg(least).join(groups, member).groupBy("component_id").agg(F.min("first").alias("first")).select("first.*")
     named = firsts.where("NOT bare").groupBy("k").agg(F.min(F.struct("print", "h", "times")).alias("f")).select("k", F.lit(False).alias("bare"), "f.h", "f.times")
     stay = cut(named.union(firsts.where("bare").select("k", "bare", "h", "times")))
     keys = ["k", "bare", "h"]

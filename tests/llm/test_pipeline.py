@@ -9,6 +9,7 @@ from tallyspark.llm import decontamination, pii, quality_fm
 
 from test_brute_force import WORD, plain_components, plain_print, vocabulary
 from test_mixing import brute_targets
+from test_similarity import plain_groups
 
 
 def test_run_equals_plain_stages(spark, tmp_path):
@@ -40,8 +41,11 @@ def test_run_equals_plain_stages(spark, tmp_path):
     machine = quality_fm.train(frame, labels)
     kept = [d for d in docs if machine.score([quality_fm.features(d[1], quality_fm.Settings.words)])[0] >= 0.3]
     assert {d[0] for d in docs} - {d[0] for d in kept} == {k for k, good, _ in quality if not good}
-    first = plain_components([d[0] for d in kept], [plain_print(d[1]) for d in kept])
-    single = [d for d in kept if first[d[0]] == d[0]]
+    prints = [plain_print(d[1]) for d in kept]
+    near = lambda a, b: bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= 3
+    first = plain_groups([d[1] for d in kept], links=near)
+    single = [d for k, d in enumerate(kept) if first[k] == k]
+    assert len(single) < len({c for c in plain_components(range(len(kept)), prints).values()})
     assert len(single) < len(kept) - 10
 
     def leaked(text):
