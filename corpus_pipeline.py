@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each group."""
-    return simhash.keep_one(docs)
+    """The row with the least id of each group, over links by fingerprints and by a five-word similarity of 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
