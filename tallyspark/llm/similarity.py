@@ -132,16 +132,16 @@ def linked(texts: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFr
     """
     common = texts.sparkSession.sparkContext.broadcast(_common(texts))
     found = texts.mapInPandas(_prefixes(common, threshold), "key long, h long, n int, pos int")
-    key = Window.partitionBy("key")
-    first = F.first(F.struct("h", "n", "pos")).over(key.orderBy("h")).alias("first")
-    shared = cut(found.select("*", first, F.max("h").over(key).alias("last")).where("first.h <> last").drop("last"))
+    key, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("h")
+    found = found.select("*", F.first(F.struct("h", "n", "pos")).over(order).alias("first"), F.lag("h").over(order).alias("before"), F.max("h").over(key).alias("last"))
+    found = found.where("first.h <> last AND (before IS NULL OR before <> h)")
     near = _possible(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), threshold)
-    tried = cut(shared.where(near & (F.col("h") > F.col("first.h"))).select(F.col("h").alias("u"), F.col("first.h").alias("v")).distinct())
+    shared = written(found.select("key", "h", "n", "pos", F.when(near & (F.col("h") > F.col("first.h")), F.col("first.h")).alias("first")), "shared")  # in order of keys and texts, which Parquet stores in a few bytes
+    tried = cut(shared.where("first IS NOT NULL").select(F.col("h").alias("u"), F.col("first").alias("v")).distinct())
     links = known.union(_verified(tried, texts, threshold))
     groups = components(links)
 
-    rows = shared.drop("first").distinct().join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "n", "pos", F.coalesce("component", "h").alias("c"))
-    rows = cut(rows)
+    rows = shared.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "n", "pos", F.coalesce("component", "h").alias("c"))
     apart = rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
     rows = rows.join(apart.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     left = rows.select("key", F.col("h").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
