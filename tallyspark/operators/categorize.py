@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -80,6 +80,7 @@ def classify(model, rows: DataFrame, features: str) -> DataFrame:
 
 
 _CELL = "id long, v array<double>, cell int, band int"
+_VISITS = 10_000  # rows with a vector that leave a Python worker at once
 
 
 def _placed(pivots: np.ndarray, reach: float, visits: bool):
@@ -102,29 +103,48 @@ def _placed(pivots: np.ndarray, reach: float, visits: bool):
             times = np.floor((at + reach + 1e-7) / reach).astype(int) - first + 1
             again = np.repeat(np.arange(len(row)), times)
             step = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({"id": rows["id"].to_numpy()[row[again]], "v": rows["v"].to_numpy()[row[again]], "cell": cell[again], "band": first[again] + step})
+            for k in range(0, max(len(again), 1), _VISITS):
+                some, on = again[k : k + _VISITS], step[k : k + _VISITS]
+                yield pd.DataFrame({"id": rows["id"].to_numpy()[row[some]], "v": rows["v"].to_numpy()[row[some]], "cell": cell[some], "band": first[some] + on})
 
     return place
 
 
+def _cost(pivots: np.ndarray, held: np.ndarray, train: np.ndarray, rows: int, reach: float) -> float:
+    """What a training vector costs with these pivots and `rows` held rows, in products; a visit is as dear as a thousand. Judged by sampled vectors."""
+    frame = lambda v: pd.DataFrame({"id": np.arange(len(v)), "v": list(v)})
+    members = next(_placed(pivots, reach, False)([frame(held)])).groupby(["cell", "band"]).size().rename("n")
+    visits = pd.concat([next(_placed(pivots, reach, True)([frame(train[k : k + 1])])) for k in range(len(train))])[["cell", "band"]]
+    return (visits.join(members, on=["cell", "band"])["n"].sum() / len(held) * rows + 1000 * len(visits)) / len(train)
+
+
 def leak_candidates(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(visits, members): training rows and held rows with the (cell, band) in which pairs over the limit meet, each pair in one.
 
-    An index by the triangle inequality on angles. Up to `pivots` held vectors (one for each 64, at most 256, unless given), of least hash, are
+    An index by the triangle inequality on angles. Up to `pivots` held vectors (at most one for each 64 and 256, unless given), of least hash, are
     pivots: a bounded sample, which decides the work and never the result. A held vector stands in the cell of its nearest pivot, in a band of its angle to it. With the limit's angle
     r, a training vector visits a cell only if its angle to the pivot is within 2r of that to its own nearest pivot, and
-    there the bands within r of that angle.
+    there the bands within r of that angle. 256 vectors of each side tell how many pivots cost least; where none save what their visits cost, as on
+    spread vectors, all rows are in one cell.
     """
     reach = float(np.arccos(np.clip(limit, -1, 1))) or 1e-9
     usable = lambda side: side.where("v IS NOT NULL").where(F.exists("v", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    held = usable(held)
+    held, train = usable(held), usable(train)
+    least = lambda side, n: [r.v for r in side.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()]
     if pivots is None:
-        pivots = min(256, max(1, held.limit(256 * 64).count() // 64))
-    some = held.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
-    base = _unit(np.array([r.v for r in some])) if some else np.zeros((0, 1))
-    members = held.mapInPandas(_placed(base, reach, False), _CELL) if some else held.select("*", F.lit(0).alias("cell"), F.lit(0).alias("band"))
-    visits = usable(train).mapInPandas(_placed(base, reach, True), _CELL) if some else usable(train).select("*", F.lit(0).alias("cell"), F.lit(0).alias("band"))
-    return visits, members
+        rows = held.count()
+        n = min(256, max(1, rows // 64))
+        near, far = least(held, n + 256), least(train, 256)
+        base = _unit(np.array(near[:n])) if near else np.zeros((0, 1))
+        costs = {k: _cost(base[:k], np.array(near[n:]), np.array(far), rows, reach) for k in {max(1, n >> i) for i in range(9)}} if len(near) > n and far else {0: rows}
+        best = min(costs, key=lambda k: (costs[k], k))
+        base, indexed = base[:best], costs[best] < rows
+    else:
+        some = least(held, pivots)
+        base, indexed = _unit(np.array(some)) if some else np.zeros((0, 1)), bool(some)
+    if not indexed:
+        return tuple(side.select("*", F.lit(0).alias("cell"), F.lit(0).alias("band")) for side in (train, held))
+    return train.mapInPandas(_placed(base, reach, True), _CELL), held.mapInPandas(_placed(base, reach, False), _CELL)
 
 
 def compared_pairs(train: DataFrame, held: DataFrame, limit: float = 0.95, pivots: int | None = None) -> DataFrame:
@@ -135,35 +155,67 @@ def compared_pairs(train: DataFrame, held: DataFrame, limit: float = 0.95, pivot
     return met.withColumn("possible", F.lit(train.count() * held.count()))
 
 
-def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 20_000, pivots: int | None = None) -> DataFrame:
+def cosine_leaks(train: DataFrame, held: DataFrame, limit: float = 0.95, block: int = 10_000, pivots: int | None = None) -> DataFrame:
     """(train_id, held_id, cosine) over the limit, exactly. Columns: id, v (array of double, of one length).
 
-    Rows meet in the cells and bands of leak_candidates(), by an equi-join. A cell and band with over `block` rows is cut into blocks by a hash, each
-    pair of which is a task of its own, so no task holds a whole hot cell. Rows without a vector, or with zeros only, match nothing.
+    Rows meet in the cells and bands of leak_candidates(). A cell and band with over `block` rows is cut into blocks by a hash, each
+    pair of which is dealt out on its own. A task reads sorted rows and holds the held rows of one block, beside which training rows stream
+    by, and their hits leave it in parts. Rows without a vector, or with zeros only, match nothing.
     """
     visits, members = leak_candidates(train, held, limit, pivots)
     visits, members = stored(visits), stored(members)
     place = ["cell", "band"]
     count = lambda side, n: side.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
-    sizes = stored(count(members, "bn").join(count(visits, "an"), place))
+    sizes = small(stored(count(members, "bn").join(count(visits, "an"), place)))
 
-    def dealt(side: DataFrame, name: str, own: str, n: str, other: str, m: str) -> DataFrame:
+    def dealt(side: DataFrame, number: int, own: str, n: str, other: str, m: str) -> DataFrame:
         rows = side.join(sizes, place)
-        return rows.select(*place, F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"), F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
-
-    def compare(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"train_id": [], "held_id": [], "cosine": []})
-        left, right, found = _unit(np.stack(a["train_v"])), _unit(np.stack(b["held_v"])), []
-        for k in range(0, len(left), 1000):
-            cosine = left[k : k + 1000] @ right.T
-            t, h = np.nonzero(cosine > limit)
-            found.append(pd.DataFrame({"train_id": a["train_id"].to_numpy()[t + k], "held_id": b["held_id"].to_numpy()[h], "cosine": cosine[t, h]}))
-        return pd.concat(found)
+        return rows.select(*place, F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other), F.lit(number).alias("side"), "id", "v")
 
     key = [*place, "t", "h"]
-    sides = dealt(visits, "train", "t", "an", "h", "bn").groupBy(*key).cogroup(dealt(members, "held", "h", "bn", "t", "an").groupBy(*key))
-    return sides.applyInPandas(compare, "train_id long, held_id long, cosine double")
+    sides = dealt(members, 0, "h", "bn", "t", "an").unionByName(dealt(visits, 1, "t", "an", "h", "bn"))
+    rows = sides.repartition(*key).sortWithinPartitions(*key, "side")
+    return rows.mapInPandas(_over(limit, [*key, "side"]), "train_id long, held_id long, cosine double")
+
+
+def _over(limit: float, order: list[str], most: int = 1_000_000):
+    """Pairs over the limit of rows that come sorted: a block's held rows (side 0), then its training rows. At most `most` products are held at once."""
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, held, found, n = None, [], None, [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            marks, ids, v = batch[order].to_numpy(), batch["id"].to_numpy(), _unit(np.stack(batch["v"]))
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), len(marks)]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                *here, side = marks[first]
+                if at != here:
+                    at, parts, held = here, [], None
+                if side == 0:
+                    parts.append((ids[first:end], v[first:end]))
+                    continue
+                if not parts:
+                    continue
+                if held is None:
+                    held = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+                step = max(1, most // len(held[0]))
+                for k in range(first, end, step):
+                    cosine = v[k : min(k + step, end)] @ held[1].T
+                    t, h = np.nonzero(cosine > limit)
+                    found.append((ids[k + t], held[0][h], cosine[t, h]))
+                    n += len(t)
+                    if n >= 100_000 or len(found) >= 1000:
+                        yield _hits(found)
+                        found, n = [], 0
+        if found:
+            yield _hits(found)
+
+    return meet
+
+
+def _hits(found: list) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("train_id", "held_id", "cosine"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
 
 
 def training_run(train: DataFrame, held: DataFrame, features: str, label: str, path: str, key: str = "id", limit: float = 0.95) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from datetime import date
 from decimal import Decimal as D
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,27 @@ def test_pruned_leaks_equal_all_pairs(spark):
     assert C.cosine_leaks(train, held.limit(0)).collect() == [] and C.cosine_leaks(train.limit(0), held).collect() == []
 
 
+def test_leaks_of_spread_vectors_are_not_copied_to_cells(spark):
+    """Pivots save nothing on spread vectors, so no row is multiplied; on clustered ones they cost less than all products."""
+    rng = np.random.default_rng(9)
+    frame = lambda v: spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    spread = frame(rng.normal(size=(3000, 24)))
+    visits, members = C.leak_candidates(spread.where("id % 2 = 1"), spread.where("id % 2 = 0"), 0.25)
+    assert visits.count() == members.count() == 1500 and visits.select("cell", "band").distinct().count() == 1
+    centres = C._unit(rng.normal(size=(12, 24)))
+    near = C._unit(np.repeat(centres, 20, axis=0) + 0.02 * rng.normal(size=(240, 24)))
+    assert C._cost(centres, near[::2], near[1::2], 100_000, 0.2) < 50_000 < 100_000 < C._cost(centres, C._unit(rng.normal(size=(99, 24))), near, 100_000, 1.5)
+
+
+def test_hits_of_copies_leave_in_parts():
+    """400 copies on each side, all pairs of which are hits: no part holds them all, and none is lost."""
+    rows = pd.DataFrame({"cell": 0, "band": 0, "t": 0, "h": 0, "side": [0] * 400 + [1] * 400, "id": range(800), "v": [np.ones(3)] * 800})
+    parts = list(C._over(0.9, ["cell", "band", "t", "h", "side"], most=20_000)([rows[:150], rows[150:500], rows[500:]]))
+    assert max(len(p) for p in parts) <= 120_000 and len(parts) > 1
+    assert {(t, h) for p in parts for t, h in zip(p["train_id"], p["held_id"], strict=True)} == {(t, h) for t in range(400, 800) for h in range(400)}
+    assert sum(len(p) for p in parts) == 160_000
+
+
 def test_training_run(spark, tmp_path):
     from pyspark.ml.classification import LogisticRegressionModel
 
