@@ -20,9 +20,9 @@ def results(spark, d):
     """A file for each object; the outer object's type fills a missing inner one."""
     path = readers.scratch(spark)
     inner = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "fuel_receipt").alias("document_type"))
-    rows = table(spark, d, "supplier").select("s_suppkey", F.lit("other").alias("document_type"), inner.alias("clean_json"))
-    rows.write.partitionBy("s_suppkey").json(path)
-    return readers.results(spark, f"{path}/*/*.json", "document_type string, clean_json struct<id:string,document_type:string>").select("clean_json.id", "clean_json.document_type")
+    rows = table(spark, d, "supplier").select(F.lit("other").alias("document_type"), inner.alias("clean_json"))
+    sinks.object_files(rows, path)
+    return readers.results(spark, path, "document_type string, clean_json struct<id:string,document_type:string>").select("clean_json.id", "clean_json.document_type")
 
 
 @query("S2_samples", "SELECT event_id FROM events WHERE event_id % 3 <> 0")

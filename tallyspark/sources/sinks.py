@@ -10,6 +10,12 @@ def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def object_files(rows: DataFrame, path: str, size: int = 1000) -> None:
+    """A JSON file for each row, all in one folder. Tasks write about `size` files each and move them into the folder themselves, not the driver one by one."""
+    tasks = max(1, -(-rows.count() // size))
+    rows.repartition(tasks).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
+
+
 def append_versions(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
     """Appends the tables of one run, each row marked with the run; the run itself is published last, so that readers see all tables or none."""
     for name, rows in tables.items():
