@@ -84,8 +84,7 @@ def totals_by_currency(spark, d):
 @query("A2_claim_total", f"""WITH {DOCS}, t AS (SELECT claim_id, coalesce(currency, 'unknown') AS c, sum(amount) AS total FROM docs WHERE doc_status = 'confirmed' AND amount IS NOT NULL GROUP BY ALL)
   SELECT k.claim_id, CAST(CASE count(c) WHEN 0 THEN 0 WHEN 1 THEN max(total) END AS DECIMAL(22,2)) AS total_amount, CASE count(c) WHEN 0 THEN 'INR' WHEN 1 THEN max(c) END AS currency FROM (SELECT DISTINCT claim_id FROM docs) k LEFT JOIN t USING (claim_id) GROUP BY k.claim_id""")
 def claim_total(spark, d):
-    rows = docs(spark, d)
-    return V.collapsed_totals(rows, V.totals_by_currency(rows))
+    return V.claim_totals(docs(spark, d))
 
 
 @query("A3_document_count", f"WITH {DOCS} SELECT o_orderkey AS claim_id, count(document_id) AS n_documents FROM orders LEFT JOIN (SELECT * FROM docs WHERE doc_status <> 'confirmed') ON o_orderkey = claim_id GROUP BY 1")
