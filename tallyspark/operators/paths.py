@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 
+_NODES = "array<struct<path: string, v: variant>>"
+
 
 def flatten(rows: DataFrame, key: str, json: str, depth: int = 3, cut: int = 160) -> DataFrame:
     """(key, path, value) of every leaf down to `depth` levels: a.b for fields, a[0] for items, strings cut to `cut` characters and "...".
 
-    A level's values are leaves if they are neither objects nor arrays; what is deeper than `depth` stays as JSON text.
+    A level's values are leaves if they are neither objects nor arrays; what is deeper than `depth` stays as JSON text. A row is read
+    once: finished leaves are carried along while the others are opened, level by level.
     """
-    level = rows.select(key, F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v"))
-    leaves = []
-    for k in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        text = F.when(kind != "VOID", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
-        short = F.when(F.length(text) > cut, F.concat(F.left(text, F.lit(cut)), F.lit("..."))).otherwise(text)
-        leaves.append(level.where((F.col("path") != "") & (F.lit(True) if k == depth else ~nested)).select(key, "path", short.alias("value")))
-        if k < depth:
-            fields = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v"))
-            items = level.where(kind.startswith("ARRAY")).select(key, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "v"))
-            dotted = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name"))
-            level = fields.select(key, dotted.alias("path"), "v").unionByName(items.select(key, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), "v"))
-    return reduce(DataFrame.unionByName, leaves)
+    node = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    path, v = F.col("n.path"), F.col("n.v")
+    level = rows.select(key, node(F.lit(""), F.try_parse_json(F.col(json))).alias("n")).where(v.isNotNull())
+    dotted = lambda name: F.when(path == "", name).otherwise(F.concat_ws(".", path, name))
+    for _ in range(depth):
+        fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: node(dotted(e["key"]), e["value"]))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
+        kind = F.schema_of_variant(v)
+        level = level.select(key, F.explode(F.when(kind.startswith("OBJECT"), fields).when(kind.startswith("ARRAY"), items).otherwise(F.array("n")).cast(_NODES)).alias("n"))
+    kind = F.schema_of_variant(v)
+    text = F.when(kind != "VOID", F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    short = F.when(F.length(text) > cut, F.concat(F.left(text, F.lit(cut)), F.lit("..."))).otherwise(text)
+    return level.where(path != "").select(key, path.alias("path"), short.alias("value"))
 
 
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
