@@ -46,15 +46,28 @@ def parse_amount(raw: Column) -> Column:
     return _value(*_body(raw))
 
 
+def _bodies(raws: Column) -> Column:
+    """_body of an array's elements. Inside a lambda nothing is shared between expressions, so each step has one of its own."""
+    return F.transform(F.transform(raws, _bare), lambda s: F.struct(*[c.alias(n) for c, n in zip(_signed(s), ("body", "negative"), strict=True)]))
+
+
 def parse_amounts(raws: Column) -> Column:
-    """parse_amount of an array's elements. Inside a lambda nothing is shared between expressions, so each step has one of its own."""
-    parts = F.transform(F.transform(raws, _bare), lambda s: F.struct(*[c.alias(n) for c, n in zip(_signed(s), ("body", "negative"), strict=True)]))
-    return F.transform(parts, lambda p: _value(p["body"], p["negative"]))
+    """parse_amount of an array's elements, step by step as _bodies()."""
+    return F.transform(_bodies(raws), lambda p: _value(p["body"], p["negative"]))
+
+
+def _unparseable(body: Column) -> Column:
+    return F.coalesce((body != "") & ~body.rlike(r"^[0-9,]*(\.[0-9]*)?$"), F.lit(False))
 
 
 def amount_unparseable(raw: Column) -> Column:
     body, _ = _body(raw)
-    return F.coalesce((body != "") & ~body.rlike(r"^[0-9,]*(\.[0-9]*)?$"), F.lit(False))
+    return _unparseable(body)
+
+
+def amounts_read(raws: Column) -> Column:
+    """Of an array's elements: value as parse_amount() gives it, and unparseable as amount_unparseable()."""
+    return F.transform(_bodies(raws), lambda p: F.struct(_value(p["body"], p["negative"]).alias("value"), _unparseable(p["body"]).alias("unparseable")))
 
 
 def odd_grouping(raw: Column) -> Column:

@@ -152,8 +152,9 @@ def item_amounts(spark, d):
 
     items = F.array(F.struct(F.lit("a").alias("name"), F.concat(F.lit("Rs. "), F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("total")), F.struct(F.lit("b").alias("name"), F.when(F.col("l_partkey") % 3 == 0, "RM 5").otherwise("5").alias("total")))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", items.alias("raw"))
-    rows = rows.withColumn("items", F.transform("raw", lambda i: i.withField("total", S.parse_amount(i["total"]))))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("items")[0]["total"].alias("first"), F.exists("raw", lambda i: S.amount_unparseable(i["total"])).alias("noted"))
+    rows = rows.withColumn("amounts", S.amounts_read(F.transform("raw", lambda i: i["total"])))
+    rows = rows.withColumn("items", F.zip_with("raw", "amounts", lambda i, a: i.withField("total", a["value"])))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("items")[0]["total"].alias("first"), F.exists("amounts", lambda a: a["unparseable"]).alias("noted"))
 
 
 @query("Q11_typed_claims", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_extendedprice END::DECIMAL(20,4) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'USD' ELSE 'INR' END AS currency, l_partkey % 5 = 0 AS fallback FROM lineitem")

@@ -19,6 +19,12 @@ def test_parse_amount(spark, text, value):
     assert one(spark, S.parse_amount(F.lit(text).cast("string"))) == (None if value is None else Decimal(value))
 
 
+def test_amounts_of_an_array_are_read_as_single_ones(spark):
+    texts = ["1,20,100.00", "Rs. 5", "(12.5)", "-3", ".", "RM 5", "€5", "", None, "1.2.3", "INR"]
+    one_ = [one(spark, F.struct(S.parse_amount(F.lit(t).cast("string")).alias("value"), S.amount_unparseable(F.lit(t).cast("string")).alias("unparseable"))) for t in texts]
+    assert one(spark, S.amounts_read(F.array(*[F.lit(t).cast("string") for t in texts]))) == one_
+
+
 @pytest.mark.parametrize("text, odd", [("1,20,100", False), ("120,100", False), ("12,3,456", True), ("1,2", True), ("12", False), ("1,234,567", False), ("12,34,567", False)])
 def test_grouping(spark, text, odd):
     assert one(spark, S.odd_grouping(F.lit(text))) is odd
