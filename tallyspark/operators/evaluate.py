@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,10 @@ def type_counts(scores: DataFrame, plausible: list[str]) -> DataFrame:
     return scores.where("success").groupBy("document_type").agg(F.count(F.lit(1)).alias("n")).withColumn("plausible", F.coalesce(F.col("document_type").isin(*plausible), F.lit(False)))
 
 
+#: Pairs of names whose similarity a task keeps.
+MEMO = 20_000
+
+
 def _ratio(a: str | None, b: str | None) -> float:
     a, b = a or "", b or ""
     if not a or not b:
@@ -165,38 +170,44 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def match_items(expected: DataFrame, found: DataFrame, least: float = 0.6) -> DataFrame:
-    """(doc, pos, name) tables -> matched, missed, extra per document. Each expected item, in order, takes the best item that is left: sequential in a document, parallel over documents.
-
-    Tasks read their documents one after the other from sorted rows, so that small documents cost no call each.
-    """
-    sides = expected.select("doc", F.lit(0).alias("side"), "pos", "name").unionByName(found.select("doc", F.lit(1).alias("side"), "pos", "name"))
+def _matching(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What match_items() does with a task's sorted rows."""
 
-    def greedy(wanted: list[str], left: list[str]) -> tuple[int, int, int]:
+    def greedy(score: Callable[[str, str], float], wanted: list[str], left: list[str]) -> tuple[int, int, int]:
         matched, left = 0, list(left)
         for name in wanted:
-            scores = [_ratio(name, x) for x in left]
+            scores = [score(name, x) for x in left]
             if scores and max(scores) >= least:
                 left.pop(scores.index(max(scores)))
                 matched += 1
         return matched, len(wanted) - matched, len(left)
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, names = None, ([], [])
+        score, doc, names = lru_cache(MEMO)(_ratio), None, ([], [])
         for batch in batches:
             out = []
             for d, side, name in zip(batch["doc"].tolist(), batch["side"].tolist(), batch["name"].tolist(), strict=True):
                 if doc is not None and d != doc:
-                    out.append((doc, *greedy(*names)))
+                    out.append((doc, *greedy(score, *names)))
                     names = ([], [])
                 doc = d
                 names[side].append(name)
             yield pd.DataFrame(out, columns=["doc", "matched", "missed", "extra"])
         if doc is not None:
-            yield pd.DataFrame([(doc, *greedy(*names))], columns=["doc", "matched", "missed", "extra"])
+            yield pd.DataFrame([(doc, *greedy(score, *names))], columns=["doc", "matched", "missed", "extra"])
 
+    return documents
+
+
+def match_items(expected: DataFrame, found: DataFrame, least: float = 0.6) -> DataFrame:
+    """(doc, pos, name) tables -> matched, missed, extra per document. Each expected item, in order, takes the best item that is left: sequential in a document, parallel over documents.
+
+    Tasks read their documents one after the other from sorted rows, so that small documents cost no call each, and keep the similarity of the pairs of
+    names that they met last, as names repeat between documents.
+    """
+    sides = expected.select("doc", F.lit(0).alias("side"), "pos", "name").unionByName(found.select("doc", F.lit(1).alias("side"), "pos", "name"))
     dealt = sides.where("doc IS NOT NULL").repartition("doc").sortWithinPartitions("doc", "side", "pos")
-    return dealt.mapInPandas(documents, "doc long, matched long, missed long, extra long")
+    return dealt.mapInPandas(_matching(least), "doc long, matched long, missed long, extra long")
 
 
 def awaiting(lines: DataFrame, key: str, order: str, alone: Column) -> DataFrame:

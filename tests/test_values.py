@@ -68,6 +68,14 @@ def test_greedy_matching(spark):
     assert got == want
 
 
+def test_a_task_compares_two_names_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "_ratio", lambda a, b: seen.append((a, b)) or ratio(a, b))
+    rows = pd.DataFrame([(d, side, name) for d in range(50) for side, name in ((0, "blue ring"), (0, "hot bolt"), (1, "bolt hot"), (1, "ring"))], columns=["doc", "side", "name"])
+    got = pd.concat(E._matching(0.6)(iter([rows[:70], rows[70:]])))
+    assert len(got) == 50 and len(seen) == len(set(seen)) <= 4
+
+
 def test_classifier_predicts_held_out_labels(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(4, 8)) * 2
