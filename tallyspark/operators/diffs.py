@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import tables as T
 
 _EXACT = "decimal(38,12)"
+#: How a text begins that may be a number; a cast that fails costs far more than this test.
+_NUMERIC = r"^[\x00-\x20\x7f]*[+-]?[.\p{Nd}]"
 _NODE = "array<struct<path: string, a: variant, b: variant, change: string, done: boolean>>"
 
 
@@ -21,22 +23,24 @@ def _text(v: Column) -> Column:
 
 
 def equal(a: Column, b: Column) -> Column:
-    """Equal as they are or as numbers; a missing value is null. A truth value is no text."""
+    """Equal as they are or as numbers; a missing value is null. A truth value is no text. Most pairs are settled by their JSON."""
     x, y = _text(a), _text(b)
+    number = lambda s: F.when(s.rlike(_NUMERIC), s.try_cast(_EXACT))
     mixed = (_is(a, "BOOLEAN") & _is(b, "STRING")) | (_is(a, "STRING") & _is(b, "BOOLEAN"))
-    return (x.eqNullSafe(y) & ~mixed) | F.coalesce(x.try_cast(_EXACT) == y.try_cast(_EXACT), F.lit(False))
+    return F.to_json(a).eqNullSafe(F.to_json(b)) | (x.eqNullSafe(y) & ~mixed) | F.coalesce(number(x) == number(y), F.lit(False))
 
 
 def nesting(v: Column) -> Column:
     """Levels of objects and arrays of a value."""
-    marks = F.regexp_extract_all(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]++|\\.)*+"', ""), F.lit(r"([\[\]{}])"), 1)
+    marks = F.split(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', ""), "")
+    now = F.transform(marks, lambda m: F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0))
     state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.coalesce(F.aggregate(now, state, lambda s, m: F.struct((s["now"] + m).alias("now"), F.greatest(s["most"], s["now"] + m).alias("most")), lambda s: s["most"]), F.lit(0))
 
-    def step(s: Column, m: Column) -> Column:
-        now = s["now"] + F.when(m.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
 
-    return F.coalesce(F.aggregate(marks, state, step, lambda s: s["most"]), F.lit(0))
+def deepest(rows: DataFrame, value: str) -> int:
+    """The most levels of a column of variants: a bound for differences() that needs no join, as pairs are opened no further than both sides go."""
+    return rows.agg(F.max(nesting(F.col(value)))).first()[0] or 0
 
 
 def differences(pairs: DataFrame, key: str, before: str = "a", after: str = "b", path: str | None = None, whole: str | None = None, depth: int | None = None) -> DataFrame:
@@ -45,30 +49,30 @@ def differences(pairs: DataFrame, key: str, before: str = "a", after: str = "b",
     Arrays are compared place by place; what one has beyond the other is row_added or row_removed with the whole element. Objects are
     compared by the union of their keys. Values of different kinds are one change, as are leaves (change_type null). Values are
     texts: strings as they are, others as JSON. path names the column of the path where a pair begins; pairs whose column `whole`
-    is true are compared as leaves. Rows carry their finished parts along, level by level, in one stage without a shuffle;
-    the levels are counted in the data unless `depth` gives them.
+    is true are compared as leaves. Rows carry their differing parts along, level by level, in one stage without a shuffle; a level
+    reads each value once, and equal leaves end there. The levels are counted in the data unless `depth` gives them.
     """
     a, b = F.col(before), F.col(after)
+    whole_ = F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)
     if depth is None:
-        depth = pairs.agg(F.max(F.least(nesting(a), nesting(b)))).first()[0] or 0
-    done = F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)
+        depth = pairs.where(~whole_).agg(F.max(F.least(nesting(a), nesting(b)))).first()[0] or 0
     node = lambda p, x, y, change, end: F.struct(p.alias("path"), x.alias("a"), y.alias("b"), change.alias("change"), end.alias("done"))
-    none = F.lit(None).cast("string")
-    rows = pairs.select(key, node(F.col(path) if path else F.lit(""), a, b, none, done).alias("n"))
-    x, y, at = F.col("n.a"), F.col("n.b"), F.col("n.path")
+    none, nothing = F.lit(None).cast("string"), F.array().cast(_NODE)
+    rows = pairs.select(key, node(F.col(path) if path else F.lit(""), a, b, none, whole_).alias("n"))
+    x, y, at, end = F.col("n.a"), F.col("n.b"), F.col("n.path"), F.col("n.done")
+    rows = rows.where(~end | ~equal(x, y))
+    xs, ys, xm, ym = (F.col(c) for c in ("xs", "ys", "xm", "ym"))
+    change = lambda i: F.when(i >= F.size(ys), "row_removed").when(i >= F.size(xs), "row_added")
+    item = lambda e, i: node(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), e["xs"], e["ys"], change(i), change(i).isNotNull())
+    field = lambda k: node(F.when(at == "", k).otherwise(F.concat_ws(".", at, k)), F.try_element_at(xm, k), F.try_element_at(ym, k), none, F.lit(False))
+    own = F.when(equal(x, y), nothing).otherwise(F.array(node(at, x, y, none, F.lit(True))))
     for _ in range(depth):
-        xs, ys = F.try_variant_get(x, "$", "array<variant>"), F.try_variant_get(y, "$", "array<variant>")
-        most = F.greatest(F.size(xs), F.size(ys))
-        places = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
-        change = lambda i: F.when(i >= F.size(ys), "row_removed").when(i >= F.size(xs), "row_added")  # noqa: B023, E731
-        items = F.transform(places, lambda i: node(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), F.get(xs, i), F.get(ys, i), change(i), change(i).isNotNull()))  # noqa: B023
-        xm, ym = F.try_variant_get(x, "$", "map<string,variant>"), F.try_variant_get(y, "$", "map<string,variant>")
-        names = F.array_distinct(F.concat(F.map_keys(xm), F.map_keys(ym)))
-        fields = F.transform(names, lambda k: node(F.when(at == "", k).otherwise(F.concat_ws(".", at, k)), F.try_element_at(xm, k), F.try_element_at(ym, k), none, F.lit(False)))  # noqa: B023
-        arrays, objects = _is(x, "ARRAY") & _is(y, "ARRAY"), _is(x, "OBJECT") & _is(y, "OBJECT")
-        own = F.array(node(at, x, y, F.col("n.change"), F.lit(True)))
-        rows = rows.select(key, F.explode(F.when(F.col("n.done"), F.array("n")).when(arrays, items).when(objects, fields).otherwise(own).cast(_NODE)).alias("n"))
-    found = rows.where(F.col("n.change").isNotNull() | ~equal(x, y))
+        open_ = lambda v, kind: F.when(~end, F.try_variant_get(v, "$", kind))
+        rows = rows.select(key, "n", *[open_(v, kind).alias(c) for c, v, kind in (("xs", x, "array<variant>"), ("ys", y, "array<variant>"), ("xm", x, "map<string,variant>"), ("ym", y, "map<string,variant>"))])
+        items, fields = F.transform(F.arrays_zip(xs, ys), item), F.transform(F.array_distinct(F.concat(F.map_keys(xm), F.map_keys(ym))), field)
+        arrays, objects = xs.isNotNull() & ys.isNotNull(), xm.isNotNull() & ym.isNotNull()
+        rows = rows.select(key, F.explode(F.when(end, F.array("n")).when(arrays, items).when(objects, fields).otherwise(own).cast(_NODE)).alias("n"))
+    found = rows.where(end | ~equal(x, y))
     return found.select(key, at.alias("field_path"), _text(x).alias("ai_value"), _text(y).alias("employee_value"), F.col("n.change").alias("change_type"))
 
 
@@ -95,4 +99,4 @@ def edit_corrections(documents: DataFrame, edits: DataFrame, key: str, fields: s
     named = F.when(F.col("path") == T.TRIP_ROWS, canonical_trips(listed)).otherwise(listed)
     before = F.when(table, F.parse_json(F.to_json(named))).otherwise(stored)
     pairs = edits.join(documents.select(key, fields), key).select(key, "path", before.alias("a"), value.alias("b"), (~table).alias("whole"))
-    return differences(pairs, key, path="path", whole="whole")
+    return differences(pairs, key, path="path", whole="whole", depth=deepest(edits.where(table), "value"))

@@ -38,3 +38,20 @@ def test_edits_of_trips_under_other_names(spark):
         ("travel_entries[0].kms", "78", "999", None), ("travel_entries[2]", None, '{"place":"ANDHERI"}', "row_added"), ("line_items[0]", None, '{"name":"x"}', "row_added"),
         ("travel_entries[0].date", "1 May", "2 May", None), ("tax.rate", None, "5", None),
     }
+
+
+def test_a_bound_beyond_the_levels_changes_nothing_and_needs_one_side(spark):
+    pairs = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(CASES)], "id long, x string, y string").select("id", F.parse_json("x").alias("a"), F.parse_json("y").alias("b"))
+    assert {tuple(r) for r in D.differences(pairs, "id", depth=D.deepest(pairs, "b") + 1).collect()} == {(k, *w) for k, c in enumerate(CASES) for w in c[2]}
+
+
+def test_a_level_reads_each_value_once(spark):
+    pairs = spark.range(1).select("id", F.parse_json(F.lit('{"a":1}')).alias("a"), F.parse_json(F.lit('{"a":2}')).alias("b"))
+    plan = D.differences(pairs, "id", depth=1)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapType(") == 2
+
+
+@pytest.mark.parametrize("a, b, same", [('"1e1"', "10", True), ('" 5"', "5.0", True), ('"-.5"', "-0.5", True), ('"x1"', '"x2"', False), ('"+3"', "3", True), ('"١"', "1", True)])
+def test_texts_that_are_numbers(spark, a, b, same):
+    row = spark.range(1).select(F.parse_json(F.lit(a)).alias("a"), F.parse_json(F.lit(b)).alias("b")).select(D.equal(F.col("a"), F.col("b")).alias("e"), (D._text(F.col("a")).try_cast("decimal(38,12)") == D._text(F.col("b")).try_cast("decimal(38,12)")).alias("cast")).first()
+    assert row.e == bool(row.cast) and row.e == same
