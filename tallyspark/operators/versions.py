@@ -28,8 +28,8 @@ def earliest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def latest_run(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """All rows of each key's last run."""
-    last = rows.groupBy(key).agg(F.max(seq).alias("_last"))
-    return rows.join(last, key).where(F.col(seq) == F.col("_last")).drop("_last")
+    last = F.max(seq).over(Window.partitionBy(key))
+    return rows.where(F.col(key).isNotNull()).withColumn("_last", last).where(F.col(seq) == F.col("_last")).drop("_last")
 
 
 def next_sequence(rows: DataFrame, key: str, seq: str) -> DataFrame:

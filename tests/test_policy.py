@@ -92,3 +92,11 @@ CASES += [
 @pytest.mark.parametrize("clause, facts, want", CASES)
 def test_verdict(spark, clause, facts, want):
     assert verdict(spark, clause, **facts) == want
+
+
+def test_monthly_peers_read_the_documents_four_times(spark):
+    """Units, keys, peers and decisions: once each."""
+    from tallyspark.plans import registry
+
+    plan = registry.queries()["J5_monthly_peers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 4
