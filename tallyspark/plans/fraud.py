@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import fraud as R
-from tallyspark.plans.proxy import DOCS, docs, docs_with_first, table
+from tallyspark.plans.proxy import DOCS, docs, docs_with_first, table, tasks
 from tallyspark.plans.registry import query
 from tallyspark.sources.readers import stored
 
@@ -138,9 +138,9 @@ def correction_guardrail(spark, d):
 
 def results(spark, d):
     """The nine rules over one set of current documents."""
-    rows = _scoped(_with_ai(stored(docs_with_first(spark, d))))
+    rows = _scoped(_with_ai(stored(R.keyed(docs_with_first(spark, d)))))
     _, decisions = _decided(rows)
-    return R.assess(rows, thresholds(spark), decisions, _corrections(rows), weekly_documents=2, weekly_totals={"INR": 6000})
+    return R.assess(rows, thresholds(spark), decisions, _corrections(rows), weekly_documents=2, weekly_totals={"INR": 6000}, tasks=tasks(spark, d))
 
 
 def all_sql() -> str:
