@@ -151,13 +151,21 @@ def group_indian(digits: Column) -> Column:
     return F.when(F.length(digits) <= 3, digits).otherwise(F.concat(head, F.lit(","), F.right(digits, F.lit(3))))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def format_money(amount: Column, currency: Column) -> Column:
     """Symbol or code, grouped digits, and decimals only where there are some; "-" for null. For amounts of at least 0."""
-    text = money(amount).cast("string")
-    whole, cents = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
-    thousands = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1,")
     symbol = F.coalesce(lookup(SYMBOLS, currency), F.concat(currency, F.lit(" ")), F.lit(""))
-    return F.when(amount.isNull(), "-").otherwise(F.concat(symbol, F.when(currency == "INR", group_indian(whole)).otherwise(thousands), F.when(cents != "00", F.concat(F.lit("."), cents)).otherwise("")))
+    thousands = lambda whole: F.when(F.length(whole) <= 3, whole).otherwise(F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1,"))
+
+    def said(text: Column) -> Column:
+        whole, cents = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
+        return F.concat(symbol, F.when(currency == "INR", group_indian(whole)).otherwise(thousands(whole)), F.when(cents != "00", F.concat(F.lit("."), cents)).otherwise(""))
+
+    return F.when(amount.isNull(), "-").otherwise(once(money(amount).cast("string"), said))
 
 
 def format_comparison(amount: Column, limit: Column, unit: Column, currency: Column) -> Column:

@@ -100,3 +100,15 @@ def test_monthly_peers_read_the_documents_four_times(spark):
 
     plan = registry.queries()["J5_monthly_peers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 4
+
+
+def test_explanation_prints_each_amount_once_a_sentence(spark):
+    """Two sentences have two amounts each; what a condition lacks is worked out with the clause, before units meet it."""
+    from tallyspark.plans import policy, registry
+
+    plan = registry.queries()["L19_explanations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan[: plan.index("Project", 1)].count("decimal(30,10)") == 4
+    clauses = policy.clauses(spark).select(L.prepared().alias("p"), "clause_id")
+    lacks = {r.clause_id: {c.id: (c.numeric, c.parts, list(c.lacks)) for c in r.p} for r in clauses.collect()}
+    assert lacks["L-PERSON"]["c2"] == (True, False, ["attendee_count"]) and lacks["L-PERSON"]["c4"][:2] == (False, True) and lacks["L-PERSON"]["c4a"] == (False, False, ["vehicle_ownership"])
+    assert lacks["L-NIGHT"]["c1"] == (False, False, ["client_name"]) and lacks["L-MONTH"]["c3"] == (False, False, ["condition:c3"])
