@@ -55,3 +55,21 @@ def test_a_level_reads_each_value_once(spark):
 def test_texts_that_are_numbers(spark, a, b, same):
     row = spark.range(1).select(F.parse_json(F.lit(a)).alias("a"), F.parse_json(F.lit(b)).alias("b")).select(D.equal(F.col("a"), F.col("b")).alias("e"), (D._text(F.col("a")).try_cast("decimal(38,12)") == D._text(F.col("b")).try_cast("decimal(38,12)")).alias("cast")).first()
     assert row.e == bool(row.cast) and row.e == same
+
+
+def test_edits_are_made_once_with_their_documents_and_no_filter_opens_values(spark):
+    from tallyspark.plans import registry
+
+    plan = registry.queries()["D2_edited_roots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+    assert not [x for x in plan.splitlines() if "Filter" in x and ("variant" in x or "parseJson" in x)]
+
+
+def test_edits_beside_their_documents(spark):
+    fields = '{"travel_entries":[{"location":"P","reason":null,"distance":"5"},{"km":1},"odd"],"a":{"b":[1]}}'
+    edits = [("travel_entries", '[{"place":"P","kms":"6"}]'), ("a.b[0]", "1.0"), ("a", '{"b":[2]}'), ("line_items", "{}"), ("missing", "null")]
+    rows = spark.createDataFrame([(1, fields, *e) for e in edits], "id long, j string, path string, v string").select("id", F.parse_json("j").alias("fields"), "path", F.parse_json("v").alias("value"))
+    want = {("travel_entries[0].kms", "5", "6", None), ("travel_entries[1]", '{"kms":1}', None, "row_removed"), ("travel_entries[2]", "odd", None, "row_removed"), ("a", '{"b":[1]}', '{"b":[2]}', None), ("line_items", None, "{}", None)}
+    assert {tuple(r)[1:] for r in D.corrections(rows, "id").collect()} == want
+    assert {tuple(r)[1:] for r in D.corrections(rows, "id", depth=2).collect()} == want
+    assert {tuple(r)[1:] for r in D.edit_corrections(rows.select("id", "fields").limit(1), rows.drop("fields"), "id").collect()} == want
