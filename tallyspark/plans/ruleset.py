@@ -9,6 +9,7 @@ from tallyspark.operators import ruleset as B
 from tallyspark.plans.policy import _PEERS, decisions
 from tallyspark.plans.proxy import DOCS, docs, table
 from tallyspark.plans.registry import query
+from tallyspark.sources.readers import saved
 
 _AMOUNT = "CAST(floor(p_retailprice) AS BIGINT)"
 
@@ -145,9 +146,10 @@ def days_since(spark, d):
   SELECT d.document_id, CASE WHEN employee_id % 7 > 0 THEN 'L' || employee_id % 7 END AS grade, nullif(employee_id % 7, 0)::INT AS grade_rank, coalesce(submitted_on, DATE '1999-06-01') - bill_date AS days_since_expense, trim(note) <> '' OR coalesce(n, 0) > CASE WHEN currency IS NULL THEN 1 ELSE 0 END AS approval_evidenced, n_peers, peers_total
   FROM docs d JOIN c USING (claim_id) LEFT JOIN a USING (claim_id) LEFT JOIN peers p ON p.document_id = d.document_id""")
 def facts(spark, d):
-    """Grade and its rank, days since the expense, evidence of approval and the month's peers of each latest document."""
-    rows = docs(spark, d).withColumn("document_type", F.when(F.col("currency").isNull(), "approval_correspondence").otherwise("generic_receipt")).withColumn("clause_id", F.concat(F.lit("C"), (F.col("document_id") % 2).cast("string")))
-    claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "F", F.date_add(F.to_date("o_orderdate"), 200)).alias("submitted_on"), F.when(F.col("o_orderpriority").startswith("1"), "agreed").otherwise(" ").alias("note"))
+    """Grade and its rank, days since the expense, evidence of approval and the month's peers of each latest document. Documents are made once, for themselves and their decisions."""
+    made = saved(docs(spark, d).select("document_id", "claim_id", "employee_id", "category", "currency", "amount", "bill_date", "doc_status", "claim_status"))
+    rows = made.withColumn("document_type", F.when(F.col("currency").isNull(), "approval_correspondence").otherwise("generic_receipt")).withColumn("clause_id", F.concat(F.lit("C"), (F.col("document_id") % 2).cast("string")))
+    claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("employee_id"), F.when(F.col("o_orderstatus") == "F", F.date_add(F.to_date("o_orderdate"), 200)).alias("submitted_on"), F.when(F.col("o_orderpriority").startswith("1"), "agreed").otherwise(" ").alias("note"))
     employees = table(spark, d, "customer").select(F.col("c_custkey").alias("employee_id"), F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit(" l"), (F.col("c_custkey") % 7).cast("string"), F.lit(" "))).alias("grade"))
-    found = L.facts(rows, claims, employees, decisions(rows), F.lit("1999-06-01").cast("date"), tuple(f"L{k}" for k in range(1, 7)))
+    found = L.facts(rows, claims, employees, decisions(made), F.lit("1999-06-01").cast("date"), tuple(f"L{k}" for k in range(1, 7)))
     return found.select("document_id", "grade", "grade_rank", "days_since_expense", "approval_evidenced", "n_peers", "peers_total")

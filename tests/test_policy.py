@@ -3,6 +3,7 @@
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.operators import policy as L
 from tallyspark.plans.policy import _CLAUSE_TYPE
@@ -112,3 +113,31 @@ def test_explanation_prints_each_amount_once_a_sentence(spark):
     lacks = {r.clause_id: {c.id: (c.numeric, c.parts, list(c.lacks)) for c in r.p} for r in clauses.collect()}
     assert lacks["L-PERSON"]["c2"] == (True, False, ["attendee_count"]) and lacks["L-PERSON"]["c4"][:2] == (False, True) and lacks["L-PERSON"]["c4a"] == (False, False, ["vehicle_ownership"])
     assert lacks["L-NIGHT"]["c1"] == (False, False, ["client_name"]) and lacks["L-MONTH"]["c3"] == (False, False, ["condition:c3"])
+
+
+def test_facts_make_the_documents_once_and_deal_out_units_without_peers(spark):
+    """Documents are read from what was made once; a unit that can have no peers has a key of its own."""
+    from tallyspark.plans import registry
+
+    plan = registry.queries()["L11_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [l_orderkey") == 0
+    assert any("hashpartitioning(employee_id" in x and "_alone" in x for x in plan.executedPlan().toString().splitlines())
+
+
+def test_facts_of_documents(spark):
+    """Claims with and without a row, a draft's own documents, another clause, two clauses of one run, an older run, unjudged ones, lacking currency, category, employee or claim."""
+    doc = lambda k, claim, status="submitted", clause="c", currency="INR", category="x", employee=9, state="ready", kind="receipt", amount="1": (k, claim, status, state, employee, category, currency, D(amount) if amount else None, "2026-05-03", clause, kind)
+    rows = [doc(1, 1, "draft"), doc(2, 1, "draft", kind="approval_correspondence"), doc(3, 2), doc(4, 2, clause="d"), doc(5, 3, clause=None), doc(6, 4), doc(7, 4, currency=None), doc(8, 4, category=None), doc(9, 4, employee=None), doc(10, None), doc(11, 2, state="removed"), doc(12, 2, amount=None), doc(13, 2, clause="")]
+    docs = spark.createDataFrame(rows, "document_id long, claim_id long, claim_status string, doc_status string, employee_id long, category string, currency string, amount decimal(12,2), d string, clause_id string, document_type string").withColumn("bill_date", F.to_date("d")).drop("d")
+    runs = spark.createDataFrame([(1, 1, "c", 1), (1, 2, "c", 1), (2, 3, "d", 1), (2, 3, "c", 2), (2, 4, "c", 2), (2, 4, "d", 2), (2, 12, "c", 2), (3, 5, None, 1), (4, 6, "c", 1), (None, 10, "c", 1)], "claim_id long, document_id long, clause_id string, evaluation_seq int")
+    claims = spark.createDataFrame([(1, 9, " "), (2, 9, "agreed"), (4, 9, None)], "claim_id long, employee_id long, note string").withColumn("submitted_on", F.lit("2026-06-01").cast("date"))
+    employees = spark.createDataFrame([(9, " l2 ")], "employee_id long, grade string")
+    today = F.lit("2026-07-01").cast("date")
+    peers = {r.document_id: (r.n_peers, r.peers_total, r.n_unattributed) for r in L.monthly_peers(docs.select("document_id", "clause_id"), docs, runs).collect()}
+    for given in (claims, claims.drop("employee_id")):
+        got = {r.document_id: r for r in L.facts(docs, given, employees, runs, today, ("L1", "L2")).collect()}
+        assert sorted(got) == [1, 2, 3, 4, 6, 7, 8, 9, 11, 12, 13]
+        assert {k: (r.n_peers, r.peers_total, r.n_unattributed) for k, r in got.items()} == {k: peers[k] for k in got}
+        assert [got[k].approval_evidenced for k in (1, 2, 3, 6)] == [True, False, True, False] and {r.days_since_expense for r in got.values()} == {29}
+        assert got[1].grade == "L2" and got[1].grade_rank == 2
+    assert peers[1] == (4, D(4), 3) and peers[4][:2] == (0, D(0)) and peers[7] == (None, None, None)
