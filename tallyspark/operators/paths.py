@@ -31,6 +31,29 @@ def flatten(rows: DataFrame, key: str, json: str, depth: int = 3, cut: int = 160
     return level.where(path != "").select(key, path.alias("path"), short.alias("value"))
 
 
+def leaves(json: Column, depth: int = 3, cut: int = 160) -> Column:
+    """The (path, value) of flatten() as an array, within the row; empty for what is no object or array."""
+    node = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    dotted = lambda path, name: F.when(path == "", name).otherwise(F.concat_ws(".", path, name))
+
+    def opened(n: Column) -> Column:
+        path, v = n["path"], n["v"]
+        fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: node(dotted(path, e["key"]), e["value"]))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: node(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
+        return F.coalesce(fields.cast(_NODES), items.cast(_NODES), F.array(n).cast(_NODES))
+
+    def said(n: Column) -> Column:
+        text = F.when(F.schema_of_variant(n["v"]) != "VOID", F.coalesce(F.try_variant_get(n["v"], "$", "string"), F.to_json(n["v"])))
+        return F.struct(n["path"].alias("path"), text.alias("value"))
+
+    parsed = F.try_parse_json(json)
+    found = F.transform(F.array(parsed), lambda v: node(F.lit(""), v)).cast(_NODES)
+    for _ in range(depth):
+        found = F.flatten(F.transform(found, opened))
+    texts = F.transform(F.filter(found, lambda n: n["path"] != ""), said)
+    return F.transform(texts, lambda t: F.struct(t["path"].alias("path"), F.when(F.length(t["value"]) > cut, F.concat(F.left(t["value"], F.lit(cut)), F.lit("..."))).otherwise(t["value"]).alias("value")))
+
+
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Leaf changes between two flattened versions; a missing leaf equals null; numbers are compared as numbers."""
     a, b = before.withColumnRenamed("value", "ai_value"), after.withColumnRenamed("value", "employee_value")

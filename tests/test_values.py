@@ -194,3 +194,17 @@ def test_training_run(spark, tmp_path):
     assert all(r.f1 > 0.75 for r in found.values())
     again = C.classify(LogisticRegressionModel.load(f"{tmp_path}/model"), spark.createDataFrame(held, schema), "v").collect()
     assert len(again) == 5
+
+
+def test_policy_requests_with_fields_and_employees(spark):
+    """Leaves of a table or of the row, employees of the document or of its claim; a document without a claim is asked for by none."""
+    from tallyspark.operators import paths as P
+
+    docs = spark.createDataFrame([(1, 9, 5, "A", D(10), "meals", '{"b":2,"a":["x"]}'), (2, 9, 5, None, None, None, "{}"), (3, 8, 6, "C", D(1), "x", None), (4, None, 5, "D", D(1), "x", "{}")], "document_id long, claim_id long, employee_id long, vendor string, amount decimal(12,2), category string, body string")
+    clauses = spark.createDataFrame([("C1", "per_night", False, ["meals", "*"])], "clause_id string, limit_unit string, is_prohibition boolean, applies_to array<string>")
+    employees, claims = spark.createDataFrame([(5, "N")], "employee_id long, name string"), spark.createDataFrame([(9, 5), (8, 6), (7, 5)], "claim_id long, employee_id long")
+    read = lambda rows: {r.document_id: json.loads(r.request) for r in rows.collect()}
+    joined = read(V.policy_requests(docs, clauses, employees, P.flatten(docs, "document_id", "body")))
+    assert joined == read(V.policy_requests(docs, clauses, employees, fields=P.leaves(F.col("body")), claims=claims)) and sorted(joined) == [1, 2, 3]
+    assert joined[1]["fields"] == [{"path": "a[0]", "value": "x"}, {"path": "b", "value": "2"}] and joined[1]["employee"] == {"name": "N"} and joined[1]["siblings"] == [{"document_id": 2}]
+    assert "fields" not in joined[2] and "employee" not in joined[3]
